@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import html_main, line_frequency, mixing, packing, reply_trees
+from millrace.llm import fm_quality, html_main, line_frequency, mixing, packing, rabitq, reply_trees, surrogates
 from millrace.llm._shared import table, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,20 @@ def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op5_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return rabitq.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    return fm_quality.score(docs, fm_quality.train(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.main_text(table(spark, sf_dir, "pages"))
 
@@ -90,9 +104,21 @@ FROM f
 """
 
 
+OP5_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), d AS (
+  SELECT q.vec_id AS query_id, v.vec_id, sqrt(list_reduce(list_transform(range(1, 65), lambda i: (v.e[i] - q.e[i]) * (v.e[i] - q.e[i])), lambda x, y: x + y)) AS score FROM v JOIN v AS q ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 10
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_pivotal_mixing, op8_site_templates, op9_reply_trees, op10_line_frequency)}
+    return {f.__name__: f for f in (op3_best_fit_packing, op4_pivotal_mixing, op5_one_bit_codes, op6_surrogates, op7_factorisation_machine, op8_site_templates, op9_reply_trees, op10_line_frequency)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_reply_trees": OP9_SQL, "op10_line_frequency": OP10_SQL}
+    return {"op5_one_bit_codes": OP5_SQL, "op9_reply_trees": OP9_SQL, "op10_line_frequency": OP10_SQL}
