@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import fm_quality, html_main, line_frequency, mixing, packing, rabitq, reply_trees, surrogates
+from millrace.llm import brown_lm, fm_quality, html_main, line_frequency, lsh_forest, mixing, packing, rabitq, reply_trees, surrogates
 from millrace.llm._shared import table, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_brown_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.perplexity_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), lsh_forest.Forest(width=3, percent=85))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -104,6 +112,27 @@ FROM f
 """
 
 
+OP2_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_W}') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] END AS three
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM d WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s AS a JOIN s AS b ON a.three = b.three AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p JOIN n AS m ON m.doc_id = x JOIN n AS o ON o.doc_id = y WHERE 100 * c >= 85 * (m.n + o.n - c)
+), e AS (
+  SELECT x, y FROM l UNION SELECT y, x FROM l
+), r AS (
+  SELECT doc_id AS node, doc_id AS other FROM d UNION SELECT r.node, e.y FROM r JOIN e ON r.other = e.x
+)
+SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id, d.doc_id = min(other) AS kept
+FROM d JOIN r ON r.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
 OP5_SQL = """
 WITH v AS (
   SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -117,8 +146,8 @@ FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_pivotal_mixing, op5_one_bit_codes, op6_surrogates, op7_factorisation_machine, op8_site_templates, op9_reply_trees, op10_line_frequency)}
+    return {f.__name__: f for f in (op1_brown_bigrams, op2_lsh_forest, op3_best_fit_packing, op4_pivotal_mixing, op5_one_bit_codes, op6_surrogates, op7_factorisation_machine, op8_site_templates, op9_reply_trees, op10_line_frequency)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_one_bit_codes": OP5_SQL, "op9_reply_trees": OP9_SQL, "op10_line_frequency": OP10_SQL}
+    return {"op2_lsh_forest": OP2_SQL, "op5_one_bit_codes": OP5_SQL, "op9_reply_trees": OP9_SQL, "op10_line_frequency": OP10_SQL}
