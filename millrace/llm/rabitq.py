@@ -98,7 +98,7 @@ def _cell(dim: int, centre: list[float], seed: int, k: int, epsilon: float, firs
                     pick = np.argpartition(near, first)[:first] if len(near) > first else np.arange(len(near))
                     pick = pick[np.isfinite(near[pick])]
                 else:
-                    pick = np.flatnonzero(low <= within[i] ** 2)
+                    pick = np.flatnonzero((low <= within[i] ** 2) & (ids != q))
                 d = _exact(vectors[pick], wanted[i])
                 keep = np.argsort(d, kind="stable")[:k] if first else np.flatnonzero(d <= within[i])
                 out.append((np.full(len(keep), q), ids[pick[keep]], d[keep]))
