@@ -101,3 +101,10 @@ def fetch_count(base: Column, filled: Column, latency_ms: Column, max_ms: int, f
     new = F.greatest(new, F.lit(10)).cast("long")
     fetch = F.floor(F.least(F.greatest(new, F.lit(10)), F.greatest(filled, F.lit(10))) / 10) * 10
     return new, fetch.cast("long")
+
+
+def parameter(code: Column, value: Column, labels: Column) -> Column:
+    """A cell's text as a statement's parameter: BIT texts as hexadecimal bytes, SETs (labels) comma-joined,
+    anything else as it is; null stays null."""
+    bits = F.hex(bit_bytes(value))
+    return F.when(code == 16, bits).when(code == 248, F.array_join(labels, ",")).otherwise(value)

@@ -131,3 +131,9 @@ def merge_min(sets: DataFrame, destinations: DataFrame) -> DataFrame:
 
 def merge_max(one: DataFrame, other: DataFrame) -> DataFrame:
     return one.union(other).groupBy("server_uuid").agg(F.max("mark").alias("mark"))
+
+
+def start_marks(stored: DataFrame, configured: DataFrame) -> DataFrame:
+    """Where a destination begins: what it stored, if that is anything, else what it is configured with."""
+    some = stored.limit(1).select(F.lit(1).alias("_some"))
+    return stored.unionByName(configured.join(some, F.lit(True), "left_anti"))

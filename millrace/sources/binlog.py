@@ -76,15 +76,51 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return events(spark.read.format("binaryFile").load(path))
 
 
+# Status variables of a query by key, and their sizes in bytes (parts of a variable one after another).
+_STATUS = {
+    0: ("flags2", 4), 1: ("sql_mode", 8), 3: ("auto_increment", 2, 2), 4: ("charset", 2, 2, 2), 7: ("lc_time_names", 2), 8: ("charset_database", 2),
+    9: ("table_map_for_update", 8), 10: ("master_data_written", 4), 13: ("microseconds", 3), 16: ("explicit_defaults_for_timestamp", 1),
+    17: ("ddl_logged_with_xid", 8), 18: ("default_collation_for_utf8mb4", 2), 19: ("sql_require_primary_key", 1), 20: ("default_table_encryption", 1),
+    128: ("hrnow", 3), 129: ("xid", 8),
+}
+
+
+def status_variables(raw: bytes) -> dict:
+    """Status variables of a query; what follows an unknown key is kept as it is."""
+    r, out = Reader(raw), {}
+    while r.left():
+        key = r.uint(1)
+        if key in _STATUS:
+            name, *sizes = _STATUS[key]
+            parts = [r.uint(n) for n in sizes]
+            out[name] = parts[0] if len(parts) == 1 else parts
+        elif key in (2, 5, 6):
+            out[{2: "catalog", 5: "time_zone", 6: "catalog_nz"}[key]] = r.text(r.uint(1))
+            if key == 2:
+                r.take(1)
+        elif key == 11:
+            out["invoker"] = [r.text(r.uint(1)), r.text(r.uint(1))]
+        elif key == 12:
+            n, names = r.uint(1), []
+            for _ in range(0 if n == 254 else n):
+                end = r.data.index(b"\0", r.at)
+                names.append(r.text(end - r.at))
+                r.take(1)
+            out["updated_db_names"] = names
+        else:
+            out[f"unknown_{key}"] = r.take(r.left()).hex()
+    return out
+
+
 def details(kind: str, body: bytes, server_version: tuple[int, ...] = (8, 0)) -> dict:
     """What an event other than a row event says."""
     r = Reader(body)
     if kind == "query":
         thread, seconds, n, error, status = r.uint(4), r.uint(4), r.uint(1), r.uint(2), r.uint(2)
-        r.take(status)
+        known = status_variables(r.take(status))
         schema = r.text(n)
         r.take(1)
-        return {"thread_id": thread, "seconds": seconds, "error": error, "schema": schema, "query": r.take(r.left()).decode("utf-8", "backslashreplace")}
+        return {"thread_id": thread, "seconds": seconds, "error": error, "schema": schema, "status": known, "query": r.take(r.left()).decode("utf-8", "backslashreplace")}
     if kind == "rotate":
         return {"position": r.uint(8), "next": r.text(r.left())}
     if kind == "format_description":
@@ -129,6 +165,13 @@ def details(kind: str, body: bytes, server_version: tuple[int, ...] = (8, 0)) ->
     if kind == "xa_prepare":
         one, form, a, b = r.uint(1), r.uint(4), r.uint(4), r.uint(4)
         return {"one_phase": bool(one), "format": form, "gtrid": r.take(a).hex(), "bqual": r.take(b).hex()}
+    if kind == "execute_load_query":
+        thread, seconds, n, error, status = r.uint(4), r.uint(4), r.uint(1), r.uint(2), r.uint(2)
+        file_id, start, end, duplicates = r.uint(4), r.uint(4), r.uint(4), r.uint(1)
+        known = status_variables(r.take(status))
+        schema = r.text(n)
+        r.take(1)
+        return {"thread_id": thread, "seconds": seconds, "error": error, "file_id": file_id, "start": start, "end": end, "duplicates": duplicates, "schema": schema, "status": known, "query": r.text(r.left())}
     if kind == "begin_load_query":
         return {"file_id": r.uint(4), "block": r.take(r.left()).hex()}
     if kind == "mariadb_gtid":

@@ -136,3 +136,10 @@ def test_details_of_other_events():
     assert binlog.details("user_var", struct.pack("<I", 1) + b"n\x00" + b"\x02" + struct.pack("<II", 63, 8) + struct.pack("<q", -4) + b"\x00")["value"] == -4
     assert binlog.details("mariadb_gtid", struct.pack("<QI", 8, 1) + b"\x00") == {"domain": 1, "sequence": 8, "flags": 0}
     assert binlog.details("query", struct.pack("<IIBHH", 1, 0, 0, 0, 0) + b"\0a\xffb")["query"] == "a\\xffb"
+
+
+def test_status_variables():
+    raw = b"\x00" + struct.pack("<I", 5) + b"\x06\x03std" + b"\x04" + struct.pack("<HHH", 1, 2, 3) + b"\x0c\x02a\x00bc\x00" + b"\x0b\x01u\x01h" + b"\x63zz"
+    assert binlog.status_variables(raw) == {"flags2": 5, "catalog_nz": "std", "charset": [1, 2, 3], "updated_db_names": ["a", "bc"], "invoker": ["u", "h"], "unknown_99": "7a7a"}
+    body = struct.pack("<IIBHHIIIB", 1, 0, 1, 0, 0, 7, 2, 9, 1) + b"d\0load"
+    assert binlog.details("execute_load_query", body)["query"] == "load"

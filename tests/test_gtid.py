@@ -61,3 +61,10 @@ def test_dedup_and_gaps(spark):
     done = spark.createDataFrame([(U[0], 1, 2)], "server_uuid string, s long, e long")
     assert sorted(r.pos for r in gtid.excluding(df, done).collect()) == [5, 6]
     assert [(r.server_uuid, r.contained) for r in gtid.contains(gtid.intervals(df), done).collect()] == [(U[0], True)]
+
+
+def test_start_marks(spark):
+    kind = "server_uuid string, mark long"
+    empty, stored, configured = (spark.createDataFrame(x, kind) for x in ([], [(U[0], 5)], [(U[0], 1), (U[1], 2)]))
+    assert [tuple(r) for r in gtid.start_marks(stored, configured).collect()] == [(U[0], 5)]
+    assert gtid.start_marks(empty, configured).count() == 2
