@@ -25,9 +25,10 @@ _GIVEN = {
 }
 _SYLLABLES = {"latin": "ba de fi go hu ka le mi no pu ra se ti vo wu za", "cyrillic": "ба де фи го ху ка ле ми но пу ра се ти во лу за"}
 
+_NAMED = r"(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[^\w\n]{0,4}[=:][^\w\n]{0,4}"
 # An entity's kind and pattern; the first that fits a match names its kind.
 _PATTERNS = {
-    "secret": r"(?<=(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)['\"]?\s{0,3}[=:]\s{0,3}['\"]?)[A-Za-z0-9_\-./+]{8,}|\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}|\bsk-[A-Za-z0-9]{20,}",
+    "secret": rf"(?<={_NAMED})(?=[A-Za-z_\-./+]*[0-9])[A-Za-z0-9_\-./+]{{8,}}|\b(?:AKIA|ASIA)[0-9A-Z]{{16}}\b|\bgh[pousr]_[A-Za-z0-9]{{36,}}|\bsk-[A-Za-z0-9]{{20,}}",
     "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\w\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])",
@@ -38,7 +39,7 @@ _PATTERNS = {
 }
 _ANY = "|".join(f"(?:{p})" for p in _PATTERNS.values())
 #: Bytes that every entity has one of: most texts are passed by this alone.
-_MAYBE = rf"[@0-9]|{_MALE}|{_FEMALE}|password|passwd|token|secret|key"
+_MAYBE = rf"[@0-9]|{_MALE}|{_FEMALE}"
 ROUNDS = 12
 
 
@@ -49,12 +50,15 @@ def _hmac(key: bytes, message: Column) -> Column:
     return F.sha2(F.concat(F.lit(bytearray(outer)), F.unhex(F.sha2(F.concat(F.lit(bytearray(inner)), message.cast("binary")), 256))), 256)
 
 
-def _kind(found: Column) -> Column:
-    """The kind of a match, by its own look: look-behinds are not there any more."""
+def _kind(found: Column, before: Column) -> Column:
+    """The kind of a match, by its look and what stands before it. Long numbers whose check digit is
+    wrong are no cards: their kind is none."""
     last = F.when(found.rlike(rf"^(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}"), "name").otherwise("secret")
     for kind in ("card", "ssn", "phone", "iban", "ip", "email"):
         last = F.when(found.rlike(f"^(?:{_PATTERNS[kind]})$"), kind).otherwise(last)
-    return last
+    last = F.when(before.rlike(f"{_NAMED}$"), "secret").otherwise(last)
+    wrong = F.pmod(_luhn_sum(F.regexp_replace(found, "[^0-9]", "")), F.lit(10)) != 0
+    return F.when((last == "card") & wrong, "none").otherwise(last)
 
 
 def _canonical(kind: Column, found: Column) -> Column:
@@ -170,12 +174,15 @@ def replace_entities(docs: DataFrame, key: bytes = b"millrace") -> DataFrame:
     text = F.col("text")
     matches = F.when(text.rlike(_MAYBE), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     rows = materialize(docs.select(*keep).withColumn("_row", F.monotonically_increasing_id()).withColumn("_found", F.coalesce(matches, F.array().cast("array<string>"))), "matches")
-    one = rows.where(F.size("_found") > 0).select("_row", F.posexplode("_found").alias("_at", "_match"))
-    one = one.withColumn("kind", _kind(F.col("_match"))).withColumn("canonical", _canonical(F.col("kind"), F.col("_match")))
-    known = entities(one.select("kind", "canonical"), key)
-    spelled = one.join(known, ["kind", "canonical"]).select("_row", "_at", _written(F.col("kind"), F.col("_match"), F.col("stand_in"), key).alias("_new"))
-    new = spelled.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "_new"))).alias("_by"))
+    gaps = F.split(text, _ANY, -1)
+    each = F.zip_with("_found", gaps, lambda found, gap: F.struct(found.alias("_match"), F.right(gap, F.lit(40)).alias("_before")))
+    one = rows.where(F.size("_found") > 0).select("_row", F.posexplode(each).alias("_at", "_one")).select("_row", "_at", "_one.*").where("_match is not null")
+    one = one.withColumn("kind", _kind(F.col("_match"), F.col("_before"))).withColumn("canonical", _canonical(F.col("kind"), F.col("_match")))
+    known = entities(one.where("kind <> 'none'").select("kind", "canonical"), key)
+    said = F.when(F.col("stand_in").isNull(), F.col("_match")).otherwise(_written(F.col("kind"), F.col("_match"), F.col("stand_in"), key))
+    spelled = one.join(known, ["kind", "canonical"], "left").select("_row", "_at", said.alias("_new"), F.col("stand_in").isNotNull().cast("long").alias("_n"))
+    new = spelled.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "_new"))).alias("_by"), F.sum("_n").alias("_n"))
     done = rows.where(F.size("_found") > 0).join(new, "_row")
-    pieces = F.zip_with(F.split(text, _ANY, -1), F.concat(F.col("_by._new"), F.array(F.lit(""))), lambda gap, said: F.concat(gap, said))
-    done = done.select(*(F.array_join(pieces, "").alias("text") if c == "text" else F.col(c) for c in keep), F.size("_by").cast("long").alias("n_entities"))
+    pieces = F.zip_with(gaps, F.concat(F.col("_by._new"), F.array(F.lit(""))), lambda gap, said: F.concat(gap, said))
+    done = done.select(*(F.array_join(pieces, "").alias("text") if c == "text" else F.col(c) for c in keep), F.col("_n").alias("n_entities"))
     return rows.where(F.size("_found") == 0).select(*keep, F.lit(0).cast("long").alias("n_entities")).unionByName(done)

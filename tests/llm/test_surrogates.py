@@ -29,6 +29,7 @@ def done(spark):
         7: "clean text with 12 words, version 4.0 and 1,000 more",
         8: "again bob.lee@mail6.example.com " * 3000,
         9: "\nsk@a.example.org\n",
+        10: "order 9807915762804490, part 4539578763621487, pwd: 123456789012",
     }
     rows = [(i, t, 5) for i, t in texts.items()] + [(1, texts[1], 5)]
     out = replace_entities(spark.createDataFrame(rows, "doc_id long, text string, n_entities int"))
@@ -44,7 +45,12 @@ def test_originals_are_gone_and_the_rest_stays(done):
         assert all(secret not in (r.text or "") for r in got.values()), secret
     for i in (5, 6, 7):
         assert (got[i].text, got[i].n_entities) == (texts[i], 0)
-    assert [got[k].n_entities for k in (1, 2, 3, 4, 8, 9)] == [4, 3, 3, 3, 3000, 1]
+    assert [got[k].n_entities for k in (1, 2, 3, 4, 8, 9, 10)] == [4, 3, 3, 3, 3000, 1, 1]
+
+
+def test_numbers_that_are_no_cards_stay(done):
+    _, got = done
+    assert re.fullmatch("order 9807915762804490, part 4539578763621487, pwd: [0-9a-f]{12}", got[10].text) and "123456789012" not in got[10].text
 
 
 def test_form_is_kept(done):
