@@ -30,6 +30,13 @@ def replace(ops: DataFrame) -> DataFrame:
     return last.where("last.op <> 'delete'").select(*KEY, *(f"last.{c}" for c in ROW))
 
 
+def last_changes(ops: DataFrame) -> DataFrame:
+    """The last change of each key, deletes included. Folding these gives what folding all gives, so
+    batches can be shortened apart and folded together later."""
+    last = ops.groupBy(*KEY).agg(_last().alias("last"), F.max("pos").alias("pos"))
+    return last.select("pos", "last.op", *KEY, *(f"last.{c}" for c in ROW))
+
+
 def update_only(ops: DataFrame) -> DataFrame:
     """Updates change rows that are there and nothing else; inserts write the row."""
     born = F.max_by(F.col("op"), F.when(F.col("op") != "update", F.col("pos")))

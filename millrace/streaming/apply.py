@@ -43,25 +43,33 @@ def first_seen(ops: DataFrame) -> DataFrame:
     return ops.select(*(c.split()[0] for c in _SEEN.split(", "))).groupBy("server_uuid").applyInPandasWithState(run, _SEEN, "mark long, trx long", "append", GroupStateTimeout.NoTimeout)
 
 
-def apply_to(folder: str, then: Callable[[DataFrame], DataFrame] = fold.replace) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that folds each batch into the table: folder/v=N has its rows after batch N,
-    folder/marks/v=N the transaction marks applied by then. Running a batch again gives the same."""
+def apply_to(folder: str, compact_every: int = 20) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that keeps a table as versions: folder/changes/v=N has the last change of each
+    key in batch N, folder/marks/v=N the transaction marks applied by then. A batch writes what it
+    changes, not the table; every compact_every batches the changes since the last time are folded into
+    folder/rows/v=N. Running a batch again gives the same folders."""
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        ops = batch.select("pos", "op", *fold.KEY, *fold.ROW)
         marks = high_water(batch)
         if number > 0:
-            ops = fold.with_base(ops, snapshot(spark, folder, number - 1))
             marks = marks.union(spark.read.parquet(f"{folder}/marks/v={number - 1}")).groupBy("server_uuid").agg(F.max("mark").alias("mark"))
-        then(ops).write.mode("overwrite").parquet(f"{folder}/rows/v={number}")
+        fold.last_changes(batch).write.mode("overwrite").parquet(f"{folder}/changes/v={number}")
+        if (number + 1) % compact_every == 0:
+            snapshot(spark, folder, number, compact_every, compacted=False).write.mode("overwrite").parquet(f"{folder}/rows/v={number}")
         marks.write.mode("overwrite").parquet(f"{folder}/marks/v={number}")
 
     return run
 
 
-def snapshot(spark: SparkSession, folder: str, number: int) -> DataFrame:
-    return spark.read.parquet(f"{folder}/rows/v={number}")
+def snapshot(spark: SparkSession, folder: str, number: int, compact_every: int = 20, compacted: bool = True) -> DataFrame:
+    """The table after batch `number`: the last compacted rows and the changes since."""
+    done = (number + 1) // compact_every * compact_every - 1 if compacted else number // compact_every * compact_every - 1
+    later = [f"{folder}/changes/v={n}" for n in range(done + 1, number + 1)]
+    if not later:
+        return spark.read.parquet(f"{folder}/rows/v={done}")
+    ops = spark.read.parquet(*later)
+    return fold.replace(fold.with_base(ops, spark.read.parquet(f"{folder}/rows/v={done}")) if done >= 0 else ops)
 
 
 def fan_out(sinks: list[Callable[[DataFrame, int], None]]) -> Callable[[DataFrame, int], None]:
