@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: One word: no ASCII white space in it. The same set is what bytes.split() splits at.
 WORD = r"[^\x20\x09-\x0D]+"
+_WRITTEN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,13 +37,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     a read of replicated files, not another run of what came before.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lower_ascii(text: Column) -> Column:
-    """Lower case for A-Z only; other letters stay as they are."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that this process has materialized. Call it when results that read them are
+    written; on a cluster they stay in the shared folder otherwise."""
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_remainder(column: str, of: int) -> Column:

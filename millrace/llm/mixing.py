@@ -70,7 +70,8 @@ _TYPES = "row_id long, key long, source_no int, size long, p double"
 
 def _rounded(seed: int, last: bool):
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["key"].to_pylist(), table["row_id"].to_pylist(), table["size"].to_pylist(), table["p"].to_pylist(), strict=True), key=lambda r: (r[0], r[2], r[3]))
+        # Large ones first: what is open at the end is a small document, and so is the miss.
+        rows = sorted(zip(table["key"].to_pylist(), table["row_id"].to_pylist(), table["size"].to_pylist(), table["p"].to_pylist(), strict=True), key=lambda r: (-r[2], r[0], r[3]))
         source = table["source_no"][0].as_py()
         unit = np.random.default_rng([seed, source, rows[0][0] & 0xFFFFFFFF, len(rows)])
         done = _pivot([((key, row), size, p) for key, row, size, p in rows], unit)

@@ -6,7 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from millrace.llm._shared import materialize
+from millrace.llm._shared import materialize, release
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars int"
 
@@ -52,3 +52,11 @@ def test_run_and_empty_tables(spark, folder, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_release_deletes_what_was_materialized(spark, tmp_path):
+    made = materialize(spark.range(3), "x")
+    path = made.inputFiles()[0]
+    release(spark)
+    with pytest.raises(Exception, match="(?i)path|exist"):
+        spark.read.parquet(path).count()
