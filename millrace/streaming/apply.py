@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.operators import fold
-from millrace.operators.gtid import high_water
+from millrace.operators.gtid import first_seen as first_of
+from millrace.operators.gtid import high_water, start_after
 
 _SEEN = "pos long, server_uuid string, trx_id long, last_committed long, db string, tab string, op string, pk long, value double, props string"
 
@@ -43,17 +44,32 @@ def first_seen(ops: DataFrame) -> DataFrame:
     return ops.select(*(c.split()[0] for c in _SEEN.split(", "))).groupBy("server_uuid").applyInPandasWithState(run, _SEEN, "mark long, trx long", "append", GroupStateTimeout.NoTimeout)
 
 
-def apply_to(folder: str, compact_every: int = 20) -> Callable[[DataFrame, int], None]:
+def not_applied(batch: DataFrame, marks: DataFrame) -> DataFrame:
+    """The changes of a batch whose transactions are above their server's mark, each sent once.
+
+    The same as first_seen without state in tasks: what is ordered is one row per transaction, not the
+    changes, so a server that sends everything is no single task's work. A transaction must not go on
+    in the next batch; binary logs end files between transactions.
+    """
+    trx = batch.groupBy("server_uuid", "trx_id", "trx_no").agg(F.min("pos").alias("pos"))
+    new = start_after(first_of(trx), marks).select("server_uuid", "trx_no")
+    return batch.join(new, ["server_uuid", "trx_no"], "left_semi")
+
+
+def apply_to(folder: str, compact_every: int = 20, skip_applied: bool = False) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink that keeps a table as versions: folder/changes/v=N has the last change of each
     key in batch N, folder/marks/v=N the transaction marks applied by then. A batch writes what it
-    changes, not the table; every compact_every batches the changes since the last time are folded into
+    changes, not the table; with skip_applied it leaves out transactions applied before; every compact_every batches the changes since the last time are folded into
     folder/rows/v=N. Running a batch again gives the same folders."""
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        before = spark.read.parquet(f"{folder}/marks/v={number - 1}") if number > 0 else None
+        if skip_applied:
+            batch = not_applied(batch, high_water(batch).limit(0) if before is None else before)
         marks = high_water(batch)
-        if number > 0:
-            marks = marks.union(spark.read.parquet(f"{folder}/marks/v={number - 1}")).groupBy("server_uuid").agg(F.max("mark").alias("mark"))
+        if before is not None:
+            marks = marks.union(before).groupBy("server_uuid").agg(F.max("mark").alias("mark"))
         fold.last_changes(batch).write.mode("overwrite").parquet(f"{folder}/changes/v={number}")
         if (number + 1) % compact_every == 0:
             snapshot(spark, folder, number, compact_every, compacted=False).write.mode("overwrite").parquet(f"{folder}/rows/v={number}")

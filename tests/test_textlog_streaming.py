@@ -76,6 +76,16 @@ def test_first_seen_drops_what_was_sent_before(spark, tmp_path):
     assert sorted(seen) == [r.pos for r in ops.where("pos < 400").orderBy("pos").collect()]
 
 
+def test_applied_transactions_are_left_out(spark, tmp_path):
+    ops = oplog.derived(spark.read.parquet(f"{FOLDER}/events.parquet"))
+    sink, at = apply.apply_to(f"{tmp_path}/t", skip_applied=True), f"{tmp_path}/t"
+    sink(ops.where("pos < 400"), 0)
+    again = ops.where("pos < 200").withColumn("pos", ops.pos + 1_000_000)
+    sink(again.union(ops.where("pos >= 400 and pos < 600")), 1)
+    assert spark.read.parquet(f"{at}/changes/v=1").agg({"pos": "max"}).first()[0] < 600
+    assert compare.same(apply.snapshot(spark, at, 1), fold.replace(ops.where("pos < 600")))
+
+
 def test_fan_out(spark):
     got: list = []
     sink = apply.fan_out([lambda df, n: got.append(("a", df.count())), lambda df, n: got.append(("b", df.count()))])
