@@ -310,28 +310,31 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
 
 def _linked(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, forest: Forest) -> DataFrame:
     """node, root of the confirmed components inside clusters (node, root)."""
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
-    placed = clusters.withColumnRenamed("root", "cluster").join(sizes.withColumnRenamed("root", "cluster"), "cluster").withColumn("parts", F.ceil(F.col("n") / forest.crowd))
+    # Crowded clusters only, at most one per `crowd` nodes: as a table, so that Spark knows its size when it joins.
+    sizes = clusters.groupBy(F.col("root").alias("cluster")).agg(F.count("*").alias("n")).where(F.col("n") > forest.crowd)
+    sizes = materialize(sizes.select("cluster", F.ceil(F.col("n") / forest.crowd).alias("parts")), "sizes")
+    placed = clusters.withColumnRenamed("root", "cluster").join(sizes, "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     placed = placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    full = nodes.select("node", "doc", "sketch")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
+    # The texts of clustered nodes alone, taken from all documents once.
+    full = nodes.select("node", "doc", "sketch").join(clusters.select("node"), "node")
+    full = materialize(full.join(docs.select(F.col("doc_id").cast("long").alias("doc"), "text"), "doc").drop("doc"), "texts")
 
     def confirm(members: DataFrame, keys: list[str]) -> DataFrame:
-        got = members.join(full, "node").join(texts, "doc").select(*keys, "node", "sketch", "text")
+        got = members.join(full, "node").select(*keys, "node", "sketch", "text")
         return got.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_grouped(len(keys), _confirmed(forest), _EDGE), "a long, b long")
 
-    heads = placed.where("parts > 1").select("cluster", "parts").distinct().select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("cluster").alias("node"))
+    heads = sizes.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("cluster").alias("node"))
     links = materialize(confirm(placed.select("cluster", "part", "node").union(heads).distinct(), ["cluster", "part"]), "links")
-    crowded = placed.where("parts > 1")
-    if crowded.isEmpty():
+    if sizes.isEmpty():
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    crowded = placed.where("parts > 1")
     found = materialize(components(links), "linked")
-    head = found.join(crowded.select(F.col("cluster").alias("node")).distinct(), "node").select(F.col("node").alias("cluster"), F.col("root").alias("main"))
+    head = materialize(found.join(sizes.select(F.col("cluster").alias("node")), "node").select(F.col("node").alias("cluster"), F.col("root").alias("main")), "heads")
     rest = crowded.join(found, "node", "left").join(head, "cluster", "left").where(~F.col("root").eqNullSafe(F.col("main")) | F.col("main").isNull()).select("cluster", "parts", "node")
     rest = materialize(rest, "rest")
     if rest.isEmpty():
         return found
-    many = rest.groupBy("cluster").agg(F.ceil(F.count("*") / forest.crowd).alias("blocks"))
+    many = materialize(rest.groupBy("cluster").agg(F.ceil(F.count("*") / forest.crowd).alias("blocks")), "many")
     against = crowded.join(many, "cluster").select("cluster", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "node")
     other = rest.join(many, "cluster").select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).alias("block"), "node")
     more = confirm(against.union(other).distinct(), ["cluster", "part", "block"])
