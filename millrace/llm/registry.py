@@ -53,7 +53,8 @@ def op9_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return reply_trees.digests(reply_trees.as_tree(rows.union(more)))
+    out = reply_trees.digests(reply_trees.as_tree(rows.union(more)))
+    return out.withColumn("conv_id", F.when(~F.col("conv_id.none"), F.col("conv_id.id")))
 
 
 def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Chat formatting of reply trees.
 
-Messages point at the message they answer. Iterative self-joins walk from the roots to the leaves, one
-level a round; each leaf is a branch. Branches are ranked by score inside their tree, and each
+Messages point at the message they answer. Iterative self-joins walk from the leaves to the roots, a
+power of two a round; each leaf is a branch. Branches are ranked by score inside their tree, and each
 chosen one is written as one conversation: turns marked by control strings, control strings inside
 texts escaped so that they can be read back, and the code point spans that a loss mask covers.
 """
@@ -29,39 +29,55 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, _SHUT, "$1$2")
 
 
-def branches(messages: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Root-to-leaf paths: tree_id, leaf_id, depth, score (sum over the path), path array<long>.
+def ancestors(messages: DataFrame) -> list[DataFrame]:
+    """Tables of tree_id, msg_id, up: the ancestor 1, 2, 4, ... steps above, where there is one.
 
-    messages: tree_id, msg_id, parent_id (null: a root), score. Each round joins the open paths
-    with the messages that answer their last one, on (tree_id, parent_id); ids alone travel. A
-    path of which nothing answers the end is a branch. A message whose parent is missing is on
-    no path; one that is its own ancestor ends no round, since a path never takes an id twice.
-    Rounds end when no path grows, or at max_depth messages.
+    Each is the self-join of the one before, so a tree of depth d takes log2(d) rounds. The last
+    is empty, unless messages are their own ancestors: then it is what such cycles hold.
     """
-    m = materialize(messages.select("tree_id", "msg_id", "parent_id", F.coalesce("score", F.lit(0.0)).alias("score")), "messages")
-    answers = m.where("parent_id is not null").select(F.col("tree_id").alias("t"), F.col("parent_id").alias("p"), F.col("msg_id").alias("next"), F.col("score").alias("more"))
-    grown = m.where("parent_id is null").select("tree_id", F.col("msg_id").alias("leaf_id"), F.lit(1).alias("depth"), "score", F.array("msg_id").alias("path"))
-    done, depth = [], 1
-    while True:
-        last = max_depth is not None and depth >= max_depth
-        if last or grown.isEmpty():
-            done.append(grown)
+    ids = messages.select("tree_id", F.col("msg_id").alias("up"))
+    up = materialize(messages.where("parent_id is not null").select("tree_id", "msg_id", F.col("parent_id").alias("up")).distinct().join(ids.distinct(), ["tree_id", "up"], "left_semi").select("tree_id", "msg_id", "up"), "up")
+    out, n = [up], up.count()
+    while n:
+        step = out[-1].select("tree_id", F.col("msg_id").alias("up"), F.col("up").alias("next"))
+        above = materialize(out[-1].join(step, ["tree_id", "up"]).select("tree_id", "msg_id", F.col("next").alias("up")), "up")
+        before, n = n, above.count()
+        out.append(above)
+        if n == before:  # in a forest each round loses some: these go round in cycles
             break
-        step = grown.join(answers, (F.col("tree_id") == F.col("t")) & (F.col("leaf_id") == F.col("p")) & ~F.array_contains("path", F.col("next")), "left")
-        step = materialize(step, "paths")
-        done.append(step.where("next is null").select("tree_id", "leaf_id", "depth", "score", "path"))
-        grown = step.where("next is not null").select("tree_id", F.col("next").alias("leaf_id"), (F.col("depth") + 1).alias("depth"), (F.col("score") + F.col("more")).alias("score"), F.array_append("path", F.col("next")).alias("path"))
-        depth += 1
-    out = done[0]
-    for more in done[1:]:
-        out = out.union(more)
     return out
 
 
-def chosen(paths: DataFrame, keep: int = 1) -> DataFrame:
-    """The `keep` best branches of each tree: highest score, then longest, then smallest leaf id."""
-    best = Window.partitionBy("tree_id").orderBy(F.desc("score"), F.desc("depth"), "leaf_id")
-    return paths.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep)
+def branches(messages: DataFrame) -> DataFrame:
+    """Root-to-leaf paths: tree_id, leaf_id, msg_id, steps (from the leaf), one row a message.
+
+    messages: tree_id, msg_id (unique in its tree), parent_id (null: a root). A message that nothing answers is a leaf
+    and ends a branch. Rounds of self-joins lengthen every branch at once: round k adds the ancestors 2^k
+    steps above those found. Messages under a cycle or under a missing parent reach no root and are on no branch.
+    """
+    ups = ancestors(messages)
+    loops = ups[-1].select("tree_id", "msg_id").distinct()
+    asked = messages.where("parent_id is not null").select("tree_id", F.col("parent_id").alias("msg_id")).distinct()
+    leaves = messages.select("tree_id", "msg_id").join(asked, ["tree_id", "msg_id"], "left_anti").join(loops, ["tree_id", "msg_id"], "left_anti")
+    found = leaves.select("tree_id", F.col("msg_id").alias("leaf_id"), "msg_id", F.lit(0).cast("long").alias("steps"))
+    for k, up in enumerate(ups[:-1]):
+        found = found.union(found.join(up, ["tree_id", "msg_id"]).select("tree_id", "leaf_id", F.col("up").alias("msg_id"), (F.col("steps") + (1 << k)).alias("steps")))
+        if k % 4 == 3:
+            found = materialize(found, "branches")
+    found = materialize(found, "branches")
+    roots = messages.where("parent_id is null").select("tree_id", "msg_id")
+    whole = found.join(roots, ["tree_id", "msg_id"], "left_semi").select("tree_id", "leaf_id")
+    return found.join(whole, ["tree_id", "leaf_id"], "left_semi")
+
+
+def chosen(paths: DataFrame, messages: DataFrame, keep: int = 1) -> DataFrame:
+    """The messages of the `keep` best branches of each tree (highest summed score, then longest, then
+    smallest leaf id): branch_id, tree_id, leaf_id, at, role, text; null scores count 0."""
+    said = paths.join(messages.select("tree_id", "msg_id", "role", "text", F.coalesce("score", F.lit(0.0)).alias("score")), ["tree_id", "msg_id"])
+    sums = said.groupBy("tree_id", "leaf_id").agg(F.sum("score").alias("total"), F.max("steps").alias("depth"))
+    best = Window.partitionBy("tree_id").orderBy(F.desc("total"), F.desc("depth"), "leaf_id")
+    kept = sums.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep).select("tree_id", "leaf_id", "rank", "depth")
+    return said.join(kept, ["tree_id", "leaf_id"]).select("tree_id", "leaf_id", "rank", (F.col("depth") - F.col("steps")).alias("at"), "role", "text")
 
 
 def conversation(turns: DataFrame) -> DataFrame:
@@ -103,9 +119,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def digests(messages: DataFrame, keep: int = 1) -> DataFrame:
     """Formats the chosen branches of messages (tree_id, msg_id, parent_id, role, text, score) and
     returns conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars."""
-    from_ids = chosen(branches(messages), keep).select(F.col("tree_id").alias("conv_id"), F.posexplode("path").alias("at", "msg_id"))
-    texts = messages.select(F.col("tree_id").alias("conv_id"), "msg_id", "role", "text")
-    read = read_back(conversation(from_ids.join(texts, ["conv_id", "msg_id"])))
+    messages = materialize(messages, "messages")
+    best = chosen(branches(messages.drop("role", "text")), messages, keep)
+    turns = best.select(F.struct("tree_id", "rank").alias("conv_id"), "at", "role", "text")
+    read = read_back(conversation(turns)).withColumn("conv_id", F.col("conv_id.tree_id"))
     said = F.array_join(F.transform("turns", lambda x: F.concat(x.role, F.lit("\n"), x.text, F.lit("\n"))), "")
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
@@ -117,9 +134,10 @@ def digests(messages: DataFrame, keep: int = 1) -> DataFrame:
 def as_tree(rows: DataFrame) -> DataFrame:
     """A table of conv_id, turn, role, text as messages: each row answers the one before it.
 
-    Rows with the same turn (repeated rows) follow each other, by role and text, nulls first; a null
-    conv_id is a conversation of its own, given back as null.
+    Rows with the same turn (repeated rows) follow each other, by role and text, nulls first. tree_id is
+    (whether conv_id is null, conv_id or 0): a null conv_id is a conversation of its own.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = rows.select(F.col("conv_id").cast("long").alias("tree_id"), F.row_number().over(order).cast("long").alias("msg_id"), "role", "text")
+    tree = F.struct(F.col("conv_id").isNull().alias("none"), F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("id"))
+    rows = rows.select(tree.alias("tree_id"), F.row_number().over(order).cast("long").alias("msg_id"), "role", "text")
     return rows.select("tree_id", "msg_id", F.when(F.col("msg_id") > 1, F.col("msg_id") - 1).alias("parent_id"), "role", "text", F.lit(0.0).alias("score"))
