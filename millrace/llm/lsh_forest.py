@@ -231,16 +231,17 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges (a, b): root is the smallest node that it can reach.
 
     Large-star and small-star rounds in turn: each joins every neighbour of a node to the smallest
-    one. Minima are summed in parts before the shuffle, so a node with very many neighbours is
-    no single task's. Rounds end when no edge changes.
+    one. Minima are summed in parts before the shuffle and written as tables of one row a node, so
+    that Spark can split what meets them: a node with very many neighbours is no single task's.
+    Rounds end when no edge changes.
     """
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low")), "low")
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("low")), "least")
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         e = materialize(small, "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
