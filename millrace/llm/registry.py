@@ -96,7 +96,8 @@ WITH d AS (
     regexp_replace(trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[0-9]+', '0', 'g') AS norm
   FROM (SELECT r, host, t, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{_W}')
 ), common AS (
-  SELECT host, norm FROM lines GROUP BY host, norm HAVING count(DISTINCT t) > {line_frequency.LineRules().max_line_docs}
+  SELECT host, norm FROM lines JOIN (SELECT host, count(DISTINCT t) AS host_docs FROM d GROUP BY host) USING (host)
+  GROUP BY host, norm, host_docs HAVING count(DISTINCT t) > {line_frequency.LineRules().max_line_docs} AND 1000 * count(DISTINCT t) > {line_frequency.LineRules().max_line_per_mille} * host_docs
 ), gone AS (
   SELECT r, sum(n) AS words FROM lines SEMI JOIN common USING (host, norm) GROUP BY r
 ), dup AS (
