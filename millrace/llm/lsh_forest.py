@@ -252,32 +252,49 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(e.select("b", "b").distinct())
 
 
-def _regions(nodes: DataFrame, forest: Forest) -> DataFrame:
-    """key, node of every region with two nodes or more, each tree at the depth that fits."""
+def _regions(nodes: DataFrame, forest: Forest) -> tuple[DataFrame, DataFrame | None]:
+    """key, node of every region with two nodes or more, each tree at the depth that fits; and, with n and
+    first (the smallest node), those of the regions still crowded at the greatest depth, if any."""
     n = len(forest.depths)
     each = F.transform(F.sequence(F.lit(0), F.lit(forest.trees - 1)), lambda t: F.slice("keys", t * n + 1, n))
     rows = nodes.select("node", F.explode(each).alias("k")).select("node", *(F.col("k")[d].alias(f"k{d}") for d in range(n)))
     out: list[DataFrame] = []
+    crowded = None
     for d in range(n):
         sizes = rows.groupBy(f"k{d}").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
         sized = materialize(rows.join(sizes, f"k{d}"), "regions")
-        fit = sized.where(F.col("n") <= forest.crowd)
-        out.append(fit.select(F.col(f"k{d}").alias("key"), "node"))
+        out.append(sized.where(F.col("n") <= forest.crowd).select(F.col(f"k{d}").alias("key"), "node"))
         rows = sized.where(F.col("n") > forest.crowd).drop("n", "first")
         if rows.isEmpty():
             break
     else:
-        # Crowded at the greatest depth: parts by hash, each with the region's first node.
-        crowded = sized.where(F.col("n") > forest.crowd)
+        # Parts by hash, each with the region's first node; what the parts do not show, _across() does.
+        crowded = sized.where(F.col("n") > forest.crowd).select(F.col(f"k{n - 1}").alias("key"), "n", "first", "node")
         parts = F.ceil(F.col("n") / forest.crowd)
-        key = lambda part: F.xxhash64(F.col(f"k{n - 1}"), part)
-        out.append(crowded.select(key(F.pmod(F.xxhash64("node"), parts)).alias("key"), "node"))
-        first = crowded.select(f"k{n - 1}", "n", "first").distinct()
-        out.append(first.select(f"k{n - 1}", F.col("first").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")).select(key(F.col("part")).alias("key"), "node"))
+        out.append(crowded.select(F.xxhash64("key", F.pmod(F.xxhash64("node"), parts)).alias("key"), "node"))
+        first = crowded.select("key", "n", "first").distinct()
+        out.append(first.select("key", F.col("first").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")).select(F.xxhash64("key", "part").alias("key"), "node"))
     both = out[0]
     for more in out[1:]:
         both = both.union(more)
-    return both
+    return both, crowded
+
+
+def _across(crowded: DataFrame, clusters: DataFrame, forest: Forest) -> DataFrame | None:
+    """key, node of the cells in which the nodes of crowded regions that are not in the cluster of
+    their region's first node meet every part of their region; None if there are no such nodes."""
+    root = clusters.select("node", "root")
+    heads = crowded.select("key", "first").distinct().join(root.withColumnRenamed("node", "first"), "first", "left").select("key", F.coalesce("root", "first").alias("main"))
+    named = crowded.select("key", "n", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = materialize(named.join(heads, "key").where("root <> main").select("key", "n", "node"), "apart")
+    if rest.isEmpty():
+        return None
+    many = materialize(rest.groupBy("key").agg(F.ceil(F.count("*") / forest.crowd).alias("blocks")), "blocks")
+    parts = F.ceil(F.col("n") / forest.crowd)
+    of = lambda df, part, block: df.join(many, "key").withColumn("part", part).withColumn("block", block).select(F.xxhash64("key", "part", "block").alias("key"), "node")
+    all_ = of(crowded, F.pmod(F.xxhash64("node"), parts), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    own = of(rest, F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)), F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")))
+    return all_.union(own).distinct()
 
 
 def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
@@ -290,16 +307,23 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
 
     Documents travel as signatures; texts are read again only for clusters. Groups of equal sets
     are one node from the first aggregation on, which is summed in parts. No task holds more than two
-    times `crowd` nodes: crowded regions go deeper, crowded clusters are cut in parts that
-    share their first node, and what is not in that node's component afterwards meets every
-    part, so no link between different texts is skipped.
+    times `crowd` nodes: crowded regions go deeper, those still crowded at the greatest depth and
+    crowded clusters are cut in parts that share their first node, and what is not joined to that node
+    afterwards meets every part, so no link between different texts is skipped.
     """
     rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signed(forest), "doc_id long, n_shingles long, node long, keys array<long>, sketch binary"), "signed")
     nodes = materialize(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
     sketches = nodes.select("node", "sketch")
-    regions = _regions(nodes.select("node", "keys"), forest).join(sketches, "node").select("key", "node", "sketch")
-    edges = regions.repartition("key").sortWithinPartitions("key").mapInArrow(_grouped(1, _neighbours(forest.near), _EDGE), "a long, b long")
-    clusters = materialize(components(edges), "clusters")
+
+    def edges(regions: DataFrame) -> DataFrame:
+        signed = regions.join(sketches, "node").select("key", "node", "sketch")
+        return signed.repartition("key").sortWithinPartitions("key").mapInArrow(_grouped(1, _neighbours(forest.near), _EDGE), "a long, b long")
+
+    regions, crowded = _regions(nodes.select("node", "keys"), forest)
+    clusters = materialize(components(edges(regions)), "clusters")
+    apart = None if crowded is None else _across(crowded, clusters, forest)
+    if apart is not None:
+        clusters = materialize(components(clusters.select(F.col("node").alias("a"), F.col("root").alias("b")).union(edges(apart))), "clusters")
     labels = _linked(docs, nodes, clusters, forest)
     joined = nodes.select("node", "doc").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = joined.groupBy("root").agg(F.min("doc").alias("component_id"))

@@ -80,6 +80,23 @@ def test_crowded_regions_and_clusters_lose_no_link(spark):
     assert got == {i: c for i, (_, c) in brute(rows, 3, 85).items()}
 
 
+def test_crowded_region_of_texts_that_are_not_near_its_first_loses_no_link(spark):
+    """Many texts share a long passage, so that they share prefixes of one value; only pairs of them are near."""
+    unit = random.Random(4)
+    passage = " ".join(f"p{unit.randint(0, 10**6)}" for _ in range(60))
+    texts = []
+    for _ in range(60):
+        own = [f"z{unit.randint(0, 10**6)}" for _ in range(50)]
+        texts.append(" ".join([passage, *own]))
+        own[25] = "other"
+        texts.append(" ".join([passage, *own]))
+    unit.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Forest(width=3, percent=85, trees=4, depths=(1,), crowd=8)).collect()}
+    assert got == {i: c for i, (_, c) in brute(rows, 3, 85).items()}
+    assert len(set(got.values())) == 60
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
