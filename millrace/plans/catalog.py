@@ -536,10 +536,10 @@ def json_extract_props(spark: SparkSession, folder: str) -> DataFrame:
     return oplog.table(spark, folder, "events").select(F.col("event_id").alias("pos"), k.alias("k"))
 
 
-@query("SELECT event_id AS pos, '{\"pos\":' || event_id || ',\"op\":\"' || event_type || '\"}' AS said, crc32 FROM (SELECT event_id, event_type, length(event_type) AS crc32 FROM events)")
+@query("SELECT event_id AS pos, '{\"pos\":' || event_id || ',\"op\":\"' || event_type || '\"}' AS said, length(event_type) AS op_chars FROM events")
 def event_json(spark: SparkSession, folder: str) -> DataFrame:
     e = oplog.table(spark, folder, "events")
-    return e.select(F.col("event_id").alias("pos"), F.to_json(F.struct(F.col("event_id").alias("pos"), F.col("event_type").alias("op"))).alias("said"), F.length("event_type").cast("long").alias("crc32"))
+    return e.select(F.col("event_id").alias("pos"), F.to_json(F.struct(F.col("event_id").alias("pos"), F.col("event_type").alias("op"))).alias("said"), F.length("event_type").cast("long").alias("op_chars"))
 
 
 @query("WITH t AS (SELECT o_orderkey, ' a' || o_custkey || ', ,b' || o_orderkey || ' ,' AS s, o_orderpriority || '/pw@h' || o_custkey || ':3306' AS dsn FROM orders) SELECT o_orderkey, 'a' || split_part(split_part(s, ',', 1), 'a', 2) || '|' || trim(split_part(s, ',', 3)) AS parts, split_part(dsn, '/', 1) AS user, split_part(split_part(dsn, '@', 2), ':', 1) AS host, CAST(split_part(dsn, ':', 2) AS INTEGER) AS port FROM t")
