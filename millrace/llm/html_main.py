@@ -2,9 +2,9 @@
 
 A page is read once, by one pass over its tags. Blocks of text inside an article are the main text; what
 stands in menus, headers, footers, side bars, notices, adverts, forms, comments, scripts or styles is
-not. Element subtrees outside articles are hashed and counted per host in Spark: those that recur
-across many pages of a host are its template, and their blocks go too. A page without an
-article keeps the blocks that no rule and no template takes.
+not. The element subtrees of every page, inside articles too, are hashed and counted per host in
+Spark: those that recur across many different texts of a host are its template, and their blocks go. A
+page whose article has nothing left, or that has none, keeps the blocks that no rule and no template takes.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm._shared import materialize
 
-#: Pages of a host that must hold a subtree for it to be template, and the least share of them, in percent.
+#: Different page texts of a host that must hold a subtree for it to be template, and the least share of them, in percent.
 MIN_PAGES, MIN_PERCENT = 10, 20
 
 # What HTML says of elements.
@@ -32,7 +32,8 @@ _CLOSES_P = _BLOCK - frozenset("br caption option tbody td tfoot th thead tr bod
 _ENDS_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = {"li": frozenset(("ul", "ol", "menu")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "tr": frozenset(("table",)), "td": frozenset(("table", "tr")), "th": frozenset(("table", "tr")), "option": frozenset(("select", "datalist"))}
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar form".split())
-_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|banner|sponsor|sponsored|promo|promoted|cookie|cookies|consent|gdpr|notice|popup|modal|newsletter|subscribe|sidebar|side-bar|rail|widget|nav|navbar|menu|breadcrumb|breadcrumbs|footer|comment|comments|disqus|discussion|replies|share|sharing|social|related|recommended|login|signup|search)(?:$|[\s_-])", re.I)
+# Names that say nothing but page furniture; what others ("menu", "discussion", "share") stand for, the counts tell.
+_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|sponsored|cookie|cookies|consent|gdpr|popup|newsletter|subscribe|sidebar|side-bar|nav|navbar|breadcrumb|breadcrumbs|footer|comments|disqus|login|signup)(?:$|[\s_-])", re.I)
 _HEADS = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)  # of a site; an article's own stays
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -55,7 +56,7 @@ def _dropped(tag: str, attrs: str, in_article: bool) -> bool:
 
 def parse(page: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
     """(blocks, subtree hashes). A block is its text, whether it is in an article, and the indexes
-    of the subtrees outside articles that hold it. Dropped elements are not blocks."""
+    of the subtrees that hold it. Dropped elements are not blocks."""
     blocks: list[tuple[str, bool, list[int]]] = []
     hashes: list[xxhash.xxh3_64 | None] = []
     stack: list[tuple[str, bool, bool, int]] = []  # tag, dropped, in article, subtree
@@ -73,7 +74,7 @@ def parse(page: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
     def text(said: str) -> None:
         if said and not drop:
             words.append(said)
-            if not article and not said.isspace():
+            if not said.isspace():
                 for s in stack:
                     if s[3] >= 0:
                         hashes[s[3]].update(said)
@@ -130,7 +131,7 @@ def parse(page: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
         inside = article or tag in ("article", "main")
         gone = drop or _dropped(tag, m[3], article)
         tree = -1
-        if not gone and not inside and tag not in ("html", "body"):
+        if not gone and tag not in ("html", "body"):
             tree = len(hashes)
             hashes.append(xxhash.xxh3_64(tag))
             for s in stack:
@@ -148,49 +149,51 @@ def parse(page: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
     return blocks, [h.intdigest() - (1 << 63) for h in hashes]
 
 
-_PARSED = pa.schema([("row_id", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("text", pa.string()), ("blocks", pa.list_(pa.struct([("text", pa.string()), ("trees", pa.list_(pa.int64()))])))])
-_TYPES = "row_id long, page_id long, url string, host string, text string, blocks array<struct<text:string,trees:array<long>>>"
+_PARSED = pa.schema([("row_id", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("said", pa.int64()), ("blocks", pa.list_(pa.struct([("text", pa.string()), ("article", pa.bool_()), ("trees", pa.list_(pa.int64()))])))])
+_TYPES = "row_id long, page_id long, url string, host string, said long, blocks array<struct<text:string,article:boolean,trees:array<long>>>"
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
-            part, texts, open_ = batch.slice(at, 500), [], []
+            part, said, all_ = batch.slice(at, 500), [], []
             for page in part["html"]:
                 blocks, hashes = parse(page.as_py() or "")
-                main = [t for t, article, _ in blocks if article]
-                # With an article the text is settled; without one, templates decide.
-                texts.append("\n".join(main) if main or not blocks else None)
-                open_.append([] if main else [{"text": t, "trees": sorted({hashes[k] for k in trees})} for t, _, trees in blocks])
-            yield pa.RecordBatch.from_arrays([part["row_id"], part["page_id"], part["url"], part["host"], pa.array(texts, pa.string()), pa.array(open_, _PARSED.field("blocks").type)], schema=_PARSED)
+                main = [t for t, article, _ in blocks if article] or [t for t, _, _ in blocks]
+                # What tells copies of an article from other pages: its text alone, not what stands around it.
+                said.append(xxhash.xxh3_64_intdigest("\n".join(main).encode("utf-8", "surrogatepass")) - (1 << 63))
+                all_.append([{"text": t, "article": article, "trees": sorted({hashes[k] for k in trees})} for t, article, trees in blocks])
+            yield pa.RecordBatch.from_arrays([part["row_id"], part["page_id"], part["url"], part["host"], pa.array(said, pa.int64()), pa.array(all_, _PARSED.field("blocks").type)], schema=_PARSED)
 
 
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_percent: int = MIN_PERCENT) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages; text is empty if a page has none.
 
     The text: what articles hold without the parts that are never main text, one line a block, white
-    space inside a block made one space. Pages without an article: blocks of which no
-    enclosing subtree recurs on min_pages pages, and min_percent of the pages, of their host.
+    space inside a block made one space, and without the blocks of which an enclosing subtree, inside the
+    article or around it, recurs in min_pages different texts, and min_percent of the texts, of their
+    host. Copies of an article are one text, so they stay. Pages without such a block in an
+    article: the same of all their blocks.
     Null and empty html give an empty text; a null or odd url counts as one host; repeated rows
     each give a row. Broken markup is read as far as it goes.
 
-    Pages with an article go from scan to result without a shuffle of their text. For
-    the others, hashes are counted by (host, hash), in parts, and only the block rows whose
-    subtrees recur are joined: a host with a third of all pages is spread by its hashes.
+    What is shuffled are hashes, counted by (host, hash, text) and then (host, hash), in parts: a host with
+    a third of all pages is spread by its hashes. Pages meet only the hashes that they lose, by row;
+    their texts are not shuffled while these are few enough to be broadcast.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     read = pages.select(F.monotonically_increasing_id().alias("row_id"), F.col("page_id").cast("long").alias("page_id"), F.col("url"), host.alias("host"), "html")
     rows = materialize(read.mapInArrow(_parsed, _TYPES), "pages")
-    settled = rows.where("text is not null").select("page_id", "url", "text")
-    open_ = rows.where("text is null")
-    blocks = open_.select("row_id", "host", F.posexplode("blocks").alias("at", "block")).select("row_id", "host", "at", "block.*")
-    trees = blocks.select("row_id", "host", F.explode("trees").alias("hash")).distinct()
-    sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
+    trees = rows.select("row_id", "host", "said", F.explode(F.array_distinct(F.flatten("blocks.trees"))).alias("hash"))
+    sizes = rows.select("host", "said").distinct().groupBy("host").agg(F.count("*").alias("texts"))
     template = (
-        trees.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-        .join(sizes, "host").where(100 * F.col("n") >= min_percent * F.col("pages")).select("host", "hash")
+        trees.select("host", "hash", "said").distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+        .join(sizes, "host").where(100 * F.col("n") >= min_percent * F.col("texts")).select("host", "hash")
     )
-    gone = blocks.select("row_id", "host", "at", F.explode("trees").alias("hash")).join(template, ["host", "hash"], "left_semi").select("row_id", "at").distinct()
-    left = blocks.join(gone, ["row_id", "at"], "left_anti").groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("kept"))
-    decided = open_.select("row_id", "page_id", "url").join(left, "row_id", "left").select("page_id", "url", F.coalesce(F.array_join("kept.text", "\n"), F.lit("")).alias("text"))
-    return settled.union(decided).withColumn("n_chars", F.length("text").cast("long"))
+    template = materialize(template, "templates")
+    gone = materialize(trees.join(template, ["host", "hash"], "left_semi").groupBy("row_id").agg(F.collect_list("hash").alias("gone")), "gone")
+    left = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b["trees"], F.col("gone")))
+    main = F.filter("_left", lambda b: b["article"])
+    text = F.array_join(F.when(F.size(main) > 0, F.transform(main, lambda b: b["text"])).otherwise(F.transform("_left", lambda b: b["text"])), "\n")
+    kept = rows.join(gone, "row_id", "left").select("page_id", "url", left.alias("_left"))
+    return kept.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

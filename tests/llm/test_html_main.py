@@ -43,5 +43,19 @@ def test_templates_and_odd_rows(spark):
     assert text[303] == ("long " * 50000).strip()
 
 
+def test_templates_inside_articles(spark):
+    hint = "<div><p>Get our app</p><p>Rate this page</p></div>"
+    rows = [(k, f"https://a.example/{k}", f"<article><p>Story {k}</p>{hint}</article>") for k in range(30)]
+    rows += [(100 + k, f"https://b.example/{k}", f"<div>Seen {k}</div><main><p>Mirrored</p>{hint}</main>") for k in range(30)]
+    rows += [(200, "https://c.example/", "<article><div class='discussion'>Results hold</div></article>")]
+    rows += [(300 + k, f"https://d.example/{k}", f"<main><p>Skip to content</p></main><div><p>Tale {k}</p></div>") for k in range(30)]
+    rows += [(400 + k, f"https://d.example/x{k}", f"<main><p>Skip to content</p><p>Note {k}</p></main>") for k in range(30)]
+    text = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(text[k] == f"Story {k}" for k in range(30))
+    assert all(text[100 + k] == "Mirrored\nGet our app\nRate this page" for k in range(30))
+    assert text[200] == "Results hold"
+    assert all(text[300 + k] == f"Tale {k}" and text[400 + k] == f"Note {k}" for k in range(30))
+
+
 def test_empty_table(spark):
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
