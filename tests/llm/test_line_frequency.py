@@ -47,5 +47,11 @@ def test_limits_are_per_host_and_count_texts(spark):
     assert [(by[k].base_failed, by[k].kept) for k in (400, 401, 402, 403, 404, None, 406)] == [(True, False)] * 4 + [(False, True)] * 3
 
 
+def test_the_limit_is_the_same_on_large_hosts(spark):
+    many = spark.range(41_000).selectExpr("id AS doc_id", "'a' AS source", "concat('text', translate(cast(id AS string), '0123456789', 'abcdefghij'), if(id < 35, '\n licence of the work', if(id < 65, '\n by chance', ''))) AS text")
+    got = line_rules(many).where("removed_words > 0").collect()
+    assert sorted((r.doc_id, r.removed_words) for r in got) == [(k, 4) for k in range(35)]
+
+
 def test_empty_table(spark):
     assert line_rules(spark.createDataFrame([], "doc_id long, source string, text string")).collect() == []
