@@ -10,6 +10,8 @@ their places by their rank among those of their length.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -26,7 +28,8 @@ _ENCODERS: dict[str, Callable[[str], bytes]] = {}
 
 
 def encoder(path: str) -> Callable[[str], bytes]:
-    """text -> ids as little-endian unsigned 32-bit bytes, for a byte-level BPE in ranks form."""
+    """text -> ids as little-endian unsigned 32-bit bytes, for a byte-level BPE in ranks form. Added tokens
+    are text like any other here."""
     if path not in _ENCODERS:
         import tiktoken
 
@@ -38,6 +41,21 @@ def encoder(path: str) -> Callable[[str], bytes]:
     return _ENCODERS[path]
 
 
+def published_encoder(path: str) -> Callable[[str], bytes]:
+    """encoder(), and the ids of the tokens that the published file, the JSON beside `path`, adds to the
+    ranks: texts are split at these."""
+    name = path.removesuffix(".tiktoken") + ".json"
+    if name not in _ENCODERS:
+        with open(name, "rb") as f:
+            added = json.load(f)["added_tokens"]
+        if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{name}: added tokens that take more than their own text")
+        plain, ids = encoder(path), {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
+        split = re.compile("(" + "|".join(re.escape(t) for t in sorted(ids, key=len, reverse=True)) + ")").split
+        _ENCODERS[name] = (lambda text: b"".join(ids[part] if k % 2 else plain(part) for k, part in enumerate(split(text)) if part)) if ids else plain
+    return _ENCODERS[name]
+
+
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
 
@@ -45,7 +63,7 @@ def _pieces(path: str, size: int, end_id: int, with_ids: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = published_encoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 ids, piece, start, length, crc, kept = [], [], [], [], [], []
@@ -66,7 +84,7 @@ def _pieces(path: str, size: int, end_id: int, with_ids: bool):
 def cut(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Pieces of the documents' ids: doc_id, piece, start, length, ids_crc32 (and ids, if asked for).
 
-    A null or empty text is the end id alone. A document of more than `size` ids is cut into whole
+    Ids are those of the published tokenizer, added tokens included. A null or empty text is the end id alone. A document of more than `size` ids is cut into whole
     pieces of `size` from its end; what is left is the first, shorter piece.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

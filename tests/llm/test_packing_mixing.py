@@ -31,6 +31,18 @@ def test_ids_are_those_of_the_published_tokenizer(reference):
         assert [*np.frombuffer(encode(text), "<u4"), 2] == reference(text)
 
 
+def test_added_tokens_have_their_own_ids(spark):
+    published = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    unit, end, encode = random.Random(3), "<|endoftext|>", packing.published_encoder(RANKS)
+    bits = ["a", "the", " ", "\n", "'s", "12", "<|", "|>", "<|endof", end, "é", "   "]
+    texts = ["a <|endoftext|> b", end, end * 2, f" {end} ", "".join(f"{end}x" for _ in range(200))]
+    texts += ["".join(unit.choice(bits) for _ in range(unit.randint(0, 12))) for _ in range(3000)]
+    for text in texts:
+        assert np.frombuffer(encode(text), "<u4").tolist() == published.encode(text, add_special_tokens=False).ids
+    [got] = packing.packed(spark.createDataFrame([(1, texts[0])], "doc_id long, text string"), RANKS).collect()
+    assert (got.length, got.ids_crc32) == (5, zlib.crc32(np.array([64, 220, 50256, 275, 2], "<u4").tobytes()))
+
+
 def test_pieces_and_places(spark, reference):
     unit = random.Random(4)
     rows = [(k, " ".join("word" if unit.random() < 0.5 else "x" * unit.randint(1, 9) for _ in range(unit.randint(1, 60)))) for k in range(300)]
