@@ -25,21 +25,25 @@ _GIVEN = {
 }
 _SYLLABLES = {"latin": "ba de fi go hu ka le mi no pu ra se ti vo wu za", "cyrillic": "ба де фи го ху ка ле ми но пу ра се ти во лу за"}
 
-_NAMED = r"(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[^\w\n]{0,4}[=:][^\w\n]{0,4}"
+_KEYS = r"(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)"
+_NAMED = rf"{_KEYS}[^\w\n]{{0,4}}[=:][^\w\n]{{0,4}}"
+# A word of a name: initials, or a capitalised word, a single letter only before another one.
+_WORD = r"(?:(?:van|von|der|den|de|del|della|di|da|dos|du|la|le|ten|ter|zu) ){0,3}(?:(?:\p{Lu}\.[\-]?)+|\p{Lu}[\p{L}'’\-]+|\p{Lu}(?= \p{Lu}))"
 # An entity's kind and pattern; the first that fits a match names its kind.
 _PATTERNS = {
-    "secret": rf"(?<={_NAMED})(?=[A-Za-z_\-./+]*[0-9])[A-Za-z0-9_\-./+]{{8,}}|\b(?:AKIA|ASIA)[0-9A-Z]{{16}}\b|\bgh[pousr]_[A-Za-z0-9]{{36,}}|\bsk-[A-Za-z0-9]{{20,}}",
+    # A named value goes up to its closing quote, or to white space; one without letter or digit is none.
+    "secret": rf"(?<=[^\w\n])(?<={_NAMED})(?:(?<=\")(?=[^\"\n]*[\p{{L}}\p{{N}}])[^\"\n]+(?=\")|(?<=')(?=[^'\n]*[\p{{L}}\p{{N}}])[^'\n]+(?=')|(?![\"'])(?=\S*[\p{{L}}\p{{N}}])\S+)|\b(?:AKIA|ASIA)[0-9A-Z]{{16}}\b|\bgh[pousr]_[A-Za-z0-9]{{36,}}|\bsk-[A-Za-z0-9]{{20,}}",
     "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\w\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "card": r"(?<![\w.\-])[3-6]\d{3}(?:[ \-]?\d{4}){2}[ \-]?\d{2,4}(?![\w\-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)",
-    "name": rf"(?<!\p{{L}})(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}[\p{{L}}'\-]+(?: \p{{Lu}}[\p{{L}}'\-]+)?",
+    "name": rf"(?<!\p{{L}})(?:{_MALE}|{_FEMALE})\.?(?: {_WORD})+",
 }
 _ANY = "|".join(f"(?:{p})" for p in _PATTERNS.values())
 #: Bytes that every entity has one of: most texts are passed by this alone.
-_MAYBE = rf"[@0-9]|{_MALE}|{_FEMALE}"
+_MAYBE = rf"[@0-9]|{_MALE}|{_FEMALE}|{_KEYS}"
 ROUNDS = 12
 
 
@@ -53,7 +57,7 @@ def _hmac(key: bytes, message: Column) -> Column:
 def _kind(found: Column, before: Column) -> Column:
     """The kind of a match, by its look and what stands before it. Long numbers whose check digit is
     wrong are no cards: their kind is none."""
-    last = F.when(found.rlike(rf"^(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}"), "name").otherwise("secret")
+    last = F.when(found.rlike(rf"^(?:{_MALE}|{_FEMALE})\.? "), "name").otherwise("secret")
     for kind in ("card", "ssn", "phone", "iban", "ip", "email"):
         last = F.when(found.rlike(f"^(?:{_PATTERNS[kind]})$"), kind).otherwise(last)
     last = F.when(before.rlike(f"{_NAMED}$"), "secret").otherwise(last)
@@ -72,6 +76,14 @@ def _canonical(kind: Column, found: Column) -> Column:
     )
 
 
+def _person(kind: Column, found: Column) -> Column:
+    """The entity of a name with given names: gender, script, family name, given names; null for others."""
+    title, given = F.regexp_extract(found, rf"^((?:{_MALE}|{_FEMALE})\.? )", 1), F.regexp_extract(found, rf"^(?:{_MALE}|{_FEMALE})\.? (.+) \S+$", 1)
+    gender = F.when(title.rlike(rf"^(?:{_FEMALE})\.? $"), "female").otherwise("male")
+    script = F.when(found.rlike(r"\p{IsCyrillic}\S*$"), "cyrillic").otherwise("latin")
+    return F.when((kind == "name") & (given != ""), F.concat_ws("\u0001", gender, script, _canonical(kind, found), F.lower(given)))
+
+
 def _shaped(like: Column, stream: Column) -> Column:
     """`like` with digits for its digits, letters of the same case for its letters."""
     digits, letters = F.translate(stream, "abcdef", "135790"), F.translate(stream, "0123456789abcdef", "bcdfghjklmnpqrst")
@@ -94,13 +106,21 @@ def _stand_in(kind: Column, canonical: Column, attempt: Column, key: bytes) -> C
     """The canonical form of the stand-in that an entity gets at this attempt."""
     mark = F.concat_ws("\u0001", kind, canonical, attempt.cast("string"))
     stream = F.concat(_hmac(key, mark), _hmac(key, F.concat(mark, F.lit("\u0002"))))
-    shaped = _shaped(canonical, stream)
+    # Letters of any script are replaced; a short form gets longer the more often it clashed.
+    plain = F.when(kind == "secret", F.regexp_replace(canonical, r"[^\x00-\x7F]", "x")).otherwise(canonical)
+    shaped = F.concat(_shaped(plain, stream), F.when((kind == "secret") & (attempt > 2), F.substr(stream, F.lit(90), attempt)).otherwise(""))
     octet = lambda k: (F.conv(F.substring(stream, 1 + 4 * k, 4), 16, 10).cast("int") % 254 + 1).cast("string")
     unchecked = F.concat(F.substring(canonical, 1, 1), F.expr("substr(shaped, 2)"))
     body = F.expr("substr(first, 1, length(first) - 1)")
     check = F.when(F.pmod(_luhn_sum(canonical), F.lit(10)) == 0, F.pmod(-_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")).otherwise(F.substr(unchecked, F.lit(-1), F.lit(1)))
     script = F.when(canonical.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    family = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.element_at(F.split(F.when(script == "cyrillic", _SYLLABLES["cyrillic"]).otherwise(_SYLLABLES["latin"]), " "), F.conv(F.substr(stream, k, F.lit(1)), 16, 10).cast("int") + 1)), "")
+    family = F.array_join(F.transform(F.sequence(F.lit(1), attempt + 4), lambda k: F.element_at(F.split(F.when(script == "cyrillic", _SYLLABLES["cyrillic"]).otherwise(_SYLLABLES["latin"]), " "), F.conv(F.substr(stream, k, F.lit(1)), 16, 10).cast("int") + 1)), "")
+    part = lambda k: F.split(canonical, "\u0001")[k]
+    names = F.lit(_GIVEN["male", "latin"])
+    for (g, s), words in _GIVEN.items():
+        names = F.when((part(0) == g) & (part(1) == s), words).otherwise(names)
+    # One of 16 at first, of 16 times as many at each further attempt; distinct inside a family.
+    given = F.array_join(F.transform(F.sequence(F.lit(1), attempt + 1), lambda k: F.element_at(F.split(names, " "), F.conv(F.substr(stream, k, F.lit(1)), 16, 10).cast("int") + 1)), "-")
     host = F.concat(F.translate(F.substring(stream, 70, 10), "0123456789abcdef", "bcdfghjklmnpqrst"), F.lit(".example.com"))
     local = _shaped(F.substring_index(canonical, "@", 1), stream)
     hexadecimal = canonical.rlike("^[0-9a-f]+$")
@@ -113,6 +133,7 @@ def _stand_in(kind: Column, canonical: Column, attempt: Column, key: bytes) -> C
         .when(kind == "phone", F.concat(F.substring(canonical, 1, 1), F.expr("substr(shaped, 2)")))
         .when(kind == "iban", F.concat(F.substring(canonical, 1, 2), F.expr("substr(shaped, 3)")))
         .when(kind == "name", family)
+        .when(kind == "given", F.concat_ws("\u0001", part(2), given))
         .when((kind == "secret") & hexadecimal, F.rpad(stream, F.length(canonical), stream))
         .when(kind == "secret", F.concat(head, F.substr(F.col("shaped"), F.length(head) + 1)))
         .otherwise(F.col("shaped"))
@@ -144,19 +165,13 @@ def entities(found: DataFrame, key: bytes) -> DataFrame:
     return tried.select("kind", "canonical", "stand_in")
 
 
-def _written(kind: Column, found: Column, stand_in: Column, key: bytes) -> Column:
+def _written(kind: Column, found: Column, stand_in: Column, given: Column) -> Column:
     """The stand-in in the spelling of the match."""
     spelled = F.array_join(
         F.transform(F.split(found, ""), lambda c, i: F.when(c.rlike("[A-Z0-9]"), F.substr(stand_in, F.length(F.regexp_replace(F.substr(found, F.lit(1), i + 1), "[^A-Z0-9]", "")), F.lit(1))).otherwise(c)), ""
     )
-    title, given = F.regexp_extract(found, rf"^((?:{_MALE}|{_FEMALE})\.? )", 1), F.regexp_extract(found, r" (\S+) \S+$", 1)
-    gender = F.when(title.rlike(rf"^(?:{_FEMALE})\.? $"), "female").otherwise("male")
-    script = F.when(found.rlike(r"\p{IsCyrillic}\S*$"), "cyrillic").otherwise("latin")
-    pick = F.conv(F.substring(_hmac(key, F.concat(F.lit("given"), F.lower(given))), 1, 1), 16, 10).cast("int") + 1
-    names = F.lit(_GIVEN["male", "latin"])
-    for (g, s), words in _GIVEN.items():
-        names = F.when((gender == g) & (script == s), words).otherwise(names)
-    name = F.concat(title, F.when(given != "", F.concat(F.element_at(F.split(names, " "), pick), F.lit(" "))).otherwise(""), F.initcap(stand_in))
+    title = F.regexp_extract(found, rf"^((?:{_MALE}|{_FEMALE})\.? )", 1)
+    name = F.concat(title, F.when(given.isNotNull(), F.concat(F.substring_index(given, "\u0001", -1), F.lit(" "))).otherwise(""), F.initcap(stand_in))
     return F.when(kind.isin("phone", "card", "ssn", "iban"), spelled).when(kind == "name", name).when((kind == "email") & (found == F.upper(found)), F.upper(stand_in)).otherwise(stand_in)
 
 
@@ -177,10 +192,14 @@ def replace_entities(docs: DataFrame, key: bytes = b"millrace") -> DataFrame:
     gaps = F.split(text, _ANY, -1)
     each = F.zip_with("_found", gaps, lambda found, gap: F.struct(found.alias("_match"), F.right(gap, F.lit(40)).alias("_before")))
     one = rows.where(F.size("_found") > 0).select("_row", F.posexplode(each).alias("_at", "_one")).select("_row", "_at", "_one.*").where("_match is not null")
-    one = one.withColumn("kind", _kind(F.col("_match"), F.col("_before"))).withColumn("canonical", _canonical(F.col("kind"), F.col("_match")))
-    known = entities(one.where("kind <> 'none'").select("kind", "canonical"), key)
-    said = F.when(F.col("stand_in").isNull(), F.col("_match")).otherwise(_written(F.col("kind"), F.col("_match"), F.col("stand_in"), key))
-    spelled = one.join(known, ["kind", "canonical"], "left").select("_row", "_at", said.alias("_new"), F.col("stand_in").isNotNull().cast("long").alias("_n"))
+    one = one.withColumn("kind", _kind(F.col("_match"), F.col("_before"))).withColumn("canonical", _canonical(F.col("kind"), F.col("_match"))).withColumn("_person", _person(F.col("kind"), F.col("_match")))
+    found = F.explode(F.array(F.struct("kind", "canonical"), F.struct(F.lit("given").alias("kind"), F.col("_person").alias("canonical"))))
+    known = entities(one.where("kind <> 'none'").select(found.alias("_e")).select("_e.*").where("canonical is not null"), key)
+    given = known.where("kind = 'given'").select(F.col("canonical").alias("_person"), F.col("stand_in").alias("_given"))
+    said = F.when(F.col("stand_in").isNull(), F.col("_match")).otherwise(_written(F.col("kind"), F.col("_match"), F.col("stand_in"), F.col("_given")))
+    # Matches without given names are dealt by their rows, not to the one task of the null key.
+    one = one.withColumn("_person", F.coalesce("_person", F.concat(F.lit("\u0003"), F.col("_row").cast("string"))))
+    spelled = one.join(known, ["kind", "canonical"], "left").join(given, "_person", "left").select("_row", "_at", said.alias("_new"), F.col("stand_in").isNotNull().cast("long").alias("_n"))
     new = spelled.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "_new"))).alias("_by"), F.sum("_n").alias("_n"))
     done = rows.where(F.size("_found") > 0).join(new, "_row")
     pieces = F.zip_with(gaps, F.concat(F.col("_by._new"), F.array(F.lit(""))), lambda gap, said: F.concat(gap, said))

@@ -67,6 +67,21 @@ def test_form_is_kept(done):
     assert set(re.findall(r"\S+@\S+", got[8].text)) == {c}
 
 
+def test_whole_names_and_secrets(spark):
+    texts = ["Mr John Paul Smith left.", "Mr J. Smith left.", "Mr J. R. Smith left.", "Ms Maria de la Cruz left.", "I told Mr Smith I left.", "password=hunter2 left", "token: correcthorsebattery left", "pwd='P@ss w0rd!2024' left", 'secret="пароль" left', "password=P@ssw0rd!2024 left", "password: **** left"]
+    got = [r.text for r in replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    said = " ".join(got)
+    for private in ("John", "Paul Smith", "Smith", "J.", "Maria", "Cruz", "hunter2", "correcthorse", "ss w0rd", "2024", "пароль"):
+        assert private not in said, private
+    assert all(t.endswith(("left", "left.")) for t in got) and got[10] == texts[10] and got[4].endswith(" I left.")
+    assert len({t.split()[-2] for t in got[:3]}) == 1 and len(set(got[:3])) == 3
+
+
+def test_people_of_a_large_family_stay_apart(spark):
+    people = spark.range(600).selectExpr("id AS doc_id", "concat('Mrs A', translate(cast(id AS string), '0123456789', 'abcdefghij'), ' Smith') AS text")
+    assert len({r.text for r in replace_entities(people).collect()}) == 600
+
+
 def test_distinct_and_stable(spark):
     ips = spark.range(3000).select(F.lit("card").alias("kind"), F.format_string("4%03d", F.col("id") % 900).alias("canonical"))
     known = entities(ips, b"k").collect()
