@@ -1,10 +1,11 @@
 """Near-duplicate detection by an LSH forest of MinHash signatures.
 
 Every document becomes the set of its word shingles; equal sets are one node. Each tree of the forest is
-one sorted order of the nodes by a sequence of MinHash values; nodes with a long common prefix are
-neighbours there. A region (nodes with one prefix) that is too crowded is taken at a greater depth, so
-depth adapts to how dense the neighbourhood is. Neighbours whose signatures agree enough are
-put in one cluster; inside a cluster links are confirmed on the full sets.
+one sorted order of the nodes by a sequence of MinHash values. Nodes next to each other in an order are
+candidates as far as they have a common prefix; how long a prefix it takes grows with how crowded that region
+of the order is, for a node looks at a bounded number of neighbours, those of the longest
+common prefixes. Nodes of crowded regions get further orders of greater depth. Candidates whose sketches agree
+enough are put in one cluster; inside a cluster links are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm._shared import materialize
@@ -26,16 +27,20 @@ _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9,
 
 @dataclass(frozen=True)
 class Forest:
-    """width: words of a shingle. percent: Jaccard similarity of a link. trees, depths: sorted orders and
-    the prefix lengths that a region may have. crowd: nodes of a region (and of a task's cluster)
-    beyond which it is split. sketch: signature bytes that estimate similarity; near: how many
-    must agree for two nodes to share a cluster (five standard deviations under `percent`)."""
+    """width: words of a shingle. percent: Jaccard similarity of a link. trees: sorted orders. depths: MinHash
+    values that candidates must share at least, and values of an order. crowd: nodes of a region beyond which
+    it is crowded, and of a task's cluster. dense_orders, dense_depth: further orders of nodes in
+    crowded regions, and their values; a block of these has a quarter of a crowd. sketch: signature bytes that
+    estimate similarity; near: how many must agree for two nodes to share a cluster (five standard
+    deviations under `percent`)."""
 
     width: int = 5
     percent: int = 80
     trees: int = 25
-    depths: tuple[int, ...] = (4, 6, 8)
+    depths: tuple[int, ...] = (4, 16)
     crowd: int = 512
+    dense_orders: int = 128
+    dense_depth: int = 24
     sketch: int = 128
     seed: int = 3
 
@@ -44,6 +49,20 @@ class Forest:
         j = self.percent / 100
         return int(self.sketch * j - 5.2 * (self.sketch * j * (1 - j)) ** 0.5)
 
+    @property
+    def values(self) -> int:
+        """MinHash values of a signature."""
+        return max(8 * self.trees, self.sketch)
+
+    def orders(self) -> np.ndarray:
+        """Of every tree the places of its values: runs of the signature, of which the first eight are its own."""
+        return (np.arange(self.trees)[:, None] * 8 + np.arange(self.depths[-1])[None, :]) % self.values
+
+    def more_orders(self) -> np.ndarray:
+        """Of every further order the places of its values, drawn without replacement."""
+        unit = np.random.default_rng(self.seed + 1)
+        return np.stack([unit.permutation(self.values)[: self.dense_depth] for _ in range(self.dense_orders)])
+
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _M2
@@ -73,10 +92,9 @@ def set_hash(shingle_set: np.ndarray) -> int:
 class Signer:
     def __init__(self, forest: Forest):
         unit = np.random.default_rng(forest.seed)
-        self.forest, self.size = forest, max(forest.trees * forest.depths[-1], forest.sketch)
+        self.forest, self.size = forest, forest.values
         self.a = unit.integers(0, 1 << 32, self.size, np.uint32) | np.uint32(1)
         self.b = unit.integers(0, 1 << 32, self.size, np.uint32)
-        self.mark = _mixed(np.arange(1, forest.trees + 1, dtype=np.uint64) * _M1)
 
     def minima(self, shingle_set: np.ndarray) -> np.ndarray:
         x = (shingle_set >> np.uint64(32)).astype(np.uint32)
@@ -85,19 +103,19 @@ class Signer:
             low = np.minimum(low, (self.a[:, None] * x[None, at : at + 512] + self.b[:, None]).min(1))
         return low
 
-    def sign(self, shingle_set: np.ndarray) -> tuple[np.ndarray, bytes]:
-        """(prefix keys, tree by depth, as int64; sketch)."""
+    def sign(self, shingle_set: np.ndarray) -> tuple[bytes, bytes]:
+        """(16 bits of every MinHash value, sketch)."""
         low = self.minima(shingle_set)
-        rows = low[: self.forest.trees * self.forest.depths[-1]].astype(np.uint64).reshape(self.forest.trees, -1)
-        keys, state = [], self.mark
-        for k in range(rows.shape[1]):
-            state = _mixed(state ^ rows[:, k]) + _M1
-            if k + 1 in self.forest.depths:
-                keys.append(state)
-        return np.stack(keys, 1).view(np.int64), low[: self.forest.sketch].astype(np.uint8).tobytes()
+        return low.astype(np.uint16).astype(">u2").tobytes(), low[: self.forest.sketch].astype(np.uint8).tobytes()
+
+
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("signature", pa.binary()), ("sketch", pa.binary())])
+_SIGNED_TYPES = "doc_id long, text_key long, n_shingles long, node long, signature binary, sketch binary"
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
+def text_key(text: Column) -> Column:
+    """A hash that tells the texts of one doc_id apart."""
+    return F.xxhash64(text)
 
 
 def _signed(forest: Forest) -> Callable:
@@ -108,16 +126,156 @@ def _signed(forest: Forest) -> Callable:
                 b, out = batch.slice(at, 1000), []
                 for text in b["text"]:
                     s = shingles(text.as_py(), forest.width)
-                    keys, sketch = signer.sign(s) if len(s) else (None, None)
-                    out.append((len(s), set_hash(s) if len(s) else None, None if keys is None else keys.reshape(-1), sketch))
+                    out.append((len(s), set_hash(s), *signer.sign(s)) if len(s) else (0, None, None, None))
                 cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(list(c), f.type) for c, f in zip(cols, list(_SIGNED)[1:], strict=True))], schema=_SIGNED)
+                yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_key"], *(pa.array(list(c), f.type) for c, f in zip(cols, list(_SIGNED)[2:], strict=True))], schema=_SIGNED)
 
     return run
 
 
+# -- sorted orders ---------------------------------------------------------------------------------
+
+_LABEL = pa.schema([("label", pa.binary()), ("tie", pa.int64())])
+_REGION = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("crowded", pa.bool_())])
+
+
+def _odd(n: int) -> np.ndarray:
+    """Odd numbers, one an order. node * odd puts equal labels in another sequence in every order."""
+    return _mixed(np.arange(1, n + 1, dtype=np.uint64) * _M1) | np.uint64(1)
+
+
+def _flat(column: pa.Array, width: int) -> np.ndarray:
+    """A column of binaries of one width, as bytes by row."""
+    if not len(column):
+        return np.empty((0, width), np.uint8)
+    first = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+    return np.frombuffer(column.buffers()[2], np.uint8)[first : first + width * len(column)].reshape(len(column), width)
+
+
+def _labelled(orders: np.ndarray) -> Callable:
+    """Of every node its label in every order: the order's number and the values, to be sorted as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, depth = orders.shape
+        odd, number = _odd(n), np.arange(n).astype(">u2").view(np.uint8).reshape(1, n, 2)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                b = batch.slice(at, 256)
+                width = len(b["signature"][0].as_py())
+                values = _flat(b["signature"], width).reshape(b.num_rows, -1, 2)[:, orders].reshape(b.num_rows, n, 2 * depth)
+                label = np.concatenate([np.broadcast_to(number, (b.num_rows, n, 2)), values], 2)
+                tie = b["node"].to_numpy().astype(np.uint64)[:, None] * odd[None, :]
+                cells = pa.Array.from_buffers(pa.binary(label.shape[2]), b.num_rows * n, [None, pa.py_buffer(np.ascontiguousarray(label).tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([cells, pa.array(tie.reshape(-1).view(np.int64))], schema=_LABEL)
+
+    return run
+
+
+def _regions_of(n_orders: int, least: int, block: int, values: int) -> Callable:
+    """key, node, crowded of the regions of a sorted partition.
+
+    A run of rows that share `least` values is a region, named by what they share, so that a run that is cut
+    by the end of a partition meets its other part. A run of over `block` rows is crowded: each half block of its
+    order is a region together with the next half, so every node is beside its half block of nearest
+    neighbours, of the longest common prefixes, on either side.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = np.uint64(TaskContext.get().partitionId())
+        with np.errstate(over="ignore"):
+            back = np.array([pow(int(x), -1, 1 << 64) for x in _odd(n_orders)], np.uint64)
+        width, head, half = 2 + 2 * values, 2 + 2 * least, max(1, block // 2)
+        made = np.uint64(0)
+        label, tie = np.empty((0, width), np.uint8), np.empty(0, np.uint64)
+        at_start, flushed = True, False  # whether the held run begins the partition; whether blocks of it are out
+        opening = None  # of such a run that is longer than what is held: its first block
+
+        def named(rows: np.ndarray) -> np.ndarray:
+            state = np.zeros(len(rows), np.uint64)
+            words = np.ascontiguousarray(rows[:, :head]).view(np.uint16)
+            for k in range(words.shape[1]):
+                state = _mixed(state ^ words[:, k]) + _M1
+            return state
+
+        def told(key: np.ndarray, rows: np.ndarray, ties: np.ndarray, crowded: bool) -> pa.RecordBatch:
+            order = rows[:, 0].astype(np.int64) * 256 + rows[:, 1]
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array((ties * back[order]).view(np.int64)), pa.array(np.full(len(key), crowded))], schema=_REGION)
+
+        def blocks(rows: np.ndarray, ties: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Of a crowded run, or the part of it at hand."""
+            nonlocal made
+            for at in range(0, max(1, len(rows) - half), half):
+                made += np.uint64(1)
+                own = slice(at, at + 2 * half)
+                yield told(np.full(len(rows[own]), _mixed(_mixed(part + _M1) ^ (made * _M1))), rows[own], ties[own], True)
+
+        def seam(rows: np.ndarray, ties: np.ndarray) -> pa.RecordBatch:
+            """A block at the end of a partition, to meet what the run has in the next one."""
+            return told(named(rows), rows, ties, True)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            label = np.concatenate([label, _flat(batch["label"], width)])
+            tie = np.concatenate([tie, batch["tie"].to_numpy().view(np.uint64)])
+            first = np.flatnonzero(np.r_[True, (label[1:, :head] != label[:-1, :head]).any(1)])
+            last = int(first[-1])
+            if len(first) > 1:
+                size = np.diff(first)
+                opens = np.arange(len(size)) == 0
+                crowded = (size > block) | (opens & flushed)
+                take = np.flatnonzero(np.repeat(~crowded & ((size > 1) | (opens & at_start)), size))
+                if len(take):
+                    yield told(named(label[take]), label[take], tie[take], False)
+                for k in np.flatnonzero(crowded):
+                    own = slice(first[k], first[k + 1])
+                    yield from blocks(label[own], tie[own])
+                    if at_start and k == 0:
+                        yield seam(*(opening or (label[own][: 2 * half], tie[own][: 2 * half])))
+                at_start, flushed, opening = False, False, None
+                label, tie = label[last:], tie[last:]
+            if len(tie) >= 8 * block:
+                if at_start and not flushed:
+                    opening = (label[: 2 * half].copy(), tie[: 2 * half].copy())
+                keep = (len(tie) // half - 1) * half
+                yield from blocks(label[: keep + half], tie[: keep + half])
+                label, tie, flushed = label[keep:], tie[keep:], True
+        if flushed or len(tie) > block:
+            yield from blocks(label, tie)
+            if not at_start:  # a run of a whole partition has no end at hand
+                yield seam(label[-2 * half :], tie[-2 * half :])
+        elif len(tie):
+            yield told(named(label), label, tie, False)
+
+    return run
+
+
+def _sorted_regions(nodes: DataFrame, orders: np.ndarray, least: int, block: int) -> DataFrame:
+    """key, node, crowded: the regions of these orders of nodes (node, signature), by one range sort of all of them."""
+    labels = nodes.select("node", "signature").mapInArrow(_labelled(orders), "label binary, tie long")
+    inside = labels.repartitionByRange("label", "tie").sortWithinPartitions("label", "tie")
+    return inside.mapInArrow(_regions_of(len(orders), least, block, orders.shape[1]), "key long, node long, crowded boolean")
+
+
+def _regions(nodes: DataFrame, forest: Forest) -> DataFrame:
+    """key, node of all regions: those of the trees, and for nodes of crowded ones those of the further orders."""
+    least = min(forest.depths[0], forest.depths[-1])
+    found = materialize(_sorted_regions(nodes, forest.orders(), least, forest.crowd), "regions")
+    dense = found.where("crowded").select("node").distinct()
+    if found.where("crowded").limit(1).count() == 0:
+        return found.select("key", "node")
+    more = _sorted_regions(nodes.select("node", "signature").join(dense, "node"), forest.more_orders(), min(6, forest.dense_depth), max(8, forest.crowd // 4))
+    return found.select("key", "node").union(more.select("key", "node"))
+
+
+# -- clusters --------------------------------------------------------------------------------------
+
+
 def _grouped(key: int, take: Callable[[list[tuple]], Iterator[tuple]], schema: pa.Schema, many: int = 20_000) -> Callable:
-    """mapInArrow over partitions sorted by their first `key` columns: take() gets the rows of a key."""
+    """mapInArrow over partitions sorted by their first `key` columns: take() gets the rows of a key. A grouped
+    applyInArrow would call Python once a group, and most groups have two rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -200,9 +358,7 @@ def _confirmed(forest: Forest) -> Callable:
         own: dict[int, tuple[np.ndarray, bytes]] = {}
         for *_, node, sketch, text in rows:
             if node not in own:
-                s = shingles(text, forest.width)
-                if set_hash(s) == node:  # another text under the same id
-                    own[node] = (s, sketch)
+                own[node] = (shingles(text, forest.width), sketch)
         nodes = sorted(own)
         if len(nodes) < 2:
             return
@@ -227,110 +383,70 @@ def _confirmed(forest: Forest) -> Callable:
     return take
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root for every node of edges (a, b): root is the smallest node that it can reach.
+def _contracted(edges: DataFrame) -> DataFrame:
+    """node, root for every node of edges (a, b): all nodes of a component have one root, a node of it.
 
-    Large-star and small-star rounds in turn: each joins every neighbour of a node to the smallest
-    one. Minima are summed in parts before the shuffle and written as tables of one row a node, so
-    that Spark can split what meets them: a node with very many neighbours is no single task's.
-    Rounds end when no edge changes.
+    Randomised contraction: every node takes the smallest of itself and its neighbours, edges are
+    drawn between what was taken, and so on until no edge is left; a round leaves three quarters of the nodes
+    at most, on average. In the first rounds smallest means by id, which settles stars that point at their
+    smallest node at once; later ones draw an order of their own, so that long chains shrink too. Minima are
+    summed in parts, and what meets them is a plain join, which Spark can split at a node of very many edges.
     """
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
-    while True:
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = materialize(both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low")), "low")
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
-        least = materialize(large.groupBy("a").agg(F.min("b").alias("low")), "least")
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        e = materialize(small, "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
-    roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.union(e.select("b", "b").distinct())
-
-
-def _regions(nodes: DataFrame, forest: Forest) -> tuple[DataFrame, DataFrame | None]:
-    """key, node of every region with two nodes or more, each tree at the depth that fits; and, with n and
-    first (the smallest node), those of the regions still crowded at the greatest depth, if any."""
-    n = len(forest.depths)
-    each = F.transform(F.sequence(F.lit(0), F.lit(forest.trees - 1)), lambda t: F.slice("keys", t * n + 1, n))
-    rows = nodes.select("node", F.explode(each).alias("k")).select("node", *(F.col("k")[d].alias(f"k{d}") for d in range(n)))
-    out: list[DataFrame] = []
-    crowded = None
-    for d in range(n):
-        sizes = rows.groupBy(f"k{d}").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
-        sized = materialize(rows.join(sizes, f"k{d}"), "regions")
-        out.append(sized.where(F.col("n") <= forest.crowd).select(F.col(f"k{d}").alias("key"), "node"))
-        rows = sized.where(F.col("n") > forest.crowd).drop("n", "first")
-        if rows.isEmpty():
-            break
-    else:
-        # Parts by hash, each with the region's first node; what the parts do not show, _across() does.
-        crowded = sized.where(F.col("n") > forest.crowd).select(F.col(f"k{n - 1}").alias("key"), "n", "first", "node")
-        parts = F.ceil(F.col("n") / forest.crowd)
-        out.append(crowded.select(F.xxhash64("key", F.pmod(F.xxhash64("node"), parts)).alias("key"), "node"))
-        first = crowded.select("key", "n", "first").distinct()
-        out.append(first.select("key", F.col("first").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")).select(F.xxhash64("key", "part").alias("key"), "node"))
-    both = out[0]
-    for more in out[1:]:
-        both = both.union(more)
-    return both, crowded
-
-
-def _across(crowded: DataFrame, clusters: DataFrame, forest: Forest) -> DataFrame | None:
-    """key, node of the cells in which the nodes of crowded regions that are not in the cluster of
-    their region's first node meet every part of their region; None if there are no such nodes."""
-    root = clusters.select("node", "root")
-    heads = crowded.select("key", "first").distinct().join(root.withColumnRenamed("node", "first"), "first", "left").select("key", F.coalesce("root", "first").alias("main"))
-    named = crowded.select("key", "n", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = materialize(named.join(heads, "key").where("root <> main").select("key", "n", "node"), "apart")
-    if rest.isEmpty():
-        return None
-    many = materialize(rest.groupBy("key").agg(F.ceil(F.count("*") / forest.crowd).alias("blocks")), "blocks")
-    parts = F.ceil(F.col("n") / forest.crowd)
-    of = lambda df, part, block: df.join(many, "key").withColumn("part", part).withColumn("block", block).select(F.xxhash64("key", "part", "block").alias("key"), "node")
-    all_ = of(crowded, F.pmod(F.xxhash64("node"), parts), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    own = of(rest, F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)), F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")))
-    return all_.union(own).distinct()
+    taken: list[DataFrame] = []
+    while not taken or e.count():
+        rank = F.col("b") if len(taken) < 2 else F.xxhash64("b", F.lit(len(taken)))
+        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).union(e.select("a", F.col("a").alias("b"))).union(e.select(F.col("b").alias("a"), "b"))
+        up = materialize(both.groupBy("a").agg(F.min_by("b", rank).alias("up")), "taken")
+        taken.append(up.withColumnRenamed("a", "node"))
+        drawn = e.join(up.withColumnRenamed("up", "x"), "a").join(up.select(F.col("a").alias("b"), F.col("up").alias("y")), "b").where("x <> y")
+        e = materialize(drawn.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
+    out = taken.pop().withColumnRenamed("up", "root")
+    while taken:
+        above = out.select(F.col("node").alias("up"), "root")
+        out = taken.pop().join(above, "up", "left").select("node", F.coalesce("root", "up").alias("root"))
+    return out
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root for every node of edges (a, b): root is the smallest node that it can reach."""
+    found = materialize(_contracted(edges), "contracted")
+    return found.join(found.groupBy("root").agg(F.min("node").alias("least")), "root").select("node", F.col("least").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
+    """doc_id, n_shingles, component_id, kept, text_key, first for every row of docs (doc_id, text).
 
     Two documents are linked if their shingle sets are at least `percent` similar; component_id is
     the smallest doc_id reachable over links, kept is doc_id = component_id. Null and empty texts
     have no shingles and are linked with nothing; rows with a null id are components of their own,
-    with a null id, and kept. Repeated rows have one set, thus one component.
+    with a null id, and kept. Repeated rows have one set, thus one component. Texts are taken whole, however
+    long; of ties there are none, for component_id is a minimum. Other columns of docs are not read.
+    text_key is a hash of the text; first tells whether (doc_id, text_key) stands for its component: it does for
+    one of them in every component (several rows, if they repeat).
 
     Documents travel as signatures; texts are read again only for clusters. Groups of equal sets
-    are one node from the first aggregation on, which is summed in parts. No task holds more than two
-    times `crowd` nodes: crowded regions go deeper, those still crowded at the greatest depth and
-    crowded clusters are cut in parts that share their first node, and what is not joined to that node
-    afterwards meets every part, so no link between different texts is skipped.
+    are one node from the first aggregation on, which is summed in parts. One range sort puts all orders of the
+    forest side by side, in partitions of even size whatever is crowded. A region has at most twice `crowd` nodes.
+    Crowded clusters are cut in parts that share their first node, and what is not joined to that node
+    afterwards meets every part, so no link inside a cluster is skipped.
     """
-    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signed(forest), "doc_id long, n_shingles long, node long, keys array<long>, sketch binary"), "signed")
-    nodes = materialize(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
-    sketches = nodes.select("node", "sketch")
-
-    def edges(regions: DataFrame) -> DataFrame:
-        signed = regions.join(sketches, "node").select("key", "node", "sketch")
-        return signed.repartition("key").sortWithinPartitions("key").mapInArrow(_grouped(1, _neighbours(forest.near), _EDGE), "a long, b long")
-
-    regions, crowded = _regions(nodes.select("node", "keys"), forest)
-    clusters = materialize(components(edges(regions)), "clusters")
-    apart = None if crowded is None else _across(crowded, clusters, forest)
-    if apart is not None:
-        clusters = materialize(components(clusters.select(F.col("node").alias("a"), F.col("root").alias("b")).union(edges(apart))), "clusters")
-    labels = _linked(docs, nodes, clusters, forest)
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("text_key"))
+    rows = materialize(read.mapInArrow(_signed(forest), _SIGNED_TYPES), "signed")
+    nodes = materialize(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("doc"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")), "nodes")
+    regions = _regions(nodes, forest).join(nodes.select("node", "sketch"), "node").select("key", "node", "sketch")
+    edges = regions.repartition("key").sortWithinPartitions("key").mapInArrow(_grouped(1, _neighbours(forest.near), _EDGE), "a long, b long")
+    clusters = materialize(_contracted(edges), "clusters")
+    labels = _linked(read, nodes, clusters, forest)
     joined = nodes.select("node", "doc").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = joined.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = joined.join(lowest, "root").select("node", "component_id")
-    out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    lowest = joined.groupBy("root").agg(F.min("doc").alias("lowest"))
+    named = joined.join(lowest, "root").select("node", "lowest")
+    out = rows.select("doc_id", "text_key", "n_shingles", "node").join(named, "node", "left")
+    no_id = F.col("doc_id").isNull()
+    component = F.when(no_id, None).otherwise(F.coalesce("lowest.doc_id", "doc_id"))
+    first = no_id | F.col("lowest").isNull() | (F.struct("doc_id", "text_key") == F.col("lowest"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), "text_key", first.alias("first"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select("doc_id", "n_shingles", "component_id", "kept", "text_key", "first")
 
 
 def _linked(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, forest: Forest) -> DataFrame:
@@ -340,9 +456,9 @@ def _linked(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, forest: Fore
     sizes = materialize(sizes.select("cluster", F.ceil(F.col("n") / forest.crowd).alias("parts")), "sizes")
     placed = clusters.withColumnRenamed("root", "cluster").join(sizes, "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     placed = placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    # The texts of clustered nodes alone, taken from all documents once.
-    full = nodes.select("node", "doc", "sketch").join(clusters.select("node"), "node")
-    full = materialize(full.join(docs.select(F.col("doc_id").cast("long").alias("doc"), "text"), "doc").drop("doc"), "texts")
+    # The texts of clustered nodes alone, taken from all documents once; of repeated rows one.
+    full = nodes.select("node", "doc.*", "sketch").join(clusters.select("node"), "node").join(docs, ["doc_id", "text_key"])
+    full = materialize(full.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("text").alias("text")), "texts")
 
     def confirm(members: DataFrame, keys: list[str]) -> DataFrame:
         got = members.join(full, "node").select(*keys, "node", "sketch", "text")
@@ -350,17 +466,25 @@ def _linked(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, forest: Fore
 
     heads = sizes.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("cluster").alias("node"))
     links = materialize(confirm(placed.select("cluster", "part", "node").union(heads).distinct(), ["cluster", "part"]), "links")
-    if sizes.isEmpty():
+    if not sizes.count():
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    crowded = placed.where("parts > 1")
-    found = materialize(components(links), "linked")
-    head = materialize(found.join(sizes.select(F.col("cluster").alias("node")), "node").select(F.col("node").alias("cluster"), F.col("root").alias("main")), "heads")
+    # What one task confirmed is final for the clusters that it had whole.
+    crowded = materialize(placed.where("parts > 1"), "crowded")
+    parted = materialize(links.join(crowded.select(F.col("node").alias("a")), "a"), "parted")
+    settled = links.join(crowded.select(F.col("node").alias("a")), "a", "left_anti").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    found = materialize(_contracted(parted), "linked")
+    head = sizes.select(F.col("cluster").alias("node")).join(found, "node").select(F.col("node").alias("cluster"), F.col("root").alias("main"))
     rest = crowded.join(found, "node", "left").join(head, "cluster", "left").where(~F.col("root").eqNullSafe(F.col("main")) | F.col("main").isNull()).select("cluster", "parts", "node")
     rest = materialize(rest, "rest")
-    if rest.isEmpty():
-        return found
+    if not rest.count():
+        return settled.union(found)
     many = materialize(rest.groupBy("cluster").agg(F.ceil(F.count("*") / forest.crowd).alias("blocks")), "many")
     against = crowded.join(many, "cluster").select("cluster", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "node")
     other = rest.join(many, "cluster").select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).alias("block"), "node")
-    more = confirm(against.union(other).distinct(), ["cluster", "part", "block"])
-    return components(links.union(more))
+    more = materialize(confirm(against.union(other).distinct(), ["cluster", "part", "block"]), "links")
+    # Only what joins components that the parts found apart is left to contract.
+    root = found.select(F.col("node").alias("a"), F.col("root").alias("x"))
+    apart = more.where("a <> b").join(root, "a", "left").join(root.select(F.col("a").alias("b"), F.col("x").alias("y")), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    above = _contracted(apart).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    whole = crowded.select("node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")).join(above, "root", "left")
+    return settled.union(whole.select("node", F.coalesce("top", "root").alias("root")))

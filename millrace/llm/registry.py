@@ -18,7 +18,8 @@ def op1_brown_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), lsh_forest.Forest(width=3, percent=85))
+    found = lsh_forest.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), lsh_forest.Forest(width=3, percent=85))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
