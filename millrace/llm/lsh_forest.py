@@ -135,8 +135,8 @@ def _signed(forest: Forest) -> Callable:
 
 # -- sorted orders ---------------------------------------------------------------------------------
 
-_LABEL = pa.schema([("label", pa.binary()), ("tie", pa.int64())])
-_REGION = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("crowded", pa.bool_())])
+_LABEL = pa.schema([("label", pa.binary()), ("tie", pa.int64()), ("root", pa.int64())])
+_REGION = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("run", pa.int64())])
 
 
 def _odd(n: int) -> np.ndarray:
@@ -153,7 +153,7 @@ def _flat(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _labelled(orders: np.ndarray) -> Callable:
-    """Of every node its label in every order: the order's number and the values, to be sorted as bytes."""
+    """Of every node its label in every order, the order's number and the values, to be sorted as bytes; and its root, if it has one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, depth = orders.shape
@@ -166,29 +166,30 @@ def _labelled(orders: np.ndarray) -> Callable:
                 label = np.concatenate([np.broadcast_to(number, (b.num_rows, n, 2)), values], 2)
                 tie = b["node"].to_numpy().astype(np.uint64)[:, None] * odd[None, :]
                 cells = pa.Array.from_buffers(pa.binary(label.shape[2]), b.num_rows * n, [None, pa.py_buffer(np.ascontiguousarray(label).tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([cells, pa.array(tie.reshape(-1).view(np.int64))], schema=_LABEL)
+                roots = [pa.array(np.repeat(b["root"].to_numpy(), n))] if "root" in b.schema.names else []
+                yield pa.RecordBatch.from_arrays([cells, pa.array(tie.reshape(-1).view(np.int64)), *roots], schema=pa.schema(list(_LABEL)[: 2 + len(roots)]))
 
     return run
 
 
 def _regions_of(n_orders: int, least: int, block: int, values: int) -> Callable:
-    """key, node, crowded of the regions of a sorted partition.
+    """key, node, run of the regions of a sorted partition; run, what all of a crowded run share, is null in others.
 
     A run of rows that share `least` values is a region, named by what they share, so that a run that is cut
     by the end of a partition meets its other part. A run of over `block` rows is crowded: each half block of its
     order is a region together with the next half, so every node is beside its half block of nearest
-    neighbours, of the longest common prefixes, on either side.
+    neighbours, of the longest common prefixes, on either side. Where roots are known, what is all of one root is left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = np.uint64(TaskContext.get().partitionId())
+        part = TaskContext.get().partitionId()
         with np.errstate(over="ignore"):
             back = np.array([pow(int(x), -1, 1 << 64) for x in _odd(n_orders)], np.uint64)
         width, head, half = 2 + 2 * values, 2 + 2 * least, max(1, block // 2)
-        made = np.uint64(0)
-        label, tie = np.empty((0, width), np.uint8), np.empty(0, np.uint64)
+        made = 0
+        label, tie, root = np.empty((0, width), np.uint8), np.empty(0, np.uint64), np.empty(0, np.int64)
         at_start, flushed = True, False  # whether the held run begins the partition; whether blocks of it are out
         opening = None  # of such a run that is longer than what is held: its first block
 
@@ -201,15 +202,17 @@ def _regions_of(n_orders: int, least: int, block: int, values: int) -> Callable:
 
         def told(key: np.ndarray, rows: np.ndarray, ties: np.ndarray, crowded: bool) -> pa.RecordBatch:
             order = rows[:, 0].astype(np.int64) * 256 + rows[:, 1]
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array((ties * back[order]).view(np.int64)), pa.array(np.full(len(key), crowded))], schema=_REGION)
+            run = pa.array(named(rows).view(np.int64)) if crowded else pa.nulls(len(key), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array((ties * back[order]).view(np.int64)), run], schema=_REGION)
 
-        def blocks(rows: np.ndarray, ties: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def blocks(own: slice) -> Iterator[pa.RecordBatch]:
             """Of a crowded run, or the part of it at hand."""
             nonlocal made
-            for at in range(0, max(1, len(rows) - half), half):
-                made += np.uint64(1)
-                own = slice(at, at + 2 * half)
-                yield told(np.full(len(rows[own]), _mixed(_mixed(part + _M1) ^ (made * _M1))), rows[own], ties[own], True)
+            for at in range(own.start, max(own.start + 1, own.stop - half), half):
+                part_of = slice(at, min(at + 2 * half, own.stop))
+                made += 1
+                if (root[part_of] != root[at]).any():
+                    yield told(np.repeat(_mixed(np.array([part << 32 | made], np.uint64) * _M1), part_of.stop - at), label[part_of], tie[part_of], True)
 
         def seam(rows: np.ndarray, ties: np.ndarray) -> pa.RecordBatch:
             """A block at the end of a partition, to meet what the run has in the next one."""
@@ -219,31 +222,33 @@ def _regions_of(n_orders: int, least: int, block: int, values: int) -> Callable:
             if not batch.num_rows:
                 continue
             label = np.concatenate([label, _flat(batch["label"], width)])
-            tie = np.concatenate([tie, batch["tie"].to_numpy().view(np.uint64)])
+            more = batch["tie"].to_numpy()
+            tie = np.concatenate([tie, more.view(np.uint64)])
+            root = np.concatenate([root, batch["root"].to_numpy() if "root" in batch.schema.names else more])
             first = np.flatnonzero(np.r_[True, (label[1:, :head] != label[:-1, :head]).any(1)])
             last = int(first[-1])
             if len(first) > 1:
                 size = np.diff(first)
                 opens = np.arange(len(size)) == 0
                 crowded = (size > block) | (opens & flushed)
-                take = np.flatnonzero(np.repeat(~crowded & ((size > 1) | (opens & at_start)), size))
+                mixed = np.logical_or.reduceat(root[:last] != np.repeat(root[first[:-1]], size), first[:-1])
+                take = np.flatnonzero(np.repeat(~crowded & (mixed | (opens & at_start)), size))
                 if len(take):
                     yield told(named(label[take]), label[take], tie[take], False)
                 for k in np.flatnonzero(crowded):
-                    own = slice(first[k], first[k + 1])
-                    yield from blocks(label[own], tie[own])
+                    yield from blocks(slice(int(first[k]), int(first[k + 1])))
                     if at_start and k == 0:
-                        yield seam(*(opening or (label[own][: 2 * half], tie[own][: 2 * half])))
+                        yield seam(*(opening or (label[: min(2 * half, int(size[0]))], tie[: min(2 * half, int(size[0]))])))
                 at_start, flushed, opening = False, False, None
-                label, tie = label[last:], tie[last:]
+                label, tie, root = label[last:], tie[last:], root[last:]
             if len(tie) >= 8 * block:
                 if at_start and not flushed:
                     opening = (label[: 2 * half].copy(), tie[: 2 * half].copy())
                 keep = (len(tie) // half - 1) * half
-                yield from blocks(label[: keep + half], tie[: keep + half])
-                label, tie, flushed = label[keep:], tie[keep:], True
+                yield from blocks(slice(0, keep + half))
+                label, tie, root, flushed = label[keep:], tie[keep:], root[keep:], True
         if flushed or len(tie) > block:
-            yield from blocks(label, tie)
+            yield from blocks(slice(0, len(tie)))
             if not at_start:  # a run of a whole partition has no end at hand
                 yield seam(label[-2 * half :], tie[-2 * half :])
         elif len(tie):
@@ -253,21 +258,11 @@ def _regions_of(n_orders: int, least: int, block: int, values: int) -> Callable:
 
 
 def _sorted_regions(nodes: DataFrame, orders: np.ndarray, least: int, block: int) -> DataFrame:
-    """key, node, crowded: the regions of these orders of nodes (node, signature), by one range sort of all of them."""
-    labels = nodes.select("node", "signature").mapInArrow(_labelled(orders), "label binary, tie long")
+    """key, node, run: the regions of these orders of nodes (node, signature and, if known, root), by one range sort of all of them."""
+    own = [c for c in ("node", "signature", "root") if c in nodes.columns]
+    labels = nodes.select(*own).mapInArrow(_labelled(orders), "label binary, tie long" + ", root long" * (len(own) == 3))
     inside = labels.repartitionByRange("label", "tie").sortWithinPartitions("label", "tie")
-    return inside.mapInArrow(_regions_of(len(orders), least, block, orders.shape[1]), "key long, node long, crowded boolean")
-
-
-def _regions(nodes: DataFrame, forest: Forest) -> DataFrame:
-    """key, node of all regions: those of the trees, and for nodes of crowded ones those of the further orders."""
-    least = min(forest.depths[0], forest.depths[-1])
-    found = materialize(_sorted_regions(nodes, forest.orders(), least, forest.crowd), "regions")
-    dense = found.where("crowded").select("node").distinct()
-    if found.where("crowded").limit(1).count() == 0:
-        return found.select("key", "node")
-    more = _sorted_regions(nodes.select("node", "signature").join(dense, "node"), forest.more_orders(), min(6, forest.dense_depth), max(8, forest.crowd // 4))
-    return found.select("key", "node").union(more.select("key", "node"))
+    return inside.mapInArrow(_regions_of(len(orders), least, block, orders.shape[1]), "key long, node long, run long")
 
 
 # -- clusters --------------------------------------------------------------------------------------
@@ -326,16 +321,17 @@ _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _neighbours(near: int) -> Callable:
-    """Edges from the nodes of a region to the first of those that their sketches reach."""
+    """Edges between the roots of a region's nodes: from each to the smallest of those that their sketches reach."""
 
     def take(rows: list[tuple]) -> Iterator[tuple]:
-        rows = sorted({(r[1], r[2]) for r in rows})
-        if len(rows) < 2:
+        rows = sorted({r[1:] for r in rows})
+        roots = [r[2] for r in rows]
+        if len(set(roots)) < 2:
             return
         if len(rows) == 2:
             x, y = (np.frombuffer(r[1], np.uint8) for r in rows)
             if int((x == y).sum()) >= near:
-                yield rows[1][0], rows[0][0]
+                yield roots[1], roots[0]
             return
         close = _agreement(np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), -1)) >= near
         label = np.arange(len(rows))
@@ -344,13 +340,34 @@ def _neighbours(near: int) -> Callable:
             if (low == label).all():
                 break
             label = low
-        for i, k in enumerate(label.tolist()):
-            if i != k:
-                yield rows[i][0], rows[k][0]
+        yield from {(roots[i], roots[k]) for i, k in enumerate(label.tolist()) if roots[i] != roots[k]}
 
     return take
 
 
+def _shared_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, columns: int = 1 << 19) -> np.ndarray:
+    """How many elements sets[i] and sets[j] share, for pairs with i ascending inside: by bits, some columns at a time."""
+    order = np.argsort(i, kind="stable")
+    first = np.searchsorted(i[order], np.arange(len(sets) + 1))
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[place]
+    ends = np.cumsum([len(s) for s in sets])
+    own = [column[e - len(s) : e] for e, s in zip(ends, sets, strict=True)]
+    total, out = int((times > 1).sum()), np.zeros(len(i), np.int64)
+    for at in range(0, total, columns):
+        width = min(columns, total - at)
+        bits = np.zeros((len(sets), -(-width // 64) * 8), np.uint8)
+        for k, c in enumerate(own):
+            flags = np.zeros(width, bool)
+            flags[c[(c >= at) & (c < at + width)] - at] = True
+            bits[k, : -(-width // 8)] = np.packbits(flags)
+        words = bits.view(np.uint64)
+        for k in range(len(sets)):
+            for pairs in np.array_split(order[first[k] : first[k + 1]], 1 + (first[k + 1] - first[k]) * words.shape[1] // (1 << 21)):
+                out[pairs] += np.bitwise_count(words[k] & words[j[pairs]]).sum(1, dtype=np.int64)
+    return out
+
+
 def _confirmed(forest: Forest) -> Callable:
     """Links inside a cluster, on full sets: a tree of confirmed links over each component."""
 
@@ -369,14 +386,29 @@ def _confirmed(forest: Forest) -> Callable:
         fits = 100 * np.minimum(size[i], size[j]) >= forest.percent * np.maximum(size[i], size[j])
         i, j = i[fits], j[fits]
         order = np.argsort(-same[i, j], kind="stable")
-        united = _Union(len(nodes))
-        for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        i, j = i[order], j[order]
+        united, missed, at = _Union(len(nodes)), 0, 0
+        # Where most are alike, a few comparisons join all; where they are not, the rest is compared in bulk.
+        while at < len(i) and missed <= 4 * len(nodes):
+            a, b = int(i[at]), int(j[at])
+            at += 1
             if united.root(a) != united.root(b):
                 both = np.concatenate([sets[a], sets[b]])
                 both.sort(kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
                 if 100 * shared >= forest.percent * (size[a] + size[b] - shared):
                     united.join(a, b)
+                else:
+                    missed += 1
+        if at < len(i):
+            root = np.array([united.root(k) for k in range(len(nodes))])
+            i, j = i[at:], j[at:]
+            apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
+            shared = _shared_counts(sets, i, j)
+            linked = 100 * shared >= forest.percent * (size[i] + size[j] - shared)
+            for a, b in zip(i[linked].tolist(), j[linked].tolist(), strict=True):
+                united.join(a, b)
         for k in range(len(nodes)):
             yield nodes[k], nodes[united.root(k)]
 
@@ -414,6 +446,34 @@ def components(edges: DataFrame) -> DataFrame:
     return found.join(found.groupBy("root").agg(F.min("node").alias("least")), "root").select("node", F.col("least").alias("root"))
 
 
+def _clusters(nodes: DataFrame, forest: Forest) -> DataFrame:
+    """node, root of all clusters of two nodes or more: what the regions of the trees join and then, for nodes of
+    crowded runs of more clusters than one, what those of the further orders join besides."""
+
+    def joined(regions: DataFrame, known: DataFrame) -> DataFrame:
+        told = regions.select("key", "node").join(known, "node").select("key", "node", "sketch", "root")
+        return told.repartition("key").sortWithinPartitions("key").mapInArrow(_grouped(1, _neighbours(forest.near), _EDGE), "a long, b long")
+
+    found = materialize(_sorted_regions(nodes, forest.orders(), min(forest.depths), forest.crowd), "regions")
+    clusters = materialize(_contracted(joined(found, nodes.select("node", "sketch", F.col("node").alias("root")))), "clusters")
+    crowded = found.where("run is not null").select("run", "node")
+    if crowded.limit(1).count() == 0:
+        return clusters
+    # A crowded run that is of one cluster has nothing left to join.
+    in_run = materialize(crowded.distinct().join(clusters, "node", "left").select("run", "node", F.coalesce("root", "node").alias("root")), "crowded")
+    mixed = in_run.groupBy("run").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("run")
+    unsettled = in_run.join(mixed, "run", "left_semi").select("node").distinct()
+    dense = nodes.select("node", "signature", "sketch").join(unsettled, "node").join(clusters.select("node", F.col("root").alias("own")), "node", "left")
+    dense = materialize(dense.withColumn("root", F.coalesce("own", "node")), "dense")
+    more = _sorted_regions(dense, forest.more_orders(), min(6, forest.dense_depth), max(8, forest.crowd // 4))
+    apart = materialize(joined(more, dense.select("node", "sketch", "root")), "apart")
+    if not apart.count():
+        return clusters
+    above = materialize(_contracted(apart).select(F.col("node").alias("root"), F.col("root").alias("top")), "above")
+    alone = dense.where("own is null").select("root").join(above, "root").select(F.col("root").alias("node"), F.col("top").alias("root"))
+    return materialize(clusters.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(alone), "clusters")
+
+
 def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, text_key, first for every row of docs (doc_id, text).
 
@@ -434,10 +494,7 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("text_key"))
     rows = materialize(read.mapInArrow(_signed(forest), _SIGNED_TYPES), "signed")
     nodes = materialize(rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("doc"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")), "nodes")
-    regions = _regions(nodes, forest).join(nodes.select("node", "sketch"), "node").select("key", "node", "sketch")
-    edges = regions.repartition("key").sortWithinPartitions("key").mapInArrow(_grouped(1, _neighbours(forest.near), _EDGE), "a long, b long")
-    clusters = materialize(_contracted(edges), "clusters")
-    labels = _linked(read, nodes, clusters, forest)
+    labels = _linked(read, nodes, _clusters(nodes, forest), forest)
     joined = nodes.select("node", "doc").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = joined.groupBy("root").agg(F.min("doc").alias("lowest"))
     named = joined.join(lowest, "root").select("node", "lowest")
