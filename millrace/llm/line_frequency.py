@@ -28,14 +28,12 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 @dataclass(frozen=True)
 class LineRules:
     """min_words, max_repeat_percent: the basic rules. max_line_docs: a line in more distinct documents
-    of its host is boilerplate, whatever the host's size. max_line_per_mille: a share that OP10_SQL
-    asks for on top, which makes a difference on hosts of over 30,000 texts; the operator
-    does not read it. min_kept_percent: a document needs this share of its words outside such lines."""
+    of its host is boilerplate, whatever the host's size. min_kept_percent: a document needs this share
+    of its words outside such lines."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
     max_line_docs: int = 30
-    max_line_per_mille: int = 1
     min_kept_percent: int = 50
 
 
