@@ -48,6 +48,10 @@ def _pivot(rows: list[tuple], unit: np.random.Generator) -> list[tuple]:
         return out
     a, size_a, p = rows[0]
     for (b, size_b, q), u in zip(rows[1:], unit.random(len(rows) - 1), strict=True):
+        if not 0 < p < 1:  # both ended at once
+            out.append((a, size_a, p))
+            a, size_a, p = b, size_b, q
+            continue
         up = min((1 - p) * size_a, q * size_b)  # words that can go from b to a
         down = min(p * size_a, (1 - q) * size_b)
         give = up if u * (up + down) < down else -down
@@ -90,19 +94,22 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     documents without words (empty or null text) are taken as often as the whole part says and never
     rounded, for they add no words. The words taken of a source miss its target by less than one
     document. Rounding is decided by hashes of id and text, so a rerun agrees whatever the
-    partitions; rows with the same id and text may swap their roles. A clashing column of docs
-    (size, source_size, target, copies) is replaced. An empty table gives an empty mix.
+    partitions; rows with the same id and text may swap their roles. A column of docs named as one of the four
+    new ones is replaced; all others stay, whatever their names. An empty table gives an empty mix.
     """
-    clash = [c for c in docs.columns if c in ("size", "source_size", "target", "copies", "key", "row_id")]
-    return mix_sized(docs.drop(*clash).withColumns({"size": word_count(F.col("text")), "key": F.xxhash64("doc_id", "text")}), **how).drop("key", "row_id")
+    made = ("size", "source_size", "target", "copies")
+    keep = [c for c in docs.columns if c not in made]
+    held = docs.select(F.struct(*keep).alias("doc"), "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("key"))
+    return mix_sized(held, **how).select(*(F.col("doc")[c].alias(c) for c in keep), *made)
 
 
 def mix_sized(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = 0) -> DataFrame:
-    """mix() for rows that have source, size and key, a hash that names the row.
+    """mix() for rows that have source, size and key, a hash that names the row, and at most a column doc besides.
 
-    Only one row per source (its name and words) comes to the driver; documents stay in blocks of
+    Only one row per source (its name and words) comes to the driver: sources are what weights are given to, so
+    there are not more of them than a driver can hold. Documents stay in blocks of
     about `block` rows of one source, dealt by hash, so a source with a third of all rows is
-    many blocks. Levels of the tree: log(documents) / log(block).
+    many blocks; so is a row that is repeated that often, for the repeats of such a key are dealt by row. Levels of the tree: log(documents) / log(block).
     """
     rows = materialize(docs.withColumn("row_id", F.monotonically_increasing_id()), "sizes")
     sums = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).collect()
@@ -115,7 +122,10 @@ def mix_sized(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: floa
     )
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     wished = rows.join(plan, F.col("source").eqNullSafe(F.col("name"))).withColumns({"base": F.floor(ratio), "p": ratio - F.floor(ratio)})
-    level = wished.where("size > 0 and p > 0").select("row_id", "key", "source_no", "size", "p", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("blocks")).alias("block"))
+    narrow = wished.where("size > 0 and p > 0").select("row_id", "key", "source_no", "size", "p", "blocks")
+    often = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max(1, block // 4)).select("key", F.lit(True).alias("often"))
+    dealt = F.pmod(F.xxhash64("key", F.lit(seed), F.when(F.col("often"), F.col("row_id")).otherwise(0)), F.col("blocks"))
+    level = narrow.join(often, "key", "left").select("row_id", "key", "source_no", "size", "p", dealt.alias("block"))
     most_blocks, drawn = max([1, *blocks]), []
     while True:
         out = materialize(level.groupBy("source_no", "block").applyInArrow(_rounded(seed, most_blocks == 1), _TYPES), "pivotal")
@@ -123,7 +133,7 @@ def mix_sized(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: floa
         if most_blocks == 1:
             break
         most_blocks = -(-most_blocks // block)
-        level = out.where("p > 0 and p < 1").withColumn("block", F.pmod(F.xxhash64("key", F.lit(most_blocks)), F.lit(most_blocks)))
+        level = out.where("p > 0 and p < 1").withColumn("block", F.pmod(F.xxhash64("key", "row_id", F.lit(most_blocks)), F.lit(most_blocks)))
     ones = reduce(DataFrame.union, drawn).where("p = 1").select("row_id", F.lit(1).alias("one"))
     taken = wished.join(ones, "row_id", "left").withColumn("copies", (F.col("base") + F.coalesce("one", F.lit(0))).cast("long"))
     return taken.drop("one", "base", "p", "blocks", "name", "source_no")

@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm._shared import materialize, tokenizer_path
 
-SIZE, END_ID, SALTS = 1024, 2, 64
+SIZE, END_ID = 1024, 2
+#: Pieces of one length that a task ranks, and the most counts that come to the driver, but for one a length.
+RANKED, COUNTS = 2_000, 100_000
 _ENCODERS: dict[str, Callable[[str], bytes]] = {}
 
 
@@ -180,32 +182,40 @@ def _places(patterns: list[tuple[tuple[int, ...], int]], size: int) -> dict[int,
     return {k: tuple(np.array(x, np.int64) for x in zip(*v, strict=True)) for k, v in runs.items()}
 
 
-def pack(pieces: DataFrame, size: int = SIZE, salts: int = SALTS) -> DataFrame:
+def pack(pieces: DataFrame, size: int = SIZE, ranked: int = RANKED) -> DataFrame:
     """pieces with sequence_id and offset: sequences of at most `size` tokens without gaps inside.
 
-    Pieces are counted by (length, salt): at most size * salts counts come to the driver, whatever
-    the table's size. Ranks are taken inside (length, salt) and shifted by the counts of
-    the salts before, so a length that a third of all pieces have is ranked in `salts` tasks.
-    Repeated rows are pieces of their own. An empty table gives an empty result.
+    Pieces of one length are told apart by doc_id, piece, start and ids_crc32; ties take places in any order. A
+    length that many pieces have is dealt to as many salts as it has `ranked` pieces (more, where that would be over
+    COUNTS salts in all), ranks are taken inside (length, salt) and shifted by the counts of the salts before; so a
+    length that a third of all pieces have is no single task's, and at most size + COUNTS counts come to the driver, whatever
+    the table's size. Repeated rows are pieces of their own. Columns named sequence_id or offset are
+    replaced; names that begin with two underscores are this function's own. An empty table gives an empty result.
     """
     spark = pieces.sparkSession
-    pieces = materialize(pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")), "pieces")
-    held = sorted((r["length"], r["_salt"], r["n"]) for r in pieces.groupBy("length", "_salt").agg(F.count("*").alias("n")).collect())
-    counts: dict[int, int] = {}
-    before = np.zeros((size + 1, salts), np.int64)
+    pieces = materialize(pieces.drop("sequence_id", "offset"), "pieces")
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    per = max(ranked, -(-sum(counts.values()) // COUNTS))
+    salts = np.array([-(-counts.get(length, 0) // per) for length in range(size + 1)], np.int64)
+    many = F.element_at(F.array(*(F.lit(int(max(1, n))) for n in salts)), F.col("length").cast("int") + 1)
+    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), many).cast("int"))
+    base = np.cumsum(salts) - salts
+    shift = np.zeros(int(salts.sum()) + 1, np.int64)
+    held = sorted((r["length"], r["__salt"], r["n"]) for r in salted.groupBy("length", "__salt").agg(F.count("*").alias("n")).collect())
+    before = dict.fromkeys(counts, 0)
     for length, salt, n in held:
-        before[length, salt] = counts.get(length, 0)
-        counts[length] = counts.get(length, 0) + n
-    places = spark.sparkContext.broadcast((before, _places(plan(counts, size), size)))
-    order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = pieces.withColumn("_rank", F.row_number().over(order) - 1)
-    own = [c for c in pieces.columns if c != "_salt"]
+        shift[base[length] + salt] = before[length]
+        before[length] += n
+    places = spark.sparkContext.broadcast((base, shift, _places(plan(counts, size), size)))
+    order = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "start", "ids_crc32")
+    placed = salted.withColumn("__rank", F.row_number().over(order) - 1)
+    own = pieces.columns
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shift, runs = places.value
+        base, shift, runs = places.value
         for batch in batches:
             length = batch["length"].to_numpy(zero_copy_only=False)
-            rank = batch["_rank"].to_numpy(zero_copy_only=False) + shift[length, batch["_salt"].to_numpy(zero_copy_only=False)]
+            rank = batch["__rank"].to_numpy(zero_copy_only=False) + shift[base[length] + batch["__salt"].to_numpy(zero_copy_only=False)]
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for x in np.unique(length):
                 first, at, off = runs[int(x)]
@@ -215,8 +225,8 @@ def pack(pieces: DataFrame, size: int = SIZE, salts: int = SALTS) -> DataFrame:
                 offset[mine] = off[run]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in own), pa.array(sequence), pa.array(offset)], names=[*own, "sequence_id", "offset"])
 
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "_salt")
-    return ranked.mapInArrow(place, f"{types}, sequence_id long, offset long")
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    return placed.mapInArrow(place, f"{types}, sequence_id long, offset long")
 
 
 def packed(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end_id: int = END_ID) -> DataFrame:

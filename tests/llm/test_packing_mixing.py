@@ -18,14 +18,13 @@ RANKS = tokenizer_path("byte_bpe_50k.tiktoken")
 @pytest.fixture(scope="module")
 def reference():
     t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 
 def test_ids_are_those_of_the_published_tokenizer(reference):
     unit = random.Random(2)
     bits = ["a", "the", " ", "  ", "\n", "\t", "é", "'s", "12", "!!", "<|endoftext|>", " ", "\x1c", "日本", "   "]
-    encode = packing.encoder(RANKS)
+    encode = packing.published_encoder(RANKS)
     for _ in range(3000):
         text = "".join(unit.choice(bits) for _ in range(unit.randint(0, 12)))
         assert [*np.frombuffer(encode(text), "<u4"), 2] == reference(text)
@@ -145,7 +144,48 @@ def test_pivotal_keeps_expected_words():
     assert np.abs(sums / 4000 - [p for _, _, p in rows]).max() < 0.04
 
 
+def test_pivotal_of_equal_rows_keeps_words():
+    for seed in range(50):
+        done = mixing._pivot([(k, 3, 0.5) for k in range(101)], np.random.default_rng(seed))
+        assert len(done) == 101 and sum(s * p for _, s, p in done) == pytest.approx(3 * 50.5)
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, source string, text string")).collect() == []
     only = spark.createDataFrame([(1, "a", ""), (2, "a", None)], "doc_id long, source string, text string")
     assert [r.copies for r in mixing.mix(only).select(F.col("copies")).collect()] == [0, 0]
+
+
+def test_names_of_columns_do_not_clash(spark):
+    names = ["base", "p", "one", "blocks", "source_no", "name", "row_id", "key", "often", "doc", "block", "size", "target"]
+    rows = [(k, f"s{k % 2}", "w " * (k % 7), *(f"{n}{k}" for n in names)) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, " + ", ".join(f"{n} string" for n in names))
+    got = mixing.mix(df).collect()
+    assert len(got) == 60 and set(got[0].asDict()) == {*df.columns, "source_size", "copies"}
+    for r in got:
+        assert all(r[n] == f"{n}{r.doc_id}" for n in names if n not in ("size", "target"))
+        assert r.size == len(r.text.split())
+    pieces = packing.cut(spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string"), RANKS)
+    odd = pieces.withColumns({"sequence_id": F.lit("x"), "offset": F.lit("y"), "rank": F.lit(7), "salt": F.lit("s")})
+    assert sorted((r.doc_id, r.offset, r["rank"], r.salt) for r in packing.pack(odd).collect()) == [(1, 0, 7, "s"), (2, 3, 7, "s")]
+
+
+def test_a_row_that_is_repeated_often_is_many_blocks(spark):
+    rows = [(1, "a", "same words here")] * 900 + [(k, "a", "w " * (k % 9 + 1)) for k in range(2, 300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), share=0.5, block=100).collect()
+    assert len(got) == len(rows) and abs(sum(r.copies * r["size"] for r in got) - got[0].target) <= 9
+
+
+def test_lengths_that_many_pieces_have_are_dealt_to_salts(spark):
+    df = spark.createDataFrame([(k, "a b c" if k % 3 else "a " * (k % 40)) for k in range(2000)], "doc_id long, text string")
+    got = packing.pack(packing.cut(df, RANKS, size=64), size=64, ranked=20).collect()
+    spans = defaultdict(list)
+    for r in got:
+        spans[r.sequence_id].append((r.offset, r.length))
+    assert len(got) == 2000
+    for own in spans.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 64
