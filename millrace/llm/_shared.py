@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,14 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def aside(docs: DataFrame, names: set[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with its columns of these names put into one struct column, out of an operator's way; and what takes
+    the operator's result back to the columns of docs, as they were."""
+    held, columns = [c for c in docs.columns if c in names], docs.columns
+    put = docs.withColumn("__own", F.struct(*held)).drop(*held) if held else docs
+    return put, lambda done: done.select(*(F.col("__own")[c].alias(c) if c in held else F.col(c) for c in columns))
+
+
 def id_remainder(column: str, of: int) -> Column:
     """crc32 of the id written as text, modulo `of`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % of

@@ -47,6 +47,24 @@ def test_stages(spark, folder):
     assert set(ids["packing"]) == set(ids["mixing"])
 
 
+def test_near_duplicates_lose_no_row_of_their_own(spark, folder):
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [(1, words(1)), (2, words(1)), (2, words(2)), (5, words(3)), (5, words(4)), (3, words(3) + " more"), (None, words(1)), (None, words(1)), (8, None), (8, None), (9, None), (10, "")]
+    df = spark.createDataFrame([(i, t, f"l{k}") for k, (i, t) in enumerate(rows)], "doc_id long, text string, node string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, df, folder).collect()]
+    want = [(1, words(1)), (2, words(2)), (3, words(3) + " more"), (5, words(4)), (None, words(1)), (None, words(1)), (8, None), (9, None), (10, "")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_columns_named_like_an_operators_own_stay(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "'a' score", "'b' predicted", "'c' held_out", "'d' n_entities", "'e' size", "'f' copies", "'g' target", "'h' kept", "'i' component_id", "'j' base")
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, folder), name)
+        assert docs.columns == names
+        assert {tuple(r) for r in docs.select(*names[5:]).distinct().collect()} == {tuple("abcdefghij")}
+
+
 def test_run_and_empty_tables(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() > 100
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
