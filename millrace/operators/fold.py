@@ -74,14 +74,44 @@ def split_moves(ops: DataFrame, strict: bool = True) -> DataFrame:
     return out.unionByName(new.withColumn("op", F.lit("insert")).withColumn("pk", F.col("new_pk")).withColumn("pos", F.col("pos") * 2 + 1)).drop("new_pk")
 
 
-def bag(inserted: DataFrame, deleted: DataFrame, by_all_columns: bool = True) -> DataFrame:
-    """Tables without a key: rows pile up. A delete takes every row equal to it in all columns (never
-    one with a null, for null is equal to nothing); or, not by_all_columns, deletes are passed over."""
-    return inserted.join(deleted.distinct(), inserted.columns, "left_anti") if by_all_columns else inserted
+def bag(ops: DataFrame, columns: list[str], by_all_columns: bool = True) -> DataFrame:
+    """Tables without a key: rows pile up. ops: pos, op, columns and, of an update, the row before it as a struct
+    `before` of the same columns.
+
+    A delete takes every row that is there by then and equal to it in all columns (never one with a null, for null is
+    equal to nothing). An update takes the rows equal to `before` and puts one row, as the source did; an applier
+    that changes several equal rows at once would put as many as it takes, which this does not follow. With
+    by_all_columns = False updates and deletes are passed over, as appliers do that want a key.
+
+    Rows of one content meet in one aggregate: what was put there after the last taking stays.
+    """
+    put = ops.where(F.col("op").isin("insert", "update") if by_all_columns else F.col("op") == "insert").select("pos", *columns)
+    if not by_all_columns:
+        return put.select(*columns)
+    taken = ops.where("op = 'delete'").select("pos", *columns)
+    if "before" in ops.columns:
+        taken = taken.unionByName(ops.where("op = 'update'").select("pos", *(F.col("before")[c].alias(c) for c in columns)))
+    last = taken.dropna(subset=columns).groupBy(*columns).agg(F.max("pos").alias("_last"))
+    return put.join(last, columns, "left").where(F.col("_last").isNull() | (F.col("pos") > F.col("_last"))).select(*columns)
 
 
 def partial(ops: DataFrame, columns: tuple[str, ...] = ROW) -> DataFrame:
-    """Changes with partial images: of each column the last value that was present (map `present`)."""
-    each = [F.max_by(F.col(c), F.when(F.element_at("present", F.lit(c)), F.col("pos"))).alias(c) for c in columns]
-    born = F.max_by(F.col("op"), F.when(F.col("op") != "update", F.col("pos")))
-    return ops.groupBy(*KEY).agg(born.alias("_born"), *each).where("_born = 'insert'").drop("_born")
+    """Changes with partial images: of each column the last value that was present (map `present`) since the key's
+    last delete, and null if there was none. The image of a delete is no value."""
+    at = lambda ok: F.max_by(F.struct("pos", "op"), F.when(ok, F.col("pos")))
+    each = [F.max_by(F.struct("pos", F.col(c).alias("value")), F.when(F.element_at("present", F.lit(c)) & (F.col("op") != "delete"), F.col("pos"))).alias(c) for c in columns]
+    last = ops.groupBy(*KEY).agg(at(F.col("op") != "update").alias("_born"), at(F.col("op") == "delete").alias("_dead"), *each)
+    since = lambda c: F.when(F.col("_dead").isNull() | (F.col(c)["pos"] > F.col("_dead")["pos"]), F.col(c)["value"]).alias(c)
+    return last.where(F.col("_born")["op"] == "insert").select(*KEY, *(since(c) for c in columns))
+
+
+def surviving(ops: DataFrame, statements: DataFrame) -> DataFrame:
+    """ops (pos, db, tab, ...) that no later statement (pos, kind, db, tab) emptied: TRUNCATE or DROP of their table,
+    or DROP of their database. Folds of them are what is there in the end.
+
+    Statements are summed to one row a table and one a database before changes meet them.
+    """
+    table = statements.where("kind in ('ddl_truncate_table', 'ddl_drop_table')").groupBy("db", "tab").agg(F.max("pos").alias("_emptied"))
+    database = statements.where("kind = 'ddl_drop_database'").groupBy("db").agg(F.max("pos").alias("_dropped"))
+    met = ops.join(table, ["db", "tab"], "left").join(database, "db", "left")
+    return met.where((F.col("pos") > F.coalesce("_emptied", F.lit(-2))) & (F.col("pos") > F.coalesce("_dropped", F.lit(-2)))).select(*ops.columns)

@@ -49,13 +49,18 @@ def number_rate(ops: DataFrame, seconds: int) -> DataFrame:
     return marks.select("server_uuid", "poll", "mark", F.round(rate, 6).alias("rate"))
 
 
-def delay_alert(delays: DataFrame, at_least: int = 10, for_seconds: int = 60) -> DataFrame:
-    """db, second, delay, firing: whether max(delay - 1, 0) was at_least during the whole time before.
+def delay_alert(delays: DataFrame, at_least: int = 10, for_seconds: int = 60, step: int | None = None) -> DataFrame:
+    """db, second, delay, firing: whether max(delay - 1, 0) has been at_least for for_seconds without a break.
 
-    delays: db, second (epoch), delay. They are first made one sample a second, so windows grow with
-    time, not with the number of changes.
+    delays: db, second (epoch), delay. It takes a sample for_seconds ago or earlier and none too low since: one that
+    begins just now is pending, not firing. A gap of more than `step` seconds between samples (if given) breaks a run.
+    Delays are first made one sample a second, so the windows grow with time, not with the number of changes.
     """
     sampled = delays.groupBy("db", "second").agg(F.max("delay").alias("delay"))
-    level = F.greatest(F.col("delay") - 1, F.lit(0))
-    frame = Window.partitionBy("db").orderBy("second").rangeBetween(-for_seconds, 0)
-    return sampled.select("db", "second", "delay", (F.min(level).over(frame) >= at_least).alias("firing"))
+    order = Window.partitionBy("db").orderBy("second")
+    low = F.greatest(F.col("delay") - 1, F.lit(0)) < at_least
+    gap = F.col("second") - F.lag("second").over(order) > step if step is not None else F.lit(False)
+    seen = sampled.withColumn("_low", low).withColumn("_opens", F.coalesce(low | F.lag(low).over(order) | gap, F.lit(True)))
+    # The first sample of the run that a sample stands in.
+    began = F.max(F.when(F.col("_opens"), F.col("second"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return seen.withColumn("_began", began).select("db", "second", "delay", (~F.col("_low") & (F.col("second") - F.col("_began") >= for_seconds)).alias("firing"))

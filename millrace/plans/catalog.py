@@ -383,11 +383,29 @@ def fold_pk_move(spark: SparkSession, folder: str) -> DataFrame:
     return fold.replace(fold.split_moves(moved))
 
 
-@query("""WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem), d AS (SELECT * FROM a WHERE l_orderkey % 10 = 0 AND l_linenumber = 1)
-  SELECT * FROM a ANTI JOIN (SELECT DISTINCT * FROM d) AS x USING (l_orderkey, l_linenumber, l_quantity, l_returnflag)""")
+# A table without a key: every change is an event's (event_type, user_id % 50, null for some); each is replayed by counting, per
+# content, what was put after the last taking.
+_BAG = """WITH c AS (SELECT event_id AS pos, CASE event_type WHEN 'signup' THEN 'insert' WHEN 'error' THEN 'delete' ELSE 'update' END AS op, user_id % 50 AS a,
+    CASE WHEN user_id % 11 = 0 THEN NULL ELSE event_id % 3 END AS b, user_id % 50 AS a0, CASE WHEN user_id % 11 = 0 THEN NULL ELSE (event_id + 1) % 3 END AS b0 FROM events),
+  put AS (SELECT pos, a, b FROM c WHERE op <> 'delete'), taken AS (SELECT pos, a, b FROM c WHERE op = 'delete' UNION ALL SELECT pos, a0, b0 FROM c WHERE op = 'update')"""
+
+
+@query(_BAG + " SELECT a, b, count(*) AS copies FROM put AS p WHERE NOT EXISTS (SELECT 1 FROM taken AS t WHERE t.a = p.a AND t.b = p.b AND t.pos >= p.pos) GROUP BY a, b")
 def fold_no_pk(spark: SparkSession, folder: str) -> DataFrame:
-    rows = oplog.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
-    return fold.bag(rows, rows.where("l_orderkey % 10 = 0 and l_linenumber = 1"))
+    events = oplog.table(spark, folder, "events")
+    kind = F.when(F.col("event_type") == "signup", "insert").when(F.col("event_type") == "error", "delete").otherwise("update")
+    b = lambda n: F.when(F.col("user_id") % 11 != 0, n % 3)
+    ops = events.select(F.col("event_id").alias("pos"), kind.alias("op"), (F.col("user_id") % 50).alias("a"), b(F.col("event_id")).alias("b"), F.struct((F.col("user_id") % 50).alias("a"), b(F.col("event_id") + 1).alias("b")).alias("before"))
+    return fold.bag(ops, ["a", "b"]).groupBy("a", "b").agg(F.count("*").alias("copies"))
+
+
+@query("""WITH {ops}, s AS (SELECT event_id AS pos, event_id % 3 AS k, CASE WHEN user_id % 10 = 9 THEN 'mysql' WHEN user_id % 10 = 8 THEN 'audit' ELSE 'shop' END AS db, CASE WHEN user_id % 2 = 0 THEN 'users' ELSE 'carts' END AS tab FROM events WHERE event_id % 499 = 0),
+  l AS (SELECT * FROM ops AS o WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.db = o.db AND s.pos >= o.pos AND (k = 2 OR s.tab = o.tab))),
+  r AS (SELECT *, row_number() OVER (PARTITION BY db, tab, pk ORDER BY pos DESC) AS n FROM l) SELECT db, tab, pk, value, props FROM r WHERE n = 1 AND op <> 'delete'""")
+def fold_after_drop(spark: SparkSession, folder: str) -> DataFrame:
+    ops = oplog.read(spark, folder)
+    kinds = F.get(F.array(F.lit("ddl_truncate_table"), F.lit("ddl_drop_table"), F.lit("ddl_drop_database")), (F.col("pos") % 3).cast("int"))
+    return fold.replace(fold.surviving(ops, ops.where("pos % 499 = 0").select("pos", kinds.alias("kind"), "db", "tab")))
 
 
 @query("""WITH {ops}, o AS (SELECT * FROM ops WHERE pos >= 2000), b AS (SELECT -1 AS pos, 'insert' AS op, db, tab, pk, value, props FROM (SELECT *, row_number() OVER (PARTITION BY db, tab, pk ORDER BY pos DESC) AS n FROM ops WHERE pos < 2000) WHERE n = 1 AND op <> 'delete'),
@@ -397,8 +415,9 @@ def fold_onto_base(spark: SparkSession, folder: str) -> DataFrame:
     return fold.replace(fold.with_base(ops.where("pos >= 2000"), fold.replace(ops.where("pos < 2000"))))
 
 
-@query("""WITH {ops}, v AS (SELECT db, tab, pk, arg_max(value, pos) AS value FROM ops WHERE pos % 3 <> 0 GROUP BY ALL), p AS (SELECT db, tab, pk, arg_max(props, pos) AS props FROM ops WHERE pos % 5 <> 0 GROUP BY ALL),
-  b AS (SELECT db, tab, pk, arg_max(op, pos) AS born FROM ops WHERE op <> 'update' GROUP BY ALL) SELECT b.db, b.tab, b.pk, value, props FROM b LEFT JOIN v USING (db, tab, pk) LEFT JOIN p USING (db, tab, pk) WHERE born = 'insert'""")
+@query("""WITH {ops}, d AS (SELECT *, coalesce(max(pos) FILTER (op = 'delete') OVER (PARTITION BY db, tab, pk), -2) AS dead FROM ops), a AS (SELECT * FROM d WHERE pos > dead),
+  v AS (SELECT DISTINCT ON (db, tab, pk) db, tab, pk, value FROM a WHERE pos % 3 <> 0 ORDER BY db, tab, pk, pos DESC), p AS (SELECT DISTINCT ON (db, tab, pk) db, tab, pk, props FROM a WHERE pos % 5 <> 0 ORDER BY db, tab, pk, pos DESC),
+  b AS (SELECT DISTINCT db, tab, pk FROM a WHERE op = 'insert') SELECT b.db, b.tab, b.pk, value, props FROM b LEFT JOIN v USING (db, tab, pk) LEFT JOIN p USING (db, tab, pk)""")
 def fold_partial_images(spark: SparkSession, folder: str) -> DataFrame:
     present = F.create_map(F.lit("value"), F.col("pos") % 3 != 0, F.lit("props"), F.col("pos") % 5 != 0)
     return fold.partial(oplog.read(spark, folder).withColumn("present", present))
@@ -436,8 +455,10 @@ def gno_rate(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.number_rate(oplog.read(spark, folder), 3600)
 
 
-@query("""WITH {ops}, s AS (SELECT db, CAST(floor(epoch(ts)) AS BIGINT) AS second, max(trx_no % 31) AS delay FROM ops GROUP BY ALL)
-  SELECT db, second, delay, min(greatest(delay - 1, 0)) OVER (PARTITION BY db ORDER BY second RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) >= 10 AS firing FROM s""")
+@query("""WITH {ops}, s AS (SELECT db, CAST(floor(epoch(ts)) AS BIGINT) AS second, max(trx_no % 31) AS delay FROM ops GROUP BY ALL),
+  o AS (SELECT *, delay - 1 < 10 AS low, lag(delay - 1 < 10) OVER w AS before_low FROM s WINDOW w AS (PARTITION BY db ORDER BY second)),
+  g AS (SELECT *, sum(CASE WHEN low OR coalesce(before_low, true) THEN 1 ELSE 0 END) OVER (PARTITION BY db ORDER BY second) AS run FROM o)
+  SELECT db, second, delay, NOT low AND second - min(second) OVER (PARTITION BY db, run) >= 3600 AS firing FROM g""")
 def delay_alert(spark: SparkSession, folder: str) -> DataFrame:
     delays = oplog.read(spark, folder).select("db", F.unix_timestamp("ts").alias("second"), (F.col("trx_no") % 31).alias("delay"))
     return metrics.delay_alert(delays, 10, 3600)
@@ -552,7 +573,7 @@ def text_helpers(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT o_custkey, CAST(floor(median(o_orderkey)) AS BIGINT) AS middle FROM orders GROUP BY o_custkey")
 def median_int(spark: SparkSession, folder: str) -> DataFrame:
-    return oplog.table(spark, folder, "orders").groupBy("o_custkey").agg(values.middle(F.collect_list("o_orderkey")).alias("middle"))
+    return oplog.table(spark, folder, "orders").groupBy("o_custkey").agg(F.floor(F.median("o_orderkey")).cast("long").alias("middle"))
 
 
 @query("SELECT event_id AS pos, CASE WHEN event_id % 5 = 0 THEN 'NULL' WHEN event_id % 5 = 1 THEN 'FROM_UNIXTIME(' || event_id || ')' WHEN event_id % 5 = 2 THEN CAST(event_id AS VARCHAR) ELSE '''' || props || '''' END AS cell FROM events")
@@ -630,7 +651,7 @@ def stream_fold(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("WITH {ops} SELECT server_uuid, max(trx_id) AS mark FROM trx GROUP BY server_uuid")
 def stream_marks(spark: SparkSession, folder: str) -> DataFrame:
-    ops = apply.first_seen(oplog.derived(apply.stream_table(spark, f"{folder}/events.parquet")))
+    ops = oplog.derived(apply.stream_table(spark, f"{folder}/events.parquet"))
     at = apply.fresh_folder(spark, "stream")
-    last = apply.run_available(ops, apply.apply_to(at), f"{at}/checkpoint")
+    last = apply.run_available(ops, apply.apply_to(at, skip_applied=True), f"{at}/checkpoint")
     return spark.read.parquet(f"{at}/marks/v={last}")

@@ -189,8 +189,24 @@ def details(kind: str, body: bytes, server_version: tuple[int, ...] = (8, 0)) ->
     return {}
 
 
+# Collation ids by codec.
+_CODECS = {
+    "binary": (63,), "ascii": (11, 65), "big5": (1, 84), "cp1250": (26, 34, 44, 66, 99), "cp1251": (14, 23, 50, 51, 52), "cp1252": (5, 8, 15, 31, 47, 48, 49, 94),
+    "cp1256": (57, 67), "cp1257": (29, 58, 59), "cp850": (4, 80), "cp852": (40, 81), "cp866": (36, 68), "cp932": (95, 96), "euc_jp": (12, 91, 97, 98),
+    "euc_kr": (19, 85), "gb18030": range(248, 251), "gb2312": (24, 86), "gbk": (28, 87), "iso8859_2": (2, 9, 21, 27, 77), "iso8859_7": (25, 70), "iso8859_8": (16, 71),
+    "iso8859_9": (30, 78), "iso8859_13": (20, 41, 42, 79), "koi8_r": (7, 74), "koi8_u": (22, 75), "mac_latin2": (38, 43), "mac_roman": (39, 53), "shift_jis": (13, 88),
+    "tis_620": (18, 89), "utf-16-be": (35, 54, 55, 90, *range(101, 125), *range(128, 152), 159), "utf-16-le": (56, 62), "utf-32-be": (60, 61, *range(160, 184)),
+}
+_CODEC = {n: codec for codec, ids in _CODECS.items() for n in ids}
+
+
+def codec(collation: int) -> str:
+    """The codec of a collation id; all that is named nowhere else is a form of utf-8."""
+    return _CODEC.get(collation, "utf-8")
+
+
 def table_map(body: bytes) -> dict:
-    """table_id, db, tab and columns, with what the optional metadata says of names, signs, keys and labels."""
+    """table_id, db, tab and columns, with what the optional metadata says of names, signs, keys, charsets and labels."""
     r = Reader(body)
     out = {"table_id": r.uint(6)}
     r.take(2)
@@ -202,8 +218,9 @@ def table_map(body: bytes) -> dict:
     types = r.take(n)
     columns = column_types(types, r.take(r.packed()))
     r.take((n + 7) // 8)
-    numeric = [c for c in columns if c["type"] in (1, 2, 3, 4, 5, 8, 9, 246)]
+    numeric = [c for c in columns if c["type"] in (1, 2, 3, 4, 5, 8, 9, 13, 246)]
     texts = [c for c in columns if c["type"] in (15, 252, 253, 254)]
+    labelled = [c for c in columns if c["type"] in (247, 248)]
     while r.left() > 1:
         tag = r.uint(1)
         own = Reader(r.take(r.packed()))
@@ -211,22 +228,26 @@ def table_map(body: bytes) -> dict:
             raw = own.data
             for k, c in enumerate(numeric):
                 c["unsigned"] = bool(raw[k >> 3] >> (7 - (k & 7)) & 1)
-        elif tag == 2:
+        elif tag in (2, 10):  # one collation for all, and those that have another
+            of = texts if tag == 2 else labelled
             usual = own.packed()
-            for c in texts:
-                c["charset"] = "binary" if usual == 63 else "utf-8"
+            for c in of:
+                c["charset"] = codec(usual)
             while own.left():
-                k, charset = own.packed(), own.packed()
-                texts[k]["charset"] = "binary" if charset == 63 else "utf-8"
-        elif tag == 3:
-            for c in texts:
-                c["charset"] = "binary" if own.packed() == 63 else "utf-8"
+                k, other = own.packed(), own.packed()
+                of[k]["charset"] = codec(other)
+        elif tag in (3, 11):
+            for c in texts if tag == 3 else labelled:
+                c["charset"] = codec(own.packed())
+        elif tag == 7:
+            for c in (c for c in columns if c["type"] == 255):
+                c["geometry"] = own.packed()
         elif tag == 4:
             for c in columns:
                 c["name"] = own.text(own.packed())
         elif tag in (5, 6):
             for c in (c for c in columns if c["type"] == (248 if tag == 5 else 247)):
-                c["labels"] = [own.text(own.packed()) for _ in range(own.packed())]
+                c["labels"] = [own.take(own.packed()) for _ in range(own.packed())]
         elif tag in (8, 9):
             while own.left():
                 columns[own.packed()]["primary"] = True
@@ -235,6 +256,9 @@ def table_map(body: bytes) -> dict:
         elif tag == 12:
             for k, c in enumerate(columns):
                 c["visible"] = bool(own.data[k >> 3] >> (7 - (k & 7)) & 1)
+    for c in labelled:  # their charset comes after them
+        if "labels" in c:
+            c["labels"] = [x.decode(c.get("charset", "utf-8") if c.get("charset") != "binary" else "utf-8", "replace") for x in c["labels"]]
     out["columns"] = columns
     return out
 
@@ -263,8 +287,24 @@ def mapped(of: DataFrame, freeze: bool = False) -> DataFrame:
     return some.withColumn("map", pick).where(F.col("kind").isin(*ROWS) & F.col("map").isNotNull()).drop("_gen", "_map")
 
 
-_ROW = pa.schema([("src_file", pa.string()), ("pos", pa.int64()), ("row_idx", pa.int32()), ("ts", pa.int64()), ("db", pa.string()), ("tab", pa.string()), ("op", pa.string()), ("pk_cols", pa.list_(pa.string())), ("before", pa.string()), ("after", pa.string()), ("none_sources", pa.string())])
-ROW_TYPES = "src_file string, pos long, row_idx int, ts long, db string, tab string, op string, pk_cols array<string>, before string, after string, none_sources string"
+_ROW = pa.schema([("src_file", pa.string()), ("pos", pa.int64()), ("row_idx", pa.int32()), ("ts", pa.int64()), ("db", pa.string()), ("tab", pa.string()), ("op", pa.string()), ("pk_cols", pa.list_(pa.string())), ("before", pa.string()), ("after", pa.string()), ("none_sources", pa.string()), ("extra", pa.string())])
+ROW_TYPES = "src_file string, pos long, row_idx int, ts long, db string, tab string, op string, pk_cols array<string>, before string, after string, none_sources string, extra string"
+
+
+def extra_data(kind: str, body: bytes) -> dict:
+    """What a row event of the second version says besides its rows: partitions, or what an NDB engine adds."""
+    r = Reader(body, 8)
+    own = Reader(r.take(r.uint(2) - 2))
+    out: dict = {}
+    while own.left():
+        if own.uint(1) == 0:
+            size, form = own.uint(1), own.uint(1)
+            out |= {"ndb_format": form, "ndb_data": own.take(max(0, size - 2)).hex()}
+        elif kind in ("update_rows", "partial_update_rows"):
+            out |= {"partition_id": own.uint(2), "source_partition_id": own.uint(2)}
+        else:
+            out["partition_id"] = own.uint(2)
+    return out
 
 
 def decode_rows(kind: str, code: int, body: bytes, columns: list[dict]) -> Iterator[tuple[dict | None, dict | None, dict]]:
@@ -336,9 +376,10 @@ def changes(of: DataFrame) -> DataFrame:
                     if len(known) > 1000:
                         known.clear()
                     m = known[e["map"]] = table_map(e["map"])
+                extra = extra_data(e["kind"], e["body"]) if e["type"] >= 30 else {}
                 keys = [c.get("name") or f"UNKNOWN_COL{k}" for k, c in enumerate(m["columns"]) if c.get("primary")]
                 for k, (before, after, why) in enumerate(decode_rows(e["kind"], e["type"], e["body"], m["columns"])):
-                    out.append({"src_file": e["src_file"], "pos": e["pos"], "row_idx": k, "ts": e["ts"], "db": m["db"], "tab": m["tab"], "op": names[e["kind"]], "pk_cols": keys, "before": before and as_json(before), "after": after and as_json(after), "none_sources": json.dumps(why) if why else None})
+                    out.append({"src_file": e["src_file"], "pos": e["pos"], "row_idx": k, "ts": e["ts"], "db": m["db"], "tab": m["tab"], "op": names[e["kind"]], "pk_cols": keys, "before": before and as_json(before), "after": after and as_json(after), "none_sources": json.dumps(why) if why else None, "extra": json.dumps(extra) if extra else None})
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_ROW)
 

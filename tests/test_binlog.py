@@ -143,3 +143,36 @@ def test_status_variables():
     assert binlog.status_variables(raw) == {"flags2": 5, "catalog_nz": "std", "charset": [1, 2, 3], "updated_db_names": ["a", "bc"], "invoker": ["u", "h"], "unknown_99": "7a7a"}
     body = struct.pack("<IIBHHIIIB", 1, 0, 1, 0, 0, 7, 2, 9, 1) + b"d\0load"
     assert binlog.details("execute_load_query", body)["query"] == "load"
+
+
+def charset_map(types: bytes, meta: bytes, extra: bytes) -> dict:
+    n = len(types)
+    body = (7).to_bytes(6, "little") + b"\x01\x00\x01d\x00\x01t\x00" + packed(n) + types + packed(len(meta)) + meta + b"\xff" * ((n + 7) // 8)
+    return binlog.table_map(body + extra)
+
+
+def test_charsets_of_columns():
+    text = (300).to_bytes(2, "little")
+    one = charset_map(bytes([15, 15, 15, 15]), text * 4, b"\x03\x06" + bytes([8, 63, 28, 0xFC, 0xFF, 0]))
+    assert [c["charset"] for c in one["columns"]] == ["cp1252", "binary", "gbk", "utf-8"]
+    usual = charset_map(bytes([15, 15]), text * 2, b"\x02\x03" + bytes([33, 1, 54]))
+    assert [c["charset"] for c in usual["columns"]] == ["utf-8", "utf-16-be"]
+    image = lambda raw: b"\x00" + len(raw).to_bytes(2, "little") + raw
+    for raw, at in (("é".encode("cp1252"), 8), ("é".encode(), 45), ("中".encode("gbk"), 28), ("é".encode("utf-16-be"), 54)):
+        columns = charset_map(bytes([15]), text, b"\x03\x01" + bytes([at]))["columns"]
+        assert rb.image(rb.Reader(image(raw)), columns, b"\x01")[0] == {"UNKNOWN_COL0": raw.decode(binlog.codec(at))}
+
+
+def test_charsets_of_labels_and_years():
+    labels = packed(1) + packed(1) + "é".encode("cp1252")
+    got = charset_map(bytes([13, 1, 247]), bytes([247, 1]), b"\x01\x01\x40" + b"\x06" + packed(len(labels)) + labels + b"\x0b\x01\x08")
+    year, tiny, kind = got["columns"]
+    assert not year["unsigned"] and tiny["unsigned"] and kind["labels"] == ["é"]  # a year has a sign bit, too
+
+
+def test_extra_data_of_row_events():
+    head = (9).to_bytes(6, "little") + b"\x01\x00"
+    assert binlog.extra_data("write_rows", head + b"\x02\x00rest") == {}
+    assert binlog.extra_data("write_rows", head + b"\x05\x00\x01\x03\x00") == {"partition_id": 3}
+    assert binlog.extra_data("update_rows", head + b"\x07\x00\x01\x03\x00\x04\x00") == {"partition_id": 3, "source_partition_id": 4}
+    assert binlog.extra_data("delete_rows", head + b"\x07\x00\x00\x04\x00ab") == {"ndb_format": 0, "ndb_data": "6162"}

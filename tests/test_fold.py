@@ -53,11 +53,69 @@ def test_moves(spark):
     assert sorted(r.pk for r in fold.replace(fold.split_moves(df, strict=False)).collect()) == [1, 5]
 
 
-def test_bags(spark):
-    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (3, "y")], "a long, b string")
-    d = spark.createDataFrame([(1, "x"), (2, None)], "a long, b string")
-    assert sorted(r.a for r in fold.bag(a, d).collect()) == [2, 3]
-    assert fold.bag(a, d, by_all_columns=False).count() == 4
+def replay_bag(rows):
+    """rows: pos, op, (a, b), before. Null is equal to nothing."""
+    table = []
+    for _, op, row, before in rows:
+        gone = row if op == "delete" else before if op == "update" else None
+        if gone is not None and None not in gone:
+            table = [x for x in table if x != gone]
+        if op != "delete":
+            table.append(row)
+    return sorted(table, key=str)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bags(spark, seed):
+    unit = random.Random(seed)
+    some = lambda: (unit.randint(1, 3), unit.choice(["x", "y", None]))
+    rows = [(k, unit.choice(["insert", "insert", "update", "delete"]), some(), some()) for k in range(60)]
+    df = spark.createDataFrame([(p, op, *row, before) for p, op, row, before in rows], "pos long, op string, a long, b string, before struct<a: long, b: string>").repartition(3)
+    assert sorted((tuple(r) for r in fold.bag(df, ["a", "b"]).collect()), key=str) == replay_bag(rows)
+    assert fold.bag(df, ["a", "b"], by_all_columns=False).count() == sum(op == "insert" for _, op, _, _ in rows)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_partial_images(spark, seed):
+    unit = random.Random(seed)
+    rows = [(*r, {"value": unit.random() < 0.6, "props": unit.random() < 0.6}) for r in changes(seed, 200)]
+    table, born = {}, set()
+    for _, op, db, tab, pk, value, props, present in rows:
+        key = (db, tab, pk)
+        if op == "delete":
+            table.pop(key, None)
+            born.discard(key)
+            continue
+        held = table.setdefault(key, {"value": None, "props": None})
+        held.update({c: v for c, v in (("value", value), ("props", props)) if present[c]})
+        if op == "insert":
+            born.add(key)
+    got = fold.partial(spark.createDataFrame(rows, OPS + ", present map<string, boolean>").repartition(3)).collect()
+    assert {tuple(r) for r in got} == {(*k, v["value"], v["props"]) for k, v in table.items() if k in born}
+
+
+def test_emptied_tables(spark):
+    ops = spark.createDataFrame([(k, "insert", d, t, k, 0.0, "") for k, (d, t) in enumerate([("a", "x"), ("a", "y"), ("b", "x"), ("a", "x"), ("b", "y")])], OPS)
+    said = spark.createDataFrame([(2, "ddl_truncate_table", "a", "x"), (1, "ddl_drop_table", "b", "x"), (9, "ddl_create_table", "a", "y"), (5, "ddl_drop_database", "b", "")], "pos long, kind string, db string, tab string")
+    assert sorted(r.pos for r in fold.surviving(ops, said).collect()) == [1, 3]
+
+
+def test_alerts_need_their_whole_time(spark):
+    from millrace.operators import metrics
+
+    unit = random.Random(3)
+    at, samples = 0, []
+    for _ in range(300):
+        at += unit.choice([1, 1, 5, 20])
+        samples.append(("d", at, unit.choice([20, 20, 20, 20, 20, 20, 20, 3])))
+    began, want = None, []
+    for _, second, delay in samples:
+        began = None if delay - 1 < 10 else second if began is None else began
+        want.append(began is not None and second - began >= 60)
+    got = metrics.delay_alert(spark.createDataFrame(samples, "db string, second long, delay long")).orderBy("second").collect()
+    assert [r.firing for r in got] == want and True in want
+    two = spark.createDataFrame([("d", 1, 50), ("d", 2, 50)], "db string, second long, delay long")
+    assert not any(r.firing for r in metrics.delay_alert(two).collect())
 
 
 def test_compare(spark):
