@@ -175,9 +175,33 @@ def _written(kind: Column, found: Column, stand_in: Column, given: Column) -> Co
     return F.when(kind.isin("phone", "card", "ssn", "iban"), spelled).when(kind == "name", name).when((kind == "email") & (found == F.upper(found)), F.upper(stand_in)).otherwise(stand_in)
 
 
+def _people(kind: Column, found: Column, stand_in: Column, given: Column) -> Column:
+    """How a person may be named again, and what stands for it: given names and family name, or the latter alone."""
+    family = F.regexp_extract(found, r"(\S+)$", 1)
+    first = F.regexp_extract(found, rf"^(?:{_MALE}|{_FEMALE})\.? (.+) \S+$", 1)
+    new = F.initcap(stand_in)
+    pair = lambda old, said: F.struct(old.alias("old"), said.alias("said"))
+    none = F.lit(None).cast("struct<old:string,said:string>")
+    full = F.when(given.isNotNull(), pair(F.concat_ws(" ", first, family), F.concat_ws(" ", F.substring_index(given, "\u0001", -1), new))).otherwise(none)
+    both = F.array(full, pair(family, new))
+    return F.filter(F.when((kind == "name") & stand_in.isNotNull(), both), lambda p: p.isNotNull() & (F.length(p["old"]) > 2))
+
+
+def _named_again(gap: Column, people: Column) -> Column:
+    """Text between matches, with people that its document has introduced by a title replaced where they are named again."""
+    quoted = F.transform(F.reverse(F.array_sort(F.transform(people, lambda p: F.struct(F.length(p["old"]).alias("n"), p["old"].alias("old"))))), lambda p: F.concat(F.lit(r"\Q"), p["old"], F.lit(r"\E")))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(quoted, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    said = F.transform(F.regexp_extract_all(gap, pattern, F.lit(0)), lambda m: F.element_at(F.filter(people, lambda p: p["old"] == m), 1)["said"])
+    done = F.array_join(F.zip_with(F.split(gap, pattern, -1), F.concat(said, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    return F.when(F.size(people) > 0, done).otherwise(gap)
+
+
 def replace_entities(docs: DataFrame, key: bytes = b"millrace") -> DataFrame:
     """docs with entities in text replaced, and n_entities, how many were.
 
+    A person found behind a title is replaced wherever the same document names them again, by given names and family
+    name or by the family name alone (of three letters or more); n_entities does not count these.
+
     Null texts stay null, with 0. Repeated rows are each replaced alike. Columns of docs that clash
     (n_entities) are replaced; all others are kept. An empty table gives an empty one.
 
@@ -199,9 +223,10 @@ def replace_entities(docs: DataFrame, key: bytes = b"millrace") -> DataFrame:
     said = F.when(F.col("stand_in").isNull(), F.col("_match")).otherwise(_written(F.col("kind"), F.col("_match"), F.col("stand_in"), F.col("_given")))
     # Matches without given names are dealt by their rows, not to the one task of the null key.
     one = one.withColumn("_person", F.coalesce("_person", F.concat(F.lit("\u0003"), F.col("_row").cast("string"))))
-    spelled = one.join(known, ["kind", "canonical"], "left").join(given, "_person", "left").select("_row", "_at", said.alias("_new"), F.col("stand_in").isNotNull().cast("long").alias("_n"))
-    new = spelled.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "_new"))).alias("_by"), F.sum("_n").alias("_n"))
+    people = _people(F.col("kind"), F.col("_match"), F.col("stand_in"), F.col("_given"))
+    spelled = one.join(known, ["kind", "canonical"], "left").join(given, "_person", "left").select("_row", "_at", said.alias("_new"), F.col("stand_in").isNotNull().cast("long").alias("_n"), people.alias("_who"))
+    new = spelled.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "_new"))).alias("_by"), F.sum("_n").alias("_n"), F.array_distinct(F.flatten(F.collect_list("_who"))).alias("_people"))
     done = rows.where(F.size("_found") > 0).join(new, "_row")
-    pieces = F.zip_with(gaps, F.concat(F.col("_by._new"), F.array(F.lit(""))), lambda gap, said: F.concat(gap, said))
+    pieces = F.zip_with(gaps, F.concat(F.col("_by._new"), F.array(F.lit(""))), lambda gap, said: F.concat(_named_again(gap, F.col("_people")), said))
     done = done.select(*(F.array_join(pieces, "").alias("text") if c == "text" else F.col(c) for c in keep), F.col("_n").alias("n_entities"))
     return rows.where(F.size("_found") == 0).select(*keep, F.lit(0).cast("long").alias("n_entities")).unionByName(done)

@@ -93,3 +93,36 @@ def test_distinct_and_stable(spark):
 
 def test_empty_table(spark):
     assert replace_entities(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_people_are_the_same_wherever_their_document_names_them(spark):
+    texts = {
+        1: "Mrs Anna Schmidt came. Later Anna Schmidt left and Schmidt wept; Schmidts and Goldschmidt stayed.",
+        2: "Herr Schmidt, then Schmidt again. Frau Li and Li.",
+        3: "Schmidt without a title stays.",
+        4: "Mr Adam Adams met Mr Adams; Adam Adams and Adams.",
+    }
+    got = {r.doc_id: r for r in replace_entities(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    m = re.fullmatch(r"Mrs (\S+) (\S+) came. Later (\S+) (\S+) left and (\S+) wept; Schmidts and Goldschmidt stayed.", got[1].text)
+    assert m and m[1] == m[3] and m[2] == m[4] == m[5] and "Anna" not in got[1].text
+    n = re.fullmatch(r"Herr (\S+), then (\S+) again. Frau (\S+) and Li.", got[2].text)
+    assert n and n[1] == n[2] == m[2] and got[3].text == texts[3]
+    k = re.fullmatch(r"Mr (\S+) (\S+) met Mr (\S+); (\S+) (\S+) and (\S+).", got[4].text)
+    assert k and k[1] == k[4] and k[2] == k[3] == k[5] == k[6] and "Adams" not in got[4].text
+    assert [got[i].n_entities for i in (1, 2, 3, 4)] == [1, 2, 0, 2]
+
+
+def test_ten_thousand_people_stay_apart(spark):
+    """Distinct people get distinct stand-ins, each the same in both of its documents."""
+    syllables = ["ba", "de", "fi", "go", "hu", "ka", "le", "mi", "no", "pu"]
+    name = lambda k, n: "".join(syllables[k // 10**j % 10] for j in range(n)).capitalize()
+    people = [(f"{'Mr' if k % 2 else 'Mrs'}", name(k * 7 % 1000, 3), name(k % 100, 3)) for k in range(10_000)]
+    rows = [(k * 2 + c, f"{t} {g} {f} said so. {g} {f} it was.") for k, (t, g, f) in enumerate(people) for c in range(2)]
+    got = {r.doc_id: r.text for r in replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    new = {}
+    for k, (t, g, f) in enumerate(people):
+        assert got[2 * k] == got[2 * k + 1]
+        m = re.fullmatch(rf"{t} (\S+) (\S+) said so. (\S+) (\S+) it was.", got[2 * k])
+        assert m and (m[1], m[2]) == (m[3], m[4]) and m[2] != f
+        new.setdefault((t, m[1], m[2]), set()).add((g, f))
+    assert all(len(who) == 1 for who in new.values()) and len(new) == len(set(people))
