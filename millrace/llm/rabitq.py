@@ -114,7 +114,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, epsilon: float =
 
     vectors and queries: vec_id, embedding. Distances are Euclidean, in double precision, on the
     original vectors; ties go to the smaller vec_id; with fewer than k candidates all are given. The
-    dimension is the one most vectors have. Null, zero, non-finite and other-sized vectors take no
+    dimension is the one most vectors have; components may be floats or doubles. Null, zero, non-finite and other-sized vectors take no
     part on either side, nor does a null id; repeated rows count once.
 
     Of equal vectors only the k + 1 smallest ids can be among anyone's k nearest, so only they are
@@ -129,13 +129,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, epsilon: float =
     if not top:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = top[0]["dim"]
-    clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(usable(F.col("embedding"), dim) & F.col("vec_id").isNotNull()).distinct()
+    clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(usable(F.col("embedding"), dim) & F.col("vec_id").isNotNull()).distinct()
     copies = Window.partitionBy("embedding").orderBy("vec_id")
     indexed = clean(vectors).withColumn("place", F.row_number().over(copies)).where(F.col("place") <= k + 1).drop("place")
     centre = list(indexed.agg(*(F.avg(F.col("embedding")[j].cast("double")) for j in range(dim))).first())
     if centre[0] is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    codes = materialize(indexed.mapInArrow(_coded(dim, centre, seed), "vec_id long, embedding array<float>, bits binary, norm double, fit double"), "codes")
+    codes = materialize(indexed.mapInArrow(_coded(dim, centre, seed), "vec_id long, embedding array<double>, bits binary, norm double, fit double"), "codes")
     asked = materialize(clean(queries).withColumnRenamed("vec_id", "query_id"), "queries")
     n_codes, n_queries = -(-codes.count() // code_block), max(1, -(-asked.count() // query_block))
     dealt = codes.withColumn("_c", F.pmod(F.xxhash64("vec_id"), F.lit(n_codes)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))

@@ -51,3 +51,14 @@ def test_few_and_none(spark):
     two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], kind)
     assert [(r.query_id, r.rank, r.vec_id) for r in nearest(two, two.where("vec_id = 0")).collect()] == [(0, 1, 1)]
     assert nearest(two.where("vec_id = 0"), two.where("vec_id = 0")).collect() == []
+
+
+def test_vectors_of_doubles(spark):
+    unit = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in unit.normal(size=16)]) for k in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    all_ = np.array([v for _, v in rows])
+    for r in nearest(df, df.where("vec_id % 50 = 0"), k=3).where("rank = 1").collect():
+        d = np.sqrt(((all_ - all_[r.query_id]) ** 2).sum(1))
+        d[r.query_id] = np.inf
+        assert r.vec_id == int(d.argmin()) and abs(r.score - d.min()) < 1e-12
