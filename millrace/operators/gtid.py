@@ -120,6 +120,51 @@ def parse(text: DataFrame, column: str = "gtid") -> DataFrame:
     return rows.withColumn("valid", F.col("_ok") & F.coalesce(F.col("s") <= F.col("e"), F.lit(False))).drop("_part", "_ok", "_r")
 
 
+def parse_ranges(text: DataFrame, column: str = "gtid") -> DataFrame:
+    """The strict form uuid:x-y, one interval a server, several comma-joined: other columns, server_uuid, mark (y), valid.
+    A single number or a second interval is not valid here."""
+    parts = text.select("*", F.explode(F.transform(F.split(column, ","), lambda x: F.trim(x))).alias("_part")).drop(column)
+    valid = F.col("_part").rlike(r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}:[0-9]{1,18}-[0-9]{1,18}$")
+    return parts.withColumn("server_uuid", F.when(valid, F.lower(F.substring_index("_part", ":", 1)))).withColumn("mark", F.when(valid, F.expr("try_cast(substring_index(_part, '-', -1) as bigint)"))).withColumn("valid", valid).drop("_part")
+
+
+def as_arrays(of: DataFrame) -> DataFrame:
+    """server_uuid, intervals: a set's intervals in order, one row a server. Such rows compare as sets do: by
+    server, then interval by interval; equal sets have equal rows."""
+    return of.groupBy("server_uuid").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("intervals"))
+
+
+def same(one: DataFrame, other: DataFrame) -> DataFrame:
+    """server_uuid, equal: whether both sets hold the same numbers of a server."""
+    differing = subtract(one, other).union(subtract(other, one)).select("server_uuid").distinct().withColumn("_differs", F.lit(True))
+    servers = one.select("server_uuid").union(other.select("server_uuid")).distinct()
+    return servers.join(differing, "server_uuid", "left").select("server_uuid", F.col("_differs").isNull().alias("equal"))
+
+
+def overlapping(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Intervals of one set that share a number with the other, by a sweep over the bounds of both: how many of the other's
+    begin up to an interval's end, and how many end before its start. Where these differ, one overlaps."""
+    o = other.select("server_uuid", F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("b"), F.lit(0).alias("d")), F.struct((F.col("e") + 1).alias("at"), F.lit(0).alias("b"), F.lit(1).alias("d")))).alias("x")).select("server_uuid", "x.*")
+    mine = one.select("server_uuid", "s", "e", F.explode(F.array(F.struct(F.col("e").alias("at"), F.lit(True).alias("end")), F.struct(F.col("s").alias("at"), F.lit(False).alias("end")))).alias("x")).select("server_uuid", "s", "e", "x.*")
+    both = mine.withColumns({"b": F.lit(0), "d": F.lit(0)}).unionByName(o, allowMissingColumns=True)
+    order = Window.partitionBy("server_uuid").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    swept = both.withColumns({"begun": F.sum("b").over(order), "ended": F.sum("d").over(order)}).where("s is not null")
+    return swept.groupBy("server_uuid", "s", "e").agg(F.max(F.when(F.col("end"), F.col("begun"))).alias("begun"), F.max(F.when(~F.col("end"), F.col("ended"))).alias("ended")).where("begun > ended").select("server_uuid", "s", "e")
+
+
+def _little_endian(n: Column) -> Column:
+    h = F.lpad(F.hex(n), 16, "0")
+    return F.concat(*(F.substring(h, k, 2) for k in range(15, 0, -2)))
+
+
+def encoded(of: DataFrame) -> DataFrame:
+    """One row, gtid_hex: the set in its binary form, as hex: servers, and for each its 16 bytes, how many intervals,
+    and their first and one past their last number, all as eight little-endian bytes. An empty set is no server."""
+    each = as_arrays(of).select("server_uuid", F.concat(F.replace("server_uuid", F.lit("-"), F.lit("")), _little_endian(F.size("intervals")), F.array_join(F.transform("intervals", lambda i: F.concat(_little_endian(i["s"]), _little_endian(i["e"] + 1))), "")).alias("x"))
+    all_ = each.agg(F.array_sort(F.collect_list(F.struct("server_uuid", "x"))).alias("xs"))
+    return all_.select(F.upper(F.concat(_little_endian(F.size("xs")), F.array_join("xs.x", ""))).alias("gtid_hex"))
+
+
 def merge_min(sets: DataFrame, destinations: DataFrame) -> DataFrame:
     """server_uuid, mark from which every destination can go on; empty if one has nothing.
 

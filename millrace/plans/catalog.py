@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import values
@@ -284,6 +285,40 @@ def gtid_parse(spark: SparkSession, folder: str) -> DataFrame:
     return gtid.parse(gtid_text(spark, folder).select("gtid").union(odd)).select("server_uuid", "s", "e", "valid")
 
 
+@query("SELECT '" + _U.format(0) + "' AS server_uuid, 50 AS mark, true AS valid UNION ALL SELECT NULL, NULL, false FROM range(3)")
+def gtid_strict_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    said = spark.createDataFrame([(f"{_U.format(0)}:1-50, {_U.format(1)}:7",), (f"{_U.format(1)}:1-2:4-5",), ("x:1-2",)], "gtid string")
+    return gtid.parse_ranges(said).select("server_uuid", F.col("mark").cast("int").alias("mark"), "valid")
+
+
+@query(_ISLANDS + ", done(u, a, z) AS (VALUES " + ", ".join(f"('{_U.format(u)}', {s}, {e})" for u, s, e in _DONE) + ") SELECT server_uuid, s, e FROM islands SEMI JOIN done ON server_uuid = u AND s <= z AND e >= a")
+def gtid_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    return gtid.overlapping(gtid.intervals(_holed(spark, folder)), _done(spark))
+
+
+@query(_HOLED + ", a AS (SELECT server_uuid, trx_id % 40 AS n FROM holed), b AS (SELECT server_uuid, trx_id % 40 AS n FROM trx WHERE server_uuid NOT LIKE '00000001%' OR trx_id % 40 <> 7) SELECT server_uuid, bool_and(a.n IS NOT NULL AND b.n IS NOT NULL) AS equal FROM (SELECT DISTINCT * FROM a) AS a FULL JOIN (SELECT DISTINCT * FROM b) AS b USING (server_uuid, n) GROUP BY server_uuid")
+def gtid_equal(spark: SparkSession, folder: str) -> DataFrame:
+    part = lambda df: gtid.intervals(df.select("server_uuid", (F.col("trx_id") % 40).alias("trx_id")))
+    return gtid.same(part(_holed(spark, folder)), part(_trx(spark, folder).where("server_uuid not like '00000001%' or trx_id % 40 <> 7")))
+
+
+@query(_ISLANDS + " SELECT CAST(row_number() OVER (ORDER BY server_uuid, list) AS INTEGER) AS place, server_uuid, len(list) AS n FROM (SELECT server_uuid, list(struct_pack(s := s, e := e) ORDER BY s) AS list FROM islands GROUP BY server_uuid)")
+def gtid_order(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    sets = gtid.as_arrays(gtid.intervals(_holed(spark, folder)))  # a row a server, so one window is small
+    return sets.select(F.row_number().over(Window.orderBy("server_uuid", "intervals")).alias("place"), "server_uuid", F.size("intervals").cast("long").alias("n"))
+
+
+def _le(n: str) -> str:
+    return "(" + " || ".join(f"substr(printf('%016X', CAST({n} AS BIGINT)), {k}, 2)" for k in range(15, 0, -2)) + ")"
+
+
+@query(_ISLANDS + f", x AS (SELECT server_uuid, upper(replace(server_uuid, '-', '')) || {_le('count(*)')} || string_agg({_le('s')} || {_le('e + 1')}, '' ORDER BY s) AS x FROM islands GROUP BY server_uuid) SELECT {_le('count(*)')} || string_agg(x, '' ORDER BY server_uuid) AS gtid_hex FROM x")
+def gtid_binary(spark: SparkSession, folder: str) -> DataFrame:
+    return gtid.encoded(gtid.intervals(_holed(spark, folder)))
+
+
 # -- transactions ----------------------------------------------------------------------------------
 
 _GROUPS = "WITH {ops}, c AS (SELECT *, CASE WHEN last_committed = lag(last_committed) OVER (ORDER BY trx_no) THEN 0 ELSE 1 END AS o FROM trx), g AS (SELECT *, CAST(sum(o) OVER (ORDER BY trx_no) AS BIGINT) AS gid FROM c)"
@@ -492,19 +527,61 @@ def snapshot_hash(spark: SparkSession, folder: str) -> DataFrame:
     return compare.table_hash(oplog.read(spark, folder), [F.col(c) for c in ("pos", "db", "tab", "pk", "props")])
 
 
-@query("WITH {ops}, m AS (SELECT CAST(floor(pos / 500) AS BIGINT) AS at, tab, pos, 'v' || CAST(floor(pos / 500) AS BIGINT) AS columns FROM ops WHERE pos % 50 = 0) SELECT o.pos, o.tab, m.columns FROM ops AS o ASOF JOIN m ON o.tab = m.tab AND o.pos >= m.pos")
-def tablemap_asof(spark: SparkSession, folder: str) -> DataFrame:
-    from millrace.plans.ordered import with_running
+def _maps_and_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The changes as row events, with a table map of their table before every 50th; a map's columns are its position here."""
+    ops = oplog.read(spark, folder)
+    head = F.unhex(F.when(F.col("tab") == "users", "C80000000000").otherwise("2A0100000000"))  # table ids 200 and 298
+    event = lambda pos, kind, body: ops.select(F.lit("log.1").alias("src_file"), pos.alias("pos"), F.unix_timestamp("ts").alias("ts"), F.lit(kind).alias("kind"), body.alias("body"), "tab", F.col("pos").alias("at"))
+    maps = event(F.col("pos") * 2, "table_map", F.concat(head, F.col("pos").cast("string").cast("binary"))).where("at % 50 = 0")
+    return maps.union(event(F.col("pos") * 2 + 1, "write_rows", head))
+
 
-    ops = oplog.read(spark, folder).select("pos", "tab")
-    seen = with_running(ops, "pos", F.when(F.col("pos") % 50 == 0, F.col("pos")), "map_pos", ["tab"], "max")
-    return seen.where("map_pos is not null").select("pos", "tab", F.concat(F.lit("v"), F.floor(F.col("map_pos") / 500).cast("string")).alias("columns"))
+def _map_position() -> Column:
+    return F.substring(F.col("map"), 7, 20).cast("string").cast("long")
 
 
-@query("WITH {ops}, m AS (SELECT tab, min(pos) AS first_pos FROM ops WHERE pos % 50 = 0 GROUP BY tab) SELECT pos, tab, first_pos FROM ops JOIN m USING (tab)")
+@query("WITH {ops}, m AS (SELECT tab, pos, 'v' || CAST(floor(pos / 500) AS BIGINT) AS columns FROM ops WHERE pos % 50 = 0) SELECT o.pos, o.tab, m.columns FROM ops AS o ASOF JOIN m ON o.tab = m.tab AND o.pos >= m.pos")
+def tablemap_asof(spark: SparkSession, folder: str) -> DataFrame:
+    seen = binlog.mapped(_maps_and_rows(spark, folder))
+    return seen.select(F.col("at").alias("pos"), "tab", F.concat(F.lit("v"), F.floor(_map_position() / 500).cast("string")).alias("columns"))
+
+
+@query("WITH {ops}, m AS (SELECT tab, min(pos) AS first_pos FROM ops WHERE pos % 50 = 0 GROUP BY tab) SELECT pos, tab, first_pos FROM ops JOIN m USING (tab) WHERE pos >= first_pos")
 def frozen_schema(spark: SparkSession, folder: str) -> DataFrame:
-    ops = oplog.read(spark, folder).select("pos", "tab")
-    return ops.join(ops.where("pos % 50 = 0").groupBy("tab").agg(F.min("pos").alias("first_pos")), "tab")
+    seen = binlog.mapped(_maps_and_rows(spark, folder), freeze=True)
+    return seen.select(F.col("at").alias("pos"), "tab", _map_position().alias("first_pos"))
+
+
+# Event bodies written by hand from the format's description, and what they say.
+_BODIES = (
+    ("rotate", "04000000000000006c6f672e32", {"position": 4, "next": "log.2"}),
+    ("xid", "4d00000000000000", {"xid": 77}),
+    ("intvar", "020900000000000000", {"of": 2, "value": 9}),
+    ("rand", "01000000000000000200000000000000", {"seed1": 1, "seed2": 2}),
+    ("rows_query", "0853454c4543542031", {"query": "SELECT 1"}),
+    ("annotate_rows", "53454c4543542031", {"query": "SELECT 1"}),
+    ("heartbeat", "6c6f672e31", {"file": "log.1"}),
+    ("user_var", "010000006e00023f00000008000000fcffffffffffffff00", {"name": "n", "of": 2, "charset": 63, "value": -4}),
+    ("gtid", "010123456789abcdef0123456789abcdef0700000000000000020300000000000000" + "0400000000000000", {"commit_flag": 1, "server_uuid": "01234567-89ab-cdef-0123-456789abcdef", "trx_id": 7, "last_committed": 3, "sequence_number": 4}),
+    ("previous_gtids", "01000000000000000123456789abcdef0123456789abcdef0200000000000000010000000000000006000000000000000800000000000000" + "0900000000000000", {"gtids": "01234567-89ab-cdef-0123-456789abcdef:1-5:8"}),
+    ("xa_prepare", "010100000002000000010000006162" + "63", {"one_phase": True, "format": 1, "gtrid": "6162", "bqual": "63"}),
+    ("begin_load_query", "05000000" + "61622c63", {"file_id": 5, "block": "61622c63"}),
+    ("execute_load_query", "0100000002000000010000000007000000020000000900000001" + "64006c6f6164", {"thread_id": 1, "seconds": 2, "error": 0, "file_id": 7, "start": 2, "end": 9, "duplicates": 1, "schema": "d", "status": {}, "query": "load"}),
+    ("mariadb_gtid", "08000000000000000100000000", {"domain": 1, "sequence": 8, "flags": 0}),
+    ("mariadb_gtid_list", "0100000001000000020000000900000000000000", {"gtids": "1-2-9"}),
+    ("binlog_checkpoint", "050000006c6f672e31", {"file": "log.1"}),
+    ("start_encryption", "0101000000000102030405060708090a0b", {"scheme": 1, "key_version": 1, "nonce": "000102030405060708090a0b"}),
+    ("query", "0100000000000000010000050000050000006400424547494e", {"thread_id": 1, "seconds": 0, "error": 0, "schema": "d", "status": {"flags2": 5}, "query": "BEGIN"}),
+)
+
+
+@query("SELECT event_id AS pos, kind, said FROM (SELECT *, CAST(event_id % " + str(len(_BODIES)) + " AS INTEGER) AS i FROM events) JOIN (VALUES " + ", ".join(f"({i}, '{k}', '{json.dumps(said)}')" for i, (k, _, said) in enumerate(_BODIES)) + ") AS v(i, kind, said) USING (i)")
+def event_details(spark: SparkSession, folder: str) -> DataFrame:
+    one = F.get(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(raw).alias("raw")) for k, raw, _ in _BODIES)), (F.col("event_id") % len(_BODIES)).cast("int"))
+    e = oplog.table(spark, folder, "events").select(F.col("event_id").alias("pos"), one.alias("one")).select("pos", "one.kind", F.unhex("one.raw").alias("body"))
+    none = {"src_file": "string", "ts": "long", "type": "int", "server_id": "long", "size": "long", "end_pos": "long", "flags": "int", "checksum_ok": "boolean"}
+    whole = e.withColumns({c: F.lit(None).cast(t) for c, t in none.items()}).select(*(c.split()[0] for c in binlog.EVENT_TYPES.split(", ")))
+    return binlog.with_details(whole).select("pos", "kind", F.col("details").alias("said"))
 
 
 @query("WITH {ops} SELECT pos, side, CAST(pk AS BIGINT) AS pk FROM (SELECT pos, pk, unnest(CASE op WHEN 'update' THEN ['after', 'before'] WHEN 'insert' THEN ['after'] ELSE ['before'] END) AS side FROM ops)")

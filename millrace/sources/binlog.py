@@ -13,10 +13,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.rowbytes import Reader, as_json, bit_at, column_types, image
+from millrace.plans.ordered import with_running
 
 # Event types by code, and the magic bytes of a file.
 MAGIC = b"\xfebin"
@@ -274,17 +275,30 @@ def with_details(of: DataFrame) -> DataFrame:
     return of.mapInArrow(run, f"{EVENT_TYPES}, details string")
 
 
+def _table_id() -> Column:
+    """The first six bytes of a body, a little-endian number."""
+    h = F.hex(F.substring("body", 1, 6))
+    return F.conv(F.concat(*(F.substring(h, k, 2) for k in range(11, 0, -2))), 16, 10).cast("long")
+
+
 def mapped(of: DataFrame, freeze: bool = False) -> DataFrame:
     """Row events with the table map that holds for them: the last one of their table id before
     them in the file, since its last rotation; freeze: the first there was. Rows without a map are dropped.
+
+    What is put in order are positions, in buckets; bodies of rows stay out of it and meet their map by its position.
     """
-    table_id = F.conv(F.hex(F.reverse(F.substring("body", 1, 6))), 16, 10).cast("long")
-    file = Window.partitionBy("src_file").orderBy("pos")
-    some = of.where(F.col("kind").isin("table_map", "rotate", *ROWS)).withColumn("_gen", F.count_if((F.col("kind") == "rotate") & (F.col("ts") > 0)).over(file))
-    some = some.where(F.col("kind") != "rotate").withColumn("table_id", table_id).withColumn("_map", F.when(F.col("kind") == "table_map", F.col("body")))
-    order = Window.partitionBy("src_file", "_gen", "table_id").orderBy("pos")
-    pick = F.first("_map", True).over(order.rowsBetween(Window.unboundedPreceding, 0)) if freeze else F.last("_map", True).over(order)
-    return some.withColumn("map", pick).where(F.col("kind").isin(*ROWS) & F.col("map").isNotNull()).drop("_gen", "_map")
+    some = of.where(F.col("kind").isin("table_map", *ROWS)).withColumn("table_id", _table_id())
+    turns = of.where((F.col("kind") == "rotate") & (F.col("ts") > 0)).select("src_file", "pos", F.lit(1).alias("_turn"))
+    places = some.select("src_file", "pos", "table_id", F.lit(0).alias("_turn"), (F.col("kind") == "table_map").alias("_is")).unionByName(turns, allowMissingColumns=True)
+    placed = with_running(places, "pos", F.col("_turn").cast("long"), "_gen", ["src_file"]).where("_turn = 0")
+    by = ["src_file", "_gen", "table_id"]
+    at = with_running(placed, "pos", F.when(F.col("_is"), F.col("pos")), "_at", by, "max").where("not _is and _at is not null")
+    if freeze:
+        first = placed.where("_is").groupBy(*by).agg(F.min("pos").alias("_first"))
+        at = at.join(first, by).withColumn("_at", F.col("_first"))
+    maps = some.where(F.col("kind") == "table_map").select("src_file", F.col("pos").alias("_at"), F.col("body").alias("map"))
+    known = at.select("src_file", "pos", "_at").join(maps, ["src_file", "_at"]).drop("_at")
+    return some.where(F.col("kind").isin(*ROWS)).join(known, ["src_file", "pos"])
 
 
 _ROW = pa.schema([("src_file", pa.string()), ("pos", pa.int64()), ("row_idx", pa.int32()), ("ts", pa.int64()), ("db", pa.string()), ("tab", pa.string()), ("op", pa.string()), ("pk_cols", pa.list_(pa.string())), ("before", pa.string()), ("after", pa.string()), ("none_sources", pa.string()), ("extra", pa.string())])
