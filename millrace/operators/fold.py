@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.plans.ordered import with_running
+from millrace.plans.shared import fresh_folder
+
 KEY = ("db", "tab", "pk")
 ROW = ("value", "props")
 
@@ -115,3 +118,47 @@ def surviving(ops: DataFrame, statements: DataFrame) -> DataFrame:
     database = statements.where("kind = 'ddl_drop_database'").groupBy("db").agg(F.max("pos").alias("_dropped"))
     met = ops.join(table, ["db", "tab"], "left").join(database, "db", "left")
     return met.where((F.col("pos") > F.coalesce("_emptied", F.lit(-2))) & (F.col("pos") > F.coalesce("_dropped", F.lit(-2)))).select(*ops.columns)
+
+
+def _next_statement(df: DataFrame, key: Column, statements: DataFrame, by: list[str], name: str) -> DataFrame:
+    """df with the position of the first of `statements` behind key (2 * pos for what stands at pos, 2 * pos + 2 for what
+    stands behind it) that is about the same table (or database)."""
+    both = df.withColumn("_k", -key).unionByName(statements.select((-2 * F.col("pos") - 1).alias("_k"), *by, F.col("pos").alias("_own")), allowMissingColumns=True)
+    seen = with_running(both, "_k", -F.col("_own"), "_seen", by, "max")
+    return seen.where("_own is null").withColumn(name, -F.col("_seen")).drop("_k", "_own", "_seen")
+
+
+def _next(df: DataFrame, key: Column, statements: DataFrame) -> DataFrame:
+    tables, bases = statements.where("kind <> 'ddl_drop_database'"), statements.where("kind = 'ddl_drop_database'")
+    own = _next_statement(df, key, tables, ["db", "tab"], "_table")
+    return _next_statement(own, key, bases, ["db"], "_base").withColumn("_next", F.least("_table", "_base")).drop("_table", "_base")
+
+
+def followed(ops: DataFrame, statements: DataFrame) -> DataFrame:
+    """ops (pos, db, tab, ...) under the names that their tables have in the end, without what statements took away.
+
+    statements: pos (one each), kind, db, tab, new_db, new_tab. TRUNCATE and DROP of a table and DROP of a database take
+    the changes at or before them; RENAME TABLE gives them another name, under which later statements find them. Other kinds are passed over.
+
+    Every statement points to the next one about the table it leaves; pointers are doubled till each knows what becomes
+    of it in the end, in as many rounds as the logarithm of the longest chain of renames. Changes then look
+    for their first statement alone.
+    """
+    of = statements.where("kind in ('ddl_rename_table', 'ddl_truncate_table', 'ddl_drop_table', 'ddl_drop_database')").select("pos", "kind", "db", "tab", "new_db", "new_tab")
+    left = of.select("pos", (F.col("kind") == "ddl_rename_table").alias("lives"), F.col("new_db").alias("db"), F.col("new_tab").alias("tab"))
+    onward = _next(left.where("lives"), 2 * F.col("pos") + 2, of)
+    fate = _kept(onward.unionByName(left.where("not lives"), allowMissingColumns=True), "statements")
+    while not fate.where("_next is not null").isEmpty():
+        then = fate.select(F.col("pos").alias("_at"), F.struct("lives", "db", "tab", "_next").alias("_then"))
+        met = fate.join(then, F.col("_next") == F.col("_at"), "left")
+        fate = _kept(met.select("pos", *(F.when(F.col("_next").isNull(), F.col(c)).otherwise(F.col("_then")[c]).alias(c) for c in ("lives", "db", "tab", "_next"))), "statements")
+    end = fate.select(F.col("pos").alias("_next"), F.struct("lives", "db", "tab").alias("_end"))
+    met = _next(ops, 2 * F.col("pos"), of).join(end, "_next", "left").where("_end is null or _end.lives")
+    return met.select(*(F.coalesce(F.col("_end")[c], F.col(c)).alias(c) if c in ("db", "tab") else F.col(c) for c in ops.columns))
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder, and read from there."""
+    at = fresh_folder(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

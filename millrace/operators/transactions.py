@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.plans.ordered import with_previous, with_running
@@ -19,10 +19,13 @@ FOLLOWS = {
 }
 
 
-def commit_groups(trx: DataFrame) -> DataFrame:
-    """trx with gid: transactions in a row with one last_committed are one group."""
+def commit_groups(trx: DataFrame, barrier: Column | None = None) -> DataFrame:
+    """trx with gid: transactions in a row with one last_committed are one group. barrier: true where a statement stands
+    right before a transaction; what is pending is applied before a statement, so a group ends there."""
     seen = with_previous(trx, "trx_no", F.col("last_committed"), "_prev")
     opens = F.coalesce((F.col("last_committed") != F.col("_prev")).cast("long"), F.lit(1).cast("long"))
+    if barrier is not None:
+        opens = F.when(barrier, F.lit(1).cast("long")).otherwise(opens)
     return with_running(seen, "trx_no", opens, "gid").drop("_prev")
 
 

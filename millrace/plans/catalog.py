@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import values
 from millrace.operators import compare, filters, fold, gtid, metrics, statements, transactions
+from millrace.plans.shared import fresh_folder
 from millrace.sources import binlog, binlog_writer, oplog, textlog
 from millrace.streaming import apply
 
@@ -329,6 +331,11 @@ def commit_groups(spark: SparkSession, folder: str) -> DataFrame:
     return transactions.group_sizes(transactions.commit_groups(_trx(spark, folder)))
 
 
+@query(_GROUPS.replace("CASE WHEN", "CASE WHEN trx_no % 7 <> 0 AND") + " SELECT gid, last_committed, min(trx_no) AS first_trx, count(*) AS n_trx, CAST(sum(n_ops) AS BIGINT) AS n_ops FROM g GROUP BY gid, last_committed")
+def commit_groups_barrier(spark: SparkSession, folder: str) -> DataFrame:
+    return transactions.group_sizes(transactions.commit_groups(_trx(spark, folder), F.col("trx_no") % 7 == 0))
+
+
 @query(_GROUPS + " SELECT trx_no, gid, CAST(floor((row_number() OVER (PARTITION BY gid ORDER BY trx_no) - 1) / 3) AS BIGINT) AS part FROM g")
 def commit_groups_max_count(spark: SparkSession, folder: str) -> DataFrame:
     return transactions.capped_groups(transactions.commit_groups(_trx(spark, folder)), 3).select("trx_no", "gid", "part")
@@ -443,6 +450,22 @@ def fold_after_drop(spark: SparkSession, folder: str) -> DataFrame:
     return fold.replace(fold.surviving(ops, ops.where("pos % 499 = 0").select("pos", kinds.alias("kind"), "db", "tab")))
 
 
+_LATER = [("ddl_rename_table", 499, 0, "db", "tab", "db", "tab || '_' || pos"), ("ddl_rename_table", 998, 250, "db", "tab || '_' || pos", "'archive'", "tab || '_' || pos"), ("ddl_drop_table", 1996, 300, "'archive'", "tab || '_' || pos", "''", "''")]
+
+
+@query("WITH RECURSIVE {ops}, st AS (" + " UNION ALL ".join(f"SELECT 2 * (pos + {d}) + 1 AS k, {db} AS db, {tab} AS tab, {ndb} AS ndb, {ntab} AS ntab FROM ops WHERE pos % {n} = 0" for _, n, d, db, tab, ndb, ntab in _LATER) + """
+  UNION ALL SELECT 2 * pos + 1, db, NULL, '', '' FROM ops WHERE pos = 700),
+  walk AS (SELECT pos AS id, 2 * pos AS seen, db, tab FROM ops UNION ALL SELECT w.id, min(s.k), arg_min(s.ndb, s.k), arg_min(s.ntab, s.k) FROM walk w JOIN st s ON s.k > w.seen AND s.db = w.db AND (s.tab = w.tab OR s.tab IS NULL) GROUP BY w.id),
+  named AS (SELECT id, arg_max(db, seen) AS ndb, arg_max(tab, seen) AS ntab FROM walk GROUP BY id), r AS (SELECT ndb AS db, ntab AS tab, pk, value, props, op, row_number() OVER (PARTITION BY ndb, ntab, pk ORDER BY pos DESC) AS n FROM ops JOIN named ON id = pos WHERE ndb <> '')
+  SELECT db, tab, pk, value, props FROM r WHERE n = 1 AND op <> 'delete'""")
+def fold_after_rename(spark: SparkSession, folder: str) -> DataFrame:
+    """Renames now and then, of some tables twice, a drop of what was renamed, a drop of a database."""
+    ops = oplog.read(spark, folder)
+    each = [ops.where(f"pos % {n} = 0").selectExpr(f"pos + {d} AS pos", f"'{kind}' AS kind", f"{db} AS db", f"{tab} AS tab", f"{ndb} AS new_db", f"{ntab} AS new_tab") for kind, n, d, db, tab, ndb, ntab in _LATER]
+    each.append(ops.where("pos = 700").selectExpr("pos", "'ddl_drop_database' AS kind", "db", "CAST(NULL AS string) AS tab", "'' AS new_db", "'' AS new_tab"))
+    return fold.replace(fold.followed(ops, reduce(DataFrame.unionByName, each)))
+
+
 @query("""WITH {ops}, o AS (SELECT * FROM ops WHERE pos >= 2000), b AS (SELECT -1 AS pos, 'insert' AS op, db, tab, pk, value, props FROM (SELECT *, row_number() OVER (PARTITION BY db, tab, pk ORDER BY pos DESC) AS n FROM ops WHERE pos < 2000) WHERE n = 1 AND op <> 'delete'),
   m AS (SELECT pos, op, db, tab, pk, value, props FROM o UNION ALL SELECT * FROM b), r AS (SELECT *, row_number() OVER (PARTITION BY db, tab, pk ORDER BY pos DESC) AS n FROM m) SELECT db, tab, pk, value, props FROM r WHERE n = 1 AND op <> 'delete'""")
 def fold_onto_base(spark: SparkSession, folder: str) -> DataFrame:
@@ -721,7 +744,7 @@ def binlog_events(spark: SparkSession, folder: str) -> DataFrame:
 @query(_FOLD + " SELECT db, tab, pk, value, props FROM r WHERE n = 1 AND op <> 'delete'")
 def stream_fold(spark: SparkSession, folder: str) -> DataFrame:
     ops = oplog.derived(apply.stream_table(spark, f"{folder}/events.parquet"))
-    at = apply.fresh_folder(spark, "stream")
+    at = fresh_folder(spark, "stream")
     last = apply.run_available(ops, apply.apply_to(at), f"{at}/checkpoint")
     return apply.snapshot(spark, at, last)
 
@@ -729,6 +752,16 @@ def stream_fold(spark: SparkSession, folder: str) -> DataFrame:
 @query("WITH {ops} SELECT server_uuid, max(trx_id) AS mark FROM trx GROUP BY server_uuid")
 def stream_marks(spark: SparkSession, folder: str) -> DataFrame:
     ops = oplog.derived(apply.stream_table(spark, f"{folder}/events.parquet"))
-    at = apply.fresh_folder(spark, "stream")
+    at = fresh_folder(spark, "stream")
     last = apply.run_available(ops, apply.apply_to(at, skip_applied=True), f"{at}/checkpoint")
     return spark.read.parquet(f"{at}/marks/v={last}")
+
+
+@query(_FOLD + " SELECT db, tab, pk, value, props FROM r WHERE n = 1 AND op <> 'delete'")
+def stream_binlog(spark: SparkSession, folder: str) -> DataFrame:
+    """Binary log files as a stream, decoded, what was applied before left out, folded."""
+    at = fresh_folder(spark, "stream")
+    _binlog_files(spark, folder).write.parquet(f"{at}/files")
+    sink = apply.of_logs(apply.apply_to(f"{at}/table", skip_applied=True), "pk long, value double, props string")
+    last = apply.run_available(apply.stream_table(spark, f"{at}/files"), sink, f"{at}/checkpoint")
+    return apply.snapshot(spark, f"{at}/table", last)

@@ -401,11 +401,19 @@ def changes(of: DataFrame) -> DataFrame:
 
 
 def oplog(of: DataFrame) -> DataFrame:
-    """Row changes with the transaction they stand in: server_uuid, trx_id, last_committed, sequence_number."""
+    """Row changes with the transaction they stand in: server_uuid, trx_id, last_committed, sequence_number, and gtid_pos,
+    where it begins."""
     said = with_details(of.where(F.col("kind") == "gtid"))
     fields = F.from_json("details", "server_uuid string, trx_id long, last_committed long, sequence_number long")
-    marks = said.select("src_file", "pos", fields.alias("g"))
+    marks = said.select("src_file", "pos", fields.withField("gtid_pos", F.col("pos")).alias("g"))
     rows = changes(mapped(of))
     both = marks.select("src_file", "pos", F.lit(-1).alias("row_idx"), "g").unionByName(rows, allowMissingColumns=True)
     order = Window.partitionBy("src_file").orderBy("pos", "row_idx")
     return both.withColumn("g", F.last("g", True).over(order)).where("op is not null").select(*rows.columns, "g.*")
+
+
+def in_one_order(rows: DataFrame) -> DataFrame:
+    """Row changes of several files with pos and gtid_pos as numbers that grow along all of them: the number that ends the
+    file's name, then the byte. Rows of one event take the bytes behind its beginning, of which each row has one at least."""
+    file = F.regexp_extract("src_file", r"([0-9]+)$", 1).cast("long") * (1 << 40)
+    return rows.withColumn("gtid_pos", file + F.col("gtid_pos")).withColumn("pos", file + F.col("pos") + F.col("row_idx"))

@@ -6,7 +6,6 @@ that is run again writes the same folder again.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,8 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.operators import fold
+from millrace.operators.filters import after_position
 from millrace.operators.gtid import first_seen as first_of
 from millrace.operators.gtid import high_water, start_after
+from millrace.sources import binlog
 
 _SEEN = "pos long, server_uuid string, trx_id long, last_committed long, db string, tab string, op string, pk long, value double, props string"
 
@@ -115,6 +116,37 @@ def run_available(ops: DataFrame, sink: Callable[[DataFrame, int], None], checkp
     return last["n"]
 
 
+def stream_logs(spark: SparkSession, folder: str, files_at_once: int = 100, names: str = "*") -> DataFrame:
+    """Binary log files as they come into a folder, oldest first. A file is taken once, so only files that are closed (rotated) belong there."""
+    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_at_once).option("pathGlobFilter", names).load(folder)
+
+
+def log_changes(files: DataFrame, row: str, start: tuple[str, int] | None = None, marks: DataFrame | None = None) -> DataFrame:
+    """The operation log of binary log files (path, content). row: the columns of a row image, as a schema.
+
+    Where it begins: with the first file; at start, a (file, position), of which the table maps before it still hold; or
+    after marks, the last transaction of each server. start = log_end() leaves out all there is so far.
+    """
+    rows = binlog.oplog(binlog.events(files))
+    if start is not None:
+        rows = after_position(rows, *start)
+    image = F.from_json(F.coalesce("after", "before"), row)
+    ops = binlog.in_one_order(rows).withColumn("row", image).select("pos", "server_uuid", "trx_id", F.col("gtid_pos").alias("trx_no"), "last_committed", "db", "tab", "op", "row.*")
+    return ops if marks is None else start_after(ops, marks)
+
+
+def log_end(spark: SparkSession, folder: str, names: str = "*") -> tuple[str, int] | None:
+    """Name and length of the last log file of a folder, by listing alone; None for an empty one."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(folder).select(F.substring_index("path", "/", -1).alias("file"), "length")
+    last = files.agg(F.max(F.struct("file", "length")).alias("last")).first()["last"]
+    return last and (last["file"], last["length"])
+
+
+def of_logs(sink: Callable[[DataFrame, int], None], row: str, start: tuple[str, int] | None = None, marks: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
+    """A sink of batches of log files out of one of batches of changes."""
+    return lambda files, number: sink(log_changes(files, row, start, marks), number)
+
+
 def stream_table(spark: SparkSession, path: str, files_at_once: int = 1000) -> DataFrame:
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
@@ -124,15 +156,3 @@ def stream_table(spark: SparkSession, path: str, files_at_once: int = 1000) -> D
 def _is_folder(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
-
-
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that all executors share; a temporary one only in a local session that names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
-        import tempfile
-
-        at = "file://" + tempfile.mkdtemp(prefix="millrace-")
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,7 +1,9 @@
 """Textual logs from files; streams against batches."""
 
+import os
+
 from millrace.operators import compare, fold
-from millrace.sources import oplog, textlog
+from millrace.sources import binlog_writer, oplog, textlog
 from millrace.streaming import apply
 
 FOLDER = "/root/testdata/sf0.001"
@@ -91,3 +93,28 @@ def test_fan_out(spark):
     sink = apply.fan_out([lambda df, n: got.append(("a", df.count())), lambda df, n: got.append(("b", df.count()))])
     sink(spark.range(3), 0)
     assert got == [("a", 3), ("b", 3)]
+
+
+def test_log_files_stream_from_three_starts(spark, tmp_path):
+    row = "pk long, value double, props string"
+    changes = [{"trx_no": k // 2, "server_uuid": "00000001-0000-4000-8000-000000000000", "trx_id": k // 2 + 1, "last_committed": k // 4, "db": "d", "tab": "t", "op": "insert" if k < 6 else "update", "pk": k % 6, "value": float(k), "props": f"p{k}", "ts": 1_700_000_000 + k} for k in range(12)]
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    for n in range(3):
+        (logs / f"log.{n + 1:06d}").write_bytes(binlog_writer.write_changes(changes[4 * n : 4 * n + 4]))
+        os.utime(logs / f"log.{n + 1:06d}", (1_700_000_000 + n,) * 2)
+
+    def run(name, **start):
+        at = f"{tmp_path}/{name}"
+        sink = apply.of_logs(apply.apply_to(at, skip_applied=True), row, **start)
+        last = apply.run_available(apply.stream_logs(spark, str(logs), files_at_once=1), sink, f"{at}/checkpoint")
+        return {r.pk: r.value for r in apply.snapshot(spark, at, last).collect()}, last
+
+    assert run("all") == ({k: float(k + 6) for k in range(6)}, 2)
+    assert run("position", start=("log.000003", 4))[0] == {k: float(k + 6) for k in range(2, 6)}
+    marks = spark.createDataFrame([("00000001-0000-4000-8000-000000000000", 5)], "server_uuid string, mark long")
+    assert run("gtid", marks=marks)[0] == {4: 10.0, 5: 11.0}
+    end = apply.log_end(spark, str(logs))
+    assert end == ("log.000003", (logs / "log.000003").stat().st_size)
+    (logs / "log.000004").write_bytes(binlog_writer.write_changes([changes[0] | {"trx_id": 7, "trx_no": 6, "value": 99.0}]))
+    assert run("latest", start=end)[0] == {0: 99.0}
