@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from millrace.llm._shared import materialize
 
 #: Neighbours; bound of the error in its standard units; rows of a block of codes and of queries; seed.
-K, EPSILON, CODE_BLOCK, QUERY_BLOCK, SEED = 10, 4.0, 8192, 1024, 7
+K, EPSILON, CODE_BLOCK, QUERY_BLOCK, SEED = 10, 4.0, 8192, 8192, 7
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1)
 
 
@@ -120,7 +120,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, epsilon: float =
     Of equal vectors only the k + 1 smallest ids can be among anyone's k nearest, so only they are
     indexed, which keeps a vector that a third of all rows hold from making candidates by
     the square. All others are coded and every code is looked at for every query; the stated query
-    set meets the codes in blocks of bounded size, each pair of blocks a task of its own.
+    set meets the codes in blocks of bounded size, each pair of blocks a group of its own, so codes are
+    copied once for every query_block queries. Their vectors go with them: at `epsilon` a third of all vectors and more are within the
+    bound (64 dimensions), which as pairs of ids to be joined with their vectors would be more to move by far.
     A neighbour is missed only if an error exceeds `epsilon` standard units.
     """
     spark = vectors.sparkSession
