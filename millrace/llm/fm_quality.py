@@ -128,11 +128,14 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machine:
     """Fits on the labelled documents whose crc32(doc_id) mod 4 is not 2: at most fit_rows labels, those of smallest
-    hash, are taken; their documents' features (a bounded number of rows) come to the driver."""
+    hash, are taken; their documents' features come to the driver, one row a label: of several rows with one id that of
+    the smallest text hash, so that a repeated id brings no more."""
     seen = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (id_remainder("doc_id", 4) != 2)).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     sample = seen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     # The sample has at most fit_rows rows of two numbers, so it can be broadcast.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _length(docs)).join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text", "n_chars")
+    of = F.struct(F.xxhash64("text").alias("hash"), "n_chars")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by(F.struct("text", "n_chars"), of).alias("row")).select("doc_id", "quality", "row.text", "row.n_chars")
     got = rows.mapInArrow(_featured, "doc_id long, quality int, index binary, value binary").collect()
     got.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], bytes(r["index"])))
     return fit([(np.frombuffer(r["index"], "<i4").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(float), r["quality"]) for r in got])

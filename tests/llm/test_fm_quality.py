@@ -43,6 +43,14 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert len({r.score for r in got if r.doc_id == 0}) == 1  # source and lang are no inputs
 
 
+def test_rows_of_one_id_count_once(spark):
+    rows, labels = corpus(random.Random(4))
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    once = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, n_chars int")
+    a, b = train(once, table), train(once.union(once).union(once), table)
+    assert a.w0 == b.w0 and np.array_equal(a.w, b.w) and np.array_equal(a.v, b.v)
+
+
 def test_one_class_and_no_rows(spark):
     index, value = features("a b", 3)
     assert np.isclose(fit([]).scores(index, value, np.array([0]))[0], 0.5)
