@@ -72,45 +72,56 @@ def branches(messages: DataFrame) -> DataFrame:
 
 def chosen(paths: DataFrame, messages: DataFrame, keep: int = 1) -> DataFrame:
     """The messages of the `keep` best branches of each tree (highest summed score, then longest, then
-    smallest leaf id): branch_id, tree_id, leaf_id, at, role, text; null scores count 0."""
-    said = paths.join(messages.select("tree_id", "msg_id", "role", "text", F.coalesce("score", F.lit(0.0)).alias("score")), ["tree_id", "msg_id"])
-    sums = said.groupBy("tree_id", "leaf_id").agg(F.sum("score").alias("total"), F.max("steps").alias("depth"))
+    smallest leaf id): tree_id, leaf_id, rank, at, role, text; null scores count 0.
+
+    Branches are ranked by their scores alone; texts are joined to the chosen ones only.
+    """
+    scores = messages.select("tree_id", "msg_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    sums = paths.join(scores, ["tree_id", "msg_id"]).groupBy("tree_id", "leaf_id").agg(F.sum("score").alias("total"), F.max("steps").alias("depth"))
     best = Window.partitionBy("tree_id").orderBy(F.desc("total"), F.desc("depth"), "leaf_id")
     kept = sums.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep).select("tree_id", "leaf_id", "rank", "depth")
-    return said.join(kept, ["tree_id", "leaf_id"]).select("tree_id", "leaf_id", "rank", (F.col("depth") - F.col("steps")).alias("at"), "role", "text")
+    said = paths.join(kept, ["tree_id", "leaf_id"]).join(messages.select("tree_id", "msg_id", "role", "text"), ["tree_id", "msg_id"])
+    return said.select("tree_id", "leaf_id", "rank", (F.col("depth") - F.col("steps")).alias("at"), "role", "text")
+
+
+def escape_role(role: Column) -> Column:
+    """A role on one line: backslashes and line ends as backslash and letter, then control strings as in texts."""
+    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\b")), F.lit("\n"), F.lit("\\n")))
+
+
+def unescape_role(role: Column) -> Column:
+    """unescape_role(escape_role(x)) is x for every x: no backslash but those of the two pairs is left in between."""
+    return F.replace(F.replace(unescape(role), F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\"))
 
 
 def conversation(turns: DataFrame) -> DataFrame:
     """One row a conversation from rows of conv_id, at, role, text: conv_id, n_turns, formatted, loss.
 
     loss: the (start, length) spans, in code points from 1, of the assistants' escaped texts.
-    A null role is written as unknown, a null text as the empty text; line ends in roles become
-    spaces, and control strings in roles are escaped too.
+    A null role is written as unknown, a null text as the empty text; rows with one `at` go by role and
+    text. Other columns are dropped. Line ends, backslashes and control strings in roles are escaped
+    too. A conversation is one value, so it has to fit in a task's memory.
     """
-    role = escape(F.translate(F.coalesce(F.col("role"), F.lit("unknown")), "\n", " "))
+    role = escape_role(F.coalesce(F.col("role"), F.lit("unknown")))
     body = escape(F.coalesce(F.col("text"), F.lit("")))
-    turn = F.struct(F.col("at"), role.alias("role"), body.alias("body"))
-    all_ = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    head = F.lit("<|turn|>")
-    written = F.transform("turns", lambda x: F.concat(head, x.role, F.lit("\n"), x.body, F.lit("<|end|>\n")))
-    span = F.aggregate(
-        "turns",
-        F.struct(F.lit(1).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)").alias("spans")),
-        lambda a, x: F.struct(
-            (a["at"] + 17 + F.length(x.role) + F.length(x.body)).alias("at"),
-            F.when(x.role == "assistant", F.array_append(a["spans"], F.struct((a["at"] + 9 + F.length(x.role)).alias("start"), F.length(x.body).cast("long").alias("length")))).otherwise(a["spans"]).alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
-    return all_.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.array_join(written, "").alias("formatted"), span.alias("loss"))
+    rows = turns.select("conv_id", "at", role.alias("role"), body.alias("body"))
+    before = Window.partitionBy("conv_id").orderBy("at", "role", "body").rowsBetween(Window.unboundedPreceding, -1)
+    written = F.coalesce(F.sum(17 + F.length("role") + F.length("body")).over(before), F.lit(0))
+    rows = rows.withColumn("start", (written + 10 + F.length("role")).cast("long"))
+    turn = F.struct("at", "role", "body", "start")
+    all_ = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    lines = F.transform("turns", lambda x: F.concat(F.lit("<|turn|>"), x.role, F.lit("\n"), x.body, F.lit("<|end|>\n")))
+    spans = F.transform(F.filter("turns", lambda x: x.role == "assistant"), lambda x: F.struct(x.start.alias("start"), F.length(x.body).cast("long").alias("length")))
+    return all_.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.array_join(lines, "").alias("formatted"), spans.alias("loss"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """What conversation() wrote, read from its output alone: turns array<struct<role,text>> and
-    loss_text, the unescaped text under the loss mask."""
+    loss_text, the unescaped text under the loss mask. Each span is counted off from the start, so the
+    cost of one conversation is its length times its assistant turns."""
     turns = F.transform(
         F.regexp_extract_all("formatted", F.lit(f"({_TURN})"), 1),
-        lambda x: F.struct(unescape(F.regexp_extract(x, _TURN, 1)).alias("role"), unescape(F.regexp_extract(x, _TURN, 2)).alias("text")),
+        lambda x: F.struct(unescape_role(F.regexp_extract(x, _TURN, 1)).alias("role"), unescape(F.regexp_extract(x, _TURN, 2)).alias("text")),
     )
     masked = F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), s["start"].cast("int"), s["length"].cast("int"))))
     return formatted.withColumn("turns", turns).withColumn("loss_text", F.array_join(masked, ""))

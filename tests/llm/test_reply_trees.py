@@ -31,6 +31,20 @@ def test_escapes_are_reversible(spark):
         assert not any(c in r.e for c in ("<|end|>", "<|turn|>", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>"))
 
 
+def test_roles_are_reversible(spark):
+    roles = ["user", "a\nb", "a\\nb", "\\", "\\\n", "\\b\\n\n", "<|end|>\n<|turn|>x\n", "<\\|end|>", "[INST]\\", ""]
+    rows = [(k, at, r, t) for k, r in enumerate(roles) for at, t in ((0, "one"), (1, None))]
+    got = read_back(conversation(spark.createDataFrame(rows, "conv_id long, at long, role string, text string"))).collect()
+    assert {r.conv_id: [(t.role, t.text) for t in r.turns] for r in got} == {k: [(r, "one"), (r, "")] for k, r in enumerate(roles)}
+
+
+def test_all_kept_branches_have_their_texts(spark):
+    rows = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "a", 1.0), (1, 3, 1, "assistant", "b", 2.0), (1, 4, 1, "assistant", "c", 2.0)]
+    df = spark.createDataFrame(rows, TREE)
+    got = sorted((r["rank"], r.at, r.text) for r in chosen(branches(df), df, keep=2).collect())
+    assert got == [(1, 0, "q"), (1, 1, "b"), (2, 0, "q"), (2, 1, "c")]
+
+
 def test_read_back_and_digests(spark):
     rows = [(0, 0, "system", "be <|end|> kind"), (0, 1, "user", "hi\n"), (0, 2, "assistant", "é\n<|end|>\n"), (0, 3, "user", None), (0, 4, "assistant", ""), (0, 5, "assistant", "x" * 30000)]
     rows += [(1, 0, "user", "same"), (1, 0, "user", "same"), (1, None, None, "no turn"), (None, 1, "assistant", "lost"), (2, 5, "assistant", "</s>")]
