@@ -30,6 +30,35 @@ def transaction_counters(groups: DataFrame) -> DataFrame:
     return groups.agg(F.count("*").alias("trx"), F.count_distinct("gid").alias("merge_trx"))
 
 
+# The statements that are counted by name.
+NON_DML = ("createdatabase", "dropdatabase", "alterdatabase", "createtable", "altertable", "droptable", "renametable", "truncatetable", "createindex")
+
+
+def operation_counters(ops: DataFrame, named: DataFrame, ops_ok: Column, named_ok: Column) -> DataFrame:
+    """One row: what was read of each kind of change and statement, what of it was applied and what skipped, and both sums."""
+    of_db = F.col("kind").endswith("database")
+    read = ops.select(F.concat(F.lit("dml_"), "op").alias("kind"), ops_ok.alias("ok")).union(
+        named.where(F.col("kind").startswith("ddl")).select(F.when(of_db, "ddl_database").otherwise("ddl_table").alias("kind"), named_ok.alias("ok"))
+    )
+    kinds = [*(f"dml_{op}" for op in OPS), "ddl_database", "ddl_table"]
+    sides = (("extractor_operation", "", F.lit(True)), ("applier_operation", "", F.col("ok")), ("applier_operation", "_skip", ~F.col("ok")))
+    each = [F.count_if((F.col("kind") == kind) & ok).alias(f"{side}_{kind}{end}_total") for side, end, ok in sides for kind in kinds]
+    return read.agg(F.count("*").alias("extractor_operations"), F.count_if("ok").alias("applier_operations"), *each)
+
+
+def replication_counters(ops: DataFrame, named: DataFrame, groups: DataFrame, ops_ok: Column) -> DataFrame:
+    """One row: dml_*, nondml (the sum) and nondml_* by statement, trx, merge_trx (commits of groups), and delay, the
+    seconds from the last change applied to the last one read."""
+    none = F.lit(None).cast("long")
+    second = F.unix_timestamp("ts")
+    read = ops.select(F.concat(F.lit("dml_"), "op").alias("what"), second.alias("read"), F.when(ops_ok, second).alias("applied"))
+    read = read.union(named.where(F.col("kind").startswith("ddl")).select(F.concat(F.lit("nondml_"), F.replace(F.replace("kind", F.lit("ddl_")), F.lit("_"))), none, none))
+    read = read.union(groups.select(F.lit("trx"), none, none)).union(groups.select("gid").distinct().select(F.lit("merge_trx"), none, none))
+    each = [F.count_if(F.col("what") == what).alias(what) for what in (*(f"dml_{op}" for op in OPS), *(f"nondml_{s}" for s in NON_DML), "trx", "merge_trx")]
+    nondml = F.count_if(F.col("what").isin(*(f"nondml_{s}" for s in NON_DML))).alias("nondml")
+    return read.agg(*each, nondml, (F.max("read") - F.max("applied")).alias("delay"))
+
+
 def gauges(ops: DataFrame) -> DataFrame:
     """server_uuid, last position, its time, and the last transaction number of each server."""
     return ops.groupBy("server_uuid").agg(F.max("pos").alias("binlog_pos"), F.max_by("ts", "pos").alias("last_ts"), F.max_by("trx_id", "pos").alias("last_gno"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.plans.ordered import with_previous, with_running
@@ -29,10 +29,25 @@ def commit_groups(trx: DataFrame, barrier: Column | None = None) -> DataFrame:
     return with_running(seen, "trx_no", opens, "gid").drop("_prev")
 
 
-def capped_groups(groups: DataFrame, max_count: int) -> DataFrame:
+def _place(groups: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """groups with _place, from 0 along trx_no in each `by`; a group of any length is no single task's work."""
+    return with_running(groups, "trx_no", F.lit(1).cast("long"), "_place", list(by), before=True)
+
+
+def capped_groups(groups: DataFrame, max_count: int, by: tuple[str, ...] = ("gid",)) -> DataFrame:
     """Groups with a flush after every max_count transactions: part, from 0 in each group."""
-    order = Window.partitionBy("gid").orderBy("trx_no")
-    return groups.withColumn("part", F.floor((F.row_number().over(order) - 1) / max_count).cast("long"))
+    return _place(groups, by).withColumn("part", F.floor(F.col("_place") / max_count).cast("long")).drop("_place")
+
+
+def delayed_groups(groups: DataFrame, max_delay: int, at: str = "at") -> DataFrame:
+    """Groups with a flush by time: slot, from 0 in each group, counts the max_delay seconds since its first transaction.
+
+    at: a transaction's time in whole seconds. What is pending waits for max_delay at most, as every slot is no longer;
+    a time before one already seen stands in the slot of that one.
+    """
+    opened = groups.groupBy("gid").agg(F.min_by(at, "trx_no").alias("_opened"))
+    seen = with_running(groups, "trx_no", F.col(at), "_latest", ["gid"], how="max").join(opened, "gid")
+    return seen.withColumn("slot", F.floor((F.col("_latest") - F.col("_opened")) / max_delay).cast("long")).drop("_latest", "_opened")
 
 
 def group_sizes(groups: DataFrame) -> DataFrame:
@@ -41,8 +56,7 @@ def group_sizes(groups: DataFrame) -> DataFrame:
 
 def schedule(groups: DataFrame, workers: int) -> DataFrame:
     """A parallel applier's plan: groups one after another, their transactions dealt to workers in turn."""
-    order = Window.partitionBy("gid").orderBy("trx_no")
-    return groups.withColumn("worker", ((F.row_number().over(order) - 1) % workers).cast("long"))
+    return _place(groups, ("gid",)).withColumn("worker", (F.col("_place") % workers).cast("long")).drop("_place")
 
 
 def epochs(ops: DataFrame, is_barrier) -> DataFrame:

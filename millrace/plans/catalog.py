@@ -341,6 +341,16 @@ def commit_groups_max_count(spark: SparkSession, folder: str) -> DataFrame:
     return transactions.capped_groups(transactions.commit_groups(_trx(spark, folder)), 3).select("trx_no", "gid", "part")
 
 
+@query(_GROUPS + """, w AS (SELECT trx_no, CAST(max(floor(epoch(ts))) AS BIGINT) AS sec FROM ops GROUP BY trx_no),
+  s AS (SELECT trx_no, gid, CAST(floor((max(sec) OVER o - first_value(sec) OVER o) / 600) AS BIGINT) AS slot FROM g JOIN w USING (trx_no) WINDOW o AS (PARTITION BY gid ORDER BY trx_no))
+  SELECT trx_no, gid, slot, CAST(floor((row_number() OVER (PARTITION BY gid, slot ORDER BY trx_no) - 1) / 2) AS BIGINT) AS part FROM s""")
+def commit_groups_max_delay(spark: SparkSession, folder: str) -> DataFrame:
+    ops = oplog.read(spark, folder)
+    trx = ops.groupBy("trx_no", "last_committed").agg(F.count("*").alias("n_ops"), F.max(F.unix_timestamp("ts")).alias("at"))
+    slots = transactions.delayed_groups(transactions.commit_groups(trx), 600)
+    return transactions.capped_groups(slots, 2, ("gid", "slot")).select("trx_no", "gid", "slot", "part")
+
+
 @query(_GROUPS + " SELECT trx_no, gid, (row_number() OVER (PARTITION BY gid ORDER BY trx_no) - 1) % 4 AS worker FROM g")
 def parallel_schedule(spark: SparkSession, folder: str) -> DataFrame:
     return transactions.schedule(transactions.commit_groups(_trx(spark, folder)), 4).select("trx_no", "gid", "worker")
@@ -497,6 +507,32 @@ def metrics_json(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.as_json(dml_counters(spark, folder))
 
 
+_OK = "db || '.' || tab <> 'audit.users' AND db NOT IN ('mysql', 'archive') AND db IN ('shop', 'audit')"
+_KINDS = (*(f"dml_{op}" for op in metrics.OPS), "ddl_database", "ddl_table")
+
+
+@query(f"""WITH {{ops}}, {_STMT}, r AS (SELECT 'dml_' || op AS kind, {_OK} AS ok FROM ops
+  UNION ALL SELECT CASE WHEN kind LIKE '%database' THEN 'ddl_database' ELSE 'ddl_table' END, db <> 'mysql' FROM named WHERE kind LIKE 'ddl%')
+  SELECT count(*) AS extractor_operations, count(*) FILTER (ok) AS applier_operations, """ + ", ".join(
+    f"count(*) FILTER (kind = '{kind}' AND {ok}) AS {side}_{kind}{end}_total" for side, end, ok in (("extractor_operation", "", "true"), ("applier_operation", "", "ok"), ("applier_operation", "_skip", "NOT ok")) for kind in _KINDS
+) + " FROM r")
+def operation_counters(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.operation_counters(oplog.read(spark, folder), _named(spark, folder), RULE.accepts(F.col("db"), F.col("tab")), F.col("db") != "mysql")
+
+
+_COUNTED = ", ".join(f"'{s}'" for s in metrics.NON_DML)
+
+
+@query(_GROUPS + f""", {_STMT}, n AS (SELECT replace(replace(kind, 'ddl_', ''), '_', '') AS what FROM named WHERE kind LIKE 'ddl%')
+  SELECT (SELECT count(*) FROM g) AS trx, (SELECT count(DISTINCT gid) FROM g) AS merge_trx, (SELECT count(*) FROM n WHERE what IN ({_COUNTED})) AS nondml,
+  (SELECT CAST(max(floor(epoch(ts))) - max(floor(epoch(ts))) FILTER ({_OK}) AS BIGINT) FROM ops) AS delay, """ + ", ".join(
+    [f"(SELECT count(*) FROM ops WHERE op = '{op}') AS dml_{op}" for op in metrics.OPS] + [f"(SELECT count(*) FROM n WHERE what = '{s}') AS nondml_{s}" for s in metrics.NON_DML]
+))
+def replication_counters(spark: SparkSession, folder: str) -> DataFrame:
+    groups = transactions.commit_groups(_trx(spark, folder))
+    return metrics.replication_counters(oplog.read(spark, folder), _named(spark, folder), groups, RULE.accepts(F.col("db"), F.col("tab")))
+
+
 @query("WITH {ops} SELECT op, count(*) AS n FROM ops GROUP BY GROUPING SETS ((op), ())")
 def op_totals(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.totals(oplog.read(spark, folder))
