@@ -1,5 +1,8 @@
 """Main text: what is in an article, what is not, templates of sites, broken markup."""
 
+import random
+from collections import defaultdict
+
 import pytest
 
 from millrace.llm.html_main import main_text, parse
@@ -57,5 +60,45 @@ def test_templates_inside_articles(spark):
     assert all(text[300 + k] == f"Tale {k}" and text[400 + k] == f"Note {k}" for k in range(30))
 
 
+def written(node):
+    tag, inside = node
+    return f"<{tag}>{inside if isinstance(inside, str) else ''.join(map(written, inside))}</{tag}>"
+
+
+def subtrees(node, above=()):
+    """(written subtree, ...) from the root down to each paragraph, with its text."""
+    tag, inside = node
+    path = (*above, written(node))
+    if isinstance(inside, str):
+        yield path, inside
+    else:
+        for child in inside:
+            yield from subtrees(child, path)
+
+
+def test_templates_against_brute_force(spark):
+    unit = random.Random(8)
+    shared = [("div", [("p", f"Note {k}"), ("div", [("p", f"Deep {k % 3}"), ("p", "Same everywhere")])]) for k in range(8)]
+    rows, trees = [], {}
+    for k in range(150):
+        host = f"{unit.choice('aaaabbc')}.example"
+        own = [("p", f"Story {unit.randrange(60)} of {host}")] + [s for j, s in enumerate(shared) if unit.random() < j / 12]
+        unit.shuffle(own)
+        trees[k] = (host, ("article", own))
+        rows.append((k, f"https://{host}/{k}", f"<html><body>{written(trees[k][1])}</body></html>"))
+    texts, holders = defaultdict(set), defaultdict(set)
+    for host, tree in trees.values():
+        text = "\n".join(t for _, t in subtrees(tree))
+        texts[host].add(text)
+        for path, _ in subtrees(tree):
+            for sub in path:
+                holders[host, sub].add(text)
+    gone = {(host, sub) for (host, sub), of in holders.items() if len(of) >= 10 and 100 * len(of) >= 20 * len(texts[host])}
+    want = {k: "\n".join(t for path, t in subtrees(tree) if not any((host, sub) in gone for sub in path)) for k, (host, tree) in trees.items()}
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+    assert {host for host, _ in gone} >= {"a.example", "b.example"} and any("Note" in t for t in want.values())
+
+
 def test_empty_table(spark):
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
