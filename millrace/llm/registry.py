@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import brown_lm, fm_quality, html_main, line_frequency, lsh_forest, mixing, packing, rabitq, reply_trees, surrogates
+from millrace.llm import brown_lm, byte_bpe, fm_quality, html_main, kd_means, line_frequency, lsh_forest, mixing, packing, rabitq, reply_trees, surrogates, whitening
 from millrace.llm._shared import table, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,21 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.line_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_lobpcg_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return white.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_kd_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = kd_means.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    said = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return given.select("vec_id", "cluster", "distance", *(F.col(c).try_cast("long").alias(c) for c in ("cluster_inertia", "inertia")), said.alias("centroid_sha256"))
+
+
 _W = r"[^\x20\x09-\x0D]+"
 _OPEN = r"([<\[])(\\*(?:\|[A-Za-z0-9_]+\|>|/?s>|/?INST\]|/?SYS>>))"
 
@@ -147,9 +162,35 @@ FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)
 """
 
 
+def _op13_sql() -> str:
+    """Plain rounds over all pairs of vectors and centroids, components as rows."""
+    parts = ["""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64
+), x AS MATERIALIZED (
+  SELECT r, unnest(range(64)) AS j, unnest(e) AS x FROM v
+), c0 AS MATERIALIZED (
+  SELECT k, unnest(range(64)) AS j, unnest(e) AS c
+  FROM (SELECT e, row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), e) - 1 AS k FROM v QUALIFY k < 16)
+)"""]
+    for n in range(kd_means.ROUNDS + 1):
+        parts.append(f""", a{n} AS MATERIALIZED (
+  SELECT r, arg_min(k, d * 16 + k) AS k, min(d) AS d FROM (SELECT r, k, sum((x - c) * (x - c)) AS d FROM x JOIN c{n} USING (j) GROUP BY r, k) GROUP BY r
+), c{n + 1} AS MATERIALIZED (
+  SELECT k, j, coalesce(m, c) AS c FROM c{n} LEFT JOIN (SELECT k, j, CAST(floor(sum(x) / count(*)) AS BIGINT) AS m FROM a{n} JOIN x USING (r) GROUP BY k, j) USING (k, j)
+)""")
+    n = kd_means.ROUNDS
+    return "".join(parts) + f"""
+SELECT v.vec_id, CAST(a.k AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.d) OVER () AS BIGINT) AS inertia, s.h AS centroid_sha256
+FROM a{n} AS a JOIN v USING (r) JOIN (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY j)) AS h FROM c{n} GROUP BY k) AS s ON s.k = a.k
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_brown_bigrams, op2_lsh_forest, op3_best_fit_packing, op4_pivotal_mixing, op5_one_bit_codes, op6_surrogates, op7_factorisation_machine, op8_site_templates, op9_reply_trees, op10_line_frequency)}
+    return {f.__name__: f for f in (op1_brown_bigrams, op2_lsh_forest, op3_best_fit_packing, op4_pivotal_mixing, op5_one_bit_codes, op6_surrogates, op7_factorisation_machine, op8_site_templates, op9_reply_trees, op10_line_frequency, op11_lobpcg_whitening, op12_byte_bpe, op13_kd_means)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_lsh_forest": OP2_SQL, "op5_one_bit_codes": OP5_SQL, "op9_reply_trees": OP9_SQL, "op10_line_frequency": OP10_SQL}
+    return {"op2_lsh_forest": OP2_SQL, "op5_one_bit_codes": OP5_SQL, "op9_reply_trees": OP9_SQL, "op10_line_frequency": OP10_SQL, "op13_kd_means": _op13_sql()}
