@@ -110,11 +110,11 @@ class Encoder:
                 self.whole.add(i)
                 return
         if self.merge(token) == [i]:
-            self.ordered = False  # parts of higher rank than the whole: pairs are merged anew each time
+            self.ordered = False  # a part ranks behind the whole, as in no trained vocabulary: neighbours alone then decide nothing
             self.whole.add(i)
 
     def merge(self, text: bytes) -> list[int]:
-        """Merges as they are defined, for short texts: the neighbours of lowest rank, the leftmost of equals."""
+        """Merges as they are defined, in quadratic time: the neighbours of lowest rank, the leftmost of equals."""
         parts, none = [text[k : k + 1] for k in range(len(text))], 1 << 62
         while len(parts) > 1:
             rank, at = min((self.ranks.get(a + b, none), k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
@@ -143,7 +143,7 @@ class Encoder:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the merges of a's and b's bytes end in a and b."""
-        return self._stays(a, b, 1 << 62) if self.ordered else self.merge(self.bytes[a] + self.bytes[b]) == [a, b]
+        return self._stays(a, b, 1 << 62)
 
     def shorter(self, token: int) -> int:
         """The longest token that this one begins with, -1 if it is a single byte."""
@@ -167,6 +167,8 @@ class Encoder:
         """The ids of one match of the pattern."""
         if piece in self.ranks:
             return [self.ranks[piece]]
+        if not self.ordered:
+            return self.merge(piece)
         text, n = piece.decode("latin-1"), len(piece)
         matches, fits, length = self.latin.iter_long, self.fits, self.length
         dead = bytearray(n + 1)
