@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.plans.ordered import with_running
-from millrace.plans.shared import fresh_folder
+from millrace.plans.shared import kept
 
 KEY = ("db", "tab", "pk")
 ROW = ("value", "props")
@@ -147,18 +147,12 @@ def followed(ops: DataFrame, statements: DataFrame) -> DataFrame:
     of = statements.where("kind in ('ddl_rename_table', 'ddl_truncate_table', 'ddl_drop_table', 'ddl_drop_database')").select("pos", "kind", "db", "tab", "new_db", "new_tab")
     left = of.select("pos", (F.col("kind") == "ddl_rename_table").alias("lives"), F.col("new_db").alias("db"), F.col("new_tab").alias("tab"))
     onward = _next(left.where("lives"), 2 * F.col("pos") + 2, of)
-    fate = _kept(onward.unionByName(left.where("not lives"), allowMissingColumns=True), "statements")
+    fate = kept(onward.unionByName(left.where("not lives"), allowMissingColumns=True), "statements")
     while not fate.where("_next is not null").isEmpty():
         then = fate.select(F.col("pos").alias("_at"), F.struct("lives", "db", "tab", "_next").alias("_then"))
         met = fate.join(then, F.col("_next") == F.col("_at"), "left")
-        fate = _kept(met.select("pos", *(F.when(F.col("_next").isNull(), F.col(c)).otherwise(F.col("_then")[c]).alias(c) for c in ("lives", "db", "tab", "_next"))), "statements")
+        fate = kept(met.select("pos", *(F.when(F.col("_next").isNull(), F.col(c)).otherwise(F.col("_then")[c]).alias(c) for c in ("lives", "db", "tab", "_next"))), "statements")
     end = fate.select(F.col("pos").alias("_next"), F.struct("lives", "db", "tab").alias("_end"))
     met = _next(ops, 2 * F.col("pos"), of).join(end, "_next", "left").where("_end is null or _end.lives")
     return met.select(*(F.coalesce(F.col("_end")[c], F.col(c)).alias(c) if c in ("db", "tab") else F.col(c) for c in ops.columns))
 
-
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder, and read from there."""
-    at = fresh_folder(df.sparkSession, name)
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)

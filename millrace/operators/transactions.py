@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.plans.ordered import with_previous, with_running
+from millrace.plans.search import first_reaching
+from millrace.plans.shared import kept
 
 # Which kind may follow which.
 FOLLOWS = {
@@ -39,15 +41,32 @@ def capped_groups(groups: DataFrame, max_count: int, by: tuple[str, ...] = ("gid
     return _place(groups, by).withColumn("part", F.floor(F.col("_place") / max_count).cast("long")).drop("_place")
 
 
-def delayed_groups(groups: DataFrame, max_delay: int, at: str = "at") -> DataFrame:
-    """Groups with a flush by time: slot, from 0 in each group, counts the max_delay seconds since its first transaction.
+def flushed_groups(groups: DataFrame, max_delay: int, max_count: int | None = None, at: str = "at", clock: int | None = None) -> DataFrame:
+    """groups with batch: which flush (from 1, along trx_no) a transaction is applied with.
 
-    at: a transaction's time in whole seconds. What is pending waits for max_delay at most, as every slot is no longer;
-    a time before one already seen stands in the slot of that one.
+    A batch ends where its group does. Else, when a transaction starts, what is pending is flushed if it is max_count
+    transactions, or if the last applied transaction's time (`at`, whole seconds) is max_delay or more behind the clock. The clock is the time
+    of the last transaction of the flush before; `clock` is its first reading, the first transaction's time by default. Times may go
+    back; a transaction without a time is never late.
+
+    Every transaction points to the start of the batch behind the one that would start with it: the first time that reaches its own
+    clock's limit is found by plans/search.py. Which of them do start a batch is found from the first of each group, by pointers that are doubled, in as
+    many rounds as the logarithm of the most flushes of a group.
     """
-    opened = groups.groupBy("gid").agg(F.min_by(at, "trx_no").alias("_opened"))
-    seen = with_running(groups, "trx_no", F.col(at), "_latest", ["gid"], how="max").join(opened, "gid")
-    return seen.withColumn("slot", F.floor((F.col("_latest") - F.col("_opened")) / max_delay).cast("long")).drop("_latest", "_opened")
+    seen = with_running(with_previous(groups, "trx_no", F.col(at), "_clock"), "trx_no", F.lit(1).cast("long"), "_index", before=True)
+    first = F.col(at) if clock is None else F.lit(clock)
+    seen = kept(seen.withColumn("_clock", F.when(F.col("_index") == 0, first).otherwise(F.col("_clock"))), "flushes")
+    late = first_reaching(seen.select("gid", "_index", at, "_clock"), "_index", at, F.col("_index"), F.col("_clock") + max_delay, "_late")
+    ends = seen.groupBy("gid").agg(F.min("_index").alias("_begin"), (F.max("_index") + 1).alias("_end"))
+    next_ = F.least(F.col("_late") + 1, F.col("_end"), *([F.col("_index") + max_count] if max_count else []))
+    jumps = kept(late.join(ends, "gid").select("_index", (F.col("_index") == F.col("_begin")).alias("_starts"), F.when(next_ < F.col("_end"), next_).alias("_to")), "flushes")
+    while not jumps.where("_to is not null").isEmpty():
+        reached = jumps.where("_starts and _to is not null").select(F.col("_to").alias("_index")).distinct().withColumn("_hit", F.lit(True))
+        then = jumps.select(F.col("_index").alias("_at"), F.col("_to").alias("_then"))
+        far = jumps.where("_to is not null").join(then, F.col("_to") == F.col("_at")).select("_index", "_starts", F.col("_then").alias("_to")).unionByName(jumps.where("_to is null"))
+        jumps = kept(far.join(reached, "_index", "left").select("_index", (F.col("_starts") | F.col("_hit").isNotNull()).alias("_starts"), "_to"), "flushes")
+    marked = seen.join(jumps.select("_index", "_starts"), "_index")
+    return with_running(marked, "_index", F.col("_starts").cast("long"), "batch").drop("_clock", "_index", "_starts")
 
 
 def group_sizes(groups: DataFrame) -> DataFrame:

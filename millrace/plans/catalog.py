@@ -341,14 +341,19 @@ def commit_groups_max_count(spark: SparkSession, folder: str) -> DataFrame:
     return transactions.capped_groups(transactions.commit_groups(_trx(spark, folder)), 3).select("trx_no", "gid", "part")
 
 
-@query(_GROUPS + """, w AS (SELECT trx_no, CAST(max(floor(epoch(ts))) AS BIGINT) AS sec FROM ops GROUP BY trx_no),
-  s AS (SELECT trx_no, gid, CAST(floor((max(sec) OVER o - first_value(sec) OVER o) / 600) AS BIGINT) AS slot FROM g JOIN w USING (trx_no) WINDOW o AS (PARTITION BY gid ORDER BY trx_no))
-  SELECT trx_no, gid, slot, CAST(floor((row_number() OVER (PARTITION BY gid, slot ORDER BY trx_no) - 1) / 2) AS BIGINT) AS part FROM s""")
+@query(_GROUPS.replace("WITH ", "WITH RECURSIVE ", 1) + """, w AS (SELECT trx_no, CAST(max(floor(epoch(ts))) AS BIGINT) AS sec FROM ops GROUP BY trx_no),
+  n AS MATERIALIZED (SELECT trx_no, gid, sec, row_number() OVER (ORDER BY trx_no) AS i FROM g JOIN w USING (trx_no)),
+  r AS (
+    SELECT i, trx_no, gid, sec, sec AS clock, 1 AS held, CAST(1 AS BIGINT) AS batch FROM n WHERE i = 1
+    UNION ALL
+    SELECT n.i, n.trx_no, n.gid, n.sec, CASE WHEN f THEN r.sec ELSE clock END, CASE WHEN f THEN 1 ELSE held + 1 END, batch + CASE WHEN f THEN 1 ELSE 0 END
+    FROM (SELECT *, i + 1 AS next_i FROM r) AS r JOIN n ON n.i = next_i, LATERAL (SELECT n.gid <> r.gid OR r.held >= 4 OR r.sec - r.clock >= 90 AS f)
+  )
+  SELECT trx_no, gid, batch FROM r""")
 def commit_groups_max_delay(spark: SparkSession, folder: str) -> DataFrame:
     ops = oplog.read(spark, folder)
     trx = ops.groupBy("trx_no", "last_committed").agg(F.count("*").alias("n_ops"), F.max(F.unix_timestamp("ts")).alias("at"))
-    slots = transactions.delayed_groups(transactions.commit_groups(trx), 600)
-    return transactions.capped_groups(slots, 2, ("gid", "slot")).select("trx_no", "gid", "slot", "part")
+    return transactions.flushed_groups(transactions.commit_groups(trx), 90, 4).select("trx_no", "gid", "batch")
 
 
 @query(_GROUPS + " SELECT trx_no, gid, (row_number() OVER (PARTITION BY gid ORDER BY trx_no) - 1) % 4 AS worker FROM g")

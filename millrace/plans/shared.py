@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
@@ -16,3 +16,10 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="millrace-")
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder, and read from there."""
+    at = fresh_folder(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
