@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NAME = r"(?:`[^`]+`|[A-Za-z0-9_$]+)"
+NAME = r"(?:`(?:[^`]|``)+`|[A-Za-z0-9_$]+)"
 TABLE = rf"{NAME}(?:\s*\.\s*{NAME})?"
+_QUOTED = r"`(?:[^`]|``)*`|'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\""
+#: One item of a list: up to a comma that stands outside quotes and parentheses.
+ITEM = rf"(?s)(?:{_QUOTED}|\((?:{_QUOTED}|\((?:{_QUOTED}|[^()'`\"])*\)|[^()'`\"])*\)|[^,`'\"(])+"
+#: What separates the two names of a rename, and of a qualified name, behind the first of them.
+_FIRST_OF_TWO = rf"(?is)^({TABLE})\s+to\s+({TABLE})$"
+_QUALIFIED = rf"(?s)^({NAME})\s*\.\s*({NAME})$"
 # A statement's kind and pattern; its group is the (first) table, or the list of tables.
 KINDS = (
     ("begin", r"(?i)^begin\b()"),
@@ -35,7 +41,15 @@ def bare(query: Column) -> Column:
 
 
 def unquoted(name: Column) -> Column:
-    return F.regexp_replace(F.trim(name), "`", "")
+    """A name without its back-ticks; doubled ones inside are one."""
+    trimmed = F.trim(name)
+    inside = F.regexp_replace(F.regexp_extract(trimmed, r"(?s)^`(.*)`$", 1), "``", "`")
+    return F.when(trimmed.rlike(r"(?s)^`.*`$"), inside).otherwise(trimmed)
+
+
+def list_items(text: Column) -> Column:
+    """The items of a list, cut at commas outside quotes, back-ticks and parentheses (two levels deep), without outer white space."""
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(ITEM), F.lit(0)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 
 
 def classify(statements: DataFrame, query: str = "query") -> DataFrame:
@@ -52,16 +66,16 @@ def classify(statements: DataFrame, query: str = "query") -> DataFrame:
 def with_names(classified: DataFrame, context: str = "schema_ctx") -> DataFrame:
     """One row per table: db (its own qualifier, else the schema the statement ran in), tab, new_db and
     new_tab (of a rename), part (its place in the list) and a statement of its own for each."""
-    pairs = F.when(F.col("kind").isin("ddl_rename_table", "ddl_drop_table"), F.split("target", r"\s*,\s*")).otherwise(F.array("target"))
+    pairs = F.when(F.col("kind").isin("ddl_rename_table", "ddl_drop_table"), list_items(F.col("target"))).otherwise(F.array("target"))
     rows = classified.select("*", F.posexplode(pairs).alias("part", "_one"))
-    one = F.when(F.col("kind") == "ddl_rename_table", F.split("_one", r"(?i)\s+to\s+")).otherwise(F.array("_one"))
-    rows = rows.withColumn("_from", F.trim(one[0])).withColumn("_to", F.when(F.size(one) > 1, F.trim(F.get(one, F.lit(1)))))
+    two = (F.col("kind") == "ddl_rename_table") & F.col("_one").rlike(_FIRST_OF_TWO)
+    rows = rows.withColumn("_from", F.when(two, F.regexp_extract("_one", _FIRST_OF_TWO, 1)).otherwise(F.trim("_one"))).withColumn("_to", F.when(two, F.regexp_extract("_one", _FIRST_OF_TWO, 2)))
 
     def db(name: str) -> Column:
-        return F.coalesce(F.nullif(F.when(F.col(name).contains("."), unquoted(F.substring_index(name, ".", 1))), F.lit("")), F.col(context))
+        return F.when(F.col(name).rlike(_QUALIFIED), unquoted(F.regexp_extract(name, _QUALIFIED, 1))).otherwise(F.col(context))
 
     def tab(name: str) -> Column:
-        return unquoted(F.substring_index(name, ".", -1))
+        return unquoted(F.when(F.col(name).rlike(_QUALIFIED), F.regexp_extract(name, _QUALIFIED, 2)).otherwise(F.col(name)))
 
     of_db = F.col("kind").endswith("database")
     no_table = F.col("kind").startswith("user") | F.col("kind").isin("begin", "commit", "unknown")

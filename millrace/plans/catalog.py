@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import values
-from millrace.operators import compare, filters, fold, gtid, metrics, statements, transactions
+from millrace.operators import compare, filters, fold, gtid, metrics, schema, statements, transactions
 from millrace.plans.shared import fresh_folder
 from millrace.sources import binlog, binlog_writer, oplog, textlog
-from millrace.streaming import apply
+from millrace.streaming import apply, log_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -347,13 +347,13 @@ def commit_groups_max_count(spark: SparkSession, folder: str) -> DataFrame:
     SELECT i, trx_no, gid, sec, sec AS clock, 1 AS held, CAST(1 AS BIGINT) AS batch FROM n WHERE i = 1
     UNION ALL
     SELECT n.i, n.trx_no, n.gid, n.sec, CASE WHEN f THEN r.sec ELSE clock END, CASE WHEN f THEN 1 ELSE held + 1 END, batch + CASE WHEN f THEN 1 ELSE 0 END
-    FROM (SELECT *, i + 1 AS next_i FROM r) AS r JOIN n ON n.i = next_i, LATERAL (SELECT n.gid <> r.gid OR r.held >= 4 OR r.sec - r.clock >= 90 AS f)
+    FROM (SELECT *, i + 1 AS next_i FROM r) AS r JOIN n ON n.i = next_i, LATERAL (SELECT n.gid <> r.gid OR r.held >= 4 OR r.sec - r.clock >= 2400 AS f)
   )
   SELECT trx_no, gid, batch FROM r""")
 def commit_groups_max_delay(spark: SparkSession, folder: str) -> DataFrame:
     ops = oplog.read(spark, folder)
     trx = ops.groupBy("trx_no", "last_committed").agg(F.count("*").alias("n_ops"), F.max(F.unix_timestamp("ts")).alias("at"))
-    return transactions.flushed_groups(transactions.commit_groups(trx), 90, 4).select("trx_no", "gid", "batch")
+    return transactions.flushed_groups(transactions.commit_groups(trx), 2400, 4).select("trx_no", "gid", "batch")
 
 
 @query(_GROUPS + " SELECT trx_no, gid, (row_number() OVER (PARTITION BY gid ORDER BY trx_no) - 1) % 4 AS worker FROM g")
@@ -476,9 +476,45 @@ _LATER = [("ddl_rename_table", 499, 0, "db", "tab", "db", "tab || '_' || pos"),
 def fold_after_rename(spark: SparkSession, folder: str) -> DataFrame:
     """Renames now and then, of some tables twice, a drop of what was renamed, a drop of a database."""
     ops = oplog.read(spark, folder)
+    return fold.replace(fold.followed(ops, _later_statements(ops)))
+
+
+def _later_statements(ops: DataFrame) -> DataFrame:
     each = [ops.where(f"pos % {n} = 0").selectExpr(f"pos + {d} AS pos", f"'{kind}' AS kind", f"{db} AS db", f"{tab} AS tab", f"{ndb} AS new_db", f"{ntab} AS new_tab") for kind, n, d, db, tab, ndb, ntab in _LATER]
     each.append(ops.where("pos = 700").selectExpr("pos", "'ddl_drop_database' AS kind", "db", "CAST(NULL AS string) AS tab", "'' AS new_db", "'' AS new_tab"))
-    return fold.replace(fold.followed(ops, reduce(DataFrame.unionByName, each)))
+    return reduce(DataFrame.unionByName, each)
+
+
+# Statements on all tables: behind which position, and the text.
+_ALTERS = (
+    (-1, "CREATE TABLE IF NOT EXISTS `%s`.`%s` (`pk` INT, value DOUBLE, props VARCHAR(99) DEFAULT 'x, (y)', PRIMARY KEY (pk), KEY k (value, props)) ENGINE=InnoDB"),
+    (300, "ALTER TABLE `%s`.`%s` ADD COLUMN `note, old` VARCHAR(20) DEFAULT 'a, b' AFTER pk"),
+    (500, "ALTER TABLE `%s`.`%s` RENAME COLUMN value TO amount, DROP COLUMN props"),
+    (700, "ALTER TABLE `%s`.`%s` CHANGE `note, old` note TEXT, ADD tag INT DEFAULT 7 FIRST"),
+    (900, "ALTER TABLE `%s`.`%s` MODIFY COLUMN amount DOUBLE AFTER tag, ADD INDEX i (note)"),
+)
+
+
+@query("""WITH {ops}, r AS (SELECT *, row_number() OVER (PARTITION BY db, tab, pk ORDER BY pos DESC) AS n FROM ops)
+  SELECT db, tab, pk, CASE WHEN pos <= 700 THEN '7' ELSE CAST(pos % 13 AS VARCHAR) END AS tag, CAST(pos % 1000 AS VARCHAR) AS amount, CASE WHEN pos <= 300 THEN 'a, b' ELSE 'n' || CAST(pos % 7 AS VARCHAR) END AS note, 4 AS n_columns
+  FROM r WHERE n = 1 AND op <> 'delete'""")
+def fold_after_alter(spark: SparkSession, folder: str) -> DataFrame:
+    """Images by place, as their table's columns were when they were written, under the columns that it has in the end."""
+    text = lambda c: c.cast("string")
+    pos, pk = F.col("pos"), text(F.col("pk"))
+    tag, amount, note = text(pos % 13), text(pos % 1000), F.concat(F.lit("n"), text(pos % 7))
+    image = (
+        F.when(pos <= 300, F.array(pk, amount, F.col("props"))).when(pos <= 500, F.array(pk, note, amount, F.col("props"))).when(pos <= 700, F.array(pk, note, amount))
+        .when(pos <= 900, F.array(tag, pk, note, amount)).otherwise(F.array(tag, amount, pk, note))
+    )
+    ops = oplog.read(spark, folder).withColumn("image", image)
+    tables = ops.select("db", "tab").distinct()
+    each = F.explode(F.array(*(F.struct(F.lit(p).cast("long").alias("pos"), F.lit(q).alias("query")) for p, q in _ALTERS)))
+    said = tables.select("db", "tab", each.alias("one")).select("one.pos", F.replace("one.query", F.lit("`%s`.`%s`"), F.format_string("`%s`.`%s`", "db", "tab")).alias("query"), F.lit("").alias("schema_ctx"))
+    named = statements.with_names(statements.classify(said))
+    last = ops.groupBy(*fold.KEY).agg(F.max_by(F.struct("op", "image"), "pos").alias("last"), F.max("pos").alias("pos")).where("last.op <> 'delete'").select("pos", *fold.KEY, "last.image")
+    out = schema.projected(last, schema.versions(schema.column_changes(named)))
+    return out.select(*fold.KEY, *(F.element_at("image", F.lit(c)).alias(c) for c in ("tag", "amount", "note")), F.size("image").alias("n_columns"))
 
 
 @query("""WITH {ops}, o AS (SELECT * FROM ops WHERE pos >= 2000), b AS (SELECT -1 AS pos, 'insert' AS op, db, tab, pk, value, props FROM (SELECT *, row_number() OVER (PARTITION BY db, tab, pk ORDER BY pos DESC) AS n FROM ops WHERE pos < 2000) WHERE n = 1 AND op <> 'delete'),
@@ -790,6 +826,20 @@ def stream_fold(spark: SparkSession, folder: str) -> DataFrame:
     return apply.snapshot(spark, at, last)
 
 
+@query(SQL["fold_after_rename"])
+def stream_fold_ddl(spark: SparkSession, folder: str) -> DataFrame:
+    """Changes and statements as one stream that is stopped and goes on: the log comes in five parts, compacted every second batch."""
+    ops, at = oplog.read(spark, folder), fresh_folder(spark, "stream")
+    none = [F.lit(None).cast("string").alias(c) for c in ("new_db", "new_tab")]
+    log = ops.select("pos", F.lit("row").alias("kind"), "op", *fold.KEY, *fold.ROW, *none).unionByName(_later_statements(ops), allowMissingColumns=True)
+    width = log.agg(F.floor(F.max("pos") / 5) + 1).first()[0] or 1
+    last = -1
+    for k in range(5):
+        log.where((F.col("pos") >= k * width) & (F.col("pos") < (k + 1) * width)).write.mode("append").parquet(f"{at}/log")
+        last = max(last, apply.run_available(apply.stream_table(spark, f"{at}/log"), log_fold.apply_log(f"{at}/table", 2), f"{at}/checkpoint"))
+    return log_fold.snapshot(spark, f"{at}/table", last, 2)
+
+
 @query("WITH {ops} SELECT server_uuid, max(trx_id) AS mark FROM trx GROUP BY server_uuid")
 def stream_marks(spark: SparkSession, folder: str) -> DataFrame:
     ops = oplog.derived(apply.stream_table(spark, f"{folder}/events.parquet"))
