@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 from millrace.llm._shared import materialize
 
-#: Different page texts of a host that must hold a subtree for it to be template, and the least share of them, in percent.
+#: Different page texts of a host that must hold a subtree for it to be template; a subtree of prose must be in this share of them besides, in percent.
 MIN_PAGES, MIN_PERCENT = 10, 20
 
 # What HTML says of elements.
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption b i em strong a span u s q cite code small sub sup mark abbr time label font".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp noembed noframes".split())
 _DROP = frozenset("head script style template noscript svg math canvas iframe object video audio select button form nav footer aside dialog menu textarea title datalist noembed noframes xmp".split())
@@ -32,34 +33,41 @@ _CLOSES_P = _BLOCK - frozenset("br caption option tbody td tfoot th thead tr bod
 _ENDS_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = {"li": frozenset(("ul", "ol", "menu")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "tr": frozenset(("table",)), "td": frozenset(("table", "tr")), "th": frozenset(("table", "tr")), "option": frozenset(("select", "datalist"))}
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar form".split())
-# Names that say nothing but page furniture; what others ("menu", "discussion", "share") stand for, the counts tell.
-_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|sponsored|cookie|cookies|consent|gdpr|popup|newsletter|subscribe|sidebar|side-bar|nav|navbar|breadcrumb|breadcrumbs|footer|comments|disqus|login|signup)(?:$|[\s_-])", re.I)
-_HEADS = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)  # of a site; an article's own stays
+# Whole class names of page furniture, and whole class names and ids of reader comments. A name that merely holds such a word
+# ("ads-and-society") says nothing; the counts tell.
+_FURNITURE = frozenset("ad ads advert adverts advertisement sponsored cookie-notice cookie-banner cookie-consent gdpr popup newsletter newsletter-signup subscribe sidebar side-bar navbar breadcrumb breadcrumbs site-nav site-footer site-header masthead login-form signup-form".split())
+_COMMENTS = frozenset("comment comments comment-list commentlist comment-body comment-thread comment-section comments-area comments-section user-comment user-comments reader-comment reader-comments disqus disqus_thread respond".split())
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
 
 
 def _dropped(tag: str, attrs: str, in_article: bool) -> bool:
+    """By its tag, role or visibility, or as a reader comment by the name that its class, id or microdata give it. Other names inside count only where they are one of _FURNITURE as a whole."""
     if tag in _DROP or (tag == "header" and not in_article):
         return True
     if "=" not in attrs and "hidden" not in attrs:
         return False
     for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "role" and value.lower().strip() in _ROLES):
+        name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").lower()
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.strip() in _ROLES):
             return True
-        if name in ("class", "id") and tag not in ("article", "main", "body", "html") and (_NAMES.search(value) or (not in_article and _HEADS.search(value))):
+        if tag in ("main", "body", "html"):
+            continue
+        if name in ("class", "id") and not _COMMENTS.isdisjoint(value.split()) or name == "itemprop" and "comment" in value.split() or name == "itemtype" and value.endswith("/comment"):
+            return True
+        if name == "class" and tag != "article" and not _FURNITURE.isdisjoint(value.split()):
             return True
     return False
 
 
 def parse(page: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
     """(blocks, subtree hashes). A block is its text, whether it is in an article, and the indexes
-    of the subtrees that hold it. Dropped elements are not blocks."""
+    of the subtrees that hold it. Dropped elements are not blocks, and subtrees are hashed without them. The hashes' work is linear in the page, at any depth."""
     blocks: list[tuple[str, bool, list[int]]] = []
     hashes: list[xxhash.xxh3_64 | None] = []
     stack: list[tuple[str, bool, bool, int]] = []  # tag, dropped, in article, subtree
+    prose: list[bool] = []
     words: list[str] = []
     drop = article = False
 
@@ -74,15 +82,16 @@ def parse(page: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
     def text(said: str) -> None:
         if said and not drop:
             words.append(said)
-            if not said.isspace():
-                for s in stack:
-                    if s[3] >= 0:
-                        hashes[s[3]].update(said)
+            if stack and stack[-1][3] >= 0 and not said.isspace():
+                hashes[stack[-1][3]].update(said)
 
     def pop_to(k: int) -> None:
         nonlocal drop, article
         if not drop and any(s[0] in _BLOCK for s in stack[k:]):
             flush()
+        for own, above in zip(reversed(stack[k:]), reversed([None, *stack][k:-1]), strict=True):  # what holds a subtree knows it by its hash
+            if own[3] >= 0 and above and above[3] >= 0:
+                hashes[above[3]].update(hashes[own[3]].digest())
         del stack[k:]
         drop, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
 
@@ -129,14 +138,12 @@ def parse(page: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
         if tag in _VOID:
             continue
         inside = article or tag in ("article", "main")
-        gone = drop or _dropped(tag, m[3], article)
+        gone = drop or _dropped(tag, m[3], article) or (tag == "article" and any(s[0] == "article" for s in stack))  # inside an article stand readers' comments
         tree = -1
         if not gone and tag not in ("html", "body"):
             tree = len(hashes)
             hashes.append(xxhash.xxh3_64(tag))
-            for s in stack:
-                if s[3] >= 0:
-                    hashes[s[3]].update("<" + tag)
+            prose.append(tag in _PROSE)
         if tag in _RAW:  # up to its own end tag, whatever is inside
             stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = stop.end() if stop else n
@@ -146,7 +153,8 @@ def parse(page: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
             drop, article = gone, inside
     pop_to(0)
     flush()
-    return blocks, [h.intdigest() - (1 << 63) for h in hashes]
+    # The last bit of a hash tells what the subtree is: 1 for prose.
+    return blocks, [(h.intdigest() >> 1 << 1 | p) - (1 << 63) for h, p in zip(hashes, prose, strict=True)]
 
 
 _PARSED = pa.schema([("row_id", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("said", pa.int64()), ("blocks", pa.list_(pa.struct([("text", pa.string()), ("article", pa.bool_()), ("trees", pa.list_(pa.int64()))])))])
@@ -171,9 +179,11 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_percent: int = M
 
     The text: what articles hold without the parts that are never main text, one line a block, white
     space inside a block made one space, and without the blocks of which an enclosing subtree, inside the
-    article or around it, recurs in min_pages different texts, and min_percent of the texts, of their
-    host. Copies of an article are one text, so they stay. Pages without such a block in an
-    article: the same of all their blocks.
+    article or around it, recurs in min_pages different texts of their host, at any size of it. A subtree that is but prose (a paragraph, heading, list item,
+    cell or inline element) must be in min_percent of the host's texts as well: articles quote
+    passages from one another, and the more of them a host has the more often. Copies of an article are one text, so they stay. Pages without such a block in an
+    article: the same of all their blocks. Reader comments go by structure (an article inside an article), microdata, or the whole name of
+    their class or id.
     Null and empty html give an empty text; a null or odd url counts as one host; repeated rows
     each give a row. Broken markup is read as far as it goes.
 
@@ -188,7 +198,7 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_percent: int = M
     sizes = rows.select("host", "said").distinct().groupBy("host").agg(F.count("*").alias("texts"))
     template = (
         trees.select("host", "hash", "said").distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-        .join(sizes, "host").where(100 * F.col("n") >= min_percent * F.col("texts")).select("host", "hash")
+        .join(sizes, "host").where((F.col("hash") % 2 == 0) | (100 * F.col("n") >= min_percent * F.col("texts"))).select("host", "hash")
     )
     template = materialize(template, "templates")
     gone = materialize(trees.join(template, ["host", "hash"], "left_semi").groupBy("row_id").agg(F.collect_list("hash").alias("gone")), "gone")
