@@ -185,20 +185,21 @@ def _places(patterns: list[tuple[tuple[int, ...], int]], size: int) -> dict[int,
 def pack(pieces: DataFrame, size: int = SIZE, ranked: int = RANKED) -> DataFrame:
     """pieces with sequence_id and offset: sequences of at most `size` tokens without gaps inside.
 
-    Pieces of one length are told apart by doc_id, piece, start and ids_crc32; ties take places in any order. A
-    length that many pieces have is dealt to as many salts as it has `ranked` pieces (more, where that would be over
+    Pieces are told apart by a number of their row, which is written with them; which of one length takes which place is open. A
+    length that many pieces have, repeated rows or not, is dealt to as many salts as it has `ranked` pieces (more, where that would be over
     COUNTS salts in all), ranks are taken inside (length, salt) and shifted by the counts of the salts before; so a
     length that a third of all pieces have is no single task's, and at most size + COUNTS counts come to the driver, whatever
     the table's size. Repeated rows are pieces of their own. Columns named sequence_id or offset are
     replaced; names that begin with two underscores are this function's own. An empty table gives an empty result.
     """
     spark = pieces.sparkSession
-    pieces = materialize(pieces.drop("sequence_id", "offset"), "pieces")
+    own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    pieces = materialize(pieces.select(*own).withColumn("__row", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     per = max(ranked, -(-sum(counts.values()) // COUNTS))
     salts = np.array([-(-counts.get(length, 0) // per) for length in range(size + 1)], np.int64)
     many = F.element_at(F.array(*(F.lit(int(max(1, n))) for n in salts)), F.col("length").cast("int") + 1)
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), many).cast("int"))
+    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("__row"), many).cast("int"))
     base = np.cumsum(salts) - salts
     shift = np.zeros(int(salts.sum()) + 1, np.int64)
     held = sorted((r["length"], r["__salt"], r["n"]) for r in salted.groupBy("length", "__salt").agg(F.count("*").alias("n")).collect())
@@ -207,9 +208,8 @@ def pack(pieces: DataFrame, size: int = SIZE, ranked: int = RANKED) -> DataFrame
         shift[base[length] + salt] = before[length]
         before[length] += n
     places = spark.sparkContext.broadcast((base, shift, _places(plan(counts, size), size)))
-    order = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "start", "ids_crc32")
+    order = Window.partitionBy("length", "__salt").orderBy("__row")
     placed = salted.withColumn("__rank", F.row_number().over(order) - 1)
-    own = pieces.columns
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, shift, runs = places.value
@@ -225,7 +225,7 @@ def pack(pieces: DataFrame, size: int = SIZE, ranked: int = RANKED) -> DataFrame
                 offset[mine] = off[run]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in own), pa.array(sequence), pa.array(offset)], names=[*own, "sequence_id", "offset"])
 
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*own).schema)
     return placed.mapInArrow(place, f"{types}, sequence_id long, offset long")
 
 

@@ -189,3 +189,15 @@ def test_lengths_that_many_pieces_have_are_dealt_to_salts(spark):
             assert offset == at
             at += length
         assert at <= 64
+
+
+def test_repeated_rows_are_dealt_to_many_tasks(spark):
+    """100,000 equal pieces: as many salts as pieces of other lengths have, and places without gaps."""
+    one = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(100).cast("long").alias("length"), F.lit(5).cast("long").alias("ids_crc32"))
+    placed = packing.pack(one)
+    assert placed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    of = placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list("offset")).alias("at"))
+    assert of.count() == 10_000 and of.where(F.col("at") != F.array(*(F.lit(100 * k).cast("long") for k in range(10)))).count() == 0
+    row = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(-(-100_000 // packing.RANKED)))
+    salts = one.groupBy(row.alias("salt")).count().collect()
+    assert len(salts) == 50 and max(r["count"] for r in salts) < 2 * packing.RANKED
