@@ -176,7 +176,8 @@ def _regions_of(n_orders: int, least: int, block: int, values: int) -> Callable:
     """key, node, run of the regions of a sorted partition; run, what all of a crowded run share, is null in others.
 
     A run of rows that share `least` values is a region, named by what they share, so that a run that is cut
-    by the end of a partition meets its other part. A run of over `block` rows is crowded: each half block of its
+    by the end of a partition meets its other part; what is beside a border of partitions is a region by the run and the
+    border's number as well, so that a run that fills many partitions is whole at each of them. A run of over `block` rows is crowded: each half block of its
     order is a region together with the next half, so every node is beside its half block of nearest
     neighbours, of the longest common prefixes, on either side. Where roots are known, what is all of one root is left out.
     """
@@ -218,6 +219,10 @@ def _regions_of(n_orders: int, least: int, block: int, values: int) -> Callable:
             """A block at the end of a partition, to meet what the run has in the next one."""
             return told(named(rows), rows, ties, True)
 
+        def border(rows: np.ndarray, ties: np.ndarray, number: int, crowded: bool) -> pa.RecordBatch:
+            """What a run has on one side of the border before partition `number`, to meet the other side. A run may fill many partitions."""
+            return told(_mixed(named(rows) ^ _mixed(np.array([number + 1], np.uint64) * _M1)), rows, ties, crowded)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -235,10 +240,14 @@ def _regions_of(n_orders: int, least: int, block: int, values: int) -> Callable:
                 take = np.flatnonzero(np.repeat(~crowded & (mixed | (opens & at_start)), size))
                 if len(take):
                     yield told(named(label[take]), label[take], tie[take], False)
+                if at_start and not crowded[0]:
+                    yield border(label[: size[0]], tie[: size[0]], part, False)
                 for k in np.flatnonzero(crowded):
                     yield from blocks(slice(int(first[k]), int(first[k + 1])))
                     if at_start and k == 0:
-                        yield seam(*(opening or (label[: min(2 * half, int(size[0]))], tie[: min(2 * half, int(size[0]))])))
+                        begins = opening or (label[: min(2 * half, int(size[0]))], tie[: min(2 * half, int(size[0]))])
+                        yield seam(*begins)
+                        yield border(*begins, part, True)
                 at_start, flushed, opening = False, False, None
                 label, tie, root = label[last:], tie[last:], root[last:]
             if len(tie) >= 8 * block:
@@ -249,10 +258,16 @@ def _regions_of(n_orders: int, least: int, block: int, values: int) -> Callable:
                 label, tie, root, flushed = label[keep:], tie[keep:], root[keep:], True
         if flushed or len(tie) > block:
             yield from blocks(slice(0, len(tie)))
-            if not at_start:  # a run of a whole partition has no end at hand
+            if at_start:  # a run of a whole partition goes on on both sides
+                yield border(*(opening or (label[: 2 * half], tie[: 2 * half])), part, True)
+            else:
                 yield seam(label[-2 * half :], tie[-2 * half :])
+            yield border(label[-2 * half :], tie[-2 * half :], part + 1, True)
         elif len(tie):
             yield told(named(label), label, tie, False)
+            yield border(label, tie, part + 1, False)
+            if at_start:
+                yield border(label, tie, part, False)
 
     return run
 

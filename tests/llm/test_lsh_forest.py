@@ -3,8 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from millrace.llm import lsh_forest
+
 from millrace.llm.lsh_forest import Forest, _shared_counts, components, near_duplicates
 
 
@@ -160,3 +163,29 @@ def test_two_texts_under_one_id_and_repeated_rows(spark):
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, node string, first int")
     got = near_duplicates(df, Forest(width=3, percent=80)).collect()
     assert sorted((r.doc_id, r.component_id, r.kept, r.first) for r in got) == [(3, 3, True, True), (5, 3, False, False), (5, 3, False, False), (5, 5, True, True), (7, 3, False, False)]
+
+
+@pytest.mark.parametrize("sizes", [(200, 200, 200), (200, 3, 200), (1, 200, 200, 200, 5), (200, 9, 1000), (30, 30, 30)])
+def test_neighbours_over_borders_share_a_region(monkeypatch, sizes):
+    """One crowded run over several partitions, also filling some of them whole: who stands side by side is in one region."""
+    from types import SimpleNamespace
+
+    import pyspark
+
+    n, block, values = sum(sizes), 16, 4
+    odd = lsh_forest._odd(1)
+    labels = [(0).to_bytes(2, "big") + bytes(8) for _ in range(n)]
+    together, begin = {}, 0
+    for part, size in enumerate(sizes):
+        monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls, part=part: SimpleNamespace(partitionId=lambda: part)))
+        nodes = np.arange(begin, begin + size, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            ties = (nodes * odd[0]).view(np.int64)
+        batches = [pa.RecordBatch.from_arrays([pa.array(labels[at : at + 40][: size - at + begin], pa.binary()), pa.array(ties[at - begin : at - begin + 40])], names=["label", "tie"]) for at in range(begin, begin + size, 40)]
+        for out in lsh_forest._regions_of(1, 2, block, values)(iter(batches)):
+            for key, node in zip(out["key"].to_pylist(), out["node"].to_pylist(), strict=True):
+                together.setdefault(key, set()).add(node)
+        begin += size
+    for k in range(n - 1):
+        assert any({k, k + 1} <= of for of in together.values()), k
+    assert max(map(len, together.values())) <= 4 * block + 3 * 9
