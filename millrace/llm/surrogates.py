@@ -42,8 +42,10 @@ _PATTERNS = {
     "name": rf"(?<!\p{{L}})(?:{_MALE}|{_FEMALE})\.?(?: {_WORD})+",
 }
 _ANY = "|".join(f"(?:{p})" for p in _PATTERNS.values())
-#: Bytes that every entity has one of: most texts are passed by this alone.
-_MAYBE = rf"[@0-9]|{_MALE}|{_FEMALE}|{_KEYS}"
+#: What every entity has one of, by its pattern's own fixed parts: most texts are passed by this alone.
+_MAYBE = rf"[@0-9]|{_MALE}|{_FEMALE}|{_KEYS}|AKIA|ASIA|gh[pousr]_|sk-"
+#: Words before which a family name alone is a common word ("a Long road", "in May").
+_NO_PERSON = r"(?<!\p{L})(?:a|an|in|this|next|last|every|until|since|ein|eine|im|un|une|en)"
 ROUNDS = 12
 
 
@@ -149,12 +151,12 @@ def entities(found: DataFrame, key: bytes) -> DataFrame:
     round looks at the whole table and ends when no candidate clashes.
     """
     taken = materialize(found.groupBy("kind", "canonical").agg(F.lit(0).alias("attempt")), "entities")
-    originals = taken.select(F.col("kind").alias("k"), F.col("canonical").alias("original"))
+    originals = taken.select(F.col("canonical").alias("original")).distinct()
     for _ in range(ROUNDS):
         values, out = _stand_in(F.col("kind"), F.col("canonical"), F.col("attempt"), key)
         shaped = taken.withColumn("shaped", values["shaped"]).withColumn("first", values["first"]).withColumn("stand_in", out).drop("shaped", "first")
         same = Window.partitionBy("kind", "stand_in").orderBy("attempt", "canonical")
-        tried = shaped.withColumn("place", F.row_number().over(same)).join(originals, (F.col("kind") == F.col("k")) & (F.col("stand_in") == F.col("original")), "left")
+        tried = shaped.withColumn("place", F.row_number().over(same)).join(originals, F.col("stand_in") == F.col("original"), "left")
         tried = materialize(tried.select("kind", "canonical", "attempt", "stand_in", ((F.col("place") > 1) | F.col("original").isNotNull()).alias("clash")), "tried")
         if tried.where("clash").isEmpty():
             break
@@ -176,7 +178,8 @@ def _written(kind: Column, found: Column, stand_in: Column, given: Column) -> Co
 
 
 def _people(kind: Column, found: Column, stand_in: Column, given: Column) -> Column:
-    """How a person may be named again, and what stands for it: given names and family name, or the latter alone."""
+    """How a person may be named again, and what stands for it: given names and family name, or the latter alone.
+    What a text also writes in lower case is a word of it: see replace_entities."""
     family = F.regexp_extract(found, r"(\S+)$", 1)
     first = F.regexp_extract(found, rf"^(?:{_MALE}|{_FEMALE})\.? (.+) \S+$", 1)
     new = F.initcap(stand_in)
@@ -190,7 +193,7 @@ def _people(kind: Column, found: Column, stand_in: Column, given: Column) -> Col
 def _named_again(gap: Column, people: Column) -> Column:
     """Text between matches, with people that its document has introduced by a title replaced where they are named again."""
     quoted = F.transform(F.reverse(F.array_sort(F.transform(people, lambda p: F.struct(F.length(p["old"]).alias("n"), p["old"].alias("old"))))), lambda p: F.concat(F.lit(r"\Q"), p["old"], F.lit(r"\E")))
-    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(quoted, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    pattern = F.concat(F.lit(rf"(?<![\p{{L}}\p{{N}}])(?<!{_NO_PERSON} )(?:"), F.array_join(quoted, "|"), F.lit(r")(?![\p{L}\p{N}])"))
     said = F.transform(F.regexp_extract_all(gap, pattern, F.lit(0)), lambda m: F.element_at(F.filter(people, lambda p: p["old"] == m), 1)["said"])
     done = F.array_join(F.zip_with(F.split(gap, pattern, -1), F.concat(said, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     return F.when(F.size(people) > 0, done).otherwise(gap)
@@ -200,10 +203,12 @@ def replace_entities(docs: DataFrame, key: bytes = b"millrace") -> DataFrame:
     """docs with entities in text replaced, and n_entities, how many were.
 
     A person found behind a title is replaced wherever the same document names them again, by given names and family
-    name or by the family name alone (of three letters or more); n_entities does not count these.
+    name or by the family name alone (of three letters or more); n_entities does not count these. A family name alone is none
+    where the same text writes it in lower case as well, nor behind an article or a preposition of time.
 
-    Null texts stay null, with 0. Repeated rows are each replaced alike. Columns of docs that clash
-    (n_entities) are replaced; all others are kept. An empty table gives an empty one.
+    Null texts stay null, with 0. Texts are replaced whole, however long. Repeated rows are each replaced alike. Of entities with one candidate the one
+    of fewer attempts, then of smaller form, keeps it. A column n_entities is replaced; names that
+    begin with two underscores are this function's own; all others are kept. An empty table gives an empty one.
 
     All texts are read once; only documents with an entity meet the entity table, through their
     matches. An entity that a third of all documents hold is one row of that table; its matches
@@ -212,21 +217,23 @@ def replace_entities(docs: DataFrame, key: bytes = b"millrace") -> DataFrame:
     keep = [c for c in docs.columns if c != "n_entities"]
     text = F.col("text")
     matches = F.when(text.rlike(_MAYBE), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = materialize(docs.select(*keep).withColumn("_row", F.monotonically_increasing_id()).withColumn("_found", F.coalesce(matches, F.array().cast("array<string>"))), "matches")
+    rows = materialize(docs.select(*keep).withColumn("__row", F.monotonically_increasing_id()).withColumn("__found", F.coalesce(matches, F.array().cast("array<string>"))), "matches")
     gaps = F.split(text, _ANY, -1)
-    each = F.zip_with("_found", gaps, lambda found, gap: F.struct(found.alias("_match"), F.right(gap, F.lit(40)).alias("_before")))
-    one = rows.where(F.size("_found") > 0).select("_row", F.posexplode(each).alias("_at", "_one")).select("_row", "_at", "_one.*").where("_match is not null")
+    each = F.zip_with("__found", gaps, lambda found, gap: F.struct(found.alias("_match"), F.right(gap, F.lit(40)).alias("_before")))
+    one = rows.where(F.size("__found") > 0).select("__row", F.posexplode(each).alias("_at", "_one")).select("__row", "_at", "_one.*").where("_match is not null")
     one = one.withColumn("kind", _kind(F.col("_match"), F.col("_before"))).withColumn("canonical", _canonical(F.col("kind"), F.col("_match"))).withColumn("_person", _person(F.col("kind"), F.col("_match")))
     found = F.explode(F.array(F.struct("kind", "canonical"), F.struct(F.lit("given").alias("kind"), F.col("_person").alias("canonical"))))
     known = entities(one.where("kind <> 'none'").select(found.alias("_e")).select("_e.*").where("canonical is not null"), key)
     given = known.where("kind = 'given'").select(F.col("canonical").alias("_person"), F.col("stand_in").alias("_given"))
     said = F.when(F.col("stand_in").isNull(), F.col("_match")).otherwise(_written(F.col("kind"), F.col("_match"), F.col("stand_in"), F.col("_given")))
     # Matches without given names are dealt by their rows, not to the one task of the null key.
-    one = one.withColumn("_person", F.coalesce("_person", F.concat(F.lit("\u0003"), F.col("_row").cast("string"))))
+    one = one.withColumn("_person", F.coalesce("_person", F.concat(F.lit("\u0003"), F.col("__row").cast("string"))))
     people = _people(F.col("kind"), F.col("_match"), F.col("stand_in"), F.col("_given"))
-    spelled = one.join(known, ["kind", "canonical"], "left").join(given, "_person", "left").select("_row", "_at", said.alias("_new"), F.col("stand_in").isNotNull().cast("long").alias("_n"), people.alias("_who"))
-    new = spelled.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "_new"))).alias("_by"), F.sum("_n").alias("_n"), F.array_distinct(F.flatten(F.collect_list("_who"))).alias("_people"))
-    done = rows.where(F.size("_found") > 0).join(new, "_row")
+    spelled = one.join(known, ["kind", "canonical"], "left").join(given, "_person", "left").select("__row", "_at", said.alias("_new"), F.col("stand_in").isNotNull().cast("long").alias("_n"), people.alias("_who"))
+    new = spelled.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("_at", "_new"))).alias("_by"), F.sum("_n").alias("_n"), F.array_distinct(F.flatten(F.collect_list("_who"))).alias("_people"))
+    done = rows.where(F.size("__found") > 0).join(new, "__row")
+    people = F.filter("_people", lambda p: p["old"].contains(" ") | ~F.regexp_like(text, F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.lower(p["old"]), F.lit(r"\E(?![\p{L}\p{N}])"))))
+    done = done.withColumn("_people", F.when(F.size("_people") > 0, people).otherwise(F.col("_people")))
     pieces = F.zip_with(gaps, F.concat(F.col("_by._new"), F.array(F.lit(""))), lambda gap, said: F.concat(_named_again(gap, F.col("_people")), said))
     done = done.select(*(F.array_join(pieces, "").alias("text") if c == "text" else F.col(c) for c in keep), F.col("_n").alias("n_entities"))
-    return rows.where(F.size("_found") == 0).select(*keep, F.lit(0).cast("long").alias("n_entities")).unionByName(done)
+    return rows.where(F.size("__found") == 0).select(*keep, F.lit(0).cast("long").alias("n_entities")).unionByName(done)
