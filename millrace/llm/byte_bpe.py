@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from millrace.llm._shared import tokenizer_path
 
 #: Chunks and pairs that a worker remembers; chunks of more characters are encoded each time. Documents a batch.
-REMEMBERED, REMEMBERED_CHARS, BATCH = 1 << 20, 64, 128
+REMEMBERED, REMEMBERED_CHARS, BATCH = 3 << 18, 64, 128
 #: Where a space is followed by what no reading of \s takes for space, a match of the pattern begins at that space,
 #: and what is before it is matched alike without what follows.
 _CHUNK = re.compile(r" (?=[^\s\x1c-\x1f\x85])")
@@ -93,7 +93,6 @@ class Encoder:
             self.latin.add_word(self.bytes[i].decode("latin-1"), i)
         self.latin.make_automaton()
         self.first, self.later = _Chunks(self, ""), _Chunks(self, " ")
-        self.vocabulary = pa.array([self.bytes.get(i) for i in range(max(self.bytes) + 1)], pa.binary())
 
     def pieces(self, text: str) -> list[str]:
         """The matches of the pattern in a text."""
@@ -211,6 +210,14 @@ class Encoder:
         head, *tail = _CHUNK.split(text)
         return self.first[head] + b"".join(map(self.later.__getitem__, tail))
 
+
+class Decoder:
+    """Ids to bytes: less to hold than an Encoder."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = {i: t for t, i in ranks.items()}
+        self.vocabulary = pa.array([tokens.get(i) for i in range(max(tokens) + 1)], pa.binary())
+
     def decoded(self, ids: pa.ListArray) -> pa.BinaryArray:
         """The bytes of lists of ids: tokens one behind another in one buffer, cut where lists end. A null list
         is null; an id without a token raises KeyError."""
@@ -224,12 +231,15 @@ class Encoder:
         return pa.Array.from_buffers(pa.binary(), len(ids), [valid, pa.py_buffer(ends[places].astype(np.int32).tobytes()), tokens.buffers()[2] or pa.py_buffer(b"")])
 
 
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 def load(path: str, pattern: str) -> Encoder:
     """The encoder of a file of ranks (base64 of the token, rank), once a worker."""
     if (path, pattern) not in _LOADED:
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _LOADED[path, pattern] = Encoder(ranks, pattern)
+        _LOADED[path, pattern] = Encoder(_ranks(path), pattern)
     return _LOADED[path, pattern]
 
 
@@ -274,17 +284,17 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     return docs.mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """encoded (with `ids`, array<int>) with `decoded`, the bytes that the ids stand for; null ids give null."""
-    at, by = _path(path), _pattern(pattern)
+    at = _path(path)
     schema, kept = _with(encoded, "decoded", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = load(at, by)
+        decoder = Decoder(_ranks(at))
         for batch in batches:
             for k in range(0, batch.num_rows, BATCH):
                 part = batch.slice(k, BATCH)
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), encoder.decoded(part["ids"])], names=[*kept, "decoded"])
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), decoder.decoded(part["ids"])], names=[*kept, "decoded"])
 
     return encoded.mapInArrow(run, schema)
 

@@ -39,10 +39,12 @@ def test_as_tiktoken(own, theirs, text):
     assert ids(own, text) == theirs(text)
 
 
-def test_every_code_point(own, theirs):
-    for begin in range(0, 0x110000, 64):
-        text = "".join(f"a{chr(c)} {chr(c)}1{chr(c)}.{chr(c)}" for c in range(begin, begin + 64) if not 0xD800 <= c < 0xE000)
-        assert ids(own, text) == theirs(text), hex(begin)
+def test_code_points_of_all_planes(own, theirs):
+    """All up to the Chinese letters, and one in 17 behind."""
+    points = [c for c in (*range(0x3000), *range(0x3000, 0x110000, 17)) if not 0xD800 <= c < 0xE000]
+    for begin in range(0, len(points), 256):
+        text = "".join(f"a{chr(c)} {chr(c)}1{chr(c)}.{chr(c)}" for c in points[begin : begin + 256])
+        assert ids(own, text) == theirs(text), hex(points[begin])
 
 
 def test_random_letters_of_a_later_unicode(own, theirs):
@@ -63,7 +65,7 @@ def test_pairs_against_merges(own):
 def test_small_vocabularies_against_merges():
     """Vocabularies of few letters, where dead ends and ties are common; also ranks out of the order of merges."""
     r = random.Random(2)
-    for n in range(60):
+    for n in range(20):
         tokens = [bytes([k]) for k in range(256)]
         while len(tokens) < 256 + 30:
             new = r.choice(tokens[97:100] + tokens[256:]) + r.choice(tokens[97:100] + tokens[256:])
