@@ -5,11 +5,13 @@ A set is a DataFrame of server_uuid, s, e: closed intervals of transaction numbe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.plans.ordered import with_previous, with_running
+from millrace.plans.shared import kept
 
+_HALF = 1 << 31
 _ONE = r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?::[0-9]+(?:-[0-9]+)?)+$"
 
 
@@ -18,10 +20,20 @@ def start_after(ops: DataFrame, marks: DataFrame) -> DataFrame:
     return ops.join(marks, "server_uuid", "left").where(F.col("mark").isNull() | (F.col("trx_id") > F.col("mark"))).drop("mark")
 
 
+def _reach(df: DataFrame, at: Column, of: DataFrame, name: str) -> DataFrame:
+    """df (server_uuid, ...) with the largest end of the server's intervals in `of` that begin at or before `at`; null if none does.
+
+    The end is carried along the numbers, bucket by bucket, so a server that sends everything, or has all the intervals, is no single task's.
+    """
+    both = df.withColumn("_k", 2 * at + 1).unionByName(of.select("server_uuid", (2 * F.col("s")).alias("_k"), F.col("e").alias("_e")), allowMissingColumns=True)
+    return with_running(both, "_k", F.col("_e"), name, ["server_uuid"], "max").where("_e is null").drop("_k", "_e")
+
+
 def excluding(ops: DataFrame, done: DataFrame) -> DataFrame:
-    """Operations whose transaction is in none of the intervals of `done`."""
-    d = done.select(F.col("server_uuid").alias("_u"), "s", "e")
-    return ops.join(d, (F.col("server_uuid") == F.col("_u")) & F.col("trx_id").between(F.col("s"), F.col("e")), "left_anti")
+    """Operations whose transaction is in none of the intervals of `done`. Those without server or number are in none."""
+    numbers = ops.select("server_uuid", "trx_id").where("server_uuid is not null and trx_id is not null").distinct()
+    inside = _reach(numbers, F.col("trx_id"), done, "_to").where("_to >= trx_id").select("server_uuid", "trx_id")
+    return ops.join(inside, ["server_uuid", "trx_id"], "left_anti").select(*ops.columns)
 
 
 def first_seen(trx: DataFrame) -> DataFrame:
@@ -48,17 +60,17 @@ def intervals(trx: DataFrame) -> DataFrame:
 
 def _covered(bounds: DataFrame, keep: Column) -> DataFrame:
     """Sweep over interval bounds (server_uuid, at, a, b: changes of how many cover from `at` on)."""
-    order = Window.partitionBy("server_uuid").orderBy("at")
-    steps = bounds.groupBy("server_uuid", "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    spans = steps.select("server_uuid", F.col("at").alias("s"), (F.lead("at").over(order) - 1).alias("e"), F.sum("a").over(order).alias("a"), F.sum("b").over(order).alias("b"))
-    return joined(spans.where(keep & F.col("e").isNotNull()).select("server_uuid", "s", "e"))
+    steps = bounds.groupBy("server_uuid", "at").agg(F.sum("a").alias("_a"), F.sum("b").alias("_b")).withColumn("_back", -F.col("at"))
+    # Both counts in one running sum; neither is ever negative, for what ends has begun.
+    spans = with_running(steps, "at", F.col("_a") * _HALF + F.col("_b"), "_both", ["server_uuid"])
+    spans = with_previous(spans, "_back", F.col("at"), "_next", ["server_uuid"]).withColumns({"a": F.floor(F.col("_both") / _HALF), "b": F.col("_both") % _HALF})
+    return joined(kept(spans.where(keep & F.col("_next").isNotNull()).select("server_uuid", F.col("at").alias("s"), (F.col("_next") - 1).alias("e")), "spans"))
 
 
 def joined(parts: DataFrame) -> DataFrame:
     """Adjacent intervals of a disjoint set made one."""
-    order = Window.partitionBy("server_uuid").orderBy("s")
-    opens = (F.col("s") > F.coalesce(F.lag("e").over(order), F.lit(-2)) + 1).cast("long")
-    marked = parts.withColumn("_open", opens).withColumn("_island", F.sum("_open").over(order))
+    seen = with_previous(parts, "s", F.col("e"), "_before", ["server_uuid"])
+    marked = with_running(seen, "s", (F.col("s") > F.coalesce("_before", F.lit(-2)) + 1).cast("long"), "_island", ["server_uuid"])
     return marked.groupBy("server_uuid", "_island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_island")
 
 
@@ -83,9 +95,8 @@ def intersect(one: DataFrame, other: DataFrame) -> DataFrame:
 
 def contains(one: DataFrame, other: DataFrame) -> DataFrame:
     """server_uuid, contained: whether each interval of the other set lies inside one of ours."""
-    mine = one.select(F.col("server_uuid").alias("_u"), F.col("s").alias("_s"), F.col("e").alias("_e"))
-    inside = other.join(mine, (F.col("server_uuid") == F.col("_u")) & (F.col("s") >= F.col("_s")) & (F.col("e") <= F.col("_e")), "left")
-    return inside.groupBy("server_uuid").agg(F.bool_and(F.col("_u").isNotNull()).alias("contained"))
+    inside = _reach(other.select("server_uuid", "s", "e"), F.col("s"), one, "_to")
+    return inside.groupBy("server_uuid").agg(F.bool_and(F.coalesce(F.col("_to") >= F.col("e"), F.lit(False))).alias("contained"))
 
 
 def high_water(trx: DataFrame) -> DataFrame:
@@ -142,14 +153,8 @@ def same(one: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def overlapping(one: DataFrame, other: DataFrame) -> DataFrame:
-    """Intervals of one set that share a number with the other, by a sweep over the bounds of both: how many of the other's
-    begin up to an interval's end, and how many end before its start. Where these differ, one overlaps."""
-    o = other.select("server_uuid", F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("b"), F.lit(0).alias("d")), F.struct((F.col("e") + 1).alias("at"), F.lit(0).alias("b"), F.lit(1).alias("d")))).alias("x")).select("server_uuid", "x.*")
-    mine = one.select("server_uuid", "s", "e", F.explode(F.array(F.struct(F.col("e").alias("at"), F.lit(True).alias("end")), F.struct(F.col("s").alias("at"), F.lit(False).alias("end")))).alias("x")).select("server_uuid", "s", "e", "x.*")
-    both = mine.withColumns({"b": F.lit(0), "d": F.lit(0)}).unionByName(o, allowMissingColumns=True)
-    order = Window.partitionBy("server_uuid").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    swept = both.withColumns({"begun": F.sum("b").over(order), "ended": F.sum("d").over(order)}).where("s is not null")
-    return swept.groupBy("server_uuid", "s", "e").agg(F.max(F.when(F.col("end"), F.col("begun"))).alias("begun"), F.max(F.when(~F.col("end"), F.col("ended"))).alias("ended")).where("begun > ended").select("server_uuid", "s", "e")
+    """Intervals of one set that share a number with the other: those up to whose end one of the other's begins that ends at their start or behind it."""
+    return _reach(one.select("server_uuid", "s", "e"), F.col("e"), other, "_to").where("_to >= s").select("server_uuid", "s", "e").distinct()
 
 
 def _little_endian(n: Column) -> Column:

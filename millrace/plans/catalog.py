@@ -287,10 +287,14 @@ def gtid_parse(spark: SparkSession, folder: str) -> DataFrame:
     return gtid.parse(gtid_text(spark, folder).select("gtid").union(odd)).select("server_uuid", "s", "e", "valid")
 
 
-@query("SELECT '" + _U.format(0) + "' AS server_uuid, 50 AS mark, true AS valid UNION ALL SELECT NULL, NULL, false FROM range(3)")
+@query("""WITH {ops}, t AS (SELECT server_uuid, mark, db FROM (SELECT server_uuid, db, max(trx_id) AS mark FROM ops GROUP BY ALL))
+  SELECT db, CASE WHEN mark % 2 = 0 THEN server_uuid END AS server_uuid, CASE WHEN mark % 2 = 0 THEN mark END AS mark, mark % 2 = 0 AS valid FROM t""")
 def gtid_strict_ranges(spark: SparkSession, folder: str) -> DataFrame:
-    said = spark.createDataFrame([(f"{_U.format(0)}:1-50, {_U.format(1)}:7",), (f"{_U.format(1)}:1-2:4-5",), ("x:1-2",)], "gtid string")
-    return gtid.parse_ranges(said).select("server_uuid", F.col("mark").cast("int").alias("mark"), "valid")
+    """For each database its servers' last transactions as one text, of which odd ones are written as a single number."""
+    last = oplog.read(spark, folder).groupBy("db", "server_uuid").agg(F.max("trx_id").alias("n"))
+    one = F.concat("server_uuid", F.when(F.col("n") % 2 == 0, ":1-").otherwise(":"), F.col("n").cast("string"))
+    said = last.groupBy("db").agg(F.array_join(F.collect_list(one), ", ").alias("gtid"))
+    return gtid.parse_ranges(said).select("db", "server_uuid", "mark", "valid")
 
 
 @query(_ISLANDS + ", done(u, a, z) AS (VALUES " + ", ".join(f"('{_U.format(u)}', {s}, {e})" for u, s, e in _DONE) + ") SELECT server_uuid, s, e FROM islands SEMI JOIN done ON server_uuid = u AND s <= z AND e >= a")
@@ -690,13 +694,10 @@ def rows_explode(spark: SparkSession, folder: str) -> DataFrame:
     return oplog.read(spark, folder).select("pos", "pk", F.explode(sides).alias("side"))
 
 
-@query("WITH t AS (SELECT unnest(['customer', 'events', 'lineitem', 'nation', 'orders', 'part', 'region', 'supplier']) AS table_name) SELECT table_name FROM t")
+@query("WITH {ops} SELECT db, tab AS table_name, count(*) AS n_changes, min(pos) AS first_pos FROM ops GROUP BY db, tab")
 def table_list(spark: SparkSession, folder: str) -> DataFrame:
-    wanted = ("customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier")
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    found = [s.getPath().getName() for s in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)]
-    names = sorted(n.removesuffix(".parquet") for n in found)
-    return spark.createDataFrame([(n,) for n in names if n in wanted], "table_name string").orderBy("table_name")
+    """The tables that a log is about."""
+    return oplog.read(spark, folder).groupBy("db", F.col("tab").alias("table_name")).agg(F.count("*").alias("n_changes"), F.min("pos").alias("first_pos"))
 
 
 # -- values ----------------------------------------------------------------------------------------
@@ -840,6 +841,22 @@ def stream_fold_ddl(spark: SparkSession, folder: str) -> DataFrame:
     return log_fold.snapshot(spark, f"{at}/table", last, 2)
 
 
+@query("""WITH {ops}, m AS (SELECT server_uuid, CAST(floor(max(trx_id) / 2) AS BIGINT) AS mark FROM trx WHERE server_uuid NOT LIKE '00000002%' GROUP BY server_uuid),
+  d AS (SELECT 'all' AS destination, ops.* FROM ops UNION ALL SELECT 'half', ops.* FROM ops LEFT JOIN m USING (server_uuid) WHERE mark IS NULL OR trx_id > mark),
+  r AS (SELECT *, row_number() OVER (PARTITION BY destination, db, tab, pk ORDER BY pos DESC) AS n FROM d) SELECT destination, db, tab, pk, value, props FROM r WHERE n = 1 AND op <> 'delete'""")
+def stream_two_destinations(spark: SparkSession, folder: str) -> DataFrame:
+    """One stream that is stopped and goes on, into a new destination and one that has had the first half of two servers."""
+    ops, at = oplog.read(spark, folder), fresh_folder(spark, "stream")
+    half = gtid.high_water(ops.where("server_uuid not like '00000002%'")).select(F.lit("half").alias("destination"), "server_uuid", F.floor(F.col("mark") / 2).cast("long").alias("mark"))
+    sink = apply.fan_out_each({name: apply.apply_to(f"{at}/{name}") for name in ("all", "half")}, at, half)
+    width = 4 * (ops.agg(F.floor(F.max("trx_no") / 3) + 1).first()[0] or 1)  # parts end between transactions
+    last = -1
+    for k in range(3):
+        ops.where((F.col("pos") >= k * width) & (F.col("pos") < (k + 1) * width)).write.mode("append").parquet(f"{at}/log")
+        last = max(last, apply.run_available(apply.stream_table(spark, f"{at}/log"), sink, f"{at}/checkpoint"))
+    return reduce(DataFrame.unionByName, (apply.snapshot(spark, f"{at}/{name}", last).withColumn("destination", F.lit(name)) for name in ("all", "half")))
+
+
 @query("WITH {ops} SELECT server_uuid, max(trx_id) AS mark FROM trx GROUP BY server_uuid")
 def stream_marks(spark: SparkSession, folder: str) -> DataFrame:
     ops = oplog.derived(apply.stream_table(spark, f"{folder}/events.parquet"))

@@ -103,6 +103,32 @@ def fan_out(sinks: list[Callable[[DataFrame, int], None]]) -> Callable[[DataFram
     return run
 
 
+def fan_out_each(sinks: dict[str, Callable[[DataFrame, int], None]], folder: str, begin: DataFrame) -> Callable[[DataFrame, int], None]:
+    """One stream, several destinations (by name) that have come to different transactions: each skips what its own marks show as applied.
+
+    begin: destination, server_uuid, mark; what each had before the first batch. Start the stream at gtid.merge_min of these, so
+    that none misses anything. The marks of all destinations are one version, folder/marks/v=N, written when all have taken batch N: a
+    batch that is cut short is run again for all of them, from the marks before.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.parquet(f"{folder}/marks/v={number - 1}") if number > 0 else begin.select("destination", "server_uuid", "mark")
+        batch = batch.persist()
+        try:
+            for name, sink in sinks.items():
+                own = before.where(F.col("destination") == name).select("server_uuid", "mark")
+                sink(not_applied(batch, own), number)
+            names = F.explode(F.array(*map(F.lit, sinks))).alias("destination")
+            new = high_water(batch).select(names, "server_uuid", "mark")
+            marks = before.unionByName(new).groupBy("destination", "server_uuid").agg(F.max("mark").alias("mark"))
+            marks.write.mode("overwrite").parquet(f"{folder}/marks/v={number}")
+        finally:
+            batch.unpersist()
+
+    return run
+
+
 def run_available(ops: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> int:
     """Runs the stream over all there is and ends; the number of the last batch, -1 if there was none."""
     last = {"n": -1}

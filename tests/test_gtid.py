@@ -1,5 +1,6 @@
 """Interval algebra against sets of numbers."""
 
+import bisect
 import random
 
 from millrace.operators import gtid
@@ -68,3 +69,38 @@ def test_start_marks(spark):
     empty, stored, configured = (spark.createDataFrame(x, kind) for x in ([], [(U[0], 5)], [(U[0], 1), (U[1], 2)]))
     assert [tuple(r) for r in gtid.start_marks(stored, configured).collect()] == [(U[0], 5)]
     assert gtid.start_marks(empty, configured).count() == 2
+
+
+def test_lookups_against_sets_of_numbers(spark):
+    """20,000 intervals, most of one server, far beyond a bucket of the order."""
+    unit = random.Random(6)
+
+    def set_of(n, step):
+        at, out = 0, []
+        for _ in range(n):
+            s = at + 2 + unit.randrange(step)
+            at = s + unit.randrange(step)
+            out.append(("a" if unit.random() < 0.9 else "b", s, at))
+        return out
+
+    one, other = set_of(20_000, 300), set_of(6_000, 900)
+    kind = "server_uuid string, s long, e long"
+    mine = {u: sorted((s, e) for v, s, e in one if v == u) for u in "ab"}
+
+    def reach(u, n):
+        k = bisect.bisect_right(mine[u], (n, 1 << 60)) - 1
+        return mine[u][k][1] if k >= 0 else -1
+
+    a, b = spark.createDataFrame(one, kind), spark.createDataFrame(other, kind)
+    got = {tuple(r) for r in gtid.overlapping(b, a).collect()}
+    assert got == {(u, s, e) for u, s, e in other if reach(u, e) >= s}
+    assert {r.server_uuid: r.contained for r in gtid.contains(a, b.limit(0).union(a.where("s % 2 = 0"))).collect()} == {"a": True, "b": True}
+    assert {r.server_uuid: r.contained for r in gtid.contains(a, b).collect()} == {u: all(reach(u, s) >= e for v, s, e in other if v == u) for u in "ab"}
+    points = [(k, unit.choice(["a", "b", "c", None]), unit.choice([None, *[unit.randrange(6_000_000) for _ in range(5)]])) for k in range(5_000)]
+    ops = spark.createDataFrame(points, "pos long, server_uuid string, trx_id long")
+    kept = {r.pos for r in gtid.excluding(ops, a).collect()}
+    assert kept == {k for k, u, n in points if u not in mine or n is None or reach(u, n) < n}
+    numbers = lambda df: {(r.server_uuid, n) for r in df.collect() for n in range(r.s, r.e + 1)}
+    small, large = a.where("s < 60000"), b.where("s < 60000")
+    x, y = numbers(small), numbers(large)
+    assert numbers(gtid.union(small, large)) == x | y and numbers(gtid.subtract(small, large)) == x - y and numbers(gtid.intersect(small, large)) == x & y

@@ -2,7 +2,11 @@
 
 import os
 
+import pytest
+from pyspark.sql import functions as F
+
 from millrace.operators import compare, fold
+from millrace.operators.gtid import high_water
 from millrace.sources import binlog_writer, oplog, textlog
 from millrace.streaming import apply
 
@@ -118,3 +122,32 @@ def test_log_files_stream_from_three_starts(spark, tmp_path):
     assert end == ("log.000003", (logs / "log.000003").stat().st_size)
     (logs / "log.000004").write_bytes(binlog_writer.write_changes([changes[0] | {"trx_id": 7, "trx_no": 6, "value": 99.0}]))
     assert run("latest", start=end)[0] == {0: 99.0}
+
+
+def test_destinations_skip_by_their_own_marks(spark, tmp_path):
+    """Two destinations with different marks end alike, also after a batch that failed between them."""
+    ops = oplog.read(spark, "/root/testdata/sf0.001")
+    at, source = str(tmp_path), str(tmp_path / "log")
+    first = ops.where("pos < 400")
+    apply.apply_to(f"{at}/late")(first, 0)  # has had the first part
+    marks = high_water(first).withColumn("destination", F.lit("late"))
+    shifted = lambda sink: lambda batch, n: sink(batch, n + 1)
+    failing = {"on": True}
+
+    def late(batch, n):
+        if failing.pop("on", False):
+            raise RuntimeError("lost")
+        shifted(apply.apply_to(f"{at}/late"))(batch, n)
+
+    sink = apply.fan_out_each({"new": apply.apply_to(f"{at}/new"), "late": late}, at, marks)
+    last = -1
+    for lo, hi in ((0, 300), (300, 600), (600, 10**9)):
+        ops.where(f"pos >= {lo} and pos < {hi}").coalesce(1).write.mode("append").parquet(source)
+        if lo == 0:
+            with pytest.raises(Exception, match="lost"):
+                apply.run_available(apply.stream_table(spark, source), sink, f"{at}/c")
+        last = max(last, apply.run_available(apply.stream_table(spark, source), sink, f"{at}/c"))
+    rows = lambda df: sorted(map(tuple, df.select("db", "tab", "pk", "value", "props").collect()), key=repr)
+    whole = rows(fold.replace(ops))
+    assert rows(apply.snapshot(spark, f"{at}/new", last)) == whole == rows(apply.snapshot(spark, f"{at}/late", last + 1))
+    assert spark.read.parquet(f"{at}/marks/v={last}").groupBy("server_uuid").agg(F.count_distinct("mark").alias("n"), F.count("*").alias("of")).select("n", "of").distinct().collect() == [(1, 2)]
