@@ -72,6 +72,12 @@ def up_to_position(ops: DataFrame, end: int, start: str = "start_pos") -> DataFr
     return ops.where(F.col(start) < end)
 
 
+def file_order(file: Column) -> Column:
+    """What log files are put in order by: a name with more digits is the later one of two with one beginning."""
+    return F.struct(F.length(file).alias("n"), file.alias("file"))
+
+
 def after_position(ops: DataFrame, file: str, pos: int) -> DataFrame:
     """What follows a (file, position) checkpoint."""
-    return ops.where((F.col("src_file") > file) | ((F.col("src_file") == file) & (F.col("pos") >= pos)))
+    own, last = file_order(F.col("src_file")), file_order(F.lit(file))
+    return ops.where((own > last) | ((F.col("src_file") == file) & (F.col("pos") >= pos)))

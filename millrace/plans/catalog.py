@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import values
-from millrace.operators import compare, filters, fold, gtid, metrics, schema, statements, transactions
+from millrace.operators import compare, domain_ids, filters, fold, gtid, metrics, schema, statements, transactions
 from millrace.plans.shared import fresh_folder
 from millrace.sources import binlog, binlog_writer, oplog, textlog
 from millrace.streaming import apply, log_fold
@@ -316,6 +316,43 @@ def gtid_order(spark: SparkSession, folder: str) -> DataFrame:
     return sets.select(F.row_number().over(Window.orderBy("server_uuid", "intervals")).alias("place"), "server_uuid", F.size("intervals").cast("long").alias("n"))
 
 
+def _sent(spark: SparkSession, folder: str) -> DataFrame:
+    """Transactions by domain-server-sequence: two domains, three servers in turn; the next server sends three of seven again."""
+    trx = _trx(spark, folder)
+    n = F.col("trx_no")
+    ids = trx.select((n % 2).alias("domain"), (F.floor(n / 10.0).cast("long") % 3 + 1).alias("server_id"), (F.floor(n / 2.0).cast("long") + 1).alias("seq"), "pos", "trx_no")
+    again = ids.where("trx_no % 7 < 3").select("domain", (F.col("server_id") % 3 + 1).alias("server_id"), "seq", (F.col("pos") + 100_000_000).alias("pos"), "trx_no")
+    return ids.union(again).drop("trx_no")
+
+
+_SENT = """WITH {ops}, ids AS (SELECT trx_no % 2 AS domain, CAST(floor(trx_no / 10.0) AS BIGINT) % 3 + 1 AS server_id, CAST(floor(trx_no / 2.0) AS BIGINT) + 1 AS seq, pos, trx_no FROM trx),
+  sent AS (SELECT domain, server_id, seq, pos FROM ids UNION ALL SELECT domain, server_id % 3 + 1, seq, pos + 100000000 FROM ids WHERE trx_no % 7 < 3),
+  fresh AS (SELECT domain, server_id, seq, pos FROM (SELECT *, max(seq) OVER (PARTITION BY domain ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM sent) WHERE m IS NULL OR seq > m)"""
+
+
+@query(_SENT + " SELECT * FROM fresh")
+def domain_first_seen(spark: SparkSession, folder: str) -> DataFrame:
+    return domain_ids.first_seen(_sent(spark, folder))
+
+
+@query(_SENT + " SELECT string_agg(domain || '-' || server_id || '-' || seq, ',' ORDER BY domain) AS gtid FROM (SELECT domain, max(seq) AS seq, arg_min(server_id, pos) AS server_id FROM (SELECT *, max(seq) OVER (PARTITION BY domain) AS top FROM sent) WHERE seq = top GROUP BY domain)")
+def domain_high_water(spark: SparkSession, folder: str) -> DataFrame:
+    return domain_ids.text(domain_ids.high_water(domain_ids.first_seen(_sent(spark, folder))))
+
+
+@query(_SENT + " SELECT domain, pos, seq, p AS from_server, server_id AS to_server FROM (SELECT *, lag(server_id) OVER (PARTITION BY domain ORDER BY pos) AS p FROM fresh) WHERE p <> server_id")
+def domain_handovers(spark: SparkSession, folder: str) -> DataFrame:
+    return domain_ids.handovers(_sent(spark, folder))
+
+
+@query(_SENT + ", marks AS (SELECT domain, CAST(floor(max(seq) / 2) AS BIGINT) AS mark FROM sent WHERE domain = 1 GROUP BY domain) SELECT sent.* FROM sent LEFT JOIN marks USING (domain) WHERE mark IS NULL OR seq > mark")
+def domain_start_after(spark: SparkSession, folder: str) -> DataFrame:
+    """Behind a mark that is read from its text: half of one domain."""
+    sent = _sent(spark, folder)
+    half = domain_ids.high_water(sent.where("domain = 1")).withColumn("seq", F.floor(F.col("seq") / 2).cast("long"))
+    return domain_ids.start_after(sent, domain_ids.parse(domain_ids.text(half)).where("valid")).select("domain", "server_id", "seq", "pos")
+
+
 def _le(n: str) -> str:
     return "(" + " || ".join(f"substr(printf('%016X', CAST({n} AS BIGINT)), {k}, 2)" for k in range(15, 0, -2)) + ")"
 
@@ -620,6 +657,11 @@ def table_compare(spark: SparkSession, folder: str) -> DataFrame:
     return compare.by_key(*_pair(spark, folder), ["o_orderkey"])
 
 
+@query(SQL["table_compare"])
+def table_compare_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return compare.by_key_tree(*_pair(spark, folder), ["o_orderkey"])
+
+
 @query("WITH " + _ALTERED + ", x AS (SELECT *, 1 AS n FROM a UNION ALL SELECT *, -1 FROM b), y AS (SELECT o_custkey, o_orderstatus, CAST(sum(n) AS BIGINT) AS m FROM x GROUP BY ALL) SELECT o_custkey, o_orderstatus, CASE WHEN m > 0 THEN 'source' ELSE 'target' END AS side, abs(m) AS copies FROM y WHERE m <> 0")
 def bag_compare(spark: SparkSession, folder: str) -> DataFrame:
     a, b = _pair(spark, folder)
@@ -791,7 +833,17 @@ def table_stats(spark: SparkSession, folder: str) -> DataFrame:
 @query("""WITH {ops}, c AS (SELECT *, '`id` = ' || pk AS i, '`props` = ''' || props || '''' AS p, '`' || db || '`.`' || tab || '`' AS t FROM ops)
   SELECT pos * 1000 + 600 AS at, op, CASE op WHEN 'insert' THEN 'INSERT INTO ' || t || ' SET ' || i || ', ' || p WHEN 'update' THEN 'UPDATE ' || t || ' SET ' || i || ', ' || p || ' WHERE ' || i || ' AND ' || p ELSE 'DELETE FROM ' || t || ' WHERE ' || i || ' AND ' || p END AS sql FROM c""")
 def binlog_text_parse(spark: SparkSession, folder: str) -> DataFrame:
-    return textlog.statements(_records(spark, folder), ["id", "props"]).select("at", "op", "sql")
+    return textlog.statements(_records(spark, folder)).select("at", "op", "sql")
+
+
+@query("""WITH {ops}, m AS (SELECT db, tab, pos, 'c' || CAST(floor(pos / 500) AS BIGINT) AS name FROM ops WHERE pos % 50 = 0),
+  n AS (SELECT o.pos, op, '`' || o.db || '`.`' || o.tab || '`' AS t, CASE WHEN name IS NULL THEN '`@1` = ' ELSE '`id` = ' END || pk AS i, '`' || coalesce(name, '@2') || '` = ' || '''' || props || '''' AS p FROM ops AS o ASOF LEFT JOIN m ON o.db = m.db AND o.tab = m.tab AND o.pos >= m.pos)
+  SELECT pos * 1000 + 600 AS at, op, CASE op WHEN 'insert' THEN 'INSERT INTO ' || t || ' SET ' || i || ', ' || p WHEN 'update' THEN 'UPDATE ' || t || ' SET ' || i || ', ' || p || ' WHERE ' || i || ' AND ' || p ELSE 'DELETE FROM ' || t || ' WHERE ' || i || ' AND ' || p END AS sql FROM n""")
+def text_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """A table map before every 50th change alone, with a second column that is called anew every 500 changes."""
+    name = F.concat(F.lit("c"), F.floor(F.col("pos") / 500).cast("string"))
+    records = textlog.parse(textlog.write(oplog.read(spark, folder), name)).where("event <> 'Table_map' or at % 50000 = 300")
+    return textlog.statements(records).select("at", "op", "sql")
 
 
 def _binlog_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -873,3 +925,16 @@ def stream_binlog(spark: SparkSession, folder: str) -> DataFrame:
     sink = apply.of_logs(apply.apply_to(f"{at}/table", skip_applied=True), "pk long, value double, props string")
     last = apply.run_available(apply.stream_table(spark, f"{at}/files"), sink, f"{at}/checkpoint")
     return apply.snapshot(spark, f"{at}/table", last)
+
+
+@query(_FOLD + " SELECT db, tab, pk, props FROM r WHERE n = 1 AND op <> 'delete'")
+def stream_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Textual log files as a stream, with the columns that their table maps name, what was applied before left out, folded."""
+    at = fresh_folder(spark, "stream")
+    files = textlog.write(oplog.read(spark, folder)).select(F.concat(F.lit("# at "), "record").alias("value"))
+    # A transaction stays in one file.
+    files.repartition(F.floor(F.regexp_extract("value", r"^# at (\d+)", 1).cast("long") / 4_000_000)).write.text(f"{at}/files")
+    own = apply.apply_to(f"{at}/table", skip_applied=True)
+    sink = apply.of_text(lambda ops, n: own(ops.withColumnRenamed("id", "pk").withColumn("value", F.lit(None).cast("double")), n), "id long, props string")
+    last = apply.run_available(apply.stream_text(spark, f"{at}/files", files_at_once=3), sink, f"{at}/checkpoint")
+    return apply.snapshot(spark, f"{at}/table", last).select("db", "tab", "pk", "props")

@@ -13,11 +13,12 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.rowbytes import Reader, as_json, bit_at, column_types, image
 from millrace.plans.ordered import with_running
+from millrace.plans.shared import kept
 
 # Event types by code, and the magic bytes of a file.
 MAGIC = b"\xfebin"
@@ -402,18 +403,19 @@ def changes(of: DataFrame) -> DataFrame:
 
 def oplog(of: DataFrame) -> DataFrame:
     """Row changes with the transaction they stand in: server_uuid, trx_id, last_committed, sequence_number, and gtid_pos,
-    where it begins."""
+    where it begins. Files are split once, into a table that the passes over positions and bodies read."""
+    of = kept(of.where(F.col("kind").isin("gtid", "table_map", "rotate", *ROWS)), "events")
     said = with_details(of.where(F.col("kind") == "gtid"))
     fields = F.from_json("details", "server_uuid string, trx_id long, last_committed long, sequence_number long")
     marks = said.select("src_file", "pos", fields.withField("gtid_pos", F.col("pos")).alias("g"))
-    rows = changes(mapped(of))
-    both = marks.select("src_file", "pos", F.lit(-1).alias("row_idx"), "g").unionByName(rows, allowMissingColumns=True)
-    order = Window.partitionBy("src_file").orderBy("pos", "row_idx")
-    return both.withColumn("g", F.last("g", True).over(order)).where("op is not null").select(*rows.columns, "g.*")
+    places = of.where(F.col("kind").isin(*ROWS)).select("src_file", "pos").unionByName(marks, allowMissingColumns=True)
+    last = F.when(F.col("g").isNotNull(), F.struct("pos", "g"))
+    known = with_running(places, "pos", last, "_last", ["src_file"], "max").where("g is null").select("src_file", "pos", "_last.g.*")
+    return changes(mapped(of)).join(known, ["src_file", "pos"])
 
 
 def in_one_order(rows: DataFrame) -> DataFrame:
     """Row changes of several files with pos and gtid_pos as numbers that grow along all of them: the number that ends the
-    file's name, then the byte. Rows of one event take the bytes behind its beginning, of which each row has one at least."""
-    file = F.regexp_extract("src_file", r"([0-9]+)$", 1).cast("long") * (1 << 40)
+    file's name (an ending aside; a name without one is file 0), then the byte. Rows of one event take the bytes behind its beginning, of which each row has one at least."""
+    file = F.coalesce(F.regexp_extract("src_file", r"([0-9]{1,7})(?:\.[A-Za-z]+)?$", 1).try_cast("long"), F.lit(0)) * (1 << 40)
     return rows.withColumn("gtid_pos", file + F.col("gtid_pos")).withColumn("pos", file + F.col("pos") + F.col("row_idx"))

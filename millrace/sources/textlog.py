@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.functions.values import set_text
+from millrace.plans.ordered import with_previous, with_running
 
 _HEAD = r"^(?:# at )?(\d+)\n#(\d{6} +\d{1,2}:\d{2}:\d{2}) server id (\d+) +end_log_pos (\d+)(?: CRC32 0x[0-9a-f]+)?\s+([A-Za-z_]+)"
 
@@ -24,26 +26,42 @@ def _field(pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract("record", pattern, group), F.lit(""))
 
 
+# A column of a table map: the first one behind "Columns(", each other one on its own line under it.
+_COLUMN = r"(?m)^#(?: Columns\(| {9})`((?:[^`\n]|``)+)`\s*((?:ENUM|SET)\((?:[^')\n]*+'[^']*+')*+[^')\n]*+\)|\w+(?:\([^)\n]*\))?)?"
+
+
+def _columns() -> Column:
+    """The record's columns in order: name, type (the labels of an ENUM or SET with it)."""
+    names, types = (F.regexp_extract_all("record", F.lit(_COLUMN), F.lit(k)) for k in (1, 2))
+    return F.zip_with(names, types, lambda n, t: F.struct(F.replace(n, F.lit("``"), F.lit("`")).alias("name"), t.alias("type")))
+
+
 def parse(records: DataFrame) -> DataFrame:
-    """src_file, at, ts, server_id, end_log_pos, event and what the event's own lines say."""
+    """src_file, at, ts, server_id, end_log_pos, event and what the event's own lines say.
+
+    Each field is looked for in the events that have it, so that long bodies of rows are read for their rows alone.
+    """
     number = lambda c: c.cast("long")
-    at = _field(_HEAD, 1)
-    return records.select(
-        "src_file", number(at).alias("at"), F.to_timestamp(F.regexp_replace(_field(_HEAD, 2), " +", " "), "yyMMdd H:mm:ss").alias("ts"),
-        number(_field(_HEAD, 3)).alias("server_id"), number(_field(_HEAD, 4)).alias("end_log_pos"), _field(_HEAD, 5).alias("event"),
-        number(_field(r"last_committed=(\d+)")).alias("last_committed"), number(_field(r"sequence_number=(\d+)")).alias("sequence_number"),
-        _field(r"GTID_NEXT= ?'([0-9a-f-]{36}:\d+)'").alias("gtid"),
-        _field(r"Table_map: `([^`]+)`\.`[^`]+` mapped to number").alias("db"), _field(r"Table_map: `[^`]+`\.`([^`]+)` mapped to number").alias("tab"),
-        number(F.coalesce(_field(r"mapped to number (\d+)"), _field(r"_rows: table id (\d+)"))).alias("table_id"),
-        number(_field(r"Xid = (\d+)")).alias("xid"), F.col("record").rlike(r"(?m)^COMMIT").alias("is_commit"), F.col("record").rlike(r"(?m)^ROLLBACK").alias("is_rollback"),
-        F.regexp_extract_all("record", F.lit(r"(?m)^### (.*)$"), F.lit(1)).alias("row_lines"), "record",
+    heads = records.select(
+        "src_file", number(_field(_HEAD, 1)).alias("at"), F.to_timestamp(F.regexp_replace(_field(_HEAD, 2), " +", " "), "yyMMdd H:mm:ss").alias("ts"),
+        number(_field(_HEAD, 3)).alias("server_id"), number(_field(_HEAD, 4)).alias("end_log_pos"), _field(_HEAD, 5).alias("event"), "record",
     ).where("at is not null")
+    event = F.col("event")
+    rows, of_map, of_gtid = event.endswith("_rows"), event == "Table_map", event.endswith("GTID")
+    return heads.select(
+        "src_file", "at", "ts", "server_id", "end_log_pos", "event",
+        F.when(of_gtid, number(_field(r"last_committed=(\d+)"))).alias("last_committed"), F.when(of_gtid, number(_field(r"sequence_number=(\d+)"))).alias("sequence_number"),
+        F.when(of_gtid, _field(r"GTID_NEXT= ?'([0-9a-f-]{36}:\d+)'")).alias("gtid"),
+        F.when(of_map, _field(r"Table_map: `([^`]+)`\.`[^`]+` mapped to number")).alias("db"), F.when(of_map, _field(r"Table_map: `[^`]+`\.`([^`]+)` mapped to number")).alias("tab"),
+        number(F.when(of_map, _field(r"mapped to number (\d+)")).when(rows, _field(r"_rows: table id (\d+)"))).alias("table_id"),
+        F.when(of_map, _columns()).alias("columns"), F.when(event == "Xid", number(_field(r"Xid = (\d+)"))).alias("xid"),
+        (~rows & F.col("record").rlike(r"(?m)^COMMIT")).alias("is_commit"), (~rows & F.col("record").rlike(r"(?m)^ROLLBACK")).alias("is_rollback"),
+        F.when(rows, F.regexp_extract_all("record", F.lit(r"(?m)^### (.*)$"), F.lit(1))).otherwise(F.array().cast("array<string>")).alias("row_lines"), "record",
+    )
 
 
 def misplaced(parsed: DataFrame) -> DataFrame:
     """Records that do not begin where the one before ended: a text that only looks like a position line."""
-    from millrace.plans.ordered import with_previous
-
     seen = with_previous(parsed.select("src_file", "at", "end_log_pos"), "at", F.col("end_log_pos"), "expected", ["src_file"])
     return seen.where("expected is not null and at <> expected").select("src_file", "at", "expected")
 
@@ -67,34 +85,103 @@ def table_statistics(parsed: DataFrame) -> DataFrame:
     return named.groupBy("m.db", "m.tab").agg(*(F.sum(c).alias(c) for c in ("writes", "updates", "deletes")))
 
 
-def statements(parsed: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Row changes of ### blocks as statements: src_file, at, part, op, target, cells (map of @n to text), sql.
+def _events_with(parsed: DataFrame, said: DataFrame, value: Column, name: str, by: list[str]) -> DataFrame:
+    """src_file, at, name: for each row event the value that the last of `said` before it has, of the same `by`. Places are put in order, not bodies."""
+    own = ["src_file", "at", *(c for c in by if c != "src_file")]
+    places = parsed.where(F.col("event").endswith("_rows")).select(*own).unionByName(said.select(*own, F.struct("at", value.alias("v")).alias("_said")), allowMissingColumns=True)
+    return with_running(places, "at", F.col("_said"), "_last", by, "max").where("_said is null").select("src_file", "at", F.col("_last.v").alias(name))
+
+
+def named(parsed: DataFrame) -> DataFrame:
+    """Row events with the columns of the last table map of their table id before them in the file; null without one."""
+    known = _events_with(parsed, parsed.where("event = 'Table_map'"), F.col("columns"), "columns", ["src_file", "table_id"])
+    return parsed.where(F.col("event").endswith("_rows")).drop("columns").join(known, ["src_file", "at"], "left")
+
+
+def _cell(value: Column, type_: Column) -> Column:
+    """A cell's text as SQL: an index of an ENUM and the bits of a SET as labels, the seconds of a TIMESTAMP as a time."""
+    labels = type_labels(type_)
+    quoted = lambda text: F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))
+    number = value.rlike(r"^[0-9]{1,9}$")
+    index = F.when(number, value).cast("int")
+    bits = F.lpad(F.regexp_extract(value, r"^b'([01]+)'$", 1), 64, "0")
+    held = F.array_join(F.filter(labels, lambda x, k: F.substr(bits, F.lit(64) - k, F.lit(1)) == "1"), ",")
+    return (
+        F.when(type_.startswith("ENUM(") & number, F.coalesce(quoted(F.when(index == 0, "").otherwise(F.get(labels, index - 1))), value))
+        .when(type_.startswith("SET(") & value.rlike(r"^b'[01]+'$"), quoted(held))
+        .when(type_.startswith("TIMESTAMP") & value.rlike(r"^[0-9.]+$"), F.concat(F.lit("FROM_UNIXTIME("), value, F.lit(")")))
+        .otherwise(value)
+    )
 
-    columns: names by position; without them the positions stand for names. An update's WHERE is its
-    before image. A cell that is null is compared with IS.
-    """
+
+def _images(parsed: DataFrame, columns: list[str] | None) -> DataFrame:
+    """Row changes of ### blocks: src_file, at, ts, part, op, target, before, after: arrays of name, v (SQL text). The columns are those given, else of the log."""
     text = F.concat(F.array_join("row_lines", "\n"), F.lit("\n"))
     block = r"(?s)((?:INSERT INTO|UPDATE|DELETE FROM) .*?)(?=\n(?:INSERT INTO|UPDATE|DELETE FROM) |\n$)"
-    rows = parsed.where(F.size("row_lines") > 0).select("src_file", "at", F.posexplode(F.regexp_extract_all(text, F.lit(block), F.lit(1))).alias("part", "block"))
-    op = F.lower(F.regexp_extract("block", r"^(INSERT|UPDATE|DELETE)", 1))
-    target = F.regexp_extract("block", r"^(?:INSERT INTO|UPDATE|DELETE FROM) (\S+)", 1)
+    if columns is None:
+        some = named(parsed)
+    else:
+        given = F.array(*(F.struct(F.lit(c).alias("name"), F.lit("").alias("type")) for c in columns))
+        some = parsed.where(F.col("event").endswith("_rows")).withColumn("columns", given)
+    rows = some.where(F.size("row_lines") > 0).select("src_file", "at", "ts", "columns", F.posexplode(F.regexp_extract_all(text, F.lit(block), F.lit(1))).alias("part", "block"))
     cell = r"(?m)^\s*@(\d+)=(.*?)(?: /\*.*\*/)?$"
 
     def cells(of: Column) -> Column:
         keys, values = F.regexp_extract_all(of, F.lit(cell), F.lit(1)), F.regexp_extract_all(of, F.lit(cell), F.lit(2))
-        return F.zip_with(keys, values, lambda k, v: F.struct(k.cast("int").alias("n"), v.alias("v")))
+        column = lambda k: F.get("columns", k.cast("int") - 1)
+        return F.zip_with(keys, values, lambda k, v: F.struct(F.coalesce(column(k)["name"], F.concat(F.lit("@"), k)).alias("name"), _cell(v, F.coalesce(column(k)["type"], F.lit(""))).alias("v")))
 
     where, new = F.regexp_extract("block", r"(?s)\nWHERE\n(.*?)(?:\nSET\n|$)", 1), F.regexp_extract("block", r"(?s)\nSET\n(.*)$", 1)
-    names = F.array(*map(F.lit, columns)) if columns else F.array().cast("array<string>")
-    name = lambda n: F.concat(F.lit("`"), F.coalesce(F.get(names, n - 1), F.concat(F.lit("@"), n.cast("string"))), F.lit("`"))
-    match = lambda cs: F.array_join(F.transform(cs, lambda c: F.concat(name(c.n), F.when(c.v == "NULL", " IS ").otherwise(" = "), c.v)), " AND ")
-    put = lambda cs: F.array_join(F.transform(cs, lambda c: F.concat(name(c.n), F.lit(" = "), c.v)), ", ")
+    op = F.lower(F.regexp_extract("block", r"^(INSERT|UPDATE|DELETE)", 1))
+    target = F.regexp_extract("block", r"^(?:INSERT INTO|UPDATE|DELETE FROM) (\S+)", 1)
+    return rows.select("src_file", "at", "ts", F.col("part").cast("long").alias("part"), op.alias("op"), target.alias("target"), cells(where).alias("before"), cells(new).alias("after"))
+
+
+def statements(parsed: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Row changes of ### blocks as statements: src_file, at, part, op, target, sql.
+
+    columns: names by position; else those of the table map that holds (see named). A position without a
+    name stands for itself. An update's WHERE is its before image. A cell that is null is compared with IS.
+    """
+    op, target = F.col("op"), F.col("target")
+    name = lambda c: F.concat(F.lit("`"), F.replace(c["name"], F.lit("`"), F.lit("``")), F.lit("`"))
+    match = lambda cs: F.array_join(F.transform(cs, lambda c: F.concat(name(c), F.when(c.v == "NULL", " IS ").otherwise(" = "), c.v)), " AND ")
+    put = lambda cs: F.array_join(F.transform(cs, lambda c: F.concat(name(c), F.lit(" = "), c.v)), ", ")
     sql = (
-        F.when(op == "insert", F.concat(F.lit("INSERT INTO "), target, F.lit(" SET "), put(cells(new))))
-        .when(op == "update", F.concat(F.lit("UPDATE "), target, F.lit(" SET "), put(cells(new)), F.lit(" WHERE "), match(cells(where))))
-        .otherwise(F.concat(F.lit("DELETE FROM "), target, F.lit(" WHERE "), match(cells(where))))
+        F.when(op == "insert", F.concat(F.lit("INSERT INTO "), target, F.lit(" SET "), put("after")))
+        .when(op == "update", F.concat(F.lit("UPDATE "), target, F.lit(" SET "), put("after"), F.lit(" WHERE "), match("before")))
+        .otherwise(F.concat(F.lit("DELETE FROM "), target, F.lit(" WHERE "), match("before")))
     )
-    return rows.select("src_file", "at", F.col("part").cast("long").alias("part"), op.alias("op"), target.alias("target"), sql.alias("sql"))
+    return _images(parsed, columns).select("src_file", "at", "part", "op", "target", sql.alias("sql"))
+
+
+def _plain(v: Column) -> Column:
+    """A cell's SQL text as its value: without quotes, escapes and FROM_UNIXTIME; null for NULL."""
+    code = r"\\x([0-9a-f]{2})"
+    inner = F.substr(v, F.lit(2), F.length(v) - 2)
+    chars = F.transform(F.regexp_extract_all(v, F.lit(code), F.lit(1)), lambda h: F.char(F.conv(h, 16, 10).cast("long")))
+    parts = F.split(F.replace(inner, F.lit("''"), F.lit("'")), code, -1)
+    text = F.array_join(F.zip_with(parts, F.concat(chars, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    return F.when(v == "NULL", None).when(v.startswith("'"), text).otherwise(F.regexp_replace(v, r"^FROM_UNIXTIME\((.*)\)$", "$1"))
+
+
+def oplog(parsed: DataFrame, row: str) -> DataFrame:
+    """Row changes with their values and the transaction they stand in: src_file, pos, row_idx, ts, server_uuid, trx_id, last_committed,
+    gtid_pos, db, tab, op, before, after. row: the wanted columns, as a schema; what an image does not name, or what is of
+    another type, is null. before and after are null where the change has no such image."""
+    fields = StructType.fromDDL(row).fields
+    rows = _images(parsed, None)
+
+    def image(cells: str) -> Column:
+        of = lambda f: F.get(F.filter(cells, lambda c: c["name"] == f.name), F.lit(0))["v"]
+        return F.when(F.size(cells) > 0, F.struct(*(_plain(of(f)).try_cast(f.dataType).alias(f.name) for f in fields)))
+
+    values = rows.select("src_file", "at", F.col("part").alias("row_idx"), "ts", "op", "target", image("before").alias("before"), image("after").alias("after"))
+    said = parsed.where("gtid is not null")
+    trx = _events_with(parsed, said, F.struct("gtid", "last_committed", F.col("at").alias("gtid_pos")), "g", ["src_file"])
+    part = lambda k: F.replace(F.regexp_extract("target", r"^`((?:[^`]|``)*)`\.`((?:[^`]|``)*)`$", k), F.lit("``"), F.lit("`"))
+    uuid, n = F.substring_index("g.gtid", ":", 1), F.substring_index("g.gtid", ":", -1).cast("long")
+    return values.join(trx, ["src_file", "at"], "left").select("src_file", F.col("at").alias("pos"), "row_idx", "ts", uuid.alias("server_uuid"), n.alias("trx_id"), "g.last_committed", "g.gtid_pos", part(1).alias("db"), part(2).alias("tab"), "op", "before", "after")
 
 
 def type_labels(type_text: Column) -> Column:
@@ -109,13 +196,14 @@ def label_text(kind: str, index: Column, labels: list[str]) -> Column:
     return F.concat(F.lit("'"), enum_label(index, labels) if kind == "enum" else set_text(index, labels), F.lit("'"))
 
 
-def write(ops: DataFrame) -> DataFrame:
-    """Records of an operation log: two a change (map and rows), their transaction's id before its first one."""
+def write(ops: DataFrame, second: Column | None = None) -> DataFrame:
+    """Records of an operation log: two a change (map and rows), their transaction's id before its first one. second: what the map calls the second column."""
     at = F.col("pos") * 1000
     head = lambda shift, size, what: F.format_string("%d\n#%s server id 1  end_log_pos %d CRC32 0x00000000 \t%s", at + shift, F.date_format("ts", "yyMMdd HH:mm:ss"), at + shift + size, what)
     table_id = F.when(F.col("tab") == "users", 100).otherwise(200) + F.when(F.col("db") == "mysql", 1).when(F.col("db") == "audit", 2).otherwise(3)
     gtid = F.concat(head(0, 300, F.format_string("GTID\tlast_committed=%d\tsequence_number=%d", "last_committed", F.col("trx_no") + 1)), F.format_string("\nSET @@SESSION.GTID_NEXT= '%s:%d'/*!*/;", "server_uuid", "trx_id"))
-    table = head(300, 300, F.format_string("Table_map: `%s`.`%s` mapped to number %d", "db", "tab", table_id))
+    columns = F.format_string("\n# Columns(`id` BIGINT NOT NULL,\n#         `%s` VARCHAR(200) CHARSET utf8mb4)\n# Primary Key(id)", F.lit("props") if second is None else second)
+    table = F.concat(head(300, 300, F.format_string("Table_map: `%s`.`%s` mapped to number %d", "db", "tab", table_id)), columns)
     event = F.when(F.col("op") == "insert", "Write_rows").when(F.col("op") == "update", "Update_rows").otherwise("Delete_rows")
     rows = head(600, 400, F.concat(event, F.format_string(": table id %d flags: STMT_END_F", table_id)))
     cell = F.format_string("\n###   @1=%d\n###   @2='%s'", "pk", "props")

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.operators import fold
-from millrace.operators.filters import after_position
+from millrace.operators.filters import after_position, file_order
 from millrace.operators.gtid import first_seen as first_of
 from millrace.operators.gtid import high_water, start_after
-from millrace.sources import binlog
+from millrace.sources import binlog, textlog
 
 _SEEN = "pos long, server_uuid string, trx_id long, last_committed long, db string, tab string, op string, pk long, value double, props string"
 
@@ -164,7 +164,7 @@ def log_changes(files: DataFrame, row: str, start: tuple[str, int] | None = None
 def log_end(spark: SparkSession, folder: str, names: str = "*") -> tuple[str, int] | None:
     """Name and length of the last log file of a folder, by listing alone; None for an empty one."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(folder).select(F.substring_index("path", "/", -1).alias("file"), "length")
-    last = files.agg(F.max(F.struct("file", "length")).alias("last")).first()["last"]
+    last = files.agg(F.max_by(F.struct("file", "length"), file_order(F.col("file"))).alias("last")).first()["last"]
     return last and (last["file"], last["length"])
 
 
@@ -173,6 +173,25 @@ def of_logs(sink: Callable[[DataFrame, int], None], row: str, start: tuple[str,
     return lambda files, number: sink(log_changes(files, row, start, marks), number)
 
 
+def stream_text(spark: SparkSession, folder: str, files_at_once: int = 100, names: str = "*") -> DataFrame:
+    """Records of textual logs as their files come into a folder: src_file, record. A file is taken once and whole."""
+    lines = spark.readStream.option("lineSep", "\n# at ").option("maxFilesPerTrigger", files_at_once).option("pathGlobFilter", names).text(folder)
+    return lines.select(F.col("_metadata.file_name").alias("src_file"), F.col("value").alias("record"))
+
+
+def of_text(sink: Callable[[DataFrame, int], None], row: str, marks: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
+    """A sink of batches of records of textual logs out of one of batches of changes. row: the wanted columns of a row, as a schema; a deleted row has
+    its values before. marks: as in log_changes."""
+
+    def run(records: DataFrame, number: int) -> None:
+        rows = binlog.in_one_order(textlog.oplog(textlog.parse(records), row))
+        image = F.coalesce("after", "before")
+        ops = rows.withColumn("row", image).select("pos", "ts", "server_uuid", "trx_id", F.col("gtid_pos").alias("trx_no"), "last_committed", "db", "tab", "op", "row.*")
+        sink(ops if marks is None else start_after(ops, marks), number)
+
+    return run
+
+
 def stream_table(spark: SparkSession, path: str, files_at_once: int = 1000) -> DataFrame:
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
