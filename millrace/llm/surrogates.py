@@ -41,10 +41,13 @@ _PATTERNS = {
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)",
     "name": rf"(?<!\p{{L}})(?:{_MALE}|{_FEMALE})\.?(?: {_WORD})+",
 }
+_HEX = "[0-9A-Fa-f]{1,4}"
+_IP6 = rf"(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[0-9A-Fa-f:]*\d)(?:[23][0-9A-Fa-f]{{3}}|[Ff][CcDd][0-9A-Fa-f]{{2}}|[Ff][Ee][89ABab][0-9A-Fa-f])(?::{_HEX}){{0,6}}::(?:{_HEX}(?::{_HEX}){{0,5}})?)(?![\w:]|\.\w)"
+_PATTERNS["ip6"] = _IP6
 _ANY = "|".join(f"(?:{p})" for p in _PATTERNS.values())
 #: What every entity has one of, by its pattern's own fixed parts: most texts are passed by this alone.
 _MAYBE = rf"[@0-9]|{_MALE}|{_FEMALE}|{_KEYS}|AKIA|ASIA|gh[pousr]_|sk-"
-#: Words before which a family name alone is a common word ("a Long road", "in May").
+#: Words before which a name alone is a common word ("a Long road", "in May").
 _NO_PERSON = r"(?<!\p{L})(?:a|an|in|this|next|last|every|until|since|ein|eine|im|un|une|en)"
 ROUNDS = 12
 
@@ -60,19 +63,29 @@ def _kind(found: Column, before: Column) -> Column:
     """The kind of a match, by its look and what stands before it. Long numbers whose check digit is
     wrong are no cards: their kind is none."""
     last = F.when(found.rlike(rf"^(?:{_MALE}|{_FEMALE})\.? "), "name").otherwise("secret")
-    for kind in ("card", "ssn", "phone", "iban", "ip", "email"):
+    for kind in ("card", "ssn", "phone", "iban", "ip", "ip6", "email"):
         last = F.when(found.rlike(f"^(?:{_PATTERNS[kind]})$"), kind).otherwise(last)
     last = F.when(before.rlike(f"{_NAMED}$"), "secret").otherwise(last)
     wrong = F.pmod(_luhn_sum(F.regexp_replace(found, "[^0-9]", "")), F.lit(10)) != 0
     return F.when((last == "card") & wrong, "none").otherwise(last)
 
 
+def _ip6_groups(found: Column) -> Column:
+    """The address with all its eight groups of four digits."""
+    parts = lambda text: F.filter(F.split(F.lower(text), ":"), lambda x: x != "")
+    head, tail = parts(F.substring_index(found, "::", 1)), parts(F.substring_index(found, "::", -1))
+    zeros = F.array_repeat(F.lit("0"), 8 - F.size(head) - F.size(tail))
+    groups = F.when(found.contains("::"), F.concat(head, zeros, tail)).otherwise(parts(found))
+    return F.array_join(F.transform(groups, lambda x: F.lpad(x, 4, "0")), ":")
+
+
 def _canonical(kind: Column, found: Column) -> Column:
     digits = F.regexp_replace(found, "[^0-9]", "")
     return (
         F.when(kind.isin("phone", "card", "ssn"), digits)
         .when(kind == "iban", F.replace(found, F.lit(" "), F.lit("")))
         .when(kind == "email", F.lower(found))
+        .when(kind == "ip6", _ip6_groups(found))
         .when(kind == "name", F.lower(F.regexp_extract(found, r"(\S+)$", 1)))
         .otherwise(found)
     )
@@ -112,6 +125,7 @@ def _stand_in(kind: Column, canonical: Column, attempt: Column, key: bytes) -> C
     plain = F.when(kind == "secret", F.regexp_replace(canonical, r"[^\x00-\x7F]", "x")).otherwise(canonical)
     shaped = F.concat(_shaped(plain, stream), F.when((kind == "secret") & (attempt > 2), F.substr(stream, F.lit(90), attempt)).otherwise(""))
     octet = lambda k: (F.conv(F.substring(stream, 1 + 4 * k, 4), 16, 10).cast("int") % 254 + 1).cast("string")
+    group = lambda k: F.concat(F.translate(F.substring(stream, k, 1), "0", "1"), F.substring(stream, k + 1, 3))
     unchecked = F.concat(F.substring(canonical, 1, 1), F.expr("substr(shaped, 2)"))
     body = F.expr("substr(first, 1, length(first) - 1)")
     check = F.when(F.pmod(_luhn_sum(canonical), F.lit(10)) == 0, F.pmod(-_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")).otherwise(F.substr(unchecked, F.lit(-1), F.lit(1)))
@@ -131,6 +145,7 @@ def _stand_in(kind: Column, canonical: Column, attempt: Column, key: bytes) -> C
     out = (
         F.when(kind == "email", F.concat(local, F.lit("@"), host))
         .when(kind == "ip", F.concat_ws(".", *(octet(k) for k in range(4))))
+        .when(kind == "ip6", F.concat_ws(":", F.lit("2001:0db8"), group(1), group(5), F.lit("0000:0000"), group(9), group(13)))
         .when(kind == "card", F.concat(body, check))
         .when(kind == "phone", F.concat(F.substring(canonical, 1, 1), F.expr("substr(shaped, 2)")))
         .when(kind == "iban", F.concat(F.substring(canonical, 1, 2), F.expr("substr(shaped, 3)")))
@@ -174,11 +189,13 @@ def _written(kind: Column, found: Column, stand_in: Column, given: Column) -> Co
     )
     title = F.regexp_extract(found, rf"^((?:{_MALE}|{_FEMALE})\.? )", 1)
     name = F.concat(title, F.when(given.isNotNull(), F.concat(F.substring_index(given, "\u0001", -1), F.lit(" "))).otherwise(""), F.initcap(stand_in))
-    return F.when(kind.isin("phone", "card", "ssn", "iban"), spelled).when(kind == "name", name).when((kind == "email") & (found == F.upper(found)), F.upper(stand_in)).otherwise(stand_in)
+    short = F.when(found.contains("::"), F.replace(F.replace(stand_in, F.lit(":0000:0000:"), F.lit("::")), F.lit(":0db8:"), F.lit(":db8:"))).otherwise(stand_in)
+    address = F.when(found.rlike("[A-F]"), F.upper(short)).otherwise(short)
+    return F.when(kind == "ip6", address).when(kind.isin("phone", "card", "ssn", "iban"), spelled).when(kind == "name", name).when((kind == "email") & (found == F.upper(found)), F.upper(stand_in)).otherwise(stand_in)
 
 
 def _people(kind: Column, found: Column, stand_in: Column, given: Column) -> Column:
-    """How a person may be named again, and what stands for it: given names and family name, or the latter alone.
+    """How a person may be named again, and what stands for it: given names and family name, or either alone.
     What a text also writes in lower case is a word of it: see replace_entities."""
     family = F.regexp_extract(found, r"(\S+)$", 1)
     first = F.regexp_extract(found, rf"^(?:{_MALE}|{_FEMALE})\.? (.+) \S+$", 1)
@@ -186,7 +203,8 @@ def _people(kind: Column, found: Column, stand_in: Column, given: Column) -> Col
     pair = lambda old, said: F.struct(old.alias("old"), said.alias("said"))
     none = F.lit(None).cast("struct<old:string,said:string>")
     full = F.when(given.isNotNull(), pair(F.concat_ws(" ", first, family), F.concat_ws(" ", F.substring_index(given, "\u0001", -1), new))).otherwise(none)
-    both = F.array(full, pair(family, new))
+    alone = F.when(given.isNotNull() & first.rlike(r"^\p{Lu}\p{Ll}{2,}"), pair(first, F.substring_index(given, "\u0001", -1))).otherwise(none)
+    both = F.array(full, pair(family, new), alone)
     return F.filter(F.when((kind == "name") & stand_in.isNotNull(), both), lambda p: p.isNotNull() & (F.length(p["old"]) > 2))
 
 
@@ -203,7 +221,8 @@ def replace_entities(docs: DataFrame, key: bytes = b"millrace") -> DataFrame:
     """docs with entities in text replaced, and n_entities, how many were.
 
     A person found behind a title is replaced wherever the same document names them again, by given names and family
-    name or by the family name alone (of three letters or more); n_entities does not count these. A family name alone is none
+    name or by either alone (of three letters or more); n_entities does not count these. Of two people with one given name, the
+    one whose stand-in is the smaller text stands for it alone. A name alone is none
     where the same text writes it in lower case as well, nor behind an article or a preposition of time.
 
     Null texts stay null, with 0. Texts are replaced whole, however long. Repeated rows are each replaced alike. Of entities with one candidate the one
@@ -230,7 +249,7 @@ def replace_entities(docs: DataFrame, key: bytes = b"millrace") -> DataFrame:
     one = one.withColumn("_person", F.coalesce("_person", F.concat(F.lit("\u0003"), F.col("__row").cast("string"))))
     people = _people(F.col("kind"), F.col("_match"), F.col("stand_in"), F.col("_given"))
     spelled = one.join(known, ["kind", "canonical"], "left").join(given, "_person", "left").select("__row", "_at", said.alias("_new"), F.col("stand_in").isNotNull().cast("long").alias("_n"), people.alias("_who"))
-    new = spelled.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("_at", "_new"))).alias("_by"), F.sum("_n").alias("_n"), F.array_distinct(F.flatten(F.collect_list("_who"))).alias("_people"))
+    new = spelled.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("_at", "_new"))).alias("_by"), F.sum("_n").alias("_n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_who")))).alias("_people"))
     done = rows.where(F.size("__found") > 0).join(new, "__row")
     people = F.filter("_people", lambda p: p["old"].contains(" ") | ~F.regexp_like(text, F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.lower(p["old"]), F.lit(r"\E(?![\p{L}\p{N}])"))))
     done = done.withColumn("_people", F.when(F.size("_people") > 0, people).otherwise(F.col("_people")))

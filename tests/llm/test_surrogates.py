@@ -1,5 +1,6 @@
 """Surrogates: nothing private left, form kept, distinct and coreferent, no Python in the plan."""
 
+import ipaddress
 import re
 
 import pytest
@@ -143,3 +144,22 @@ def test_common_words_are_no_mentions(spark):
     out = replace_entities(spark.createDataFrame([(1, said)], "doc_id long, text string")).first().text
     assert "has a Long road" in out and "came in May." in out and "a brook; Brook left" in out
     assert "Smith" not in out and "Mr Long" not in out and "Mr May" not in out and "Mrs Brook" not in out
+
+
+def test_addresses_of_the_sixth_version(spark):
+    texts = ["at 2A00:1450:4001::200E, 2a00:1450:4001:0:0:0:0:200e and fe80::1:2.", "2a00:1450:4001:0000:0000:0000:0000:200e", "a::b std::vector 12:34:56 dead::beef ::1 2001::x", "2a00:1:2:3:4:5:6:7"]
+    rows = [r.text for r in replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    first, second, third, fourth = rows
+    short, whole, other = re.fullmatch(r"at (\S+), (\S+) and (\S+)\.", first).groups()
+    full = lambda a: ipaddress.ip_address(a).exploded
+    assert short == short.upper() and "::" in short and full(short) == full(whole) == second
+    assert len({full(x) for x in (short, other, fourth)}) == 3
+    assert all(full(x).startswith("2001:0db8:") for x in (short, other, fourth)) and third == texts[2]
+
+
+def test_given_names_alone(spark):
+    texts = ["Mr John Smith came. John left with John's dog; Johnson stayed.", "Mr Will Power came. Will it rain? It will.", "Mrs Ann B. Cole came. Ann left."]
+    one, two, three = (r.text for r in replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect())
+    given = re.match(r"Mr (\S+) (\S+) came", one).group(1)
+    assert one.endswith(f"came. {given} left with {given}'s dog; Johnson stayed.") and given != "John"
+    assert two.endswith("Will it rain? It will.") and "Ann B." not in three
