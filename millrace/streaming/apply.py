@@ -1,59 +1,30 @@
 """Streaming: changes as they come, seen once, applied by batch.
 
-State is one number per server. Data and checkpoint of a batch are one versioned folder, so a batch
+State is one number per server, in the marks of the batch before. Data and checkpoint of a batch are one versioned folder, so a batch
 that is run again writes the same folder again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.operators import fold
 from millrace.operators.filters import after_position, file_order
-from millrace.operators.gtid import first_seen as first_of
-from millrace.operators.gtid import high_water, start_after
+from millrace.operators.gtid import first_seen, high_water, start_after
 from millrace.sources import binlog, textlog
 
-_SEEN = "pos long, server_uuid string, trx_id long, last_committed long, db string, tab string, op string, pk long, value double, props string"
-
-
-def first_seen(ops: DataFrame) -> DataFrame:
-    """Changes of transactions above what their server has sent in earlier batches or before in this one.
-
-    The changes of one transaction share its number and pass together; a gap in the numbers
-    raises no error here but shows in gtid.gaps of what was written.
-    """
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mark, trx = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(frames)).sort_values("pos", kind="stable")
-        start = mark
-        before = rows["trx_id"].cummax().shift(fill_value=start).clip(lower=start)
-        head = rows["trx_id"] != rows["trx_id"].shift()
-        fresh = (rows["trx_id"] > before).groupby(head.cumsum()).transform("first")
-        fresh |= (rows["trx_id"] == trx) & (rows["trx_id"] == start)  # its transaction began in the batch before
-        out = rows[fresh]
-        new = max(start, int(rows["trx_id"].max()))
-        state.update((new, int(out["trx_id"].iloc[-1]) if len(out) else trx))
-        yield out[[c.split()[0] for c in _SEEN.split(", ")]]
-
-    return ops.select(*(c.split()[0] for c in _SEEN.split(", "))).groupBy("server_uuid").applyInPandasWithState(run, _SEEN, "mark long, trx long", "append", GroupStateTimeout.NoTimeout)
-
 
 def not_applied(batch: DataFrame, marks: DataFrame) -> DataFrame:
     """The changes of a batch whose transactions are above their server's mark, each sent once.
 
-    The same as first_seen without state in tasks: what is ordered is one row per transaction, not the
-    changes, so a server that sends everything is no single task's work. A transaction must not go on
+    What is ordered is one row per transaction, not the changes, so a server that sends everything is no single task's work. A transaction must not go on
     in the next batch; binary logs end files between transactions.
     """
     trx = batch.groupBy("server_uuid", "trx_id", "trx_no").agg(F.min("pos").alias("pos"))
-    new = start_after(first_of(trx), marks).select("server_uuid", "trx_no")
+    new = start_after(first_seen(trx), marks).select("server_uuid", "trx_no")
     return batch.join(new, ["server_uuid", "trx_no"], "left_semi")
 
 

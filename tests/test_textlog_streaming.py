@@ -71,17 +71,6 @@ def test_stream_equals_batch_over_many_batches(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(f"{at}/marks/v=6").collect()} == marks
 
 
-def test_first_seen_drops_what_was_sent_before(spark, tmp_path):
-    ops = oplog.derived(spark.read.parquet(f"{FOLDER}/events.parquet"))
-    twice = ops.where("pos < 200")
-    ops.where("pos < 400").coalesce(1).write.parquet(f"{tmp_path}/in")
-    twice.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    seen: list = []
-    stream = apply.first_seen(apply.stream_table(spark, f"{tmp_path}/in", files_at_once=1))
-    apply.run_available(stream, lambda df, n: seen.extend(r.pos for r in df.collect()), f"{tmp_path}/c")
-    assert sorted(seen) == [r.pos for r in ops.where("pos < 400").orderBy("pos").collect()]
-
-
 def test_applied_transactions_are_left_out(spark, tmp_path):
     ops = oplog.derived(spark.read.parquet(f"{FOLDER}/events.parquet"))
     sink, at = apply.apply_to(f"{tmp_path}/t", skip_applied=True), f"{tmp_path}/t"
