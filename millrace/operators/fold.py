@@ -33,11 +33,11 @@ def replace(ops: DataFrame) -> DataFrame:
     return last.where("last.op <> 'delete'").select(*KEY, *(f"last.{c}" for c in ROW))
 
 
-def last_changes(ops: DataFrame) -> DataFrame:
+def last_changes(ops: DataFrame, by: tuple[str, ...] = KEY) -> DataFrame:
     """The last change of each key, deletes included. Folding these gives what folding all gives, so
-    batches can be shortened apart and folded together later."""
-    last = ops.groupBy(*KEY).agg(_last().alias("last"), F.max("pos").alias("pos"))
-    return last.select("pos", "last.op", *KEY, *(f"last.{c}" for c in ROW))
+    batches can be shortened apart and folded together later. by: the key's columns, and such as follow from them."""
+    last = ops.groupBy(*by).agg(_last().alias("last"), F.max("pos").alias("pos"))
+    return last.select("pos", "last.op", *by, *(f"last.{c}" for c in ROW))
 
 
 def update_only(ops: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from millrace.functions import values
 from millrace.operators import compare, domain_ids, filters, fold, gtid, metrics, schema, statements, transactions
 from millrace.plans.shared import fresh_folder
 from millrace.sources import binlog, binlog_writer, oplog, textlog
-from millrace.streaming import apply, log_fold
+from millrace.streaming import apply, leveled, log_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -893,6 +893,18 @@ def stream_fold_ddl(spark: SparkSession, folder: str) -> DataFrame:
     return log_fold.snapshot(spark, f"{at}/table", last, 2)
 
 
+@query(_FOLD + " SELECT db, tab, pk, value, props FROM r WHERE n = 1 AND op <> 'delete'")
+def stream_leveled(spark: SparkSession, folder: str) -> DataFrame:
+    """Five batches into a table of runs in levels, merged by twos."""
+    ops, at = oplog.read(spark, folder), fresh_folder(spark, "stream")
+    width = ops.agg(F.floor(F.max("pos") / 5) + 1).first()[0] or 1
+    last = -1
+    for k in range(5):
+        ops.where((F.col("pos") >= k * width) & (F.col("pos") < (k + 1) * width)).write.mode("append").parquet(f"{at}/log")
+        last = max(last, apply.run_available(apply.stream_table(spark, f"{at}/log"), leveled.apply_leveled(f"{at}/table", 8, 2), f"{at}/checkpoint"))
+    return leveled.snapshot(spark, f"{at}/table", last, 8)
+
+
 @query("""WITH {ops}, m AS (SELECT server_uuid, CAST(floor(max(trx_id) / 2) AS BIGINT) AS mark FROM trx WHERE server_uuid NOT LIKE '00000002%' GROUP BY server_uuid),
   d AS (SELECT 'all' AS destination, ops.* FROM ops UNION ALL SELECT 'half', ops.* FROM ops LEFT JOIN m USING (server_uuid) WHERE mark IS NULL OR trx_id > mark),
   r AS (SELECT *, row_number() OVER (PARTITION BY destination, db, tab, pk ORDER BY pos DESC) AS n FROM d) SELECT destination, db, tab, pk, value, props FROM r WHERE n = 1 AND op <> 'delete'""")
