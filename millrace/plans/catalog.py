@@ -14,7 +14,7 @@ from millrace.functions import values
 from millrace.operators import compare, domain_ids, filters, fold, gtid, metrics, schema, statements, transactions
 from millrace.plans.shared import fresh_folder
 from millrace.sources import binlog, binlog_writer, oplog, textlog
-from millrace.streaming import apply, leveled, log_fold
+from millrace.streaming import apply, group_log, leveled, log_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -423,17 +423,20 @@ _ENTRIES = """WITH {ops}, entries AS (
 ), s AS (SELECT seq, kind, coalesce(lag(kind) OVER (ORDER BY seq), '') AS prev FROM entries)"""
 
 
-@query(_ENTRIES + " SELECT seq, prev, kind FROM s WHERE NOT ((kind = 'gtid' AND prev IN ('', 'xid')) OR (kind = 'begin' AND prev = 'gtid') OR (kind IN ('dml', 'xid') AND prev IN ('begin', 'dml')))")
-def state_machine_violations(spark: SparkSession, folder: str) -> DataFrame:
+def _entries(spark: SparkSession, folder: str) -> DataFrame:
     ops, trx = oplog.read(spark, folder), _trx(spark, folder)
     at = F.col("trx_no") * 100
-    entries = (
+    return (
         trx.where("trx_no % 31 <> 0").select(at.alias("seq"), F.lit("gtid").alias("kind"))
         .union(trx.where("trx_no % 29 <> 0").select(at + 1, F.lit("begin")))
         .union(ops.select(at + 2 + F.col("pos") % 4, F.lit("dml")))
         .union(trx.where("trx_no % 37 <> 0").select(at + 9, F.lit("xid")))
     )
-    return transactions.order_violations(entries)
+
+
+@query(_ENTRIES + " SELECT seq, prev, kind FROM s WHERE NOT ((kind = 'gtid' AND prev IN ('', 'xid')) OR (kind = 'begin' AND prev = 'gtid') OR (kind IN ('dml', 'xid') AND prev IN ('begin', 'dml')))")
+def state_machine_violations(spark: SparkSession, folder: str) -> DataFrame:
+    return transactions.order_violations(_entries(spark, folder))
 
 
 @query(_GROUPS + " SELECT count(*) AS trx, count(DISTINCT gid) AS merge_trx FROM g")
@@ -905,6 +908,46 @@ def stream_leveled(spark: SparkSession, folder: str) -> DataFrame:
     return leveled.snapshot(spark, f"{at}/table", last, 8)
 
 
+def _in_parts(spark: SparkSession, rows: DataFrame, order: str, parts: int, at: str, sink: Callable[[DataFrame, int], None], then: DataFrame | None = None) -> int:
+    """One stream that is stopped and goes on, of which the rows come in so many parts of the order; `then` comes behind the third. The last batch."""
+    width, last = rows.agg(F.floor(F.max(order) / parts) + 1).first()[0] or 1, -1
+    for k in range(parts):
+        for some in (rows.where((F.col(order) >= k * width) & (F.col(order) < (k + 1) * width)), then if k == 2 else None):
+            if some is not None:
+                some.write.mode("append").parquet(f"{at}/log")
+                last = max(last, apply.run_available(apply.stream_table(spark, f"{at}/log"), sink, f"{at}/checkpoint"))
+    return last
+
+
+@query("""WITH {ops}, c AS (SELECT *, CASE WHEN last_committed = lag(last_committed) OVER (ORDER BY trx_no)
+    AND trx_no <> (SELECT min(t.trx_no) FROM trx AS t WHERE t.trx_no >= 3 * (SELECT floor(max(trx_no) / 5) + 1 FROM trx)) THEN 0 ELSE 1 END AS o FROM trx),
+  g AS (SELECT *, CAST(sum(o) OVER (ORDER BY trx_no) AS BIGINT) AS gid FROM c)
+  SELECT gid, last_committed, min(trx_no) AS first_trx, count(*) AS n_trx, CAST(sum(n_ops) AS BIGINT) AS n_ops FROM g GROUP BY gid, last_committed""")
+def stream_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Commit groups of a stream in five parts, which two heartbeats interrupt behind the third."""
+    at, trx = fresh_folder(spark, "stream"), _trx(spark, folder).withColumn("kind", F.lit("trx"))
+    beats = spark.createDataFrame([(group_log.HEARTBEAT,)] * 2, "kind string")
+    beats = trx.limit(0).unionByName(beats, allowMissingColumns=True)
+    last = _in_parts(spark, trx, "trx_no", 5, at, group_log.apply_groups(f"{at}/groups"), beats)
+    return transactions.group_sizes(group_log.groups(spark, f"{at}/groups", last, with_open=True))
+
+
+@query(SQL["gtid_gaps"])
+def stream_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """What servers pass over, in a stream of five parts."""
+    at, trx = fresh_folder(spark, "stream"), _holed(spark, folder).withColumn("kind", F.lit("trx"))
+    last = _in_parts(spark, trx, "trx_no", 5, at, group_log.apply_groups(f"{at}/groups"))
+    return group_log.gaps(spark, f"{at}/groups", last)
+
+
+@query(SQL["state_machine_violations"])
+def stream_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries out of order, in a stream of three parts."""
+    at = fresh_folder(spark, "stream")
+    last = _in_parts(spark, _entries(spark, folder), "seq", 3, at, group_log.check_order(f"{at}/order"))
+    return group_log.violations(spark, f"{at}/order", last)
+
+
 @query("""WITH {ops}, m AS (SELECT server_uuid, CAST(floor(max(trx_id) / 2) AS BIGINT) AS mark FROM trx WHERE server_uuid NOT LIKE '00000002%' GROUP BY server_uuid),
   d AS (SELECT 'all' AS destination, ops.* FROM ops UNION ALL SELECT 'half', ops.* FROM ops LEFT JOIN m USING (server_uuid) WHERE mark IS NULL OR trx_id > mark),
   r AS (SELECT *, row_number() OVER (PARTITION BY destination, db, tab, pk ORDER BY pos DESC) AS n FROM d) SELECT destination, db, tab, pk, value, props FROM r WHERE n = 1 AND op <> 'delete'""")
