@@ -12,7 +12,8 @@ from millrace.plans.ordered import with_previous, with_running
 from millrace.plans.shared import kept
 
 _HALF = 1 << 31
-_ONE = r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?::[0-9]+(?:-[0-9]+)?)+$"
+# Possessive: a server's text has any number of intervals, and what may be given back is kept on the stack.
+_ONE = r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?::[0-9]++(?:-[0-9]++)?+)++$"
 
 
 def start_after(ops: DataFrame, marks: DataFrame) -> DataFrame:

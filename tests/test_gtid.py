@@ -3,6 +3,8 @@
 import bisect
 import random
 
+from pyspark.sql import functions as F
+
 from millrace.operators import gtid
 
 U = ["0000000{}-0000-4000-8000-000000000000".format(k) for k in range(3)]
@@ -104,3 +106,13 @@ def test_lookups_against_sets_of_numbers(spark):
     small, large = a.where("s < 60000"), b.where("s < 60000")
     x, y = numbers(small), numbers(large)
     assert numbers(gtid.union(small, large)) == x | y and numbers(gtid.subtract(small, large)) == x - y and numbers(gtid.intersect(small, large)) == x & y
+
+
+def test_text_of_many_intervals(spark):
+    """As many as no stack of a pattern holds, and one that is wrong behind them."""
+    n = 200_000
+    of = spark.range(n).select(F.lit(U[0]).alias("server_uuid"), (3 * F.col("id") + 1).alias("s"), (3 * F.col("id") + 1 + F.col("id") % 2).alias("e"))
+    text = gtid.interval_text(of).select("gtid")
+    parsed = gtid.parse(text.union(text.select(F.concat("gtid", F.lit(":x")))))
+    assert parsed.where("valid").select("server_uuid", "s", "e").exceptAll(of).count() == 0
+    assert [tuple(r) for r in parsed.groupBy("valid").count().orderBy("valid").collect()] == [(False, 1), (True, n)]
