@@ -986,9 +986,10 @@ def stream_binlog(spark: SparkSession, folder: str) -> DataFrame:
 def stream_text(spark: SparkSession, folder: str) -> DataFrame:
     """Textual log files as a stream, with the columns that their table maps name, what was applied before left out, folded."""
     at = fresh_folder(spark, "stream")
-    files = textlog.write(oplog.read(spark, folder)).select(F.concat(F.lit("# at "), "record").alias("value"))
-    # A transaction stays in one file.
-    files.repartition(F.floor(F.regexp_extract("value", r"^# at (\d+)", 1).cast("long") / 4_000_000)).write.text(f"{at}/files")
+    # A file has what stands between two places of the log, and whole transactions.
+    ops = oplog.read(spark, folder).repartitionByRange(F.floor(F.col("pos") / 4000)).sortWithinPartitions("pos")
+    textlog.write(ops).select(F.concat(F.lit("# at "), "record").alias("value")).write.text(f"{at}/files")
+    apply.in_order(spark, f"{at}/files")
     own = apply.apply_to(f"{at}/table", skip_applied=True)
     sink = apply.of_text(lambda ops, n: own(ops.withColumnRenamed("id", "pk").withColumn("value", F.lit(None).cast("double")), n), "id long, props string")
     last = apply.run_available(apply.stream_text(spark, f"{at}/files", files_at_once=3), sink, f"{at}/checkpoint")

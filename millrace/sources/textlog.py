@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from millrace.functions.values import set_text
 from millrace.plans.ordered import with_previous, with_running
+from millrace.plans.shared import kept
 
 _HEAD = r"^(?:# at )?(\d+)\n#(\d{6} +\d{1,2}:\d{2}:\d{2}) server id (\d+) +end_log_pos (\d+)(?: CRC32 0x[0-9a-f]+)?\s+([A-Za-z_]+)"
 
@@ -42,10 +43,13 @@ def parse(records: DataFrame) -> DataFrame:
     Each field is looked for in the events that have it, so that long bodies of rows are read for their rows alone.
     """
     number = lambda c: c.cast("long")
-    heads = records.select(
-        "src_file", number(_field(_HEAD, 1)).alias("at"), F.to_timestamp(F.regexp_replace(_field(_HEAD, 2), " +", " "), "yyMMdd H:mm:ss").alias("ts"),
-        number(_field(_HEAD, 3)).alias("server_id"), number(_field(_HEAD, 4)).alias("end_log_pos"), _field(_HEAD, 5).alias("event"), "record",
-    ).where("at is not null")
+    # The head is matched once: none of its fields holds a bar.
+    head = F.split(F.regexp_replace(F.regexp_extract("record", _HEAD, 0), _HEAD, "$1|$2|$3|$4|$5"), r"\|")
+    said = lambda k: F.get("_head", F.lit(k))
+    heads = records.where(F.col("record").rlike(_HEAD)).select("src_file", "record", head.alias("_head")).select(
+        "src_file", number(said(0)).alias("at"), F.to_timestamp(F.regexp_replace(said(1), " +", " "), "yyMMdd H:mm:ss").alias("ts"),
+        number(said(2)).alias("server_id"), number(said(3)).alias("end_log_pos"), said(4).alias("event"), "record",
+    )
     event = F.col("event")
     rows, of_map, of_gtid = event.endswith("_rows"), event == "Table_map", event.endswith("GTID")
     return heads.select(
@@ -85,17 +89,31 @@ def table_statistics(parsed: DataFrame) -> DataFrame:
     return named.groupBy("m.db", "m.tab").agg(*(F.sum(c).alias(c) for c in ("writes", "updates", "deletes")))
 
 
-def _events_with(parsed: DataFrame, said: DataFrame, value: Column, name: str, by: list[str]) -> DataFrame:
-    """src_file, at, name: for each row event the value that the last of `said` before it has, of the same `by`. Places are put in order, not bodies."""
-    own = ["src_file", "at", *(c for c in by if c != "src_file")]
-    places = parsed.where(F.col("event").endswith("_rows")).select(*own).unionByName(said.select(*own, F.struct("at", value.alias("v")).alias("_said")), allowMissingColumns=True)
-    return with_running(places, "at", F.col("_said"), "_last", by, "max").where("_said is null").select("src_file", "at", F.col("_last.v").alias(name))
+def _placed(parsed: DataFrame) -> DataFrame:
+    """src_file, at, table_id, map, trx: places of row events (map and trx null), of table maps and of transaction ids, with what these say.
+
+    Texts are read for them once, into a table without bodies, that the passes over the order read."""
+    event = F.col("event")
+    maps = F.when(event == "Table_map", F.struct("at", "columns"))
+    trx = F.when(F.col("gtid").isNotNull(), F.struct(F.col("at").alias("gtid_pos"), "gtid", "last_committed"))
+    of = parsed.where(event.endswith("_rows") | (event == "Table_map") | F.col("gtid").isNotNull())
+    return kept(of.select("src_file", "at", "table_id", maps.alias("map"), trx.alias("trx")), "places")
+
+
+def _meeting(parsed: DataFrame, with_trx: bool = False) -> DataFrame:
+    """Row events with the columns of the last table map of their table id before them in the file, and with the last transaction id
+    (trx: gtid_pos, gtid, last_committed); null without one. Places are put in order; bodies meet what was found by their place."""
+    places = _placed(parsed)
+    known = with_running(places.where("trx is null"), "at", F.col("map"), "_map", ["src_file", "table_id"], "max").where("map is null").select("src_file", "at", F.col("_map.columns").alias("columns"))
+    if with_trx:
+        trx = with_running(places.where("map is null").select("src_file", "at", "trx"), "at", F.col("trx"), "_trx", ["src_file"], "max").where("trx is null").select("src_file", "at", F.col("_trx").alias("trx"))
+        known = known.join(trx, ["src_file", "at"])
+    return parsed.where(F.col("event").endswith("_rows")).drop("columns").join(known, ["src_file", "at"], "left")
 
 
 def named(parsed: DataFrame) -> DataFrame:
     """Row events with the columns of the last table map of their table id before them in the file; null without one."""
-    known = _events_with(parsed, parsed.where("event = 'Table_map'"), F.col("columns"), "columns", ["src_file", "table_id"])
-    return parsed.where(F.col("event").endswith("_rows")).drop("columns").join(known, ["src_file", "at"], "left")
+    return _meeting(parsed)
 
 
 def _cell(value: Column, type_: Column) -> Column:
@@ -114,16 +132,11 @@ def _cell(value: Column, type_: Column) -> Column:
     )
 
 
-def _images(parsed: DataFrame, columns: list[str] | None) -> DataFrame:
-    """Row changes of ### blocks: src_file, at, ts, part, op, target, before, after: arrays of name, v (SQL text). The columns are those given, else of the log."""
+def _images(some: DataFrame, *more: str) -> DataFrame:
+    """Row changes of ### blocks of row events with their columns: src_file, at, ts, more, part, op, target, before, after: arrays of name, v (SQL text)."""
     text = F.concat(F.array_join("row_lines", "\n"), F.lit("\n"))
     block = r"(?s)((?:INSERT INTO|UPDATE|DELETE FROM) .*?)(?=\n(?:INSERT INTO|UPDATE|DELETE FROM) |\n$)"
-    if columns is None:
-        some = named(parsed)
-    else:
-        given = F.array(*(F.struct(F.lit(c).alias("name"), F.lit("").alias("type")) for c in columns))
-        some = parsed.where(F.col("event").endswith("_rows")).withColumn("columns", given)
-    rows = some.where(F.size("row_lines") > 0).select("src_file", "at", "ts", "columns", F.posexplode(F.regexp_extract_all(text, F.lit(block), F.lit(1))).alias("part", "block"))
+    rows = some.where(F.size("row_lines") > 0).select("src_file", "at", "ts", *more, "columns", F.posexplode(F.regexp_extract_all(text, F.lit(block), F.lit(1))).alias("part", "block"))
     cell = r"(?m)^\s*@(\d+)=(.*?)(?: /\*.*\*/)?$"
 
     def cells(of: Column) -> Column:
@@ -134,7 +147,7 @@ def _images(parsed: DataFrame, columns: list[str] | None) -> DataFrame:
     where, new = F.regexp_extract("block", r"(?s)\nWHERE\n(.*?)(?:\nSET\n|$)", 1), F.regexp_extract("block", r"(?s)\nSET\n(.*)$", 1)
     op = F.lower(F.regexp_extract("block", r"^(INSERT|UPDATE|DELETE)", 1))
     target = F.regexp_extract("block", r"^(?:INSERT INTO|UPDATE|DELETE FROM) (\S+)", 1)
-    return rows.select("src_file", "at", "ts", F.col("part").cast("long").alias("part"), op.alias("op"), target.alias("target"), cells(where).alias("before"), cells(new).alias("after"))
+    return rows.select("src_file", "at", "ts", *more, F.col("part").cast("long").alias("part"), op.alias("op"), target.alias("target"), cells(where).alias("before"), cells(new).alias("after"))
 
 
 def statements(parsed: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -152,7 +165,12 @@ def statements(parsed: DataFrame, columns: list[str] | None = None) -> DataFrame
         .when(op == "update", F.concat(F.lit("UPDATE "), target, F.lit(" SET "), put("after"), F.lit(" WHERE "), match("before")))
         .otherwise(F.concat(F.lit("DELETE FROM "), target, F.lit(" WHERE "), match("before")))
     )
-    return _images(parsed, columns).select("src_file", "at", "part", "op", "target", sql.alias("sql"))
+    if columns is None:
+        some = named(parsed)
+    else:
+        given = F.array(*(F.struct(F.lit(c).alias("name"), F.lit("").alias("type")) for c in columns))
+        some = parsed.where(F.col("event").endswith("_rows")).withColumn("columns", given)
+    return _images(some).select("src_file", "at", "part", "op", "target", sql.alias("sql"))
 
 
 def _plain(v: Column) -> Column:
@@ -170,18 +188,16 @@ def oplog(parsed: DataFrame, row: str) -> DataFrame:
     gtid_pos, db, tab, op, before, after. row: the wanted columns, as a schema; what an image does not name, or what is of
     another type, is null. before and after are null where the change has no such image."""
     fields = StructType.fromDDL(row).fields
-    rows = _images(parsed, None)
+    rows = _images(_meeting(parsed, with_trx=True), "trx")
 
     def image(cells: str) -> Column:
         of = lambda f: F.get(F.filter(cells, lambda c: c["name"] == f.name), F.lit(0))["v"]
         return F.when(F.size(cells) > 0, F.struct(*(_plain(of(f)).try_cast(f.dataType).alias(f.name) for f in fields)))
 
-    values = rows.select("src_file", "at", F.col("part").alias("row_idx"), "ts", "op", "target", image("before").alias("before"), image("after").alias("after"))
-    said = parsed.where("gtid is not null")
-    trx = _events_with(parsed, said, F.struct("gtid", "last_committed", F.col("at").alias("gtid_pos")), "g", ["src_file"])
+    values = rows.select("src_file", "at", F.col("part").alias("row_idx"), "ts", "trx", "op", "target", image("before").alias("before"), image("after").alias("after"))
     part = lambda k: F.replace(F.regexp_extract("target", r"^`((?:[^`]|``)*)`\.`((?:[^`]|``)*)`$", k), F.lit("``"), F.lit("`"))
-    uuid, n = F.substring_index("g.gtid", ":", 1), F.substring_index("g.gtid", ":", -1).cast("long")
-    return values.join(trx, ["src_file", "at"], "left").select("src_file", F.col("at").alias("pos"), "row_idx", "ts", uuid.alias("server_uuid"), n.alias("trx_id"), "g.last_committed", "g.gtid_pos", part(1).alias("db"), part(2).alias("tab"), "op", "before", "after")
+    uuid, n = F.substring_index("trx.gtid", ":", 1), F.substring_index("trx.gtid", ":", -1).cast("long")
+    return values.select("src_file", F.col("at").alias("pos"), "row_idx", "ts", uuid.alias("server_uuid"), n.alias("trx_id"), "trx.last_committed", "trx.gtid_pos", part(1).alias("db"), part(2).alias("tab"), "op", "before", "after")
 
 
 def type_labels(type_text: Column) -> Column:
@@ -198,16 +214,18 @@ def label_text(kind: str, index: Column, labels: list[str]) -> Column:
 
 def write(ops: DataFrame, second: Column | None = None) -> DataFrame:
     """Records of an operation log: two a change (map and rows), their transaction's id before its first one. second: what the map calls the second column."""
-    at = F.col("pos") * 1000
-    head = lambda shift, size, what: F.format_string("%d\n#%s server id 1  end_log_pos %d CRC32 0x00000000 \t%s", at + shift, F.date_format("ts", "yyMMdd HH:mm:ss"), at + shift + size, what)
-    table_id = F.when(F.col("tab") == "users", 100).otherwise(200) + F.when(F.col("db") == "mysql", 1).when(F.col("db") == "audit", 2).otherwise(3)
-    gtid = F.concat(head(0, 300, F.format_string("GTID\tlast_committed=%d\tsequence_number=%d", "last_committed", F.col("trx_no") + 1)), F.format_string("\nSET @@SESSION.GTID_NEXT= '%s:%d'/*!*/;", "server_uuid", "trx_id"))
-    columns = F.format_string("\n# Columns(`id` BIGINT NOT NULL,\n#         `%s` VARCHAR(200) CHARSET utf8mb4)\n# Primary Key(id)", F.lit("props") if second is None else second)
-    table = F.concat(head(300, 300, F.format_string("Table_map: `%s`.`%s` mapped to number %d", "db", "tab", table_id)), columns)
+    at, said = F.col("pos") * 1000, lambda c: F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), F.lit("null"))
+    joined = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    head = lambda shift, size, what: joined(said(at + shift), "\n#", said("_time"), " server id 1  end_log_pos ", said(at + shift + size), " CRC32 0x00000000 \t", what)
+    table_id = said(F.when(F.col("tab") == "users", 100).otherwise(200) + F.when(F.col("db") == "mysql", 1).when(F.col("db") == "audit", 2).otherwise(3))
+    gtid = joined(head(0, 300, joined("GTID\tlast_committed=", said("last_committed"), "\tsequence_number=", said(F.col("trx_no") + 1))), "\nSET @@SESSION.GTID_NEXT= '", said("server_uuid"), ":", said("trx_id"), "'/*!*/;")
+    columns = joined("\n# Columns(`id` BIGINT NOT NULL,\n#         `", "props" if second is None else said(second), "` VARCHAR(200) CHARSET utf8mb4)\n# Primary Key(id)")
+    table = joined(head(300, 300, joined("Table_map: `", said("db"), "`.`", said("tab"), "` mapped to number ", table_id)), columns)
     event = F.when(F.col("op") == "insert", "Write_rows").when(F.col("op") == "update", "Update_rows").otherwise("Delete_rows")
-    rows = head(600, 400, F.concat(event, F.format_string(": table id %d flags: STMT_END_F", table_id)))
-    cell = F.format_string("\n###   @1=%d\n###   @2='%s'", "pk", "props")
-    verb = F.format_string("\n### %s `%s`.`%s`", F.when(F.col("op") == "insert", "INSERT INTO").when(F.col("op") == "update", "UPDATE").otherwise("DELETE FROM"), "db", "tab")
-    body = F.concat(verb, F.when(F.col("op") != "insert", F.concat(F.lit("\n### WHERE"), cell)).otherwise(""), F.when(F.col("op") != "delete", F.concat(F.lit("\n### SET"), cell)).otherwise(""))
+    rows = head(600, 400, joined(event, ": table id ", table_id, " flags: STMT_END_F"))
+    cell = joined("\n###   @1=", said("pk"), "\n###   @2='", said("props"), "'")
+    verb = joined("\n### ", F.when(F.col("op") == "insert", "INSERT INTO").when(F.col("op") == "update", "UPDATE").otherwise("DELETE FROM"), " `", said("db"), "`.`", said("tab"), "`")
+    body = joined(verb, F.when(F.col("op") != "insert", joined("\n### WHERE", cell)).otherwise(""), F.when(F.col("op") != "delete", joined("\n### SET", cell)).otherwise(""))
     first = F.when(F.col("pos") % 4 == 0, F.array(gtid)).otherwise(F.array().cast("array<string>"))
-    return ops.select(F.lit("log.000001").alias("src_file"), F.explode(F.concat(first, F.array(table, F.concat(rows, body)))).alias("record"))
+    timed = ops.withColumn("_time", F.date_format("ts", "yyMMdd HH:mm:ss"))
+    return timed.select(F.lit("log.000001").alias("src_file"), F.explode(F.concat(first, F.array(table, joined(rows, body)))).alias("record"))

@@ -141,7 +141,31 @@ def log_end(spark: SparkSession, folder: str, names: str = "*") -> tuple[str, in
 
 def of_logs(sink: Callable[[DataFrame, int], None], row: str, start: tuple[str, int] | None = None, marks: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
     """A sink of batches of log files out of one of batches of changes."""
-    return lambda files, number: sink(log_changes(files, row, start, marks), number)
+    return lambda files, number: _read_once(sink, log_changes(files, row, start, marks), number)
+
+
+def _read_once(sink: Callable[[DataFrame, int], None], batch: DataFrame, number: int) -> None:
+    """A sink looks at a batch several times; its files are decoded for the first."""
+    batch = batch.persist()
+    try:
+        sink(batch, number)
+    finally:
+        batch.unpersist()
+
+
+def in_order(spark: SparkSession, folder: str) -> None:
+    """Gives the files of a folder times in the order of their names, as a server leaves them that closes one after the other. Streams
+    take files by their times, and what comes in another order than the log's is taken for applied before."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(path) if f.isFile() and f.getPath().getName()[0] not in "._"), key=lambda p: p.getName())
+    begin = max((fs.getFileStatus(p).getModificationTime() for p in files), default=0) // 1000 - len(files)
+    for k, p in enumerate(files):
+        fs.setTimes(p, (begin + k) * 1000, -1)
+    times = [fs.getFileStatus(p).getModificationTime() for p in files]
+    if times != sorted(set(times)):
+        raise ValueError(f"{folder}: its file system keeps no times that are set")
 
 
 def stream_text(spark: SparkSession, folder: str, files_at_once: int = 100, names: str = "*") -> DataFrame:
@@ -158,7 +182,7 @@ def of_text(sink: Callable[[DataFrame, int], None], row: str, marks: DataFrame |
         rows = binlog.in_one_order(textlog.oplog(textlog.parse(records), row))
         image = F.coalesce("after", "before")
         ops = rows.withColumn("row", image).select("pos", "ts", "server_uuid", "trx_id", F.col("gtid_pos").alias("trx_no"), "last_committed", "db", "tab", "op", "row.*")
-        sink(ops if marks is None else start_after(ops, marks), number)
+        _read_once(sink, ops if marks is None else start_after(ops, marks), number)
 
     return run
 

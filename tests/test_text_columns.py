@@ -1,7 +1,10 @@
 """Columns and values out of textual logs; positions of files."""
 
+from millrace.operators import compare, fold
 from millrace.operators.filters import after_position
-from millrace.sources import binlog, textlog
+from millrace.plans import catalog
+from millrace.sources import binlog, oplog, textlog
+from millrace.streaming import apply
 
 HEAD = "#240520 12:34:57 server id 1  end_log_pos 205 CRC32 0x11111111 \t"
 GTID = f"100\n{HEAD}GTID\tlast_committed=3\tsequence_number=4\nSET @@SESSION.GTID_NEXT= '01234567-89ab-cdef-0123-456789abcdef:5'/*!*/;"
@@ -63,3 +66,17 @@ def test_file_numbers_of_any_width(spark):
     assert [r.src_file for r in after_position(at, "log.999999", 10).collect()] == ["log.1000000"]
     names = spark.createDataFrame([("a.000002.txt", 1, 1, 0), ("plain", 1, 1, 0)], "src_file string, pos long, gtid_pos long, row_idx int")
     assert sorted(r.pos for r in binlog.in_one_order(names).collect()) == [1, (2 << 40) + 1]
+
+
+def test_files_of_a_stream_follow_the_log(spark, tmp_path):
+    """More files than a batch takes: what a server sent first is in the first batch, whichever file was written first."""
+    spark.read.parquet("/root/testdata/sf0.1/events.parquet").where("event_id < 24000").write.parquet(f"{tmp_path}/events.parquet")
+    want = fold.replace(oplog.read(spark, str(tmp_path))).select("db", "tab", "pk", "props")
+    assert compare.same(catalog.stream_text(spark, str(tmp_path)), want)
+
+
+def test_times_of_files_are_those_of_their_names(spark, tmp_path):
+    for n in (3, 1, 2):
+        (tmp_path / f"log.{n}").write_text("x")
+    apply.in_order(spark, str(tmp_path))
+    assert sorted(tmp_path.glob("log.*"), key=lambda f: f.stat().st_mtime) == [tmp_path / f"log.{n}" for n in (1, 2, 3)]
