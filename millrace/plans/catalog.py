@@ -849,11 +849,17 @@ def text_columns(spark: SparkSession, folder: str) -> DataFrame:
     return textlog.statements(records).select("at", "op", "sql")
 
 
+# Files of a partition, which may be one batch in the memory of a task that splits them.
+FILES_A_TASK = 16
+
+
 def _binlog_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The operation log as binary logs of 4,000 changes each."""
+    """The operation log as binary logs of 4,000 changes each, in partitions that follow the log."""
     import pandas as pd
 
     ops = oplog.read(spark, folder).withColumn("file", F.floor(F.col("pos") / 4000)).withColumn("ts", F.unix_timestamp("ts"))
+    files = ops.agg(F.count_distinct("file")).first()[0]
+    ops = ops.repartitionByRange(max(1, -(-files // FILES_A_TASK)), "file")
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos").astype(object).where(rows.notna(), None)
@@ -977,6 +983,7 @@ def stream_binlog(spark: SparkSession, folder: str) -> DataFrame:
     """Binary log files as a stream, decoded, what was applied before left out, folded."""
     at = fresh_folder(spark, "stream")
     _binlog_files(spark, folder).write.parquet(f"{at}/files")
+    apply.in_order(spark, f"{at}/files")
     sink = apply.of_logs(apply.apply_to(f"{at}/table", skip_applied=True), "pk long, value double, props string")
     last = apply.run_available(apply.stream_table(spark, f"{at}/files"), sink, f"{at}/checkpoint")
     return apply.snapshot(spark, f"{at}/table", last)

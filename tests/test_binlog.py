@@ -7,8 +7,10 @@ from decimal import Decimal
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from millrace.functions import rowbytes as rb
+from millrace.plans import catalog
 from millrace.sources import binlog
 from millrace.sources.binlog_writer import Log, change_image, named, packed
 
@@ -176,3 +178,10 @@ def test_extra_data_of_row_events():
     assert binlog.extra_data("write_rows", head + b"\x05\x00\x01\x03\x00") == {"partition_id": 3}
     assert binlog.extra_data("update_rows", head + b"\x07\x00\x01\x03\x00\x04\x00") == {"partition_id": 3, "source_partition_id": 4}
     assert binlog.extra_data("delete_rows", head + b"\x07\x00\x00\x04\x00ab") == {"ndb_format": 0, "ndb_data": "6162"}
+
+
+def test_files_of_a_task_do_not_grow_with_the_log(spark, monkeypatch):
+    """24 files of 4,000 changes: a partition has about as many as it is given, however few partitions a shuffle has."""
+    monkeypatch.setattr(catalog, "FILES_A_TASK", 2, raising=False)
+    held = catalog._binlog_files(spark, "/root/testdata/sf0.1").select(F.spark_partition_id().alias("p"), "path").groupBy("p").agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in held) == 25 and max(r.n for r in held) <= 4
