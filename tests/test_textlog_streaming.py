@@ -140,3 +140,12 @@ def test_destinations_skip_by_their_own_marks(spark, tmp_path):
     whole = rows(fold.replace(ops))
     assert rows(apply.snapshot(spark, f"{at}/new", last)) == whole == rows(apply.snapshot(spark, f"{at}/late", last + 1))
     assert spark.read.parquet(f"{at}/marks/v={last}").groupBy("server_uuid").agg(F.count_distinct("mark").alias("n"), F.count("*").alias("of")).select("n", "of").distinct().collect() == [(1, 2)]
+
+
+def test_batches_of_logs_are_decoded_once(spark):
+    """A sink reads its batch several times; what it reads is held."""
+    seen = []
+    sink = lambda batch, n: seen.append((batch.is_cached, batch.count(), n))
+    apply.of_logs(sink, "pk long")(spark.createDataFrame([("log.000001", bytes(binlog_writer.MAGIC))], "path string, content binary"), 3)
+    apply.of_text(sink, "id long")(textlog.write(oplog.read(spark, FOLDER)), 4)
+    assert [(cached, n) for cached, _, n in seen] == [(True, 3), (True, 4)] and seen[0][1] == 0 and seen[1][1] > 0
