@@ -862,8 +862,9 @@ def _binlog_files(spark: SparkSession, folder: str) -> DataFrame:
     ops = ops.repartitionByRange(max(1, -(-files // FILES_A_TASK)), "file")
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos").astype(object).where(rows.notna(), None)
-        return pd.DataFrame({"path": [f"log.{key[0]:06d}"], "content": [binlog_writer.write_changes(rows.to_dict("records"))]})
+        rows = rows.sort_values("pos")
+        cells = [rows[c].astype(object).where(rows[c].notna(), None).tolist() if rows[c].hasnans else rows[c].tolist() for c in rows]
+        return pd.DataFrame({"path": [f"log.{key[0]:06d}"], "content": [binlog_writer.write_changes([dict(zip(rows, r)) for r in zip(*cells)])]})
 
     return ops.groupBy("file").applyInPandas(one, "path string, content binary")
 

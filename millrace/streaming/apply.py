@@ -124,7 +124,7 @@ def log_changes(files: DataFrame, row: str, start: tuple[str, int] | None = None
     Where it begins: with the first file; at start, a (file, position), of which the table maps before it still hold; or
     after marks, the last transaction of each server. start = log_end() leaves out all there is so far.
     """
-    rows = binlog.oplog(binlog.events(files))
+    rows = binlog.oplog_of(files, last_only=True)
     if start is not None:
         rows = after_position(rows, *start)
     image = F.from_json(F.coalesce("after", "before"), row)

@@ -185,3 +185,22 @@ def test_files_of_a_task_do_not_grow_with_the_log(spark, monkeypatch):
     monkeypatch.setattr(catalog, "FILES_A_TASK", 2, raising=False)
     held = catalog._binlog_files(spark, "/root/testdata/sf0.1").select(F.spark_partition_id().alias("p"), "path").groupBy("p").agg(F.count("*").alias("n")).collect()
     assert sum(r.n for r in held) == 25 and max(r.n for r in held) <= 4
+
+
+def test_logs_are_read_in_one_pass(spark):
+    """Rows of files meet their map and transaction as files are split: nothing is shuffled, and rows are those that events give."""
+    one = change_image(1, 1.0, "a")
+    log = wide_log()
+    log.rows(30, 5, 3, one, 1)  # no map: dropped
+    for tab in ("old", "new"):
+        log.table_map(5, "d", tab, bytes([8, 5, 15]), bytes([8]) + (2000).to_bytes(2, "little"), ["pk", "value", "props"], [0], b"", 1)
+        log.rows(30, 5, 3, one * 2, 1)
+        log.gtid("01234567-89ab-cdef-0123-456789abcdef", 8, 3, 5, 1)
+    log.add(4, struct.pack("<Q", 4) + b"log.2", 1)
+    log.rows(30, 5, 3, one, 1)  # ids are forgotten at a rotation
+    files = spark.createDataFrame([(f"x/log.{k}", bytearray(raw)) for k, raw in enumerate((log.bytes(), binlog.MAGIC, wide_log().bytes()))], "path string, content binary")
+    got, want = binlog.oplog_of(files), binlog.oplog(binlog.events(files))
+    assert "Exchange" not in got._jdf.queryExecution().toString()
+    assert got.columns == want.columns and got.count() == 10 and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    last = binlog.oplog_of(files, last_only=True).collect()
+    assert {(r.op, r.before is None, r.after is None) for r in last} == {("insert", True, False), ("update", True, False), ("delete", False, True)}
