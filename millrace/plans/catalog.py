@@ -871,7 +871,7 @@ def _binlog_files(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("WITH {ops} SELECT server_uuid, trx_id, last_committed, db, tab, op, pk, CAST(round(value * 100) AS BIGINT) AS cents, props FROM ops")
 def binlog_decode(spark: SparkSession, folder: str) -> DataFrame:
-    rows = binlog.oplog(binlog.events(_binlog_files(spark, folder)))
+    rows = binlog.oplog_of(_binlog_files(spark, folder), last_only=True)
     row = F.from_json(F.coalesce("after", "before"), "pk long, value double, props string")
     return rows.withColumn("row", row).select("server_uuid", "trx_id", "last_committed", "db", "tab", "op", "row.pk", F.round(F.col("row.value") * 100).cast("long").alias("cents"), "row.props")
 

@@ -204,3 +204,9 @@ def test_logs_are_read_in_one_pass(spark):
     assert got.columns == want.columns and got.count() == 10 and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
     last = binlog.oplog_of(files, last_only=True).collect()
     assert {(r.op, r.before is None, r.after is None) for r in last} == {("insert", True, False), ("update", True, False), ("delete", False, True)}
+
+
+def test_decoded_rows_are_not_joined(spark):
+    """Values, transaction and columns of a change come out of one pass over its file."""
+    plan = catalog.binlog_decode(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Window" not in plan
