@@ -6,12 +6,12 @@ Everything else is regular expressions over records.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from millrace.functions.values import set_text
-from millrace.plans.ordered import with_previous, with_running
+from millrace.plans.ordered import with_previous
 from millrace.plans.shared import kept
 
 _HEAD = r"^(?:# at )?(\d+)\n#(\d{6} +\d{1,2}:\d{2}:\d{2}) server id (\d+) +end_log_pos (\d+)(?: CRC32 0x[0-9a-f]+)?\s+([A-Za-z_]+)"
@@ -43,12 +43,14 @@ def parse(records: DataFrame) -> DataFrame:
     Each field is looked for in the events that have it, so that long bodies of rows are read for their rows alone.
     """
     number = lambda c: c.cast("long")
-    # The head is matched once: none of its fields holds a bar.
-    head = F.split(F.regexp_replace(F.regexp_extract("record", _HEAD, 0), _HEAD, "$1|$2|$3|$4|$5"), r"\|")
-    said = lambda k: F.get("_head", F.lit(k))
-    heads = records.where(F.col("record").rlike(_HEAD)).select("src_file", "record", head.alias("_head")).select(
-        "src_file", number(said(0)).alias("at"), F.to_timestamp(F.regexp_replace(said(1), " +", " "), "yyMMdd H:mm:ss").alias("ts"),
-        number(said(2)).alias("server_id"), number(said(3)).alias("end_log_pos"), said(4).alias("event"), "record",
+    # The head is matched once: a row without one has nothing to explode, and the head's fields are cut out of what was found.
+    heads = records.select("src_file", "record", F.explode(F.regexp_extract_all("record", F.lit(_HEAD), F.lit(0))).alias("_head"))
+    at = F.substring_index(F.substring_index("_head", "\n", 1), " ", -1)
+    ts = F.substring_index(F.substr("_head", F.instr("_head", "\n") + 2), " server id ", 1)
+    server, rest = F.substring_index(F.substring_index("_head", " server id ", -1), " ", 1), F.substring_index("_head", " end_log_pos ", -1)
+    heads = heads.select(
+        "src_file", number(at).alias("at"), F.to_timestamp(F.regexp_replace(ts, " +", " "), "yyMMdd H:mm:ss").alias("ts"), number(server).alias("server_id"),
+        number(F.regexp_extract(rest, r"^\d+", 0)).alias("end_log_pos"), F.regexp_extract(rest, r"\s([A-Za-z_]+)$", 1).alias("event"), "record",
     )
     event = F.col("event")
     rows, of_map, of_gtid = event.endswith("_rows"), event == "Table_map", event.endswith("GTID")
@@ -89,26 +91,44 @@ def table_statistics(parsed: DataFrame) -> DataFrame:
     return named.groupBy("m.db", "m.tab").agg(*(F.sum(c).alias(c) for c in ("writes", "updates", "deletes")))
 
 
-def _placed(parsed: DataFrame) -> DataFrame:
-    """src_file, at, table_id, map, trx: places of row events (map and trx null), of table maps and of transaction ids, with what these say.
-
-    Texts are read for them once, into a table without bodies, that the passes over the order read."""
-    event = F.col("event")
-    maps = F.when(event == "Table_map", F.struct("at", "columns"))
-    trx = F.when(F.col("gtid").isNotNull(), F.struct(F.col("at").alias("gtid_pos"), "gtid", "last_committed"))
-    of = parsed.where(event.endswith("_rows") | (event == "Table_map") | F.col("gtid").isNotNull())
-    return kept(of.select("src_file", "at", "table_id", maps.alias("map"), trx.alias("trx")), "places")
+# A stretch of the log in bytes: what it holds of a file is put in order by one window.
+WIDTH = 1 << 20
 
 
 def _meeting(parsed: DataFrame, with_trx: bool = False) -> DataFrame:
     """Row events with the columns of the last table map of their table id before them in the file, and with the last transaction id
-    (trx: gtid_pos, gtid, last_committed); null without one. Places are put in order; bodies meet what was found by their place."""
-    places = _placed(parsed)
-    known = with_running(places.where("trx is null"), "at", F.col("map"), "_map", ["src_file", "table_id"], "max").where("map is null").select("src_file", "at", F.col("_map.columns").alias("columns"))
+    (trx: gtid_pos, gtid, last_committed); null without one.
+
+    A file is cut into stretches. Inside one, rows meet what stands before them in a window, bodies and all, so these are shuffled once and joined to nothing large;
+    what the stretches before leave behind is one row for each of their table ids."""
+    event, has_trx = F.col("event"), F.col("gtid").isNotNull()
+    rows, of_map = event.endswith("_rows"), event == "Table_map"
+    trx = F.when(has_trx, F.struct(F.col("at").alias("gtid_pos"), "gtid", "last_committed"))
+    of = parsed.where((rows | of_map | has_trx) if with_trx else (rows | of_map))
+    of = of.withColumns({"_stretch": F.floor(F.col("at") / WIDTH), "_id": F.coalesce("table_id", F.lit(-1)), "trx": trx})
+    by, whole = ["src_file", "_stretch", "_id"], ["src_file", "_stretch"]
+    before = lambda *keys: Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = lambda *keys: Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+
+    # Columns are read out of the last map of a stretch alone.
+    ends = of.select(*by, "at", F.when(of_map, F.col("record")).alias("record"), "trx").groupBy(*by)
+    ends = ends.agg(F.max_by("record", F.when(F.col("record").isNotNull(), F.col("at"))).alias("record"), *([F.max("trx").alias("trx")] if with_trx else []))
+    if with_trx:
+        ends = kept(ends, "ends")
+    maps = ends.select(*by, F.when(F.col("record").isNotNull(), F.struct(_columns().alias("columns"))).alias("_end"))
+    maps = maps.select(*by, F.last("_end", ignorenulls=True).over(earlier("src_file", "_id")).alias("_end"))
     if with_trx:
-        trx = with_running(places.where("map is null").select("src_file", "at", "trx"), "at", F.col("trx"), "_trx", ["src_file"], "max").where("trx is null").select("src_file", "at", F.col("_trx").alias("trx"))
-        known = known.join(trx, ["src_file", "at"])
-    return parsed.where(F.col("event").endswith("_rows")).drop("columns").join(known, ["src_file", "at"], "left")
+        last = ends.groupBy(*whole).agg(F.max("trx").alias("trx"))
+        last = last.select(*whole, F.last("trx", ignorenulls=True).over(earlier("src_file")).alias("_trx_end"))
+        of = of.withColumn("trx", F.last("trx", ignorenulls=True).over(before(*whole)))
+    own = F.when(of_map, F.struct("columns"))
+    met = of.withColumn("_map", F.last(own, ignorenulls=True).over(before(*by))).where(rows).join(maps, by, "left")
+    met = met.withColumn("columns", F.coalesce("_map", "_end")["columns"])
+    if with_trx:
+        met = met.join(last, whole, "left").withColumn("trx", F.coalesce("trx", "_trx_end")).drop("_trx_end")
+    else:
+        met = met.drop("trx")
+    return met.drop("_stretch", "_id", "_map", "_end")
 
 
 def named(parsed: DataFrame) -> DataFrame:
@@ -134,20 +154,21 @@ def _cell(value: Column, type_: Column) -> Column:
 
 def _images(some: DataFrame, *more: str) -> DataFrame:
     """Row changes of ### blocks of row events with their columns: src_file, at, ts, more, part, op, target, before, after: arrays of name, v (SQL text)."""
-    text = F.concat(F.array_join("row_lines", "\n"), F.lit("\n"))
-    block = r"(?s)((?:INSERT INTO|UPDATE|DELETE FROM) .*?)(?=\n(?:INSERT INTO|UPDATE|DELETE FROM) |\n$)"
-    rows = some.where(F.size("row_lines") > 0).select("src_file", "at", "ts", *more, "columns", F.posexplode(F.regexp_extract_all(text, F.lit(block), F.lit(1))).alias("part", "block"))
-    cell = r"(?m)^\s*@(\d+)=(.*?)(?: /\*.*\*/)?$"
+    blocks = F.filter(F.split(F.array_join("row_lines", "\n"), r"\n(?=(?:INSERT INTO|UPDATE|DELETE FROM) )"), lambda x: x.rlike("^(?:INSERT INTO|UPDATE|DELETE FROM) "))
+    rows = some.where(F.size("row_lines") > 0).select("src_file", "at", "ts", *more, "columns", F.posexplode(blocks).alias("part", "block"))
+    rows = rows.select("*", F.substring_index("block", "\nSET\n", 1).alias("_old"), F.when(F.contains("block", F.lit("\nSET\n")), F.substring_index("block", "\nSET\n", -1)).otherwise("").alias("_new"))
+    where = F.when(F.contains("_old", F.lit("\nWHERE\n")), F.substring_index("_old", "\nWHERE\n", -1)).otherwise("")
 
     def cells(of: Column) -> Column:
-        keys, values = F.regexp_extract_all(of, F.lit(cell), F.lit(1)), F.regexp_extract_all(of, F.lit(cell), F.lit(2))
-        column = lambda k: F.get("columns", k.cast("int") - 1)
-        return F.zip_with(keys, values, lambda k, v: F.struct(F.coalesce(column(k)["name"], F.concat(F.lit("@"), k)).alias("name"), _cell(v, F.coalesce(column(k)["type"], F.lit(""))).alias("v")))
+        """Lines of cells: their number is looked for once, a comment behind the value only where there may be one."""
+        found = F.filter(F.transform(F.split(of, "\n"), lambda x: F.struct(F.regexp_extract(x, r"^\s*@(\d+)=", 1).alias("k"), x.alias("line"))), lambda x: x["k"] != "")
+        value = lambda v: F.when(v.endswith("*/"), F.regexp_replace(v, r" /\*.*\*/$", "")).otherwise(v)
+        told = F.transform(found, lambda x: F.struct(x["k"].alias("k"), F.get("columns", x["k"].cast("int") - 1).alias("c"), value(F.substr(x["line"], F.instr(x["line"], "=") + 1)).alias("v")))
+        return F.transform(told, lambda x: F.struct(F.coalesce(x["c"]["name"], F.concat(F.lit("@"), x["k"])).alias("name"), F.when(x["c"]["type"].rlike(r"^(?:ENUM\(|SET\(|TIMESTAMP)"), _cell(x["v"], x["c"]["type"])).otherwise(x["v"]).alias("v")))
 
-    where, new = F.regexp_extract("block", r"(?s)\nWHERE\n(.*?)(?:\nSET\n|$)", 1), F.regexp_extract("block", r"(?s)\nSET\n(.*)$", 1)
-    op = F.lower(F.regexp_extract("block", r"^(INSERT|UPDATE|DELETE)", 1))
+    op = F.lower(F.substring_index("block", " ", 1))
     target = F.regexp_extract("block", r"^(?:INSERT INTO|UPDATE|DELETE FROM) (\S+)", 1)
-    return rows.select("src_file", "at", "ts", *more, F.col("part").cast("long").alias("part"), op.alias("op"), target.alias("target"), cells(where).alias("before"), cells(new).alias("after"))
+    return rows.select("src_file", "at", "ts", *more, F.col("part").cast("long").alias("part"), op.alias("op"), target.alias("target"), cells(where).alias("before"), cells(F.col("_new")).alias("after"))
 
 
 def statements(parsed: DataFrame, columns: list[str] | None = None) -> DataFrame:
