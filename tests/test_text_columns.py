@@ -91,3 +91,9 @@ def test_rows_far_behind_their_map(spark):
     assert [(r.trx_id, r.gtid_pos, *r.after) for r in got] == [(None, None, None, None), (5, 100, 1, None), (5, 100, None, 2), (5, 100, None, 3)]
     plan = textlog.named(parsed(spark, *log))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1
+
+
+def test_columns_by_map_are_joined_once(spark):
+    """Rows are joined with what earlier stretches leave behind, and with nothing else."""
+    plan = catalog.text_columns(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Window" in plan
