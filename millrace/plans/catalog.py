@@ -818,8 +818,14 @@ def adaptive_fetch(spark: SparkSession, folder: str) -> DataFrame:
 # -- logs as files, streams ------------------------------------------------------------------------
 
 
+def _written(spark: SparkSession, folder: str, second: Column | None = None) -> DataFrame:
+    """The operation log as a textual log. Texts are many times as long as the events: these are dealt over all cores before, however few row groups hold them."""
+    events = oplog.table(spark, folder, "events").repartition(4 * spark.sparkContext.defaultParallelism, "event_id")
+    return textlog.write(oplog.derived(events), second)
+
+
 def _records(spark: SparkSession, folder: str) -> DataFrame:
-    return textlog.parse(textlog.write(oplog.read(spark, folder)))
+    return textlog.parse(_written(spark, folder))
 
 
 @query("""WITH {ops}, l AS (SELECT * FROM ops ORDER BY pos DESC LIMIT 1) SELECT count(*) FILTER (op = 'insert') AS write_rows, count(*) FILTER (op = 'update') AS update_rows, count(*) FILTER (op = 'delete') AS delete_rows,
@@ -845,7 +851,7 @@ def binlog_text_parse(spark: SparkSession, folder: str) -> DataFrame:
 def text_columns(spark: SparkSession, folder: str) -> DataFrame:
     """A table map before every 50th change alone, with a second column that is called anew every 500 changes."""
     name = F.concat(F.lit("c"), F.floor(F.col("pos") / 500).cast("string"))
-    records = textlog.parse(textlog.write(oplog.read(spark, folder), name)).where("event <> 'Table_map' or at % 50000 = 300")
+    records = textlog.parse(_written(spark, folder, name)).where("event <> 'Table_map' or at % 50000 = 300")
     return textlog.statements(records).select("at", "op", "sql")
 
 

@@ -6,6 +6,9 @@ Everything else is regular expressions over records.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -44,13 +47,16 @@ def parse(records: DataFrame) -> DataFrame:
     """
     number = lambda c: c.cast("long")
     # The head is matched once: a row without one has nothing to explode, and the head's fields are cut out of what was found.
-    heads = records.select("src_file", "record", F.explode(F.regexp_extract_all("record", F.lit(_HEAD), F.lit(0))).alias("_head"))
+    # Its last word is the event, which filters ask for several times: it is cut out where the head is found.
+    word = lambda head: reduce(lambda rest, space: F.substring_index(rest, space, -1), " \t\n\x0b\f\r", head)
+    found = F.transform(F.regexp_extract_all("record", F.lit(_HEAD), F.lit(0)), lambda h: F.struct(h.alias("_head"), word(h).alias("event")))
+    heads = records.select("src_file", "record", F.inline(found))
     at = F.substring_index(F.substring_index("_head", "\n", 1), " ", -1)
     ts = F.substring_index(F.substr("_head", F.instr("_head", "\n") + 2), " server id ", 1)
     server, rest = F.substring_index(F.substring_index("_head", " server id ", -1), " ", 1), F.substring_index("_head", " end_log_pos ", -1)
     heads = heads.select(
         "src_file", number(at).alias("at"), F.to_timestamp(F.regexp_replace(ts, " +", " "), "yyMMdd H:mm:ss").alias("ts"), number(server).alias("server_id"),
-        number(F.regexp_extract(rest, r"^\d+", 0)).alias("end_log_pos"), F.regexp_extract(rest, r"\s([A-Za-z_]+)$", 1).alias("event"), "record",
+        number(F.regexp_extract(rest, r"^\d+", 0)).alias("end_log_pos"), "event", "record",
     )
     event = F.col("event")
     rows, of_map, of_gtid = event.endswith("_rows"), event == "Table_map", event.endswith("GTID")
@@ -110,24 +116,27 @@ def _meeting(parsed: DataFrame, with_trx: bool = False) -> DataFrame:
     before = lambda *keys: Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     earlier = lambda *keys: Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
 
-    # Columns are read out of the last map of a stretch alone.
-    ends = of.select(*by, "at", F.when(of_map, F.col("record")).alias("record"), "trx").groupBy(*by)
-    ends = ends.agg(F.max_by("record", F.when(F.col("record").isNotNull(), F.col("at"))).alias("record"), *([F.max("trx").alias("trx")] if with_trx else []))
-    if with_trx:
-        ends = kept(ends, "ends")
-    maps = ends.select(*by, F.when(F.col("record").isNotNull(), F.struct(_columns().alias("columns"))).alias("_end"))
-    maps = maps.select(*by, F.last("_end", ignorenulls=True).over(earlier("src_file", "_id")).alias("_end"))
+    own = F.when(of_map, F.struct("columns"))
     if with_trx:
+        # Columns are read out of the last map of a stretch alone.
+        ends = of.select(*by, "at", F.when(of_map, F.col("record")).alias("record"), "trx").groupBy(*by)
+        ends = kept(ends.agg(F.max_by("record", F.when(F.col("record").isNotNull(), F.col("at"))).alias("record"), F.max("trx").alias("trx")), "ends")
+        maps = ends.select(*by, F.when(F.col("record").isNotNull(), F.struct(_columns().alias("columns"))).alias("_end"))
         last = ends.groupBy(*whole).agg(F.max("trx").alias("trx"))
         last = last.select(*whole, F.last("trx", ignorenulls=True).over(earlier("src_file")).alias("_trx_end"))
         of = of.withColumn("trx", F.last("trx", ignorenulls=True).over(before(*whole)))
-    own = F.when(of_map, F.struct("columns"))
-    met = of.withColumn("_map", F.last(own, ignorenulls=True).over(before(*by))).where(rows).join(maps, by, "left")
+        met = of.withColumn("_map", F.last(own, ignorenulls=True).over(before(*by)))
+    else:
+        # What a stretch leaves behind is read behind the same window: texts are parsed and shuffled once for both.
+        met = of.withColumn("_map", F.last(own, ignorenulls=True).over(before(*by))).drop("trx")
+        maps = met.groupBy(*by).agg(F.max_by("_map", "at").alias("_end"), F.max(rows & (F.size("row_lines") > 0)).alias("_asks"))
+    maps = maps.withColumn("_end", F.last("_end", ignorenulls=True).over(earlier("src_file", "_id")))
+    if not with_trx:
+        maps = maps.where("_asks").drop("_asks")  # stretches without rows are asked by none
+    met = met.where(rows).join(maps, by, "left")
     met = met.withColumn("columns", F.coalesce("_map", "_end")["columns"])
     if with_trx:
         met = met.join(last, whole, "left").withColumn("trx", F.coalesce("trx", "_trx_end")).drop("_trx_end")
-    else:
-        met = met.drop("trx")
     return met.drop("_stretch", "_id", "_map", "_end")
 
 
@@ -154,17 +163,26 @@ def _cell(value: Column, type_: Column) -> Column:
 
 def _images(some: DataFrame, *more: str) -> DataFrame:
     """Row changes of ### blocks of row events with their columns: src_file, at, ts, more, part, op, target, before, after: arrays of name, v (SQL text)."""
-    blocks = F.filter(F.split(F.array_join("row_lines", "\n"), r"\n(?=(?:INSERT INTO|UPDATE|DELETE FROM) )"), lambda x: x.rlike("^(?:INSERT INTO|UPDATE|DELETE FROM) "))
-    rows = some.where(F.size("row_lines") > 0).select("src_file", "at", "ts", *more, "columns", F.posexplode(blocks).alias("part", "block"))
-    rows = rows.select("*", F.substring_index("block", "\nSET\n", 1).alias("_old"), F.when(F.contains("block", F.lit("\nSET\n")), F.substring_index("block", "\nSET\n", -1)).otherwise("").alias("_new"))
-    where = F.when(F.contains("_old", F.lit("\nWHERE\n")), F.substring_index("_old", "\nWHERE\n", -1)).otherwise("")
+    verbs = ("INSERT INTO ", "UPDATE ", "DELETE FROM ")
+    begins = lambda x: reduce(or_, (x.startswith(v) for v in verbs))
+    several = reduce(or_, (F.contains("_text", F.lit(f"\n{v}")) for v in verbs))
+    # Most events have one block: a pattern is looked for where there are more.
+    blocks = F.when(several, F.split("_text", rf"\n(?=(?:{'|'.join(verbs)}))")).otherwise(F.array("_text"))
+    texts = some.where(F.size("row_lines") > 0).select("src_file", "at", "ts", *more, "columns", F.array_join("row_lines", "\n").alias("_text"))
+    rows = texts.select("src_file", "at", "ts", *more, "columns", F.posexplode(F.filter(blocks, begins)).alias("part", "block"))
+    set_at, where_at = F.instr("block", "\nSET\n"), F.instr("_old", "\nWHERE\n")
+    last = lambda text, mark: F.substring_index(text, mark, -1)
+    rows = rows.withColumn("_set", set_at).select("*", F.when(F.col("_set") > 0, F.left("block", F.col("_set") - 1)).otherwise(F.col("block")).alias("_old"), F.when(F.col("_set") > 0, last(F.substr("block", F.col("_set")), "\nSET\n")).otherwise("").alias("_new"))
+    where = F.when(where_at > 0, last(F.substr("_old", where_at), "\nWHERE\n")).otherwise("")
 
     def cells(of: Column) -> Column:
         """Lines of cells: their number is looked for once, a comment behind the value only where there may be one."""
-        found = F.filter(F.transform(F.split(of, "\n"), lambda x: F.struct(F.regexp_extract(x, r"^\s*@(\d+)=", 1).alias("k"), x.alias("line"))), lambda x: x["k"] != "")
+        lines = F.filter(F.split(of, "\n"), lambda x: x.rlike(r"^\s*@\d+="))
+        number = lambda x: F.substring_index(F.substring_index(x, "=", 1), "@", -1)
         value = lambda v: F.when(v.endswith("*/"), F.regexp_replace(v, r" /\*.*\*/$", "")).otherwise(v)
-        told = F.transform(found, lambda x: F.struct(x["k"].alias("k"), F.get("columns", x["k"].cast("int") - 1).alias("c"), value(F.substr(x["line"], F.instr(x["line"], "=") + 1)).alias("v")))
-        return F.transform(told, lambda x: F.struct(F.coalesce(x["c"]["name"], F.concat(F.lit("@"), x["k"])).alias("name"), F.when(x["c"]["type"].rlike(r"^(?:ENUM\(|SET\(|TIMESTAMP)"), _cell(x["v"], x["c"]["type"])).otherwise(x["v"]).alias("v")))
+        told = F.transform(lines, lambda x: F.struct(number(x).alias("k"), F.get("columns", number(x).cast("int") - 1).alias("c"), value(F.substr(x, F.instr(x, "=") + 1)).alias("v")))
+        typed = lambda t: t.startswith("ENUM(") | t.startswith("SET(") | t.startswith("TIMESTAMP")
+        return F.transform(told, lambda x: F.struct(F.coalesce(x["c"]["name"], F.concat(F.lit("@"), x["k"])).alias("name"), F.when(typed(x["c"]["type"]), _cell(x["v"], x["c"]["type"])).otherwise(x["v"]).alias("v")))
 
     op = F.lower(F.substring_index("block", " ", 1))
     target = F.regexp_extract("block", r"^(?:INSERT INTO|UPDATE|DELETE FROM) (\S+)", 1)

@@ -97,3 +97,25 @@ def test_columns_by_map_are_joined_once(spark):
     """Rows are joined with what earlier stretches leave behind, and with nothing else."""
     plan = catalog.text_columns(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and "Window" in plan
+
+
+def test_texts_are_made_and_parsed_once_in_all_tasks(spark):
+    """Rows and what stretches leave behind come from one shuffle of parsed texts, and a table that one task reads is dealt before texts are made of it."""
+    df = catalog.text_columns(spark, "/root/testdata/sf0.001")
+    assert df.count() == 1000
+    simple = spark.newSession()
+    simple.conf.set("spark.sql.adaptive.enabled", "false")
+    plan = catalog.text_columns(simple, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    made, read = plan.index("GTID\tlast_committed="), plan.index("FileScan parquet")
+    assert "Exchange hashpartitioning(event_id" in plan[made:read] and "ReusedExchange" in plan and plan.count("FileScan parquet") == 1
+
+
+def test_odd_blocks_and_heads(spark):
+    """Several blocks of an event, marks inside values, white space before the event's name, an id of a later file."""
+    many = f"30\n{HEAD}Update_rows: table id 108 flags: STMT_END_F\n### UPDATE `d`.`t`\n### WHERE\n###   @1=1\n### SET\n###   @1=2\n### INSERT INTO `d`.`t`\n### SET\n###   @1='a=@7=b'\n### DELETE FROM `d`.`t`\n### WHERE\n###   @1=3 /* INT */"
+    odd = table_map(20, "`id` INT").replace("\tTable_map", "\n \x0bTable_map")
+    assert sql(spark, odd, many) == ["UPDATE `d`.`t` SET `id` = 2 WHERE `id` = 1", "INSERT INTO `d`.`t` SET `id` = 'a=@7=b'", "DELETE FROM `d`.`t` WHERE `id` = 3"]
+    assert sql(spark, f"30\n{HEAD}Write_rows: table id 108\n### no block", f"40\n{HEAD}Write_rows: table id 108") == []
+    records = [("log.1", table_map(20, "`id` INT")), ("log.2", rows(30, "1")), ("log.1", rows(9, "2")), ("log.1", rows(2 * textlog.WIDTH, "3"))]
+    got = textlog.statements(textlog.parse(spark.createDataFrame(records, "src_file string, record string"))).orderBy("src_file", "at").collect()
+    assert [r.sql for r in got] == ["INSERT INTO `d`.`t` SET `@1` = 2", "INSERT INTO `d`.`t` SET `id` = 3", "INSERT INTO `d`.`t` SET `@1` = 1"]
